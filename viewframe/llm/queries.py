@@ -6,17 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from viewframe.llm import exact_dedup, mixing, quality, simhash, token_queries
+from viewframe.llm import exact_dedup, html_extract, mixing, pii, quality, simhash, substring_dedup, token_queries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         mixing.op1_mix_sources,
+        substring_dedup.op2_suffix_array_dedup,
+        html_extract.op3_html_main_text,
         token_queries.op4_token_counts,
         exact_dedup.op5_exact_dedup,
         quality.op7_quality_rules,
         token_queries.op8_bpe_codes,
         simhash.op9_simhash_near_dedup,
+        pii.op10_pii,
     )
 }
 
