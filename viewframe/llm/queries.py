@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from viewframe.llm import exact_dedup, html_extract, mixing, pii, quality, simhash, substring_dedup, token_queries
+from viewframe.llm import exact_dedup, html_extract, license_scan, mixing, pii, quality, simhash, substring_dedup, token_queries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         html_extract.op3_html_main_text,
         token_queries.op4_token_counts,
         exact_dedup.op5_exact_dedup,
+        license_scan.op6_license_scan,
         quality.op7_quality_rules,
         token_queries.op8_bpe_codes,
         simhash.op9_simhash_near_dedup,
