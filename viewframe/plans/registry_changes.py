@@ -1 +1,395 @@
-"""Registered queries on changes."""
+"""Registered queries on admission, identities, changes, retention, edits, audits and streams.
+
+The events stand for a change log: a user is a row, an event its after-image or, every tenth, its
+tombstone; the event's number is the offset.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from viewframe.operators import audit, edits, order
+from viewframe.operators import changes as C
+from viewframe.operators import predicates as P
+from viewframe.operators import retention as R
+from viewframe.plans.registry import O_SQL, ORDERS, orders, query, table
+from viewframe.sources import identity
+from viewframe.sources.admission import admitted, quarantined, with_null_marker
+from viewframe.sources.rows import read_together, rendered
+from viewframe.sources.schema import Field, Schema, flat
+from viewframe.streaming.tables import MaintainedTable, change_stream, regrouped
+
+LOG = "l as (select user_id as row_id, case when event_id % 10 = 0 then 'delete' else 'upsert' end as op, event_type, value, user_id % 4 as \"partition\", event_id as \"offset\", epoch_us(ts) // 1000 as ts_ms from events)"
+LAST = "z as (select *, row_number() over (partition by row_id order by \"offset\" desc) as n from l)"
+
+
+def millis():
+    """Milliseconds of an event's time, which has no time zone."""
+    return F.expr("timestampdiff(MILLISECOND, timestamp_ntz'1970-01-01 00:00:00', ts)")
+
+
+def change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "events")
+    deleted = F.col("event_id") % 10 == 0
+    df = df.select(
+        F.col("user_id").alias("row_id"), *(F.when(~deleted, F.col(c)).alias(c) for c in ("event_type", "value")),
+        (F.col("user_id") % 4).alias("partition"), F.col("event_id").alias("offset"), millis().alias("ts_ms"),
+    )
+    return C.change_source(df, ["event_type", "value"])
+
+
+# ---- admission and identity (S1-S7, S15, S17, S19) --------------------------------------------
+
+JSON_SQL = """j as (select event_id, case event_id % 6 when 0 then '{"id": "' || event_id || '", "k": null}' when 1 then '{"id": "' || event_id || '"}' when 2 then '{"id": "' || event_id || '", "k": 1, "k": 2}'
+ when 3 then '{"id": 5, "k": ' || user_id || '}' when 4 then '{"id": "' || event_id || '", "k": "x", "z": 1}' else '{"id": "' || event_id || '", "k": ' || user_id || '}' end as value from events)"""
+JSON_SCHEMA = flat("id", ("id", "string"), ("k", "number", "on"))
+
+
+def json_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, id = F.col("event_id") % 6, F.col("event_id").cast("string")
+    head, user = F.concat(F.lit('{"id": "'), id, F.lit('"')), F.col("user_id").cast("string")
+    value = (
+        F.when(n == 0, F.concat(head, F.lit(', "k": null}'))).when(n == 1, F.concat(head, F.lit("}"))).when(n == 2, F.concat(head, F.lit(', "k": 1, "k": 2}')))
+        .when(n == 3, F.concat(F.lit('{"id": 5, "k": '), user, F.lit("}"))).when(n == 4, F.concat(head, F.lit(', "k": "x", "z": 1}'))).otherwise(F.concat(head, F.lit(', "k": '), user, F.lit("}")))
+    )
+    return table(spark, sf_dir, "events").select("event_id", value.alias("value"))
+
+
+@query("select event_id, case event_id % 6 when 2 then 'not a JSON object of distinct members' when 3 then 'id: not a string' when 4 then 'k: not a finite number; z: unknown field' else '' end as errors from events where event_id % 6 <> 2")
+def admission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = admitted(json_rows(spark, sf_dir), JSON_SCHEMA).where("event_id % 6 <> 2")
+    return rows.select("event_id", F.array_join("_errors", "; ").alias("errors"))
+
+
+@query("select event_id, event_id::varchar as id, case when event_id % 6 = 5 then user_id::double end as k, event_id % 6 <> 1 as has_k from events where event_id % 6 in (0, 1, 5)")
+def admitted_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good, _ = quarantined(admitted(json_rows(spark, sf_dir), JSON_SCHEMA))
+    return good.select("event_id", "id", "k", F.col("__has_k").alias("has_k"))
+
+
+@query("select event_id from events where event_id % 6 in (2, 3, 4)")
+def quarantined_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, bad = quarantined(admitted(json_rows(spark, sf_dir), JSON_SCHEMA))
+    return bad.select("event_id")
+
+
+@query("select event_id, case when event_id % 3 = 0 then value end as value, event_id % 3 <> 1 as there from events")
+def null_marker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("event_id") % 3
+    df = table(spark, sf_dir, "events").select("event_id", F.when(n == 0, F.col("value")).alias("value"), F.when(n == 2, True).alias("is_null"))
+    return with_null_marker(df, "value", "is_null").withColumnRenamed("__has_value", "there")
+
+
+@query("""with e as (select event_id, event_type as t, user_id::varchar as u from events)
+ select event_id, 'rid2:' || lower('73' || printf('%08x', strlen(t)) || hex(t) || '69' || printf('%08x', strlen(u)) || hex(u)) as row_id, true as valid from e""")
+def row_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "events")
+    id = identity.row_id([("string", F.col("event_type")), ("int64", F.col("user_id"))])
+    return df.select("event_id", id.alias("row_id")).withColumn("valid", identity.valid_row_id(F.col("row_id")))
+
+
+@query(f"""with {O_SQL} select o_orderkey, '{{"o_orderkey":"' || o_orderkey || '","o_custkey":"' || o_custkey || '","o_orderstatus":"' || o_orderstatus || '"'
+ || case when has_note then ',"note":' || coalesce('"' || note || '"', 'null') else '' end || case when rush is not null then ',"rush":' || rush::varchar else '' end || '}}' as json from o""")
+def rendered_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = Schema(tuple(f for f in ORDERS.fields if f.path not in ("o_totalprice", "o_orderpriority")), "o_orderkey")
+    return orders(spark, sf_dir).df.select("o_orderkey", rendered(schema).alias("json"))
+
+
+@query("select c_custkey, c_name, case when c_custkey % 2 = 1 and c_custkey % 3 = 0 then c_mktsegment end as memo, c_custkey % 2 = 1 and c_custkey % 5 <> 0 as has_memo from customer")
+def evolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old_schema = flat("c_custkey", ("c_custkey", "int64"), ("c_name", "string"))
+    new_schema = Schema((*old_schema.fields, Field("memo", "string", True, True)), "c_custkey")
+    df, k = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    old = df.where(k % 2 == 0).select("c_custkey", "c_name")
+    new = df.where(k % 2 == 1).select("c_custkey", "c_name", F.when(k % 3 == 0, F.col("c_mktsegment")).alias("memo"), (k % 5 != 0).alias("__has_memo"))
+    return read_together(old, new, old_schema, new_schema).withColumnRenamed("__has_memo", "has_memo")
+
+
+@query("select user_id as row_id, count(*) as \"rows\" from events group by 1 having count(*) > 1")
+def repeated_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.repeated_ids(table(spark, sf_dir, "events").withColumnRenamed("user_id", "row_id"))
+
+
+# ---- changes (S8-S14) -------------------------------------------------------------------------
+
+
+@query(f"with {LOG}, {LAST} select row_id, event_type, value, \"offset\" from z where n = 1 and op = 'upsert'")
+def fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.folded(change_log(spark, sf_dir)).select("row_id", "event_type", "value", "offset")
+
+
+@query(f"with {LOG.replace('from events)', 'from events where event_id <= 500)')}, {LAST} select row_id, event_type, value, \"offset\" from z where n = 1 and op = 'upsert'")
+def fold_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.folded(change_log(spark, sf_dir), as_of=F.col("offset") <= 500).select("row_id", "event_type", "value", "offset")
+
+
+@query(f"with {LOG}, {LAST} select row_id, event_type, value from z where n = 1 and op = 'upsert'")
+def snapshot_and_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state at a version, and then everything after it as one tail."""
+    log = change_log(spark, sf_dir)
+    snapshot = C.folded(log, as_of=F.col("offset") <= 500).select("row_id", "event_type", "value")
+    return C.applied(snapshot, log.where("offset > 500").select("row_id", "op", "event_type", "value", "offset"))
+
+
+@query(f"with {LOG}, b as (select * from l where \"offset\" % 2 = 0), a as (select row_id, event_type, value, row_number() over (partition by row_id order by \"offset\" desc) n from l where op = 'upsert' and \"offset\" % 2 = 1) select b.\"offset\" from b left join (select * from a where n = 1) a using (row_id) where case when op = 'delete' then a.row_id is null else a.row_id is not null and b.event_type = a.event_type and b.value = a.value end")
+def unchanged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = change_log(spark, sf_dir)
+    state = C.folded(log.where("op = 'upsert' and offset % 2 = 1")).select("row_id", "event_type", "value")
+    return C.unchanged(state, log.where("offset % 2 = 0"), ["event_type", "value"]).select("offset")
+
+
+@query(f"with {LOG}, p as (select *, lag(\"offset\") over (partition by \"partition\" order by \"offset\") as b from l) select \"offset\", case when b is null then 'first' when b + 1 = \"offset\" then 'next' else 'gap' end as audit from p")
+def audited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.audited(change_log(spark, sf_dir), ["event_type", "value"]).select("offset", "audit")
+
+
+@query("select user_id as row_id, min(event_id % 3) as partition_a, max(event_id % 3) as partition_b from events group by 1 having min(event_id % 3) <> max(event_id % 3)")
+def moved_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.moved_keys(change_log(spark, sf_dir).withColumn("partition", F.col("offset") % 3))
+
+
+@query(f"with {LOG}, v as (select *, \"offset\" // 100 as version from l), w as (select *, row_number() over (partition by version, row_id order by \"offset\" desc) n from v where version > 3) select version as epoch, row_id, op, case when op = 'delete' then 0 else 1 end as rank from w where n = 1")
+def export_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.export_epochs(change_log(spark, sf_dir).withColumn("version", F.floor(F.col("offset") / 100)), 3)
+
+
+@query(f"with {O_SQL} select o_orderkey, case o_orderkey % 5 when 0 then 'patched' when 1 then null when 2 then null else note end as note, case o_orderkey % 5 when 0 then true when 1 then true when 2 then false else has_note end as has_note from o")
+def patched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df, n = orders(spark, sf_dir).df, F.col("o_orderkey") % 5
+    op = F.when(n == 0, "set").when(n == 1, "null").when(n == 2, "clear").otherwise("unchanged")
+    patches = df.where(n < 4).select("o_orderkey", op.alias("note__op"), F.when(n == 0, "patched").alias("note__value"))
+    return C.patched(df, patches, {"note": (True, True)}, "o_orderkey").select("o_orderkey", "note", F.col("__has_note").alias("has_note"))
+
+
+# ---- between versions (D1-D7) -----------------------------------------------------------------
+
+V2 = "b as (select o_orderkey, case when o_orderkey % 7 = 0 then o_totalprice + 1000 else o_totalprice end as price, case when o_orderkey % 11 = 0 then 'X' else o_orderstatus end as status from orders where o_orderkey % 13 <> 0 union all select o_orderkey + 10000000, o_totalprice, 'N' from orders where o_orderkey % 17 = 0)"
+V1 = "a as (select o_orderkey, o_totalprice as price, o_orderstatus as status from orders)"
+
+
+def versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    df, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    old = df.select("o_orderkey", F.col("o_totalprice").alias("price"), F.col("o_orderstatus").alias("status"))
+    new = old.where(k % 13 != 0).withColumn("price", F.when(k % 7 == 0, F.col("price") + 1000).otherwise(F.col("price"))).withColumn("status", F.when(k % 11 == 0, "X").otherwise(F.col("status")))
+    added = old.where(k % 17 == 0).select((k + 10_000_000).alias("o_orderkey"), "price", F.lit("N").alias("status"))
+    return old, new.unionByName(added)
+
+
+@query(f"with {V1}, {V2}, x as (select *, -1 as weight from (select * from a except select * from b) union all select *, 1 from (select * from b except select * from a)) select * from x")
+def membership_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.membership_delta(*versions(spark, sf_dir), ["price", "status"], "o_orderkey")
+
+
+@query(f"with {V1}, {V2}, x as (select status, -1 as w from (select * from a except select * from b) union all select status, 1 from (select * from b except select * from a)) select status, sum(w)::bigint as weight from x group by 1 having sum(w) <> 0")
+def consolidated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.consolidated(C.membership_delta(*versions(spark, sf_dir), ["price", "status"], "o_orderkey"), ["status"])
+
+
+WINDOWS = f"""{V1}, {V2}, wa as (select *, row_number() over (order by price desc, o_orderkey) - 1 as i from a qualify i < 200), wb as (select *, row_number() over (order by price desc, o_orderkey) - 1 as i from b qualify i < 200),
+ d as (select coalesce(wa.o_orderkey, wb.o_orderkey) as o_orderkey, case when wb.i is null then 'remove' when wa.i is null then 'insert' when wa.i <> wb.i and (wa.price, wa.status) <> (wb.price, wb.status) then 'move+update' when wa.i <> wb.i then 'move' when (wa.price, wa.status) <> (wb.price, wb.status) then 'update' end as change, wa.i as old_index, wb.i as new_index from wa full join wb on wa.o_orderkey = wb.o_orderkey)"""
+
+
+def windows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    columns = [F.col("price").desc(), F.col("o_orderkey").asc()]
+    return tuple(order.numbered(v, columns, 0, 200).withColumn("index", F.col("index").cast("long")) for v in versions(spark, sf_dir))
+
+
+@query(f"with {WINDOWS} select * from d where change is not null")
+def window_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.window_diff(*windows(spark, sf_dir), ["price", "status"], "o_orderkey")
+
+
+@query(f"with {WINDOWS} select o_orderkey, price, status, i as \"index\" from wb")
+def reconstructed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old, new = windows(spark, sf_dir)
+    delta = C.window_diff(old, new, ["price", "status"], "o_orderkey")
+    rows = new.join(delta.where("change in ('insert', 'update', 'move+update')").select("o_orderkey"), "o_orderkey", "left_semi").select("o_orderkey", "price", "status")
+    return C.reconstructed(old, delta, rows, 1, 1, "o_orderkey")
+
+
+@query(f"with {V1}, {V2}, j as (select b.o_orderkey, a.price as ap, b.price as bp, a.status as ast, b.status as bst from a join b using (o_orderkey)) select o_orderkey, 'status' as path, 'set' as op, bst as value from j where ast <> bst")
+def field_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.field_patches(*versions(spark, sf_dir), ["price", "status"], "o_orderkey").where("path = 'status'")
+
+
+@query("select unnest(['new', 'rich', 'x']) as query_id")
+def changed_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old, new = versions(spark, sf_dir)
+    schema = flat("o_orderkey", ("o_orderkey", "int64"), ("price", "number"), ("status", "string"))
+    changes = C.membership_delta(old, new, ["price", "status"], "o_orderkey")
+    return P.changed_queries(changes, old, new, schema, {"new": P.eq("status", "N"), "rich": P.gt("price", 1000.0), "x": P.eq("status", "X"), "none": P.lt("price", -1.0)}, "o_orderkey")
+
+
+# ---- retention (R2-R8) ------------------------------------------------------------------------
+
+REFERENCE, AGE = 1_705_276_800_000, 86_400_000  # 2024-01-15, one day
+MS = "e as (select *, epoch_us(ts) // 1000 as ms from events)"
+
+
+def timed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").withColumn("ms", millis())
+
+
+@query(f"with {MS} select event_id from e where ms + {AGE} > {REFERENCE}")
+def retained_by_age(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.by_age(timed(spark, sf_dir), F.col("ms"), AGE, REFERENCE).select("event_id")
+
+
+@query("select event_id, user_id from events order by event_id desc limit 500")
+def retained_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.newest(timed(spark, sf_dir), "event_id", 500).select("event_id", "user_id")
+
+
+@query(f"with {MS}, k as (select *, row_number() over (partition by user_id order by event_id desc) as n from e where ms + {AGE} > {REFERENCE}) select event_id, user_id from k where n <= 3")
+def retained_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    policy = R.Policy(max_age_ms=AGE, max_rows_per_key=3, cleanup="compact")
+    return R.retained(timed(spark, sf_dir), policy, F.col("ms"), "event_id", "user_id", REFERENCE).select("event_id", "user_id")
+
+
+@query(f"with {MS} select event_id, case when ms > {REFERENCE} + 300000 then 'error' when ms + {AGE} <= {REFERENCE} then 'expired' else 'live' end as state from e")
+def admission_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timed(spark, sf_dir).select("event_id", R.admission_state(F.col("ms"), AGE, REFERENCE).alias("state"))
+
+
+@query(f"with {MS} select event_id, 'delete' as op from e where ms + {AGE} <= {REFERENCE}")
+def expiry_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.expiry_changes(timed(spark, sf_dir), "event_id", F.col("ms"), AGE, REFERENCE).select("event_id", "op")
+
+
+# ---- edits and audits (E1-E3, Q1-Q6) ----------------------------------------------------------
+
+
+@query("select c_custkey, case when c_custkey % 9 = 0 then 'EDITED' else c_mktsegment end as c_mktsegment from customer")
+def compare_and_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    changes = df.where("c_custkey % 9 = 0").select("c_custkey", F.struct("c_mktsegment").alias("expected"), F.lit("EDITED").alias("c_mktsegment"))
+    return edits.compare_and_set(df, changes, ["c_mktsegment"], "c_custkey")
+
+
+@query("select c_custkey, 'mismatch' as reason from customer where c_custkey % 9 = 0 and c_mktsegment <> 'BUILDING'")
+def edit_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    changes = df.where("c_custkey % 9 = 0").select("c_custkey", F.struct(F.lit("BUILDING").alias("c_mktsegment")).alias("expected"), F.lit("EDITED").alias("c_mktsegment"))
+    return edits.conflicts(df, changes, ["c_mktsegment"], "c_custkey")
+
+
+@query("select c_custkey, c_custkey % 4 <> 0 as accepted from customer where c_custkey % 2 = 0")
+def versioned_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") % 100).alias("row_version"))
+    stale = F.when(F.col("c_custkey") % 4 == 0, 1).otherwise(0)
+    cells = df.where("c_custkey % 2 = 0").select("c_custkey", (F.col("row_version") + stale).alias("expected_version"))
+    return edits.versioned_edits(df, cells, "c_custkey").select("c_custkey", "accepted")
+
+
+@query("""with c as (select c_custkey, c_mktsegment as base, case when c_custkey % 2 = 0 then 'mine' else c_mktsegment end as mine, case when c_custkey % 3 = 0 then 'mine' when c_custkey % 5 = 0 then 'theirs' else c_mktsegment end as server from customer)
+ select c_custkey, case when mine = server then 'converged' when base = server then 'clean' else 'conflict' end as state, case when mine <> server and base <> server then server else mine end as value from c where mine <> base""")
+def three_way_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base, k = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), F.col("c_custkey")
+    mine = base.withColumn("c_mktsegment", F.when(k % 2 == 0, "mine").otherwise(F.col("c_mktsegment")))
+    server = base.withColumn("c_mktsegment", F.when(k % 3 == 0, "mine").when(k % 5 == 0, "theirs").otherwise(F.col("c_mktsegment")))
+    return edits.resolved(edits.three_way(base, mine, server, ["c_mktsegment"], "c_custkey")).select("c_custkey", "state", "value")
+
+
+SLICES = " || ".join(f"lower(printf('%08x', coalesce(bit_xor(('0x' || substr(d, {8 * k + 1}, 8))::bigint), 0)))" for k in range(8))
+
+
+@query(f"with h as (select sha256(concat_ws('|', o_orderkey, o_custkey, o_orderstatus)) as d from orders) select count(*) as \"rows\", {SLICES} as digest from h")
+def table_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    row = F.concat_ws("|", *(F.col(c).cast("string") for c in ("o_orderkey", "o_custkey", "o_orderstatus")))
+    return audit.digest_of(table(spark, sf_dir, "orders").select(F.sha2(row, 256).alias("d")), "d")
+
+
+@query()
+def ordered_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.ordered_hash(table(spark, sf_dir, "orders"), "o_orderkey", "o_custkey", ["o_orderkey", "o_orderstatus"])
+
+
+@query(f"with {V1}, {V2} select coalesce(a.o_orderkey, b.o_orderkey) as o_orderkey, case when b.o_orderkey is null then 'missing' when a.o_orderkey is null then 'extra' else 'different' end as finding from a full join b on a.o_orderkey = b.o_orderkey where b.o_orderkey is null or a.o_orderkey is null or a.price <> b.price or a.status <> b.status")
+def completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.completeness(*versions(spark, sf_dir), ["price", "status"], "o_orderkey")
+
+
+@query("select p_partkey as c_custkey, c_name, c_custkey is not null as present from part left join customer on p_partkey = c_custkey")
+def observed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("c_custkey"))
+    return audit.observed(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), ids, "c_custkey")
+
+
+@query("select user_id % 4 as \"partition\", max(event_id) - max(event_id) filter (event_id % 3 = 0) as lag, max(event_id) filter (event_id % 3 = 0) = max(event_id) filter (event_id % 5 = 0) as caught_up from events group by 1")
+def lag_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("event_id")
+    progress = table(spark, sf_dir, "events").groupBy((F.col("user_id") % 4).alias("partition")).agg(F.max(e).alias("readable_end"), F.max(F.when(e % 3 == 0, e)).alias("serving_next"), F.max(F.when(e % 3 == 0, e)).alias("derived_next"), F.max(F.when(e % 5 == 0, e)).alias("durable_next"))
+    return audit.lag_table(progress).select("partition", "lag", "caught_up")
+
+
+@query("""with t as (select event_id, case when event_id % 20 = 0 then 'moved' else event_type end as event_type, value from events where event_id % 30 <> 7) select event_type, count(*) as n, max(value) as high from t group by 1""")
+def regrouped_after_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups kept up to date: only those of changed rows' old and new images are computed again."""
+    before = table(spark, sf_dir, "events").select("event_id", "event_type", "value")
+    after = before.where("event_id % 30 <> 7").withColumn("event_type", F.when(F.col("event_id") % 20 == 0, "moved").otherwise(F.col("event_type")))
+    touched = before.where("event_id % 30 = 7 or event_id % 20 = 0").select("event_type").union(after.where("event_id % 20 = 0").select("event_type"))
+    measures = {"n": F.count("*"), "high": F.max("value")}
+    groups = before.groupBy("event_type").agg(*(c.alias(n) for n, c in measures.items()))
+    return regrouped(groups, after, touched, ["event_type"], measures)
+
+
+# ---- streams ----------------------------------------------------------------------------------
+
+TABLE = T.StructType([T.StructField("row_id", T.LongType()), T.StructField("event_type", T.StringType()), T.StructField("value", T.DoubleType()), T.StructField("offset", T.LongType()), T.StructField("ts_ms", T.LongType())])
+CHANGES = T.StructType([T.StructField("row_id", T.LongType()), T.StructField("op", T.StringType()), *TABLE.fields[1:]])
+BATCHES = 3
+
+
+def shared(spark: SparkSession) -> str:
+    """A new folder beside the checkpoints that the session names."""
+    import tempfile
+
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{named or tempfile.mkdtemp(prefix='spark-stream-')}/stream-{uuid.uuid4().hex}"
+
+
+def maintained(spark: SparkSession, sf_dir: str, max_age_ms: int | None = None) -> MaintainedTable:
+    """The change log as files, streamed a file a batch into a maintained table with a grouped view."""
+    folder = shared(spark)
+    log = change_log(spark, sf_dir).select(*CHANGES.names)
+    bounds = log.agg(F.max("offset").alias("last")).first()["last"]
+    for k in range(BATCHES):  # one after the other: files are streamed in the order of their times
+        part = log.where((F.col("offset") * BATCHES >= k * (bounds + 1)) & (F.col("offset") * BATCHES < (k + 1) * (bounds + 1)))
+        part.coalesce(1).write.mode("append").parquet(f"{folder}/log")
+    views = {"by_type": (["event_type"], {"n": F.count("*"), "high": F.max("value")})}
+    out = MaintainedTable(spark, f"{folder}/table", TABLE, views=views, max_age_ms=max_age_ms)
+    out.run(change_stream(spark, f"{folder}/log", CHANGES), f"{folder}/checkpoint")
+    return out
+
+
+@query(f"with {LOG}, {LAST} select row_id, event_type, value, \"offset\", ts_ms from z where n = 1 and op = 'upsert'")
+def stream_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = maintained(spark, sf_dir)
+    return out.read("table", out.version())
+
+
+@query(f"with {LOG}, {LAST} select event_type, count(*) as n, max(value) as high from z where n = 1 and op = 'upsert' group by 1")
+def stream_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = maintained(spark, sf_dir)
+    return out.read("by_type", out.version())
+
+
+@query(f"with {LOG}, {LAST}, m as (select max(ts_ms) as now from l) select row_id, event_type, value, \"offset\", ts_ms from z, m where n = 1 and op = 'upsert' and ts_ms + {AGE} > now")
+def stream_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = maintained(spark, sf_dir, AGE)
+    return out.read("table", out.version())
+
+
+@query("select 0::bigint as disagreements")
+def stream_recomputed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The maintained view against one computed from the log at once: no row may differ."""
+    out = maintained(spark, sf_dir)
+    state = C.folded(change_log(spark, sf_dir))
+    again = state.groupBy("event_type").agg(F.count("*").alias("n"), F.max("value").alias("high"))
+    return audit.disagreements(out.read("by_type", out.version()), again).agg(F.count("*").alias("disagreements"))
+
+
