@@ -40,8 +40,8 @@ def parse_decimal(text: Column) -> Column:
 
 def canonical_decimal(c: Column) -> Column:
     """Text without trailing zeros, and without a point if none follow."""
-    text = c.cast("string")
-    return F.when(text.rlike(r"^-?0(?:\.0*)?$|^-?0E-[0-9]+$"), F.lit("0")).when(text.contains("."), F.regexp_replace(text, r"\.?0+$", "")).otherwise(text)
+    text = F.regexp_replace(F.format_number(c, 18), ",", "")  # never with an exponent
+    return F.when(c == 0, F.lit("0")).otherwise(F.regexp_replace(text, r"\.?0+$", ""))
 
 
 def wide_text(value: Decimal) -> str:

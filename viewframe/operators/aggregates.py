@@ -43,21 +43,21 @@ def distinct_count(f: Field) -> Column:
     return F.count_distinct(F.struct(f.state, f.column)) if f.optional or f.nullable else F.count_distinct(f.column)
 
 
-def units(f: Field) -> tuple[Column, int]:
-    """An exact field as integer units, and the digits after the point they stand for."""
-    if f.kind in ("int64", "uint64"):
-        return f.column.cast("decimal(38,0)"), 0
-    scale = getattr(f.spark_type, "scale", 18)
-    return (f.column * F.lit(10**scale).cast(f"decimal({scale + 1},0)")).cast("decimal(38,0)"), scale
-
-
 def exact_average(f: Field) -> Column:
-    """Half-even at 18 fraction digits; null without contributors."""
-    whole, scale = units(f)
-    total, n = F.sum(whole), F.count(f.column)
-    scaled = total * F.lit(10 ** (18 - scale)).cast(f"decimal({19 - scale},0)")
-    out = exact.half_even_quotient(scaled.cast("decimal(38,0)"), F.greatest(n, F.lit(1)))
-    return F.when(n > 0, (out.cast("decimal(38,0)") * F.lit("1e-18").cast("decimal(18,18)")).cast("decimal(38,18)"))
+    """Half-even at 18 fraction digits; null without contributors.
+
+    The sum is taken as an integer of 10^-18 by way of its text: products of wide decimals would
+    lose digits to Spark's limit of 38.
+    """
+    n = F.count(f.column)
+    if f.kind in ("int64", "uint64"):
+        units = F.sum(f.column.cast("decimal(38,0)")) * F.lit(10**18).cast("decimal(19,0)")
+    else:
+        units = F.regexp_replace(F.format_number(F.sum(f.column), 18), "[.,]", "")
+    out = exact.half_even_quotient(units.cast("decimal(38,0)"), F.greatest(n, F.lit(1)))
+    size = F.lpad(F.abs(out).cast("string"), 38, "0")
+    text = F.concat(F.when(out < 0, "-").otherwise(""), F.substring(size, 1, 20), F.lit("."), F.substring(size, 21, 18))
+    return F.when(n > 0, text.cast("decimal(38,18)"))
 
 
 def extreme(f: Field, op: str, profile: str) -> Column:
