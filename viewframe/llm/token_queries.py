@@ -14,6 +14,7 @@ from collections.abc import Iterator
 from itertools import chain
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from viewframe.llm.common import table
@@ -42,7 +43,7 @@ def machine(file: bytes) -> Tokenizer:
 
 def slices(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[str]]]:
     """(first row, texts), about AT_ONCE characters each."""
-    lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_pylist()
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
     begin = size = 0
     for k, n in enumerate([*lengths, None]):
         if n is None or (size and size + n > AT_ONCE):
