@@ -287,14 +287,19 @@ def intervals(texts: DataFrame, hot: int = HOT) -> DataFrame:
     return out.unionByName(places.join(again, ["h1", "h2"]).select("row", F.col("at").alias("a"), (F.col("at") + SIZE).alias("b")))
 
 
-def without_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
-    """Per row: id, n_bytes, n_removed, n_spans, kept (binary, the bytes that stay)."""
+def without_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", hot: int = HOT, plain_scan: bool = False) -> DataFrame:
+    """Per row: id, n_bytes, n_removed, n_spans, kept (binary, the bytes that stay).
+
+    Rows are numbered, and read several times. Numbering a plain scan of files gives the same
+    numbers each time; anything else is written with its numbers first.
+    """
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    numbered = numbered if plain_scan else written(numbered, "numbered")
     covered = intervals(numbered, hot).groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("spans"))  # of one text
     schema = f"id {docs.schema[id].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept binary"
     return numbered.join(covered, "row", "left").select("id", "text", "spans").mapInArrow(lambda b: joined(remove(b)), schema)
 
 
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = without_repeats(table(spark, sf_dir, "documents"))
+    out = without_repeats(table(spark, sf_dir, "documents"), plain_scan=True)
     return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
