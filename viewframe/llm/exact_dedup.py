@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from viewframe.llm.common import SPACE, is_small, scratch, table, text_of
+from viewframe.llm.common import SPACE, is_small, scratch, table, text_of, written
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 KEYS = "id long, digest string, load int, row long"
@@ -112,7 +112,7 @@ def exact_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", digest
     clashes = classes.groupBy("digest").agg(F.count("*").alias("classes")).where("classes > 1").select("digest")
     if clashes.isEmpty():
         return plain
-    mixed = keyed.join(clashes, "digest", "left_semi").withColumn("load", F.lit(0))
+    mixed = written(keyed.join(clashes, "digest", "left_semi").withColumn("load", F.lit(0)), "clashes")  # keeps its row numbers
     groups = mixed.groupBy("digest", "normal").agg(F.min(DedupStore.order()).alias("first"), F.count("*").alias("group_size"))
     exact = mixed.join(groups, ["digest", "normal"]).select(
         "id", "digest", F.col("first.id").alias("keep_id"), "group_size", (F.col("first.row") == F.col("row")).alias("kept"), "row",
