@@ -199,7 +199,7 @@ def test_admission_and_rendering(spark):
     got = df.select("id", "_errors", rendered(schema).alias("json")).collect()
     assert [bool(r._errors) for r in got] == [False, False, True, True, True, True]
     assert got[0].json == '{"id":"a","n":"18446744073709551615","d":{"price":null,"e":1}}' and got[1].json == '{"id":"b","d":{}}'
-    with pytest.raises(Exception, match="null"):
+    with pytest.raises(Exception, match="USER_RAISED"):
         rejecting(df).collect()
 
 

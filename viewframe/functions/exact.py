@@ -195,7 +195,7 @@ def text_sums(df: DataFrame, keys: list[str], text: Column) -> DataFrame:
 
 def _joined(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     if not keys:
-        return left.join(right, F.lit(True), "left")  # one row each
+        return left.withColumns({c: right.select(c).scalar() for c in right.columns})  # one row each
     return left.join(right.withColumnsRenamed({k: f"__r_{i}" for i, k in enumerate(keys)}), _same(left, keys), "left").drop(*(f"__r_{i}" for i in range(len(keys))))
 
 

@@ -46,7 +46,7 @@ def window(df: DataFrame, columns: Sequence[Column], offset: int, limit: int) ->
 
 def with_total(page: DataFrame, whole: DataFrame) -> DataFrame:
     """page with total_rows, the count before pagination. An empty page has no row to carry it; use total_rows()."""
-    return page.crossJoin(F.broadcast(whole.agg(F.count(F.lit(1)).alias("total_rows"))))  # one row
+    return page.withColumn("total_rows", whole.agg(F.count(F.lit(1))).scalar())
 
 
 def rank_of(df: DataFrame, schema: Schema, order_by: Sequence[Order], key: str, id: object, profile: str = "native") -> int | None:

@@ -49,8 +49,8 @@ def by_age(df: DataFrame, ts_ms: Column, max_age_ms: int, reference_ms: int) ->
 def newest(df: DataFrame, order: str, n: int) -> DataFrame:
     """The newest n rows by admission order. The bound is found by a top-n on the order alone, then rows are filtered,
     so the payload is neither sorted nor brought together."""
-    bound = df.select(order).orderBy(F.desc(order)).limit(n).agg(F.min(order).alias("__least"))
-    return df.join(F.broadcast(bound), F.col(order) >= F.col("__least")).drop("__least")  # one row
+    bound = df.select(order).orderBy(F.desc(order)).limit(n).agg(F.min(order))
+    return df.where(F.col(order) >= bound.scalar())
 
 
 def newest_per_key(df: DataFrame, key: str, order: str, n: int) -> DataFrame:
