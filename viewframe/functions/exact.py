@@ -167,30 +167,25 @@ def wide_sum(parts: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=object)
 
 
-def _partial(df: DataFrame, keys: list[str], at: Column, what: Column, exploded: DataFrame | None = None) -> DataFrame:
-    sums = (exploded if exploded is not None else df).groupBy(*keys, at.alias("at")).agg(F.sum(what.cast("decimal(38,0)")).alias("total"))
-    # the places of a group are bounded by the range of exponents, not by its rows
-    return sums.where("total <> 0").groupBy(*keys).agg(F.collect_list(F.struct("at", "total")).alias("parts"))
+def _gathered(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """Per group its partial sums as parts and n. The places of a group are bounded by the range of exponents, not by its rows."""
+    out = parts.groupBy(*keys).agg(F.collect_list(F.when(F.col("total") != 0, F.struct("at", "total"))).alias("parts"), F.sum("n").alias("n"))
+    return out.withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 def double_sums(df: DataFrame, keys: list[str], value: Column) -> DataFrame:
-    """Per group of keys: total, mean (null if there are no values), n, overflow."""
-    rows = df.select(*keys, value.alias("__v"))
-    parts = _partial(rows, keys, F.col("__x.exponent"), F.col("__x.mantissa"), rows.where("__v is not null").withColumn("__x", taken_apart("__v")))
-    counts = rows.groupBy(*keys).agg(F.count("__v").alias("n"))
-    joined = _joined(counts, parts, keys)
-    none = F.expr("cast(array() as array<struct<at:int,total:decimal(38,0)>>)")
-    return joined.withColumn("x", rounded_double(F.coalesce("parts", none), "n")).select(*keys, "x.*", "n")
+    """Per group of keys: total, mean (null if there are no values), n, overflow (A5, A7). One scan, combined map-side per exponent."""
+    rows = df.select(*keys, value.alias("__v")).withColumn("__x", taken_apart("__v"))
+    parts = rows.groupBy(*keys, F.col("__x.exponent").alias("at")).agg(F.sum(F.col("__x.mantissa").cast("decimal(38,0)")).alias("total"), F.count("__v").alias("n"))
+    return _gathered(parts, keys).withColumn("x", rounded_double("parts", "n")).select(*keys, "x.*", "n")
 
 
 def text_sums(df: DataFrame, keys: list[str], text: Column) -> DataFrame:
     """Per group: total (canonical text, "0" if there are no values) and n, of decimal texts of any length."""
-    rows = df.select(*keys, text.alias("__t"))
-    exploded = rows.where("__t is not null").select(*keys, F.explode(limbs("__t")).alias("__x"))
-    parts = _partial(rows, keys, F.col("__x.place"), F.col("__x.limb"), exploded)
-    counts = rows.groupBy(*keys).agg(F.count("__t").alias("n"))
-    none = F.expr("cast(array() as array<struct<at:int,total:decimal(38,0)>>)")
-    return _joined(counts, parts, keys).withColumn("total", wide_sum(F.coalesce("parts", none))).select(*keys, "total", "n")
+    rows = df.select(*keys, text.alias("__t")).select(*keys, "__t", F.posexplode_outer(limbs("__t")).alias("__i", "__x"))
+    first = F.when(F.coalesce("__i", F.lit(0)) == 0, F.col("__t"))  # a value counts at its first limb; zero has none
+    parts = rows.groupBy(*keys, F.col("__x.place").alias("at")).agg(F.sum(F.col("__x.limb").cast("decimal(38,0)")).alias("total"), F.count(first).alias("n"))
+    return _gathered(parts, keys).withColumn("total", wide_sum("parts")).select(*keys, "total", "n")
 
 
 def _joined(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:

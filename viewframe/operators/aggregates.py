@@ -105,20 +105,18 @@ def aggregate(df: DataFrame, schema: Schema, group_by: Sequence[str], aggregates
     inner = [f"__g{i}" for i in range(len(keys))]
     grouped = named.groupBy(*inner) if inner else named.groupBy()
     out = grouped.agg(*(c.alias(n) for n, c in plain.items()), *([F.count(F.lit(1)).alias("__n")] if not plain else []))
-    for alias, a, f in later:
+    for path in dict.fromkeys(f.path for _, _, f in later):  # sum and average of a field are one pass
+        f, wanted = schema[path], [(alias, a.op) for alias, a, g in later if g.path == path]
         if f.kind == "number" and profile != COMPAT:
             sums = exact.double_sums(named, inner, f.column)
-            sums = sums.withColumn("v", F.when(F.col("overflow"), F.raise_error(F.lit("the sum of numbers is out of range"))).otherwise(F.col("total" if a.op == "sum" else "mean")))
+            bad = F.raise_error(F.lit("the sum of numbers is out of range"))
+            values = {"sum": F.when(F.col("overflow"), bad).otherwise(F.col("total")), "avg": F.when(F.col("overflow"), bad).otherwise(F.col("mean"))}
         else:
             shown = exact.shortest_text(f.column) if f.kind == "number" else exact.canonical_wide(f.column.cast("string")) if f.kind == "wide_decimal" else exact.canonical_decimal(f.column)
             sums = exact.text_sums(named, inner, shown)
-            if a.op == "sum":
-                sums = sums.withColumn("v", F.col("total"))
-            elif profile == COMPAT:
-                sums = sums.withColumn("v", F.when(F.col("n") == 0, F.lit("0")).otherwise(exact.quotient_text("total", "n", F.lit(100), F.lit("half_up"))))
-            else:
-                sums = sums.withColumn("v", exact.quotient_text("total", "n", F.lit(18), F.lit("half_even")))
-        out = exact._joined(out, sums.select(*inner, F.col("v").alias(alias)), inner)
+            half_up = F.when(F.col("n") == 0, F.lit("0")).otherwise(exact.quotient_text("total", "n", F.lit(100), F.lit("half_up")))
+            values = {"sum": F.col("total"), "avg": half_up if profile == COMPAT else exact.quotient_text("total", "n", F.lit(18), F.lit("half_even"))}
+        out = exact._joined(out, sums.select(*inner, *(values[op].alias(alias) for alias, op in wanted)), inner)
     names = [n for p in group_by for n in ([p.replace(".", "__"), state_name(p)] if schema[p].has_companion else [p.replace(".", "__")])]
     return out.select(*(F.col(i).alias(n) for i, n in zip(inner, names, strict=True)), *(F.col(a) for a in aggregates))
 
