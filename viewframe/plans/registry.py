@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from viewframe.functions import exact
+from viewframe.functions import exact, scalars
 from viewframe.functions.text import normalized, utf16_order
 from viewframe.operators import aggregates as A
 from viewframe.operators import facets, joins, order
@@ -383,3 +383,28 @@ def half_even(spark: SparkSession, sf_dir: str) -> DataFrame:
 def wide_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "orders").withColumn("wide", (F.col("o_totalprice").cast("decimal(18,2)") - 200000).cast("string"))
     return df.orderBy(exact.sort_token("wide"), "o_orderkey").limit(50).select("o_orderkey")
+
+
+STATUS = {"OPEN": 1, "O": 1, "F": 2, "P": 3}
+
+
+@query("""select o_orderkey, case o_orderstatus when 'O' then 1 when 'F' then 2 else 3 end as code, case o_orderstatus when 'O' then 'OPEN' else o_orderstatus end as label,
+ o_orderkey % 2 = 0 as flag, case when o_orderkey % 3 <> 0 then o_totalprice end as price, o_custkey + 1 as next from orders""")
+def scalar_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "orders").withColumn("d", F.struct("o_custkey", "o_orderstatus"))
+    text = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("0"), F.col("o_totalprice").cast("string"))).otherwise(F.col("o_totalprice").cast("decimal(18,2)").cast("string"))
+    code = scalars.enum_code(scalars.nested("d.o_orderstatus"), STATUS)
+    return df.withColumn("d", scalars.with_nested("d.o_custkey", F.col("o_custkey") + 1)).select(
+        "o_orderkey", code.alias("code"), scalars.enum_label(code, STATUS).alias("label"), scalars.parse_boolean((F.col("o_orderkey") % 2 == 0).cast("string")).alias("flag"),
+        scalars.parse_number(text).alias("price"), F.col("d.o_custkey").alias("next"),
+    )
+
+
+@query("select count(distinct o_orderpriority) as ids, count(distinct o_orderpriority) as groups, true as stable from orders")
+def group_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of groups are distinct, and the same whatever rows a group holds."""
+    v = orders(spark, sf_dir)
+    ids = lambda v: v.grouped(["o_orderpriority"], {"n": A.Aggregate("count")}, with_id=True).df.select("group_id")
+    whole, part = ids(v), ids(v.where(P.gt("o_totalprice", 1000.0)))
+    other = part.join(whole, "group_id", "left_anti").agg((F.count("*") == 0).alias("stable"))
+    return whole.agg(F.count_distinct("group_id").alias("ids"), F.count("*").alias("groups")).withColumn("stable", other.scalar())

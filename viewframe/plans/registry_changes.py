@@ -135,6 +135,13 @@ def snapshot_and_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.applied(snapshot, log.where("offset > 500").select("row_id", "op", "event_type", "value", "offset"))
 
 
+@query(f"with {LOG}, z as (select *, row_number() over (partition by row_id order by \"offset\" desc) as n from l where \"offset\" >= 9000), b as (select c_custkey as row_id, c_mktsegment as event_type, c_acctbal as value from customer) select row_id, event_type, value from b where row_id not in (select row_id from z) union all select row_id, event_type, value from z where n = 1 and op = 'upsert'")
+def applied_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One batch of changes on a table: the last write per id wins, deletes of absent ids do nothing."""
+    base = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("row_id"), F.col("c_mktsegment").alias("event_type"), F.col("c_acctbal").alias("value"))
+    return C.applied(base, change_log(spark, sf_dir).where("offset >= 9000").select("row_id", "op", "event_type", "value", "offset"))
+
+
 @query(f"with {LOG}, b as (select * from l where \"offset\" % 2 = 0), a as (select row_id, event_type, value, row_number() over (partition by row_id order by \"offset\" desc) n from l where op = 'upsert' and \"offset\" % 2 = 1) select b.\"offset\" from b left join (select * from a where n = 1) a using (row_id) where case when op = 'delete' then a.row_id is null else a.row_id is not null and b.event_type = a.event_type and b.value = a.value end")
 def unchanged(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = change_log(spark, sf_dir)
