@@ -173,3 +173,20 @@ def quality(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFram
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"))
+
+
+OP7_SQL = r"""
+with d as (select doc_id, coalesce(text, '') as t from documents),
+w as (select doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as w, [x for x in string_split(t, chr(10)) if regexp_matches(x, '[^\x20\x09-\x0D]')] as l from d),
+g as (select doc_id, i, array_to_string(w[i:i + 4], ' ') as gram from w, unnest(range(1, len(w) - 3)) as u(i)),
+r as (select doc_id, i from g qualify count(*) over (partition by doc_id, gram) > 1),
+c as (select doc_id, count(distinct j) as n from r, unnest(range(i, i + 5)) as v(j) group by doc_id),
+s as (
+  select doc_id, len(w) as n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) as word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) as n_symbols,
+         len(l) - len(list_distinct(l)) as n_dup_lines, len(l) as n_lines, length(regexp_replace(t, '[^0-9]', '', 'g')) as n_digits, coalesce(c.n, 0) as n_repeat_words
+  from w left join c using (doc_id))
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed,
+       not (n_words < 10 or 100 * n_repeat_words > 20 * n_words or 10 * n_symbols > 3 * n_words or 10 * n_dup_lines > 3 * n_lines
+            or word_chars < 2 * n_words or word_chars > 15 * n_words or 10 * n_digits > 3 * word_chars) as kept
+from s
+"""

@@ -303,3 +303,18 @@ def without_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", hot
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = without_repeats(table(spark, sf_dir, "documents"), plain_scan=True)
     return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP2_SQL = """
+with b as (select row_number() over () as r, doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+n as (select *, length(h) // 2 as n_bytes from b),
+w as (select r, i, md5(substr(h, 2 * i + 1, 800)) as k from n, unnest(range(0, n_bytes - 399)) as u(i) where n_bytes >= 400),
+t as (select r, i from w qualify count(*) over (partition by k) > 1),
+m as (select r, i, case when i - lag(i) over (partition by r order by i) <= 400 then 0 else 1 end as new from t),
+s as (select r, i, sum(new) over (partition by r order by i) as span from m),
+v as (select r, span, min(i) as a, max(i) + 400 as z from s group by r, span),
+p as (select r, a, z, coalesce(lag(z) over (partition by r order by a), 0) as y from v),
+k as (select r, sum(z - a) as n_removed, count(*) as n_spans, string_agg(substr(h, 2 * y + 1, 2 * (a - y)), '' order by a) as head, max(z) as last from p join n using (r) group by r)
+select doc_id, n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans, sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last, 0) + 1))) as kept_sha256
+from n left join k using (r)
+"""
