@@ -99,14 +99,15 @@ def base_failed(d: Doc) -> bool:
     return d.n_words < MIN_WORDS or 100 * d.n_repeat_words > MAX_REPEAT_PERCENT * d.n_words
 
 
-#: Name and whether the document is rejected. Counts per word or line, so long texts are not judged by their length.
+#: Name and whether the document is rejected. Counts per word or line, so long texts are not judged by their length. One or two
+#: equal lines in a short text are no sign of junk, nor are a few numbers in it.
 RULES: dict[str, Callable[[Doc], bool]] = {
     "too_few_words": lambda d: d.n_words < MIN_WORDS,
     "repeats": lambda d: 100 * d.n_repeat_words > MAX_REPEAT_PERCENT * d.n_words,
     "symbols": lambda d: 10 * d.n_symbols > 3 * d.n_words,
-    "dup_lines": lambda d: 10 * d.n_dup_lines > 3 * len(d.lines),
+    "dup_lines": lambda d: d.n_dup_lines > 2 and 10 * d.n_dup_lines > 3 * len(d.lines),
     "word_length": lambda d: not 2 * d.n_words <= d.word_chars <= 15 * d.n_words,
-    "digits": lambda d: 10 * d.n_digits > 3 * d.word_chars,
+    "digits": lambda d: 2 * d.n_digits > d.word_chars,
 }
 
 
@@ -186,7 +187,7 @@ s as (
          len(l) - len(list_distinct(l)) as n_dup_lines, len(l) as n_lines, length(regexp_replace(t, '[^0-9]', '', 'g')) as n_digits, coalesce(c.n, 0) as n_repeat_words
   from w left join c using (doc_id))
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed,
-       not (n_words < 10 or 100 * n_repeat_words > 20 * n_words or 10 * n_symbols > 3 * n_words or 10 * n_dup_lines > 3 * n_lines
-            or word_chars < 2 * n_words or word_chars > 15 * n_words or 10 * n_digits > 3 * word_chars) as kept
+       not (n_words < 10 or 100 * n_repeat_words > 20 * n_words or 10 * n_symbols > 3 * n_words or (n_dup_lines > 2 and 10 * n_dup_lines > 3 * n_lines)
+            or word_chars < 2 * n_words or word_chars > 15 * n_words or 2 * n_digits > word_chars) as kept
 from s
 """
