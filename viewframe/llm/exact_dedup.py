@@ -61,6 +61,8 @@ class DedupStore:
             "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
             "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
             "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
+            "spark.sql.streaming.stateStore.unloadOnCommit": "true",  # a store is opened once a batch and needs no memory in between
+            "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # many small stores would hold megabytes of empty log each
         }
         before = {k: self.spark.conf.get(k, None) for k in settings}
         for k, v in settings.items():
