@@ -295,6 +295,15 @@ def test_html(spark):
     assert html_extract.main_texts(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_frames_and_headers_of_articles_are_no_noise(spark):
+    source = (
+        '<body class="page header-fixed sidebar-left"><div class="wrap has-sidebar"><div class="post-header"><h2>Title</h2></div><div class="content">Body one</div>'
+        '<article class="comment">me too</article><article class="story ad-free"><header class="article-header"><h1>Head</h1></header><p>Text</p><div class="share-bar">Share</div><footer>x</footer></article></div>'
+    )
+    row = html_extract.main_texts(spark.createDataFrame([(1, "https://a.example/", source)], "page_id long, url string, html string")).first()
+    assert row.text == "Title\nBody one\nHead\nText"
+
+
 def test_boilerplate_is_told_by_entropy_alone(spark):
     rng = random.Random(8)
     rows = [(k, "https://one.example/", f"<div><div class='x'>The same words everywhere</div><div class='y'>{prose(rng, 20)}</div></div>") for k in range(40)]

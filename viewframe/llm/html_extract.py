@@ -44,6 +44,9 @@ NOISE_NAMES = frozenset(
     "form gdpr head header login masthead menu menubar modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promotion recommended "
     "related reply replies respond share sharing sidebar signup social sponsor sponsored subscribe tags toolbar widget".split()
 )
+COMMENT_NAMES, TITLE_NAMES = frozenset("comment comments disqus reply replies respond".split()), frozenset("head header byline".split())
+CONTENT_NAMES = frozenset("article content entry headline main post story title".split())
+MODIFIER = re.compile(r"\b(?:has|with|no|without)-[\w-]+")
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 TOKEN = re.compile(
@@ -117,12 +120,27 @@ class Page:
             pop()
 
 
+def telling(tag: str, names: str, article: bool) -> set[str]:
+    """The words of an element's class, id and role that tell of noise.
+
+    A page's frame carries words about its parts (has-sidebar), an article's own header holds its
+    title, and an article element is noise only as a reader's comment.
+    """
+    words = set(PART.findall(MODIFIER.sub("", names))) & NOISE_NAMES
+    if tag in ("html", "body", "main"):
+        return set()
+    if tag == "article":
+        return words & COMMENT_NAMES
+    return words - TITLE_NAMES if article or CONTENT_NAMES.intersection(PART.findall(names)) else words
+
+
 def signs(path: str) -> tuple[bool, bool]:
     """Whether the path tells of noise, and whether it lies in an article."""
     article = False
     for step in path.split("/")[1:]:
         tag, _, rest = step.partition("[")
-        if tag in NOISE_ELEMENTS or (tag == "header" and not article) or NOISE_NAMES.intersection(PART.findall(rest.replace("c=", "").replace("i=", "").replace("r=", ""))):
+        names = " ".join(x.partition("=")[2] for x in rest.rstrip("]").split(";"))
+        if tag in NOISE_ELEMENTS or (tag == "header" and not article) or telling(tag, names, article):
             return True, article
         article = article or tag in ("article", "main")
     return False, article
