@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word and a run of white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -80,6 +81,7 @@ def attach(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> Da
     right = right.withColumnRenamed(on, key)
     if is_small(right):
         return left.join(F.broadcast(right), left[on].eqNullSafe(right[key]), how).drop(key)
-    salted = left.withColumn("__salt", F.pmod(F.xxhash64(*left.columns), F.lit(SALTS)).cast("int"))
+    hashed = [F.col(f"`{f.name}`") for f in left.schema if not isinstance(f.dataType, T.MapType)]
+    salted = left.withColumn("__salt", F.pmod(F.xxhash64(*hashed), F.lit(SALTS)).cast("int"))
     many = right.withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return salted.join(many, salted[on].eqNullSafe(many[key]) & (salted["__salt"] == many["__s"]), how).drop(key, "__salt", "__s")
