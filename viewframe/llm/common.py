@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
+import sys
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -58,6 +62,25 @@ def dropped(df: DataFrame) -> None:
         path.getFileSystem(hadoop).delete(path, True)
 
 
+#: Rows that Spark hands to Python at a time; its own default is made for narrow rows, not for whole texts.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's default of 10,000 rows a batch; a value of the user's own stays."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(setting) == "10000":
+        spark.conf.set(setting, str(BATCH_ROWS))
+
+
+def released() -> None:
+    """Gives a Python worker's free memory back at the end of a task; it may wait long for the next one."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 #: A side of a join is sent to every executor only if a count has shown that it is at most so large.
 BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 8_000_000
 #: Beyond that, the rows of a key are dealt over so many tasks, and the other side is repeated as often.

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from viewframe.llm.common import table
+from viewframe.llm.common import released, small_batches, table
 
 SAMPLE = 200
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
@@ -148,7 +148,9 @@ def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
         cascade = Cascade()
         for batch in batches:
             yield batch.filter(pa.array([cascade.keeps(t) for t in texts(batch, text)], pa.bool_()))
+        released()
 
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
 
 

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from viewframe.llm.common import dropped, is_small, table, written
+from viewframe.llm.common import dropped, is_small, released, small_batches, table, written
 
 BLOCKS, LINK, SHINGLE, SEED = 6, 3, 3, 42
 PIVOTS, HOT = 24, 20_000
@@ -65,7 +65,9 @@ def with_fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text") -
             texts = batch.column(1).cast(pa.binary())
             found = np.fromiter((fingerprint(t.as_py() or b"") for t in texts), np.uint64, len(texts))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["id", "fp"])
+        released()
 
+    small_batches(docs.sparkSession)
     return docs.select(id, text).mapInArrow(run, f"id {docs.schema[id].dataType.simpleString()}, fp long")
 
 
@@ -260,6 +262,7 @@ def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFra
             texts = batch.column(batch.schema.get_field_index(text)).cast(pa.binary())
             found = np.fromiter((fingerprint(t.as_py() or b"") for t in texts), np.uint64, len(texts))
             yield batch.append_column("__fp", pa.array(found.view(np.int64)))
+        released()
 
     marked = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__fp", T.LongType())]))
     same = lambda right: marked[id].eqNullSafe(right["__id"]) & (marked["__fp"] == right["__gone"])

@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from viewframe.llm.common import table
+from viewframe.llm.common import released, small_batches, table
 from viewframe.llm.tokens import StreamDecoder, Tokenizer, ranks_of, ranks_of_json
 
 LIMIT = 512
@@ -41,6 +41,13 @@ def machine(file: bytes) -> Tokenizer:
     return _machines[name]
 
 
+def rest() -> None:
+    """At the end of a task: the worker may wait long for the next one, and keeps no memos meanwhile."""
+    for tokenizer in _machines.values():
+        tokenizer.rest()
+    released()
+
+
 def slices(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[str]]]:
     """(first row, texts), about AT_ONCE characters each."""
     lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
@@ -60,6 +67,7 @@ def vocabulary(path: str) -> bytes:
 
 def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: id, n_bytes, n_tokens, over_limit."""
+    small_batches(docs.sparkSession)
     file = docs.sparkSession.sparkContext.broadcast(vocabulary(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,6 +77,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, id: str = "doc_
                 counts = tokenizer.count_with_special(texts)
                 size = pa.array([len(t.encode()) for t in texts], pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), size, pa.array(counts, pa.int64()), pa.array([n > limit for n in counts], pa.bool_())], [id, "n_bytes", "n_tokens", "over_limit"])
+        rest()
 
     kind = docs.schema[id].dataType.simpleString()
     return docs.select(id, text).mapInArrow(run, f"`{id}` {kind}, n_bytes long, n_tokens long, over_limit boolean")
@@ -85,6 +94,7 @@ def decoded_bytes(tokenizer: Tokenizer, ids: list[int], step: int = 1 << 16) ->
 
 def encoded(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: id and its token ids."""
+    small_batches(docs.sparkSession)
     file = docs.sparkSession.sparkContext.broadcast(vocabulary(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,6 +103,7 @@ def encoded(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text")
             for at, texts in slices(batch, 1):
                 ids = [list(chain.from_iterable(map(tokenizer.ids.__getitem__, p))) for p in tokenizer.pretokens(texts)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(ids, pa.list_(pa.int32()))], [id, "ids"])
+        rest()
 
     return docs.select(id, text).mapInArrow(run, f"`{id}` {docs.schema[id].dataType.simpleString()}, ids array<int>")
 
@@ -112,6 +123,7 @@ def decoded(coded: DataFrame, path: str, id: str = "doc_id") -> DataFrame:
 
 def code_digests(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: id, n_tokens, and the digests of its ids and of what they decode to. The ids are not moved."""
+    small_batches(docs.sparkSession)
     file = docs.sparkSession.sparkContext.broadcast(vocabulary(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,6 +137,7 @@ def code_digests(docs: DataFrame, path: str, id: str = "doc_id", text: str = "te
                     of_ids.append(hashlib.sha256(",".join(map(tokenizer.decimal.__getitem__, ids)).encode()).hexdigest())
                     of_texts.append(hashlib.sha256(decoded_bytes(tokenizer, ids)).hexdigest())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(counts, pa.int64()), pa.array(of_ids), pa.array(of_texts)], [id, "n_tokens", "ids_sha256", "decoded_sha256"])
+        rest()
 
     kind = docs.schema[id].dataType.simpleString()
     return docs.select(id, text).mapInArrow(run, f"`{id}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -207,7 +207,7 @@ def cut(text: str, at: np.ndarray) -> list[str]:
 # ---- tokens of a pretoken -------------------------------------------------------------------
 
 #: Entries of each memo and states of a machine, a full one is begun anew; bytes of a pretoken whose states are not worth keeping.
-KEPT, MOST_STATES, SHORT = 700_000, 200_000, 48
+KEPT, MOST_STATES, SHORT = 400_000, 100_000, 48
 
 
 class Memo(dict):
@@ -238,7 +238,7 @@ class Transducer:
         self.kinds = {t: 1 for t in self.prefixes}  # 1: begins a token, 2: is one, 3: both
         self.kinds |= {t: 3 if t in self.prefixes else 2 for t in ranks}
         self.stands = Memo(lambda t: self.merged(t) == [t])
-        self.fits = Memo(lambda pair: self.stays(*pair))
+        self.fits = Memo(lambda pair: self.stays(*pair), KEPT // 2)
         self.halves = Memo(self.split_of)
         self.forget()
 
@@ -396,6 +396,12 @@ class Tokenizer:
         self.bytes = {k: t for t, k in ranks.items()}
         self.decimal = {k: str(k) for k in self.bytes}
 
+    def rest(self) -> None:
+        """Drops what was remembered of texts; the compiled vocabulary stays."""
+        for memo in (self.ids, self.counts, self.transducer.fits):
+            memo.clear()
+        self.transducer.forget()
+
     def pretokens(self, texts: list[str]) -> Iterator[list[str]]:
         for text, at in zip(texts, starts(texts, self.unicode), strict=True):
             yield cut(text, at)
