@@ -102,7 +102,8 @@ def exact_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", digest
     store = DedupStore(spark, digest=digest)
     store.load(docs, id, text)
     store.advance()
-    rows, state = store.rows(), store.state()
+    # a table of its own: were the aggregation part of the join below, Spark could not split a hot digest's rows
+    rows, state = store.rows(), written(store.state(), "state")
     plain = rows.join(state, "digest").select(
         "id", "digest", F.col("first.id").alias("keep_id"), F.col("count").alias("group_size"),
         ((F.col("first.load") == F.col("load")) & (F.col("first.row") == F.col("row"))).alias("kept"), "row",
