@@ -265,6 +265,46 @@ def test_substring_dedup(docs, texts, none, hot):
     assert substring_dedup.without_repeats(none).count() == 0
 
 
+def split_anew(spark, monkeypatch, module):
+    """Lets every table that the module writes change how later jobs split files, as executors that come and go do."""
+    plain, sizes = module.written, iter(["4k", "128m"] * 50)
+    setting = "spark.sql.files.maxPartitionBytes"
+
+    def written(df, what):
+        out = plain(df, what)
+        spark.conf.set(setting, next(sizes))
+        return out
+
+    monkeypatch.setattr(module, "written", written)
+    return lambda: spark.conf.unset(setting)
+
+
+def test_substring_rows_hold_when_splits_change(spark, tmp_path, monkeypatch):
+    rng = random.Random(5)
+    common = prose(rng, 120)
+    rows = [(k, common + " " + prose(rng, 20 + k) if k % 3 == 0 else prose(rng, 90 + k)) for k in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(7).write.parquet(str(tmp_path / "documents.parquet"))
+    whole = {r.id: (r.n_removed, bytes(r.kept)) for r in substring_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    again = split_anew(spark, monkeypatch, substring_dedup)
+    try:
+        files = spark.read.parquet(str(tmp_path / "documents.parquet"))
+        out = {r.id: (r.n_removed, bytes(r.kept)) for r in substring_dedup.without_repeats(files, plain_scan=True).collect()}
+    finally:
+        again()
+    assert out == whole and {k for k, (n, _) in out.items() if n} == {k for k, _ in rows if k % 3 == 0}
+
+
+def test_license_rows_hold_when_splits_change(spark, tmp_path, monkeypatch):
+    rows = [(f"d{k}/x.py", "Released under the MIT License.\n" + "code " * 30 if k % 3 == 0 else "code") for k in range(60)]
+    spark.createDataFrame(rows, "path string, text string").repartition(7).write.parquet(str(tmp_path / "files.parquet"))
+    again = split_anew(spark, monkeypatch, license_scan)
+    try:
+        out = {r.path: r.license for r in license_scan.scanned(spark.read.parquet(str(tmp_path / "files.parquet"))).collect()}
+    finally:
+        again()
+    assert out == {f"d{k}/x.py": "MIT" if k % 3 == 0 else None for k in range(60)}
+
+
 def test_segments_of_a_long_text(monkeypatch):
     rng = random.Random(2)
     text = bytes(rng.randrange(97, 101) for _ in range(20_000))

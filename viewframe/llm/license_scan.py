@@ -95,8 +95,10 @@ def ancestors(path: Column) -> Column:
 
 def scanned(files: DataFrame, path: str = "path", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Per row: the kept columns, path, license, cosine, inherited_from (a directory, null if the license is the file's own)."""
-    numbered = files.select(F.monotonically_increasing_id().alias("row"), *keep, F.col(path).alias("path"), text_of(text).alias("text"))
-    own = written(best_templates(numbered.select("row", "text")), "licenses")
+    # numbers are read from one table: a second scan might be split, and so numbered, otherwise
+    said = F.when(text_of(text).rlike(LICENSE_LINE), text_of(text)).alias("text")
+    numbered = written(files.select(F.monotonically_increasing_id().alias("row"), *keep, F.col(path).alias("path"), said), "numbered")
+    own = written(best_templates(numbered.where("text is not null").select("row", "text")), "licenses")
     rows = numbered.drop("text").join(own, "row", "left")
     rows = written(rows, "scanned")
     lending = rows.where("whole").withColumn("directory", F.regexp_replace("path", "/?[^/]*$", "")).where("directory is not null")

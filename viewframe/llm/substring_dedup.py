@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from viewframe.llm.common import table, written
+from viewframe.llm.common import attach, table, written
 from viewframe.llm.suffix_array import permuted_lcp, suffix_array
 
 SIZE, KEY = 400, 100
@@ -35,6 +35,7 @@ REACH = SIZE - KEY  # bytes before an anchor that a string which chose it may be
 HOT = 20_000
 PIECE, SHARD = 1 << 20, 1 << 21  # bytes hashed together, bytes sorted together
 SEGMENT = 1 << 22  # a longer text is looked at in overlapping segments
+PLACES = 40  # bits of a row's place in its file
 
 _rng = np.random.default_rng(20_400)
 _LETTERS = _rng.integers(0, 1 << 64, 256, dtype=np.uint64)
@@ -287,14 +288,26 @@ def intervals(texts: DataFrame, hot: int = HOT) -> DataFrame:
     return out.unionByName(places.join(again, ["h1", "h2"]).select("row", F.col("at").alias("a"), (F.col("at") + SIZE).alias("b")))
 
 
+def file_rows(docs: DataFrame) -> DataFrame:
+    """docs, a plain scan of Parquet files, with row: the number of its file and its place in it, which stay the
+    same however Spark splits the files in each job."""
+    named = docs.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__place"))
+    paths = sorted(r[0] for r in named.select("__file").distinct().collect())
+    files = docs.sparkSession.createDataFrame(list(enumerate(paths)), "__n long, __file string")
+    return attach(named, files, "__file").withColumn("row", F.shiftleft("__n", PLACES).bitwiseOR(F.col("__place"))).drop("__n", "__file", "__place")
+
+
 def without_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", hot: int = HOT, plain_scan: bool = False) -> DataFrame:
     """Per row: id, n_bytes, n_removed, n_spans, kept (binary, the bytes that stay).
 
-    Rows are numbered, and read several times. Numbering a plain scan of files gives the same
-    numbers each time; anything else is written with its numbers first.
+    Rows are numbered, and read several times. Those of a plain scan of Parquet files are known by
+    file and place; anything else is written with its numbers first.
     """
-    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    numbered = numbered if plain_scan else written(numbered, "numbered")
+    columns = F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")
+    if plain_scan:
+        numbered = file_rows(docs).select("row", *columns)
+    else:
+        numbered = written(docs.select(F.monotonically_increasing_id().alias("row"), *columns), "numbered")
     covered = intervals(numbered, hot).groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("spans"))  # of one text
     schema = f"id {docs.schema[id].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept binary"
     return numbered.join(covered, "row", "left").select("id", "text", "spans").mapInArrow(lambda b: joined(remove(b)), schema)
