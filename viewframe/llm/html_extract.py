@@ -9,7 +9,8 @@ THRESHOLD are removed from each page.
 
 Entropy can't tell varied adverts, menus and footers from text, and would remove an article of
 which a host has only copies. So the signs of the path weigh in, and a block inside article
-or main without such signs is never taken for noise.
+or main without such signs is never taken for noise. Words on what wraps article or main are about
+the layout and do not count, and a page's only branch stays.
 
 Defined results: a null or empty html gives the empty text; a page whose url is null belongs to a
 host without name; repeated rows give repeated results; an empty table gives an empty result;
@@ -37,20 +38,25 @@ BLOCKS = frozenset(
     "head header hr html iframe legend li main menu nav noscript ol optgroup option p pre section select summary table tbody td template textarea tfoot th thead title tr ul".split()
 )
 EMPTY = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script|style|svg|math|noscript|template|textarea|iframe|object|select|canvas|audio|video"
+RAW = "script|style|svg|noscript|template|textarea|iframe|select|canvas|audio|video"
 NOISE_ELEMENTS = frozenset("head title nav aside footer form button dialog menu fieldset option".split())
 NOISE_NAMES = frozenset(
     "ad ads adv advert advertisement adverts alert banner breadcrumb breadcrumbs byline comment comments cookie cookies copyright disclaimer disqus feedback foot footer "
     "form gdpr head header login masthead menu menubar modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promotion recommended "
     "related reply replies respond share sharing sidebar signup social sponsor sponsored subscribe tags toolbar widget".split()
 )
+#: Words that hold for an article inside as well; other words on what wraps article or main are about the layout.
+KIND_NAMES = frozenset("comment comments disqus related recommended reply replies respond".split())
 COMMENT_NAMES, TITLE_NAMES = frozenset("comment comments disqus reply replies respond".split()), frozenset("head header byline".split())
 CONTENT_NAMES = frozenset("article content entry headline main post story title".split())
 MODIFIER = re.compile(r"\b(?:has|with|no|without)-[\w-]+")
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
+ATTRIBUTES = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*"
+#: Raw elements go up to their end tag; one that closes itself is empty, and without an end tag only scripts and styles reach to the end.
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|[^<]+|<", re.S | re.I
+    rf"<!--.*?(?:-->|\Z)|<({RAW})(?=[\s/>]){ATTRIBUTES}(?<!/)>.*?</\1(?=[\s/>])[^>]*>|<(?:script|style)(?=[\s/>]){ATTRIBUTES}(?<!/)>.*\Z"
+    rf"|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)({ATTRIBUTES})>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|[^<]+|<", re.S | re.I
 )
 NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 PART, NUMBER = re.compile(r"[a-z]+"), re.compile(r"[0-9]+")
@@ -137,17 +143,29 @@ def telling(tag: str, names: str, article: bool) -> set[str]:
 def signs(path: str) -> tuple[bool, bool]:
     """Whether the path tells of noise, and whether it lies in an article."""
     article = False
-    for step in path.split("/")[1:]:
-        tag, _, rest = step.partition("[")
+    steps = [step.partition("[") for step in path.split("/")[1:]]
+    inner = max((k for k, (tag, _, _) in enumerate(steps) if tag in ("article", "main")), default=-1)
+    for k, (tag, _, rest) in enumerate(steps):
         names = " ".join(x.partition("=")[2] for x in rest.rstrip("]").split(";"))
-        if tag in NOISE_ELEMENTS or (tag == "header" and not article) or telling(tag, names, article):
+        words = telling(tag, names, article)
+        if k < inner and not article:  # wraps article or main
+            words &= KIND_NAMES
+        if (tag in NOISE_ELEMENTS and not (tag == "form" and k < inner)) or (tag == "header" and not article) or words:
             return True, article
         article = article or tag in ("article", "main")
     return False, article
 
 
+def framed(path: str) -> bool:
+    """Whether an element of the path is noise by its name."""
+    return any(step.partition("[")[0] in NOISE_ELEMENTS | {"header"} for step in path.split("/")[1:])
+
+
 def extract(source: str, low: frozenset[str]) -> str:
-    return "\n".join(text for path, text, _ in Page(source).blocks if path not in low)
+    """The text of the branches that stay; where none would, of all that are no noise by an element's name."""
+    blocks = Page(source).blocks
+    kept = [text for path, text, _ in blocks if path not in low]
+    return "\n".join(kept or [text for path, text, _ in blocks if not framed(path)])
 
 
 def hosts(pages: DataFrame, url: str, source: str) -> DataFrame:
