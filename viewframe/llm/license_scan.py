@@ -1,9 +1,10 @@
 """Operator 6: license scans, with DataFrame functions only.
 
 Lines that speak of licensing (headers, notices, license files) are compared with templates by the
-cosine of sparse TF-IDF vectors; the frequencies are those of all such lines. A file's license is
-that of its best line at THRESHOLD or more. A file most of whose words are license lines is a
-license file, and lends its license to its directory. A file without one of its own takes that
+cosine of sparse TF-IDF vectors, and so are blocks of lines that hold one; the frequencies are those of
+all of them. A file's license is that of its best line or block at THRESHOLD or more. A file most of
+whose words are such lines or blocks, or which is named LICENSE or COPYING, is a license file, and
+lends its license to its directory. A file without one of its own takes that
 of its nearest ancestor directory, found by joins on paths.
 
 Defined results: a null text counts as empty; a file without path has no directory; of several
@@ -23,8 +24,9 @@ from viewframe.llm.common import attach, table, text_of, written
 THRESHOLD = 0.5
 LICENSE_LINE = r"(?i)\b(?:licen[sc]e[ds]?|licensing|copyright|permission\x20is\x20hereby|redistribution\x20and\x20use|public\x20domain|all\x20rights\x20reserved|spdx)\b"
 TERM = "[^a-z0-9.+]+"
-#: Deeper directories than that lend nothing; the depth bounds the rows made per path.
-DEPTH = 32
+#: What a line of a comment begins with; a block is made of the lines between two empty ones.
+MARK = r"(?m)^[\x20\t\r]*(?:#+|//+|/?\*+/?|--+|;+|%+|<!--)?[\x20\t\r]*"
+LICENSE_FILE = r"(?i)(?:^|/)(?:licen[sc]es?|copying|unlicense)(?:[._-][^/]*)?$"
 
 # Wordings by which the usual licenses are told.
 TEMPLATES = {
@@ -61,14 +63,19 @@ def best_templates(files: DataFrame) -> DataFrame:
     named = [(n, k, t) for n, wordings in TEMPLATES.items() for k, t in enumerate(wordings)]
     templates = counted(spark.createDataFrame(named, "name string, wording int, t string").select("name", "wording", terms(F.col("t")).alias("words")))
     split = F.split("text", "\n")
-    speaking = F.filter(split, lambda x: x.rlike(LICENSE_LINE))
+    blocks = F.filter(F.split(F.regexp_replace("text", MARK, ""), "\n{2,}"), lambda x: F.trim(x).contains("\n"))
+    unit = lambda block: lambda x: F.struct(F.lit(block).alias("block"), x.alias("content"))
+    whole_blocks = F.transform(F.transform(blocks, lambda x: F.regexp_replace(x, "\n", " ")), unit(True))
+    # a sentence may be wrapped, so blocks of lines are compared as well as lines
+    speaking = F.filter(F.concat(F.transform(split, unit(False)), whole_blocks), lambda x: x.content.rlike(LICENSE_LINE))
     found = files.where(F.col("text").rlike(LICENSE_LINE)).select(
-        "row", F.posexplode(speaking).alias("line", "content"), F.size(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")).alias("n_words")
+        "row", F.explode(speaking).alias("unit"), F.size(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")).alias("n_words")
     )
-    # equal lines are one vector: a notice that a third of all files carry is compared once
-    lines = written(found.select("row", "n_words", F.size(F.filter(F.split("content", r"[\x20\x09-\x0D]+"), lambda w: w != "")).alias("own"), F.lower(F.trim("content")).alias("content")), "lines")
-    distinct = lines.groupBy("content").agg(F.count("*").alias("often"))
-    vectors = written(counted(distinct.select("content", "often", terms(F.col("content")).alias("words"))), "vectors")
+    # a digest stands for the content, which may be long and is repeated per word; equal lines are one vector: a notice that a third of all files carry is compared once
+    found = found.select("row", "n_words", "unit.block", "unit.content")
+    lines = written(found.select("row", "n_words", "block", F.size(F.filter(F.split("content", r"[\x20\x09-\x0D]+"), lambda w: w != "")).alias("own"), F.lower(F.trim("content")).alias("words")).withColumn("content", F.sha2("words", 256)), "lines")
+    distinct = lines.groupBy("content").agg(F.count("*").alias("often"), F.min("words").alias("words"))
+    vectors = written(counted(distinct.select("content", "often", terms(F.col("words")).alias("words"))), "vectors")
     total = lines.count()
     df = vectors.groupBy("word").agg(F.sum("often").alias("df"))
     idf = F.log((1.0 + total) / (1.0 + F.coalesce("df", F.lit(0)))) + 1.0
@@ -80,16 +87,17 @@ def best_templates(files: DataFrame) -> DataFrame:
     dots = of_lines.select("content", "word", "weight").join(F.broadcast(of_templates.select("word", "name", "wording", "unit")), "word").groupBy("content", "name", "wording").agg(F.sum(F.col("weight") * F.col("unit")).alias("dot"))
     scored = dots.join(norms, "content").withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 9)).where(F.col("cosine") >= THRESHOLD)
     best = scored.groupBy("content").agg(F.min(F.struct((-F.col("cosine")).alias("c"), F.col("name").alias("name"))).alias("best"))
-    told = attach(lines, best.select("content", F.col("best.name").alias("license"), (-F.col("best.c")).alias("cosine")), "content")
+    told = attach(lines.drop("words"), best.select("content", F.col("best.name").alias("license"), (-F.col("best.c")).alias("cosine")), "content")
+    words_of = lambda block: F.sum(F.when(F.col("block") == block, F.col("own")).otherwise(0))
     return told.groupBy("row").agg(
-        F.min(F.struct((-F.col("cosine")).alias("c"), F.col("license").alias("license"))).alias("best"), (2 * F.sum("own") > F.max("n_words")).alias("whole")
+        F.min(F.struct((-F.col("cosine")).alias("c"), F.col("license").alias("license"))).alias("best"), (2 * F.greatest(words_of(False), words_of(True)) > F.max("n_words")).alias("whole")
     ).select("row", F.col("best.license").alias("license"), (-F.col("best.c")).alias("cosine"), "whole")
 
 
 def ancestors(path: Column) -> Column:
-    """Array of (directory, depth) above a path, DEPTH at most."""
+    """Array of (directory, depth) above a path."""
     steps = F.split(path, "/")
-    many = F.least(F.size(steps) - 1, F.lit(DEPTH))
+    many = F.size(steps) - 1
     return F.transform(F.sequence(F.lit(0), F.greatest(many, F.lit(0))), lambda k: F.struct(F.array_join(F.slice(steps, F.lit(1), k), "/").alias("directory"), k.alias("depth")))
 
 
@@ -101,7 +109,7 @@ def scanned(files: DataFrame, path: str = "path", text: str = "text", keep: tupl
     own = written(best_templates(numbered.where("text is not null").select("row", "text")), "licenses")
     rows = numbered.drop("text").join(own, "row", "left")
     rows = written(rows, "scanned")
-    lending = rows.where("whole").withColumn("directory", F.regexp_replace("path", "/?[^/]*$", "")).where("directory is not null")
+    lending = rows.where(F.col("license").isNotNull() & (F.col("whole") | F.col("path").rlike(LICENSE_FILE))).withColumn("directory", F.regexp_replace("path", "/?[^/]*$", "")).where("directory is not null")
     lent = lending.groupBy("directory").agg(F.min(F.struct("path", (-F.col("cosine")).alias("c"), F.col("license").alias("license"))).alias("one")).select("directory", F.col("one.license").alias("lent"))
     # every directory that holds files, once: its nearest ancestor with a license
     directories = rows.select(F.regexp_replace("path", "/?[^/]*$", "").alias("below")).where("below is not null").distinct()
