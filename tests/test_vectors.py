@@ -1,6 +1,7 @@
 """Hand vectors: orders, texts, exact numbers, windows, counts, joins, retention."""
 
 import math
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from viewframe.operators import audit, edits, joins, order
 from viewframe.operators import changes as C
 from viewframe.operators import predicates as P
 from viewframe.operators import retention as R
+from viewframe.plans.grid import GridQuery
 from viewframe.plans.view import View
 from viewframe.sources import identity
 from viewframe.sources.admission import admitted, rejecting
@@ -134,8 +136,8 @@ def test_join_contract_and_ids(spark):
     out = joins.enrich(left, right, left_schema, right_schema, "k", "id", "left", "l", "r").orderBy("l.id").collect()
     assert out[0]["r"] is not None and out[1]["r"] is None
     assert not out[0]["__has_r__v"] and out[1]["__has_r__v"]  # missing where matched, null where unmatched
-    with pytest.raises(ValueError, match="not unique"):
-        joins.enrich(left, right.union(right), left_schema, right_schema, "k", "id")
+    with pytest.raises(Exception, match="not unique"):
+        joins.enrich(left, right.union(right), left_schema, right_schema, "k", "id").collect()
     assert joins.ready_version(3, None) is None and joins.ready_version(3, 2) == 2
 
 
@@ -163,7 +165,8 @@ def test_changes(spark):
     assert [r.audit for r in C.audited(log, ["v"]).orderBy("arrival").collect()] == ["first", "next", "replay", "conflict", "gap", "gap", "stale"]
     with pytest.raises(ValueError):
         C.snapshot_and_tail(state, batch.withColumn("version", F.lit(9)), 3)
-    assert C.send_snapshot(False, 10, 9, 18) and not C.send_snapshot(False, 10, 9, 19) and C.send_snapshot(True, 0, 0, 0)
+    sent = lambda operations, payloads, rows, shape=False: C.window_operations(spark.createDataFrame([("update" if k < payloads else "move",) for k in range(operations)], "change string"), spark.range(rows), shape).first().snapshot
+    assert sent(10, 9, 18) and not sent(10, 9, 19) and sent(0, 0, 0, True)
 
 
 def test_edits(spark):
@@ -216,3 +219,80 @@ def test_nested_projection(spark):
     df = spark.createDataFrame([("x", (None, None)), ("y", None)], "id string, d struct<a:string,b:string>")
     rows = View(df, schema).select(["d.a"]).orderBy("row_id").collect()
     assert rows[0].d is not None and rows[1].d is None
+
+
+def test_groups_know_what_is_missing(spark):
+    """HAVING and orders of groups tell missing, null and value apart; counts are never null."""
+    schema = Schema((Field("id", "string"), Field("note", "string", True, True), Field("v", "int64", False, True)), "id")
+    rows = [("a", None, True, 1), ("b", None, False, 2), ("c", "x", True, None), ("d", "y", True, 4)]
+    v = View(spark.createDataFrame(rows, "id string, note string, __has_note boolean, v long"), schema)
+    measures = {"n": A.Aggregate("count"), "low": A.Aggregate("min", "v")}
+    ordered = lambda way: [(r.note, r["__state_note"]) for r in v.query(group_by=["note"], aggregates=measures, order_by=[("note", way)]).collect()]
+    assert ordered("asc") == [(None, 0), (None, 1), ("x", 2), ("y", 2)] and ordered("desc") == ordered("asc")[::-1]
+    assert [r.n for r in v.grouped(["note"], measures, P.is_missing("note")).df.collect()] == [1]
+    assert [r.note for r in v.grouped(["note"], measures, P.is_null("low")).df.collect()] == ["x"]
+    with pytest.raises(ValueError, match="nullable"):
+        v.grouped(["note"], measures, P.is_null("n"))
+    with pytest.raises(KeyError):
+        v.grouped(["note"], measures, P.eq("id", "a"))
+
+
+def test_sums_of_doubles_are_rounded_once(spark):
+    values = [r.l_extendedprice / 3 for r in spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").select("l_extendedprice").collect()] + [1e16, 1.0, -1e16]
+    df = spark.createDataFrame([(x, k) for k, x in enumerate(values)], "v double, source_index int")
+    total = math.fsum(values)
+    assert exact.double_sums(df, [], F.col("v")).first().total == total
+    grid = GridQuery(group_by=["g"], aggregates={"v": A.Aggregate("sum", "v"), "m": A.Aggregate("avg", "v")}).rows(View(df.withColumn("g", F.lit(1)), flat("source_index", ("source_index", "int64"), ("g", "int64"), ("v", "number")))).first()
+    assert grid.v == total and grid.m == float(Fraction(*sum(map(Fraction, values), Fraction(0)).as_integer_ratio()) / len(values))
+
+
+def test_newest_of_equals(spark):
+    df = spark.createDataFrame([(k, 7) for k in range(10)], "id int, o int")
+    assert sorted(r.id for r in R.newest(df, "o", 3, "id").collect()) == [0, 1, 2] and R.newest(df, "o", 99, "id").count() == 10
+
+
+def test_deep_windows(spark, monkeypatch):
+    df = spark.range(500).selectExpr("id", "id % 7 as k").repartition(6)
+    columns = [F.col("k").desc(), F.col("id").asc()]
+    whole = [r.id for r in df.orderBy(*columns).collect()]
+    monkeypatch.setattr(order, "TOP_ROWS", 10)
+    assert [r.id for r in order.window(df, columns, 300, 40).collect()] == whole[300:340] and order.window(df, columns, 600, 5).count() == 0
+
+
+def test_join_limits(spark):
+    left, right = spark.createDataFrame([(k, 1) for k in range(5)], "id int, k int"), spark.createDataFrame([(1, "x")], "id int, v string")
+    schemas = flat("id", ("id", "int64"), ("k", "int64")), flat("id", ("id", "int64"), ("v", "string"))
+    assert joins.enrich(left, right, *schemas, "k", "id").count() == 5
+    for limit in ({"per_key": 4}, {"max_output": 4}):
+        with pytest.raises(Exception, match="too many"):
+            joins.enrich(left, right, *schemas, "k", "id", **limit).collect()
+
+
+def test_edits_of_identity_and_cells(spark):
+    state = spark.createDataFrame([("a", 1, "k1"), ("b", 2, "k2")], "row_id string, v int, key string")
+    edit = spark.createDataFrame([("a", (1, "k1"), 9, "kX", "upsert")], "row_id string, expected struct<v:int,key:string>, v int, key string, op string")
+    with pytest.raises(ValueError, match="identity"):
+        edits.compare_and_set(state, edit, ["v", "key"], identity=["key"])
+    gone = edits.compare_and_set(state, edit.withColumn("op", F.lit("delete")), ["v", "key"], identity=["key"])
+    assert [r.row_id for r in gone.collect()] == ["b"]
+    table = spark.createDataFrame([("a", 1, "x"), ("b", 1, "y")], "row_id string, row_version int, s string")
+    cells = spark.createDataFrame([("a", 1, "s", "x", "new"), ("b", 1, "s", "other", "new"), ("a", 1, "zz", None, "?")][:2], "row_id string, expected_version int, path string, before string, after string")
+    told = edits.versioned_edits(table, cells)
+    assert {r.row_id: r.accepted for r in told.collect()} == {"a": True, "b": False}
+    assert {tuple(r) for r in edits.cells_applied(table, told).collect()} == {("a", 2, "new"), ("b", 1, "y")}
+
+
+def test_shared_folder_is_asked_for(spark):
+    from viewframe.sources.scratch import shared_folder
+
+    class Unset:
+        class conf:
+            get = staticmethod(lambda *_: None)
+
+        class sparkContext:
+            class _jsc:
+                sc = staticmethod(lambda: type("", (), {"getCheckpointDir": staticmethod(lambda: type("", (), {"isDefined": staticmethod(lambda: False)}))}))
+
+    assert shared_folder(spark)
+    with pytest.raises(ValueError):
+        shared_folder(Unset)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -18,16 +19,22 @@ def normalize(text: str, case_sensitive: bool = False, accent_sensitive: bool =
     return out if case_sensitive else out.lower()
 
 
-def normalized(text: Column, case_sensitive: bool = False, accent_sensitive: bool = False) -> Column:
-    """normalize() of a column. ASCII rows stay in the JVM; the others go through Arrow."""
+@cache
+def _others(case_sensitive: bool, accent_sensitive: bool):
+    """One function per pair of flags, so that Spark sees equal expressions as equal and evaluates them once."""
 
     @F.pandas_udf(T.StringType())
     def others(s: pd.Series) -> pd.Series:
         return s.map(lambda t: None if t is None else normalize(t, case_sensitive, accent_sensitive))
 
+    return others
+
+
+def normalized(text: Column, case_sensitive: bool = False, accent_sensitive: bool = False) -> Column:
+    """normalize() of a column. ASCII rows stay in the JVM; the others go through Arrow."""
     ascii_form = text if case_sensitive else F.lower(text)
     plain = F.octet_length(text) == F.length(text)
-    return F.when(plain, ascii_form).otherwise(others(F.when(~plain, text)))
+    return F.when(plain, ascii_form).otherwise(_others(case_sensitive, accent_sensitive)(F.when(~plain, text)))
 
 
 def utf16_order(text: Column) -> Column:

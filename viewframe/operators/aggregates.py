@@ -117,8 +117,12 @@ def aggregate(df: DataFrame, schema: Schema, group_by: Sequence[str], aggregates
             half_up = F.when(F.col("n") == 0, F.lit("0")).otherwise(exact.quotient_text("total", "n", F.lit(100), F.lit("half_up")))
             values = {"sum": F.col("total"), "avg": half_up if profile == COMPAT else exact.quotient_text("total", "n", F.lit(18), F.lit("half_even"))}
         out = exact._joined(out, sums.select(*inner, *(values[op].alias(alias) for alias, op in wanted)), inner)
-    names = [n for p in group_by for n in ([p.replace(".", "__"), state_name(p)] if schema[p].has_companion else [p.replace(".", "__")])]
-    return out.select(*(F.col(i).alias(n) for i, n in zip(inner, names, strict=True)), *(F.col(a) for a in aggregates))
+    return out.select(*(F.col(i).alias(n) for i, n in zip(inner, key_names(schema, group_by), strict=True)), *(F.col(a) for a in aggregates))
+
+
+def key_names(schema: Schema, group_by: Sequence[str]) -> list[str]:
+    """The names that group_columns() gives."""
+    return [n for p in group_by for n in ([p.replace(".", "__"), state_name(p)] if schema[p].has_companion else [p.replace(".", "__")])]
 
 
 def group_id(topic: str, schema: Schema, group_by: Sequence[str]) -> Column:
@@ -135,15 +139,44 @@ def group_id(topic: str, schema: Schema, group_by: Sequence[str]) -> Column:
 
 def grid_groups(df: DataFrame, schema: Schema, group_by: Sequence[str], aggregates: Mapping[str, Aggregate], index: str) -> DataFrame:
     """The grid's variant: sum and avg of no values are null, min and max let what is absent take part (lowest),
-    a Rows column, and groups in the order of their first row."""
+    a Rows column, and __first, the index of a group's first row. Sums of doubles are exact, as in aggregate()."""
     columns = {"rows": F.count(F.lit(1)), "__first": F.min(index)}
     for alias, a in aggregates.items():
         f = schema[a.path] if a.path else None
+        if a.op in ("sum", "avg") and f.kind == "number":
+            continue
         if a.op in ("sum", "avg"):
-            whole = checked_sum(f) if f.kind != "number" else F.sum(f.column)
-            columns[alias] = F.when(F.count(f.column) > 0, whole if a.op == "sum" else exact_average(f) if f.kind != "number" else F.avg(f.column))
+            columns[alias] = F.when(F.count(f.column) > 0, checked_sum(f) if a.op == "sum" else exact_average(f))
         elif a.op in ("min", "max"):
             columns[alias] = extreme(f, a.op, COMPAT)
         else:
             columns[alias] = distinct_count(f) if a.op == "countDistinct" else F.count(F.lit(1))
-    return df.groupBy(*group_columns(schema, group_by)).agg(*(c.alias(n) for n, c in columns.items()))
+    keys = group_columns(schema, group_by)
+    named = df.select("*", *(k.alias(f"__g{i}") for i, k in enumerate(keys)))
+    inner = [f"__g{i}" for i in range(len(keys))]
+    out = named.groupBy(*inner).agg(*(c.alias(n) for n, c in columns.items()))
+    numbers = {a.path for a in aggregates.values() if a.op in ("sum", "avg") and schema[a.path].kind == "number"}
+    for path in sorted(numbers):
+        values = {"sum": "total", "avg": "mean"}
+        bad = F.raise_error(F.lit("the sum of numbers is out of range"))
+        wanted = [F.when(F.col("overflow"), bad).when(F.col("n") > 0, F.col(values[a.op])).alias(alias) for alias, a in aggregates.items() if a.op in values and a.path == path]
+        out = exact._joined(out, exact.double_sums(named, inner, schema[path].column).select(*inner, *wanted), inner)
+    return out.select(*(F.col(i).alias(n) for i, n in zip(inner, key_names(schema, group_by), strict=True)), "rows", "__first", *aggregates)
+
+
+def grid_order(schema: Schema, group_by: Sequence[str], aggregates: Mapping[str, Aggregate], order_by: Sequence[tuple[str, str]]) -> list[Column]:
+    """Sort columns of grid_groups() by group fields, aggregates or "rows"; ties stand as their first rows do."""
+    out = []
+    for name, way in order_by:
+        if name in group_by:
+            f, column = schema[name], F.col(name.replace(".", "__"))
+            state = F.col(state_name(name)) if f.has_companion else F.when(column.isNotNull(), 2).otherwise(0 if f.optional else 1)
+            text = f.kind == "string"
+        elif name in aggregates or name == "rows":
+            column = F.col(name)
+            state, a = F.when(column.isNotNull(), 2).otherwise(0), aggregates.get(name)
+            text = a is not None and a.op in ("min", "max") and schema[a.path].kind == "string"
+        else:
+            raise ValueError("groups are sorted by their fields and aggregates")
+        out += [c.desc() if way == "desc" else c.asc() for c in (state, utf16_order(column) if text else column)]
+    return [*out, F.col("__first").asc()]

@@ -7,6 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from viewframe.operators.order import ranked
+
+BLOCK = 4096
+
 
 def row_digest(columns: Sequence[str]) -> Column:
     return F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
@@ -31,16 +35,22 @@ def updated_digest(old: str, removed: DataFrame, added: DataFrame, columns: Sequ
     return f"{out:064x}"
 
 
-def ordered_hash(df: DataFrame, id: str, key: str, columns: Sequence[str], buckets: int = 64) -> DataFrame:
-    """Hash of the rows in the order of ids (Q2): per range of ids a hash of its rows' hashes, then a hash of those.
+def ordered_hash(df: DataFrame, id: str, key: str, columns: Sequence[str]) -> DataFrame:
+    """Hash of the rows in the order of ids (Q2): the hashes of blocks of BLOCK rows, each of its rows' hashes one a line, hashed again.
 
-    Ranges come from the ids' own leading text, so the value does not depend on the cluster; each
-    holds the digests (64 bytes a row) of its ids only.
+    Ids are sorted as texts, by ranges of which no task holds more than one; a block is BLOCK digests. Blocks of blocks follow
+    until one is left, so nothing grows with the table but the number of rounds.
     """
     line = F.sha2(F.concat_ws("\t", F.col(id).cast("string"), F.col(key).cast("string"), F.to_json(F.struct(*columns))), 256)
-    rows = df.select(F.substring(F.sha2(F.col(id).cast("string"), 256), 1, 3).alias("range"), F.col(id).alias("id"), line.alias("line"))
-    ranges = rows.groupBy("range").agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", "line"))), lambda x: x["line"]), "\n"), 256).alias("h"))
-    return ranges.agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("range", "h"))), lambda x: x["h"]), "\n"), 256).alias("hash"))
+    rows = df.select(F.col(id).cast("string").alias("id"), line.alias("h"))
+    rows = ranked(rows, [F.col("id").asc(), F.col("h").asc()]).select(F.col("__rank").alias("at"), "h")
+    lines = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "h"))), lambda x: x["h"]), "\n")  # of a block
+    left = df.count()
+    while True:
+        rows = rows.groupBy(F.floor(F.col("at") / BLOCK).alias("block")).agg(F.sha2(lines, 256).alias("h")).select(F.col("block").alias("at"), "h")
+        left = -(-left // BLOCK)
+        if left <= 1:
+            return rows.select(F.col("h").alias("hash"))
 
 
 def completeness(source: DataFrame, copy: DataFrame, columns: Sequence[str], id: str = "row_id") -> DataFrame:

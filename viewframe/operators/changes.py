@@ -12,8 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from viewframe.sources.scratch import written
+
 UPSERT, DELETE = "upsert", "delete"
 HORIZON = 256
+MAX_OPERATIONS, FEW_PAYLOADS = 4096, 8  # of a window's delta
 
 
 def change_source(df: DataFrame, payload: Sequence[str], value_identity: bool = False) -> DataFrame:
@@ -44,12 +47,12 @@ def folded(changes: DataFrame, id: str = "row_id", order: Sequence[str] = ("offs
     return latest(log, id, order).where(F.col("op") == UPSERT).drop("op")
 
 
-def snapshot_and_tail(snapshot: DataFrame, tail: DataFrame, snapshot_version: int, version: str = "version", id: str = "row_id") -> DataFrame:
+def snapshot_and_tail(snapshot: DataFrame, tail: DataFrame, snapshot_version: int, version: str = "version", id: str = "row_id", order: Sequence[str] = ()) -> DataFrame:
     """Snapshot plus ordered tail; the tail must go on where the snapshot ends, without a gap."""
     numbers = tail.select(version).distinct().agg(F.min(version), F.max(version), F.count(version)).first()
     if numbers[2] and (numbers[0] != snapshot_version + 1 or numbers[1] - numbers[0] + 1 != numbers[2]):
         raise ValueError("the tail does not follow the snapshot")
-    return applied(snapshot, tail, id, (version,))
+    return applied(snapshot, tail, id, (version, *order))
 
 
 def unchanged(table: DataFrame, changes: DataFrame, columns: Sequence[str], id: str = "row_id") -> DataFrame:
@@ -60,26 +63,44 @@ def unchanged(table: DataFrame, changes: DataFrame, columns: Sequence[str], id:
     return both.where(same).drop("__id", "__now")
 
 
+def preceding(df: DataFrame, group: str, order: Sequence[str], name: str, value: Column, newest: bool = False) -> DataFrame:
+    """df with name: the value of the row before in its group's order, or (newest) the largest value of all before.
+
+    Rows are dealt by ranges of group and order, so a long group has many tasks; what a range passes on to the next one
+    of its group is one row per range and group.
+    """
+    parts = written(df.withColumn("__value", value).repartitionByRange(group, *order).withColumn("__part", F.spark_partition_id()), "ranges")
+    own = Window.partitionBy("__part", group).orderBy(*order)
+    before = F.max("__value").over(own.rowsBetween(Window.unboundedPreceding, -1)) if newest else F.lag("__value").over(own)
+    edges = parts.groupBy("__part", group).agg((F.max("__value") if newest else F.max_by("__value", F.struct(*order))).alias("__last"))
+    earlier = Window.partitionBy(group).orderBy("__part")
+    handed = F.max("__last").over(earlier.rowsBetween(Window.unboundedPreceding, -1)) if newest else F.lag("__last").over(earlier)
+    edges = edges.select(F.col("__part").alias("__p"), F.col(group).alias("__g"), handed.alias("__handed"))
+    both = parts.withColumn("__inside", before).join(edges, (F.col("__part") == F.col("__p")) & F.col(group).eqNullSafe(F.col("__g")))
+    known = F.greatest("__inside", "__handed") if newest else F.coalesce("__inside", "__handed")
+    return both.withColumn(name, known).select(*df.columns, name)
+
+
 def audited(log: DataFrame, payload: Sequence[str], partition: str = "partition", offset: str = "offset") -> DataFrame:
     """Adds audit to each record (S10): first, next, gap, replay or conflict, by offset and payload; stale beyond the horizon.
 
-    A partition of the source is a sequence by nature; its records are only compared with their
-    neighbours, as a window over sorted rows that Spark spills.
+    A column arrival tells in which order the records came; without it they came in the order of their offsets.
     """
-    digest = F.sha2(F.to_json(F.struct(*payload)), 256)
-    own = Window.partitionBy(partition).orderBy(offset, "__arrival")
-    before = F.lag(offset).over(own)
-    newest = F.max(offset).over(Window.partitionBy(partition).orderBy("__arrival").rowsBetween(Window.unboundedPreceding, -1))
-    out = log.withColumn("__arrival", F.col("arrival") if "arrival" in log.columns else F.col(offset)).withColumn("__digest", digest)
-    out = out.withColumn("__before", before).withColumn("__same", F.lag("__digest").over(own)).withColumn("__newest", newest)
+    out = log.withColumn("__digest", F.sha2(F.to_json(F.struct(*payload)), 256))
+    order = (offset, "arrival") if "arrival" in log.columns else (offset,)
+    out = preceding(out, partition, order, "__before", F.struct(F.col(offset).alias("offset"), F.col("__digest").alias("digest")))
+    if "arrival" in log.columns:
+        out = preceding(out, partition, ("arrival",), "__newest", F.col(offset), newest=True)
+    else:
+        out = out.withColumn("__newest", F.col("__before.offset"))
     verdict = (
         F.when(F.col("__newest") - F.col(offset) > HORIZON, "stale")
         .when(F.col("__before").isNull(), "first")
-        .when(F.col("__before") == F.col(offset), F.when(F.col("__same") == F.col("__digest"), "replay").otherwise("conflict"))
-        .when(F.col("__before") + 1 == F.col(offset), "next")
+        .when(F.col("__before.offset") == F.col(offset), F.when(F.col("__before.digest") == F.col("__digest"), "replay").otherwise("conflict"))
+        .when(F.col("__before.offset") + 1 == F.col(offset), "next")
         .otherwise("gap")
     )
-    return out.withColumn("audit", verdict).drop("__arrival", "__digest", "__before", "__same", "__newest")
+    return out.withColumn("audit", verdict).drop("__digest", "__before", "__newest")
 
 
 def moved_keys(log: DataFrame, id: str = "row_id", partition: str = "partition") -> DataFrame:
@@ -135,6 +156,14 @@ def consolidated(deltas: DataFrame, keys: Sequence[str]) -> DataFrame:
     return deltas.groupBy(*keys).agg(F.sum("weight").alias("weight")).where("weight <> 0")
 
 
+def window_operations(diff: DataFrame, window: DataFrame, shape_changed: bool = False) -> DataFrame:
+    """One row: operations, payloads, rows, and whether the full window is sent."""
+    counts = diff.agg(F.count("*").alias("operations"), F.count(F.when(F.col("change").isin("insert", "update", "move+update"), 1)).alias("payloads"))
+    both = counts.withColumn("rows", window.agg(F.count("*")).scalar())
+    whole = F.lit(shape_changed) | (F.col("operations") > MAX_OPERATIONS) | ((F.col("payloads") > FEW_PAYLOADS) & (2 * F.col("payloads") >= F.col("rows")))
+    return both.withColumn("snapshot", whole)
+
+
 def window_diff(old: DataFrame, new: DataFrame, columns: Sequence[str], id: str = "row_id") -> DataFrame:
     """(id, change, old_index, new_index) between two numbered windows (D3): remove, insert, move, update, move+update."""
     a = old.select(F.col(id), F.col("index").alias("old_index"), F.struct(*columns).alias("o"))
@@ -157,14 +186,6 @@ def field_patches(old: DataFrame, new: DataFrame, fields: Sequence[str], id: str
     return both.select(id, F.explode(F.array_compact(F.array(*map(one, fields)))).alias("p")).select(id, "p.*")
 
 
-MAX_OPERATIONS, FEW_PAYLOADS = 4096, 8
-
-
-def send_snapshot(shape_changed: bool, operations: int, payloads: int, window_rows: int) -> bool:
-    """Whether a full window is sent instead of a delta."""
-    return shape_changed or operations > MAX_OPERATIONS or (payloads > FEW_PAYLOADS and 2 * payloads >= window_rows)
-
-
 def reconstructed(baseline: DataFrame, delta: DataFrame, rows: DataFrame, base_version: int, delta_base: int, id: str = "row_id") -> DataFrame:
     """The window that a baseline and a delta lead to (D6). delta: window_diff's rows; rows: id and columns of new or updated ones."""
     if base_version != delta_base:

@@ -4,35 +4,62 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from viewframe.operators.changes import applied
+from viewframe.operators.changes import UPSERT, applied
 
 
-def conflicts(table: DataFrame, edits: DataFrame, columns: Sequence[str], id: str = "row_id") -> DataFrame:
-    """(id, reason) of edits whose expected row is not the current one, or whose id comes twice.
+def conflicts(table: DataFrame, edits: DataFrame, columns: Sequence[str], id: str = "row_id", identity: Sequence[str] = ()) -> DataFrame:
+    """(id, reason) of edits whose expected row is not the current one, which change what a row is known by, or whose id comes twice.
 
-    edits: id, expected (struct of columns; null expects no row), and the columns' new values.
+    edits: id, expected (struct of columns; null expects no row), the columns' new values, and perhaps op (upsert or
+    delete). identity: those columns of which the id is made.
     """
     now = table.select(F.col(id).alias("__id"), F.struct(*columns).alias("__now"))
     wrong = edits.join(now, F.col(id) == F.col("__id"), "left").where(~F.col("expected").eqNullSafe(F.col("__now"))).select(id, F.lit("mismatch").alias("reason"))
     twice = edits.groupBy(id).agg(F.count("*").alias("n")).where("n > 1").select(id, F.lit("duplicate").alias("reason"))
-    return wrong.unionByName(twice)
+    out = wrong.unionByName(twice)
+    if identity:
+        moved = F.col("expected").isNotNull() & ~F.struct(*(F.col(c) for c in identity)).eqNullSafe(F.struct(*(F.col(f"expected.{c}").alias(c) for c in identity)))
+        out = out.unionByName(edits.where(moved & (operation(edits) == UPSERT)).select(id, F.lit("identity").alias("reason")))
+    return out
 
 
-def compare_and_set(table: DataFrame, edits: DataFrame, columns: Sequence[str], id: str = "row_id") -> DataFrame:
+def operation(edits: DataFrame) -> Column:
+    return F.col("op") if "op" in edits.columns else F.lit(UPSERT)
+
+
+def compare_and_set(table: DataFrame, edits: DataFrame, columns: Sequence[str], id: str = "row_id", identity: Sequence[str] = ()) -> DataFrame:
     """The table after all edits, or an error that leaves it as it is: one conflict rejects the whole batch."""
-    bad = conflicts(table, edits, columns, id).first()
+    bad = conflicts(table, edits, columns, id, identity).first()
     if bad:
         raise ValueError(f"edit of {bad[id]}: {bad['reason']}")
-    return applied(table, edits.select(id, *columns, F.lit("upsert").alias("op"), F.lit(0).alias("offset")), id)
+    return applied(table, edits.select(id, *columns, operation(edits).alias("op"), F.lit(0).alias("offset")), id)
 
 
 def versioned_edits(table: DataFrame, cells: DataFrame, id: str = "row_id", version: str = "row_version") -> DataFrame:
-    """Checks of cell changes by row version (E2). cells: id, expected_version, path, before, after. Adds accepted."""
-    now = table.select(F.col(id).alias("__id"), F.col(version).alias("__version"))
-    return cells.join(now, F.col(id) == F.col("__id"), "left").withColumn("accepted", F.col("expected_version").eqNullSafe(F.col("__version"))).drop("__id", "__version")
+    """Checks of cell changes (E2). cells: id, expected_version, path, before, after (as texts). Adds accepted: the
+    row is at that version, the cell holds before, and no other change of the row fails or names the same cell."""
+    fields = [c for c in table.columns if c not in (id, version)]
+    held = F.create_map(*(x for f in fields for x in (F.lit(f), F.col(f).cast("string"))))
+    now = table.select(F.col(id).alias("__id"), F.col(version).alias("__version"), held.alias("__cells"))
+    both = cells.join(now, F.col(id) == F.col("__id"), "left")
+    good = F.col("expected_version").eqNullSafe(F.col("__version")) & F.col("path").isin(fields) & F.col("before").eqNullSafe(F.col("__cells")[F.col("path")])
+    row = Window.partitionBy(id)  # the cells of one row
+    both = both.withColumn("__good", good).withColumn("__twice", F.count("*").over(Window.partitionBy(id, "path")) > 1)
+    return both.withColumn("accepted", F.min(F.col("__good") & ~F.col("__twice")).over(row)).drop("__id", "__version", "__cells", "__good", "__twice")
+
+
+def cells_applied(table: DataFrame, cells: DataFrame, id: str = "row_id", version: str = "row_version") -> DataFrame:
+    """The table after the accepted cell changes of versioned_edits(); a changed row's version goes up by one."""
+    fields = [c for c in table.columns if c not in (id, version)]
+    new = cells.where("accepted").groupBy(F.col(id).alias("__id")).agg(*(F.max(F.when(F.col("path") == f, F.struct(F.col("after").alias("v")))).alias(f"__{f}") for f in fields))
+    both = table.join(new, F.col(id) == F.col("__id"), "left")
+    cell = lambda f: F.when(F.col(f"__{f}").isNotNull(), F.col(f"__{f}.v").cast(table.schema[f].dataType)).otherwise(F.col(f)).alias(f)
+    step = F.col("__id").isNotNull().cast("int")
+    return both.select(*((F.col(c) + step).cast(table.schema[c].dataType).alias(c) if c == version else F.col(c) if c == id else cell(c) for c in table.columns))
 
 
 def stacked(df: DataFrame, fields: Sequence[str], id: str, name: str) -> DataFrame:

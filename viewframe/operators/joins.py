@@ -33,24 +33,45 @@ def side(df: DataFrame, schema: Schema, alias: str, how: str = "inner", is_right
     return df.select(*out)
 
 
+RIGHT_TWICE, LEFT_MANY = "right key is not unique", "too many left rows for a key"
+
+
+def repeated(df: DataFrame, key: str, most: int) -> DataFrame:
+    """One row: bad is 1 if a key has more than so many rows."""
+    counts = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.count("*").alias("n"))
+    return counts.agg(F.coalesce((F.max("n") > most).cast("int"), F.lit(0)).alias("bad"))
+
+
 def contract_errors(left: DataFrame, right: DataFrame, left_key: str, right_key: str, per_key: int = MAX_LEFT_PER_KEY) -> DataFrame:
     """Rows (key, reason): right keys that are not unique, and left keys with too many rows. Counts on keys alone."""
-    rights = right.groupBy(F.col(right_key).alias("key")).agg(F.count("*").alias("n")).where("key is not null and n > 1").select("key", F.lit("right key is not unique").alias("reason"))
-    lefts = left.groupBy(F.col(left_key).alias("key")).agg(F.count("*").alias("n")).where(F.col("key").isNotNull() & (F.col("n") > per_key)).select("key", F.lit("too many left rows for a key").alias("reason"))
+    rights = right.groupBy(F.col(right_key).alias("key")).agg(F.count("*").alias("n")).where("key is not null and n > 1").select("key", F.lit(RIGHT_TWICE).alias("reason"))
+    lefts = left.groupBy(F.col(left_key).alias("key")).agg(F.count("*").alias("n")).where(F.col("key").isNotNull() & (F.col("n") > per_key)).select("key", F.lit(LEFT_MANY).alias("reason"))
     return rights.unionByName(lefts)
 
 
-def enrich(left: DataFrame, right: DataFrame, left_schema: Schema, right_schema: Schema, left_key: str, right_key: str, how: str = "left", left_alias: str = "l", right_alias: str = "r", validate: bool = True, per_key: int = MAX_LEFT_PER_KEY) -> DataFrame:
+def enrich(left: DataFrame, right: DataFrame, left_schema: Schema, right_schema: Schema, left_key: str, right_key: str, how: str = "left", left_alias: str = "l", right_alias: str = "r", validate: bool = True, per_key: int | None = None, max_output: int | None = None) -> DataFrame:
     """Rows of left with their one row of right. Keys that are missing or null match nothing.
 
+    validate: right keys must be unique. per_key, max_output: most left rows of a key, and rows of the join
+    (the limits of a server are MAX_LEFT_PER_KEY and MAX_OUTPUT); off by default, as a hot key is no error. The
+    checks are subqueries on keys alone: planning runs nothing, and a join that breaks the contract fails when it runs.
+
     An unmatched right side is null as a whole; its optional leaves then count as null, not
     missing, so their companions turn true. The strategy of the join is Spark's to choose.
     """
     a, b = left_schema[left_key], right_schema[right_key]
     if how not in ("inner", "left") or a.kind != b.kind or dict(a.domain) != dict(b.domain):
         raise ValueError("an inner or left join of keys of one kind and domain")
-    if validate and (bad := contract_errors(left, right, left_key, right_key, per_key).first()):
-        raise ValueError(f"{bad['reason']}: {bad['key']}")
+    checks = []
+    if validate:
+        checks.append((repeated(right, right_key, 1), RIGHT_TWICE))
+    if per_key is not None:
+        checks.append((repeated(left, left_key, per_key), LEFT_MANY))
+    if max_output is not None:
+        rows = left if how == "left" else left.join(right.select(F.col(right_key).alias("__k")), F.col(left_key) == F.col("__k"), "left_semi")
+        checks.append((rows.agg((F.count("*") > max_output).cast("int").alias("bad")), "too many rows in the join"))
+    for bad, reason in checks:
+        left = left.where(F.assert_true(bad.scalar() == 0, reason).isNull())
     l_side, r_side = side(left, left_schema, left_alias), side(right, right_schema, right_alias, how, True)
     out = l_side.join(r_side, F.col(f"{left_alias}.{left_key}") == F.col(f"{right_alias}.{right_key}"), how)
     if how == "left":

@@ -6,9 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from viewframe.functions.exact import sort_token
 from viewframe.functions.text import utf16_order
+from viewframe.sources.scratch import written
 from viewframe.sources.schema import Schema
 
 COMPAT = "compat"
@@ -40,8 +42,26 @@ def sort_columns(schema: Schema, order_by: Sequence[Order], key: str, profile: s
     return [*out, F.col(key).asc()]
 
 
+#: A window that ends beyond so many rows is found by counting ranges; up to there a top-n holds it in each task.
+TOP_ROWS = 100_000
+
+
 def window(df: DataFrame, columns: Sequence[Column], offset: int, limit: int) -> DataFrame:
-    return df.orderBy(*columns).offset(offset).limit(limit)
+    """Rows offset to offset + limit - 1 of the order. A deep window runs a job that ranges the rows."""
+    if offset + limit <= TOP_ROWS:
+        return df.orderBy(*columns).offset(offset).limit(limit)
+    ranks = ranked(df, columns)
+    return ranks.where((F.col("__rank") >= offset) & (F.col("__rank") < offset + limit)).orderBy("__rank").drop("__rank")
+
+
+def ranked(df: DataFrame, columns: Sequence[Column]) -> DataFrame:
+    """df with __rank, from 0. Rows are dealt by ranges of the order and written; a range's rows are counted
+    (a number per range) and numbered in it, so no task or driver holds more than a range."""
+    parts = written(df.repartitionByRange(*columns).withColumn("__part", F.spark_partition_id()), "ranges")
+    counts = parts.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = counts.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    own = F.row_number().over(Window.partitionBy("__part").orderBy(*columns))
+    return parts.withColumn("__own", own).join(F.broadcast(before), "__part").withColumn("__rank", F.col("__before") + F.col("__own") - 1).drop("__part", "__own", "__n", "__before")
 
 
 def with_total(page: DataFrame, whole: DataFrame) -> DataFrame:
@@ -97,7 +117,5 @@ def numbered(df: DataFrame, columns: Sequence[Column], offset: int, limit: int,
     """A bounded window with each row's rank; only its rows are numbered, so one task holds at most MAX_WINDOW."""
     if limit > MAX_WINDOW:
         raise ValueError("a numbered window has at most 4096 rows")
-    from pyspark.sql.window import Window
-
     page = window(df, columns, offset, limit)
     return page.withColumn(name, F.row_number().over(Window.orderBy(*columns)) - 1 + offset)

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from viewframe.operators.order import ranked, window
+
 FUTURE_MS, CHUNK = 300_000, 256
 
 
@@ -46,27 +48,30 @@ def by_age(df: DataFrame, ts_ms: Column, max_age_ms: int, reference_ms: int) ->
     return df.where(~expired(ts_ms, max_age_ms, reference_ms))
 
 
-def newest(df: DataFrame, order: str, n: int) -> DataFrame:
-    """The newest n rows by admission order. The bound is found by a top-n on the order alone, then rows are filtered,
-    so the payload is neither sorted nor brought together."""
-    bound = df.select(order).orderBy(F.desc(order)).limit(n).agg(F.min(order))
-    return df.where(F.col(order) >= bound.scalar())
+def newest(df: DataFrame, order: str, n: int, id: str) -> DataFrame:
+    """The newest n rows by admission order, of equal ones those with the smaller ids. Only order and id are
+    sorted to find the last row that stays; then rows are filtered, so the payload is not brought together."""
+    columns = [F.desc(order), F.asc(id)]
+    last = window(df.select(order, id), columns, max(n - 1, 0), 1).select(F.struct(F.col(order).alias("order"), F.col(id).alias("id")).alias("x"))
+    bound = last.scalar()
+    older = (F.col(order) < bound["order"]) | ((F.col(order) == bound["order"]) & (F.col(id) > bound["id"]))
+    return df.where(F.coalesce(~older, F.lit(True)) if n else F.lit(False))
 
 
-def newest_per_key(df: DataFrame, key: str, order: str, n: int) -> DataFrame:
+def newest_per_key(df: DataFrame, key: str, order: str, n: int, id: str) -> DataFrame:
     """Spark limits each key's rows before the shuffle (a window group limit), so a hot key is cut map-side."""
-    ranked = df.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order))))
+    ranked = df.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order), F.asc(id))))
     return ranked.where(F.col("__n") <= n).drop("__n")
 
 
-def retained(df: DataFrame, policy: Policy, ts_ms: Column, order: str, key: str, reference_ms: int) -> DataFrame:
-    """Age first, then count."""
+def retained(df: DataFrame, policy: Policy, ts_ms: Column, order: str, key: str, reference_ms: int, id: str) -> DataFrame:
+    """Age first, then count; rows of equal order stay by id."""
     if policy.max_age_ms:
         df = by_age(df, ts_ms, policy.max_age_ms, reference_ms)
     if policy.max_rows:
-        df = newest(df, order, policy.max_rows)
+        df = newest(df, order, policy.max_rows, id)
     if policy.max_rows_per_key:
-        df = newest_per_key(df, key, order, policy.max_rows_per_key)
+        df = newest_per_key(df, key, order, policy.max_rows_per_key, id)
     return df
 
 
@@ -81,11 +86,12 @@ def reference_time(wall_ms: int, last_ms: int | None) -> int:
     return max(wall_ms, last_ms or 0)
 
 
-def expiry_changes(df: DataFrame, id: str, ts_ms: Column, max_age_ms: int, reference_ms: int, chunks: int | None = None) -> DataFrame:
-    """Deletes of what is due, oldest first in chunks: (id, op, chunk). They go through views like any others.
+def expiry_changes(df: DataFrame, id: str, ts_ms: Column, max_age_ms: int, reference_ms: int) -> DataFrame:
+    """Deletes of what is due, oldest first in chunks of CHUNK rows: (id, op, chunk). They go through views like any others."""
+    due = df.where(expired(ts_ms, max_age_ms, reference_ms)).select(F.col(id), ts_ms.alias("__ts"))
+    return ranked(due, [F.col("__ts").asc(), F.col(id).asc()]).select(id, F.lit("delete").alias("op"), F.floor(F.col("__rank") / CHUNK).cast("long").alias("chunk"))
+
 
-    chunk numbers are local to a hash bucket of ids, so no task ranks all due rows.
-    """
-    due = df.where(expired(ts_ms, max_age_ms, reference_ms)).select(F.col(id), ts_ms.alias("__ts"), F.pmod(F.xxhash64(id), F.lit(chunks or 8)).alias("bucket"))
-    n = F.row_number().over(Window.partitionBy("bucket").orderBy("__ts", id))
-    return due.select(id, F.lit("delete").alias("op"), "bucket", F.floor((n - 1) / CHUNK).cast("int").alias("chunk"))
+def due(df: DataFrame, id: str, ts_ms: Column, max_age_ms: int, reference_ms: int) -> DataFrame:
+    """Deletes of what is due, where their order does not matter."""
+    return df.where(expired(ts_ms, max_age_ms, reference_ms)).select(F.col(id), F.lit("delete").alias("op"))

@@ -31,10 +31,11 @@ class GridQuery:
         return view.where(self.external, *self.filters.values(), self.quick(), profile=P.COMPAT)
 
     def rows(self, view: View, index: str = "source_index") -> DataFrame:
-        """Rows in the grid's order, ties by source index (O10); or groups, in the order of their first rows."""
+        """Rows in the grid's order, ties by source index (O10); or groups (A22), sorted, ties in the order of their first rows."""
         view = self.filtered(view)
         if self.group_by:
-            return A.grid_groups(view.df, view.schema, self.group_by, self.aggregates, index).orderBy("__first").drop("__first")
+            groups = A.grid_groups(view.df, view.schema, self.group_by, self.aggregates, index)
+            return groups.orderBy(*A.grid_order(view.schema, self.group_by, self.aggregates, self.order_by)).drop("__first")
         columns = order.sort_columns(view.schema, self.order_by, index, P.COMPAT)
         return view.df.orderBy(*columns)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,7 @@ from viewframe.operators import facets, joins, order
 from viewframe.operators import predicates as P
 from viewframe.plans.grid import GridQuery
 from viewframe.plans.view import View
-from viewframe.sources.schema import Schema, flat
+from viewframe.sources.schema import Field, Schema, flat
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -141,6 +142,24 @@ def select_computed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.where(P.gt("o_totalprice", 400000.0)).select(["o_orderpriority", "o_totalprice", "double_price"])
 
 
+@query("select o_orderkey as row_id, o_orderkey % 5 <> 0 as has_parent, case when o_orderkey % 15 not in (0, 5, 10, 3, 6, 9, 12) then o_orderstatus end as status from orders")
+def nested_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A parent that is absent stays null; one that is there without the chosen leaf stays an object."""
+    n = F.col("o_orderkey")
+    parent = F.struct(F.when(n % 3 != 0, F.col("o_orderstatus")).alias("status"), F.col("o_custkey").alias("customer"))
+    schema = Schema((Field("o_orderkey", "int64"), Field("d.status", "string", True), Field("d.customer", "int64", True)), "o_orderkey")
+    out = View(table(spark, sf_dir, "orders").select("o_orderkey", F.when(n % 5 != 0, parent).alias("d")), schema).select(["d.status"])
+    return out.select("row_id", F.col("d").isNotNull().alias("has_parent"), F.col("d.status").alias("status"))
+
+
+@query("select o_orderkey as row_id, o_totalprice from orders order by o_totalprice, o_orderkey limit 20 offset (select count(*) - 15 from orders)")
+def deep_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A window near the end, found by counting ranges whatever its depth."""
+    v = orders(spark, sf_dir)
+    ranks = order.ranked(v.df.select("o_orderkey", "o_totalprice"), order.sort_columns(v.schema, [("o_totalprice", "asc")], "o_orderkey"))
+    return ranks.where(F.col("__rank") >= v.total_rows() - 15).select(F.col("o_orderkey").alias("row_id"), "o_totalprice")
+
+
 PAGE = f"""with {O_SQL}, f as (select * from o where o_orderstatus = 'O')
 select o_orderkey as row_id, o_orderpriority, note, has_note as __has_note, (select count(*) from f) as total_rows from f
 order by case when note is not null then 2 when has_note then 1 else 0 end desc, note desc, o_totalprice asc, o_orderkey asc limit 40 offset 25"""
@@ -243,10 +262,12 @@ def compat_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "lineitem").grouped(["l_returnflag"], {"total": A.Aggregate("sum", "l_extendedprice"), "discount": A.Aggregate("sum", "l_discount")}, profile=P.COMPAT).df
 
 
-@query("select l_linestatus, round((sum(l_extendedprice::decimal(18,2)) / count(*))::double, 4) as mean, 100 as digits from lineitem group by 1")
+@query("select l_linestatus, (sum(round(l_extendedprice * 100)::hugeint) * 10000000000000000000000::hugeint // count(*))::varchar as mean, count(*) as n from lineitem group by 1")
 def compat_averages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = view(spark, sf_dir, "lineitem").grouped(["l_linestatus"], {"mean": A.Aggregate("avg", "l_tax"), "price": A.Aggregate("avg", "l_extendedprice")}, profile=P.COMPAT).df
-    return out.select("l_linestatus", F.round(F.col("price").cast("double"), 4).alias("mean"), F.lit(100).alias("digits"))
+    """Means have 100 significant digits; 24 digits after the point are compared."""
+    out = view(spark, sf_dir, "lineitem").grouped(["l_linestatus"], {"mean": A.Aggregate("avg", "l_extendedprice"), "n": A.Aggregate("count")}, profile=P.COMPAT).df
+    parts = F.split("mean", r"\.")
+    return out.select("l_linestatus", F.concat(parts[0], F.substring(F.rpad(F.coalesce(F.get(parts, F.lit(1)), F.lit("")), 24, "0"), 1, 24)).alias("mean"), "n")
 
 
 @query(f"with {O_SQL} select o_orderstatus, min(coalesce(note, '')) filter (false) as low, max(note) as high from o group by 1")
@@ -266,10 +287,33 @@ def double_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("l_linestatus", F.round("total", 2).alias("total"), F.round("mean", 6).alias("mean"), "n")
 
 
-@query("select event_type, max(value) as total, count(*) as n from events group by 1")
+@query("select event_type, sum(round(value * 100))::double as total, sum(round(value * 100)) / count(*) as mean, count(*) as n from events where value is not null group by 1")
 def user_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = exact.aggregate_algebra(table(spark, sf_dir, "events"), ["event_type"], "value", float("-inf"), max, None, "double")
-    return out.select("event_type", "total", "n")
+    cents = table(spark, sf_dir, "events").where("value is not null").select("event_type", F.round(F.col("value") * 100).alias("cents"))
+    return exact.aggregate_algebra(cents, ["event_type"], "cents", 0.0, operator.add, operator.truediv, "double")
+
+
+@query(f"""with {O_SQL} select note, case when note is not null then 2 when has_note then 1 else 0 end as state, count(*) as n from o
+ group by 1, 2 order by 2 desc, 1 desc limit 2 offset 5""")
+def groups_descending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sixth and seventh group of a descending order: the empty note, then null; missing ones would come last."""
+    out = orders(spark, sf_dir).query(group_by=["note"], aggregates={"n": A.Aggregate("count")}, order_by=[("note", "desc")], offset=5, limit=2)
+    return out.select("note", F.col("__state_note").alias("state"), "n")
+
+
+@query(f"with {O_SQL} select note, case when has_note then 1 else 0 end as state, count(*) as n from o where note is null group by 1, 2")
+def having_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = orders(spark, sf_dir).grouped(["note"], {"n": A.Aggregate("count")}, P.is_missing("note") | P.is_null("note"))
+    return v.df.withColumnRenamed("__state_note", "state")
+
+
+@query("""select p_type, count(*) as "rows", sum(p_size)::bigint as size, round(sum(p_retailprice::decimal(18,2))::double, 6) as price from part
+ group by 1 order by sum(p_size) desc, 1 desc limit 7""")
+def grid_groups_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = view(spark, sf_dir, "part")
+    v = View(v.df.withColumn("source_index", F.col("p_partkey")), v.schema)
+    grid = GridQuery(group_by=["p_type"], aggregates={"size": A.Aggregate("sum", "p_size"), "price": A.Aggregate("sum", "p_retailprice")}, order_by=[("size", "desc"), ("p_type", "desc")])
+    return grid.rows(v).limit(7).withColumn("size", F.col("size").cast("long")).withColumn("price", F.round("price", 6))
 
 
 @query("select p_brand, count(*) as \"rows\", sum(p_size)::bigint as size, min(p_name) as first_name from part where p_size > 5 group by 1")
@@ -360,9 +404,9 @@ def all_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- scalar functions (X1-X9) -----------------------------------------------------------------
 
 
-@query("select doc_id, md5(lower(strip_accents(text))) as plain, md5(strip_accents(text)) as cased from documents where lang in ('en', 'fr', 'es')")
+@query("select doc_id, md5(lower(strip_accents(text))) as plain, md5(strip_accents(text)) as cased from documents")
 def normalized_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = table(spark, sf_dir, "documents").where("lang in ('en', 'fr', 'es')")
+    df = table(spark, sf_dir, "documents")
     return df.select("doc_id", F.md5(normalized(F.col("text"))).alias("plain"), F.md5(normalized(F.col("text"), case_sensitive=True)).alias("cased"))
 
 
@@ -400,11 +444,10 @@ def scalar_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("select count(distinct o_orderpriority) as ids, count(distinct o_orderpriority) as groups, true as stable from orders")
+@query(f"""select 'gid1:' || lower(hex('["orders","{ORDERS.fingerprint()}","string","2","' || o_orderpriority || '"]')) as group_id, count(*) as n, true as stable from orders group by o_orderpriority""")
 def group_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids of groups are distinct, and the same whatever rows a group holds."""
+    """Ids of groups, which are the same whatever rows a group holds."""
     v = orders(spark, sf_dir)
-    ids = lambda v: v.grouped(["o_orderpriority"], {"n": A.Aggregate("count")}, with_id=True).df.select("group_id")
-    whole, part = ids(v), ids(v.where(P.gt("o_totalprice", 1000.0)))
-    other = part.join(whole, "group_id", "left_anti").agg((F.count("*") == 0).alias("stable"))
-    return whole.agg(F.count_distinct("group_id").alias("ids"), F.count("*").alias("groups")).withColumn("stable", other.scalar())
+    ids = lambda v: v.grouped(["o_orderpriority"], {"n": A.Aggregate("count")}, with_id=True).df.select("group_id", "n")
+    part = ids(v.where(P.gt("o_totalprice", 1000.0))).select(F.col("group_id").alias("again"))
+    return ids(v).join(part, F.col("group_id") == F.col("again"), "left").select("group_id", "n", F.col("again").isNotNull().alias("stable"))

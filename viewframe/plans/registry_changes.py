@@ -6,8 +6,6 @@ tombstone; the event's number is the offset.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,7 +19,8 @@ from viewframe.sources import identity
 from viewframe.sources.admission import admitted, quarantined, with_null_marker
 from viewframe.sources.rows import read_together, rendered
 from viewframe.sources.schema import Field, Schema, flat
-from viewframe.streaming.tables import MaintainedTable, change_stream, regrouped
+from viewframe.sources.scratch import scratch
+from viewframe.streaming.tables import MaintainedJoin, MaintainedTable, Measure, change_stream, regrouped
 
 LOG = "l as (select user_id as row_id, case when event_id % 10 = 0 then 'delete' else 'upsert' end as op, event_type, value, user_id % 4 as \"partition\", event_id as \"offset\", epoch_us(ts) // 1000 as ts_ms from events)"
 LAST = "z as (select *, row_number() over (partition by row_id order by \"offset\" desc) as n from l)"
@@ -59,9 +58,9 @@ def json_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", value.alias("value"))
 
 
-@query("select event_id, case event_id % 6 when 2 then 'not a JSON object of distinct members' when 3 then 'id: not a string' when 4 then 'k: not a finite number; z: unknown field' else '' end as errors from events where event_id % 6 <> 2")
+@query("select event_id, case event_id % 6 when 2 then 'not a JSON object of distinct members' when 3 then 'id: not a string' when 4 then 'k: not a finite number; z: unknown field' else '' end as errors from events")
 def admission(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = admitted(json_rows(spark, sf_dir), JSON_SCHEMA).where("event_id % 6 <> 2")
+    rows = admitted(json_rows(spark, sf_dir), JSON_SCHEMA)
     return rows.select("event_id", F.array_join("_errors", "; ").alias("errors"))
 
 
@@ -122,17 +121,20 @@ def fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.folded(change_log(spark, sf_dir)).select("row_id", "event_type", "value", "offset")
 
 
-@query(f"with {LOG.replace('from events)', 'from events where event_id <= 500)')}, {LAST} select row_id, event_type, value, \"offset\" from z where n = 1 and op = 'upsert'")
+@query(f"with {LOG}, h as (select * from l where \"offset\" * 2 <= (select max(event_id) from events)), {LAST.replace('from l)', 'from h)')} select row_id, event_type, value, \"offset\" from z where n = 1 and op = 'upsert'")
 def fold_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.folded(change_log(spark, sf_dir), as_of=F.col("offset") <= 500).select("row_id", "event_type", "value", "offset")
+    """The state in the middle of the log."""
+    log = change_log(spark, sf_dir)
+    return C.folded(log, as_of=F.col("offset") * 2 <= log.agg(F.max("offset")).scalar()).select("row_id", "event_type", "value", "offset")
 
 
 @query(f"with {LOG}, {LAST} select row_id, event_type, value from z where n = 1 and op = 'upsert'")
 def snapshot_and_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The state at a version, and then everything after it as one tail."""
-    log = change_log(spark, sf_dir)
-    snapshot = C.folded(log, as_of=F.col("offset") <= 500).select("row_id", "event_type", "value")
-    return C.applied(snapshot, log.where("offset > 500").select("row_id", "op", "event_type", "value", "offset"))
+    """The state at a version in the middle, and then everything after it as one tail that may have no gap."""
+    log = change_log(spark, sf_dir).withColumn("version", F.floor(F.col("offset") / 100))
+    middle = log.agg(F.floor(F.max("version") / 2)).first()[0]
+    snapshot = C.folded(log, as_of=F.col("version") <= middle).select("row_id", "event_type", "value")
+    return C.snapshot_and_tail(snapshot, log.where(F.col("version") > middle), middle, order=("offset",))
 
 
 @query(f"with {LOG}, z as (select *, row_number() over (partition by row_id order by \"offset\" desc) as n from l where \"offset\" >= 9000), b as (select c_custkey as row_id, c_mktsegment as event_type, c_acctbal as value from customer) select row_id, event_type, value from b where row_id not in (select row_id from z) union all select row_id, event_type, value from z where n = 1 and op = 'upsert'")
@@ -149,9 +151,20 @@ def unchanged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.unchanged(state, log.where("offset % 2 = 0"), ["event_type", "value"]).select("offset")
 
 
-@query(f"with {LOG}, p as (select *, lag(\"offset\") over (partition by \"partition\" order by \"offset\") as b from l) select \"offset\", case when b is null then 'first' when b + 1 = \"offset\" then 'next' else 'gap' end as audit from p")
+SENT = """s as (select "partition", "offset", "offset" * 4 as arrival, event_type, coalesce(value, 0) as value from l union all select "partition", "offset", "offset" * 4 + 1, event_type, coalesce(value, 0) from l where "offset" % 50 = 0
+ union all select "partition", "offset", "offset" * 4 + 2, event_type, coalesce(value, 0) + 1 from l where "offset" % 70 = 0 union all select "partition", "offset", "offset" * 4 + 4003, event_type, coalesce(value, 0) from l where "offset" % 90 = 0),
+ w as (select *, lag("offset") over o as b, lag(event_type) over o as t, lag(value) over o as v, max("offset") over (partition by "partition" order by arrival rows between unbounded preceding and 1 preceding) as newest from s window o as (partition by "partition" order by "offset", arrival))"""
+
+
+@query(f"""with {LOG}, {SENT} select arrival, case when newest - "offset" > 256 then 'stale' when b is null then 'first' when b = "offset" then case when t is not distinct from event_type and v = value then 'replay' else 'conflict' end
+ when b + 1 = "offset" then 'next' else 'gap' end as audit from w""")
 def audited(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.audited(change_log(spark, sf_dir), ["event_type", "value"]).select("offset", "audit")
+    """The log with records that were sent again, sent again with another payload, or sent again much later."""
+    log = change_log(spark, sf_dir).select("partition", "offset", "event_type", F.coalesce("value", F.lit(0.0)).alias("value"))
+    n = F.col("offset")
+    sent = log.withColumn("arrival", n * 4).unionByName(log.where(n % 50 == 0).withColumn("arrival", n * 4 + 1))
+    sent = sent.unionByName(log.where(n % 70 == 0).withColumn("value", F.col("value") + 1).withColumn("arrival", n * 4 + 2)).unionByName(log.where(n % 90 == 0).withColumn("arrival", n * 4 + 4003))
+    return C.audited(sent, ["event_type", "value"]).select("arrival", "audit")
 
 
 @query("select user_id as row_id, min(event_id % 3) as partition_a, max(event_id % 3) as partition_b from events group by 1 having min(event_id % 3) <> max(event_id % 3)")
@@ -218,12 +231,22 @@ def reconstructed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.reconstructed(old, delta, rows, 1, 1, "o_orderkey")
 
 
-@query(f"with {V1}, {V2}, j as (select b.o_orderkey, a.price as ap, b.price as bp, a.status as ast, b.status as bst from a join b using (o_orderkey)) select o_orderkey, 'status' as path, 'set' as op, bst as value from j where ast <> bst")
+@query(f"with {WINDOWS}, n as (select count(*) as operations, count(*) filter (change not in ('remove', 'move')) as payloads from d where change is not null) select operations, payloads, (select count(*) from wb) as \"rows\", operations > 4096 or (payloads > 8 and 2 * payloads >= (select count(*) from wb)) as snapshot from n")
+def delta_or_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old, new = windows(spark, sf_dir)
+    return C.window_operations(C.window_diff(old, new, ["price", "status"], "o_orderkey"), new)
+
+
+@query(f"""with {V1}, {V2}, j as (select b.o_orderkey, a.price::decimal(18,2) as ap, b.price::decimal(18,2) as bp, a.status as ast, b.status as bst from a join b using (o_orderkey))
+ select o_orderkey, 'status' as path, 'set' as op, bst as value from j where ast <> bst union all select o_orderkey, 'price', 'set', bp::varchar from j where ap <> bp""")
 def field_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.field_patches(*versions(spark, sf_dir), ["price", "status"], "o_orderkey").where("path = 'status'")
+    old, new = (v.withColumn("price", F.col("price").cast("decimal(18,2)")) for v in versions(spark, sf_dir))
+    return C.field_patches(old, new, ["price", "status"], "o_orderkey")
 
 
-@query("select unnest(['new', 'rich', 'x']) as query_id")
+@query(f"""with {V1}, {V2}, d as (select o_orderkey from (select * from a except select * from b) union select o_orderkey from (select * from b except select * from a)),
+ i as (select * from a where o_orderkey in (select * from d) union all select * from b where o_orderkey in (select * from d))
+ select distinct q as query_id from (select unnest([case when status = 'N' then 'new' end, case when price > 1000 then 'rich' end, case when status = 'X' then 'x' end, case when price < -1 then 'none' end]) as q from i) where q is not null""")
 def changed_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     old, new = versions(spark, sf_dir)
     schema = flat("o_orderkey", ("o_orderkey", "int64"), ("price", "number"), ("status", "string"))
@@ -248,13 +271,19 @@ def retained_by_age(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select event_id, user_id from events order by event_id desc limit 500")
 def retained_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.newest(timed(spark, sf_dir), "event_id", 500).select("event_id", "user_id")
+    return R.newest(timed(spark, sf_dir), "event_id", 500, "event_id").select("event_id", "user_id")
+
+
+@query("select event_id, user_id from events order by user_id desc, event_id limit 500")
+def retained_newest_of_equals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Many rows share their place in the order; exactly so many stay."""
+    return R.newest(timed(spark, sf_dir), "user_id", 500, "event_id").select("event_id", "user_id")
 
 
 @query(f"with {MS}, k as (select *, row_number() over (partition by user_id order by event_id desc) as n from e where ms + {AGE} > {REFERENCE}) select event_id, user_id from k where n <= 3")
 def retained_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     policy = R.Policy(max_age_ms=AGE, max_rows_per_key=3, cleanup="compact")
-    return R.retained(timed(spark, sf_dir), policy, F.col("ms"), "event_id", "user_id", REFERENCE).select("event_id", "user_id")
+    return R.retained(timed(spark, sf_dir), policy, F.col("ms"), "event_id", "user_id", REFERENCE, "event_id").select("event_id", "user_id")
 
 
 @query(f"with {MS} select event_id, case when ms > {REFERENCE} + 300000 then 'error' when ms + {AGE} <= {REFERENCE} then 'expired' else 'live' end as state from e")
@@ -262,9 +291,9 @@ def admission_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timed(spark, sf_dir).select("event_id", R.admission_state(F.col("ms"), AGE, REFERENCE).alias("state"))
 
 
-@query(f"with {MS} select event_id, 'delete' as op from e where ms + {AGE} <= {REFERENCE}")
+@query(f"with {MS} select event_id, 'delete' as op, (row_number() over (order by ms, event_id) - 1) // 256 as chunk from e where ms + {AGE} <= {REFERENCE}")
 def expiry_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.expiry_changes(timed(spark, sf_dir), "event_id", F.col("ms"), AGE, REFERENCE).select("event_id", "op")
+    return R.expiry_changes(timed(spark, sf_dir), "event_id", F.col("ms"), AGE, REFERENCE)
 
 
 # ---- edits and audits (E1-E3, Q1-Q6) ----------------------------------------------------------
@@ -284,12 +313,38 @@ def edit_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edits.conflicts(df, changes, ["c_mktsegment"], "c_custkey")
 
 
-@query("select c_custkey, c_custkey % 4 <> 0 as accepted from customer where c_custkey % 2 = 0")
+CELLS = """c as (select c_custkey, c_custkey % 100 as row_version, c_mktsegment, c_nationkey from customer),
+ d as (select c_custkey, row_version + case when c_custkey % 4 = 0 then 1 else 0 end as expected_version, 'c_mktsegment' as path, case when c_custkey % 6 = 0 then 'other' else c_mktsegment end as "before", 'EDITED' as "after" from c where c_custkey % 2 = 0
+  union all select c_custkey, row_version, 'c_nationkey', c_nationkey::varchar, '99' from c where c_custkey % 10 < 3),
+ v as (select d.*, bool_and(expected_version = row_version and "before" = case when path = 'c_nationkey' then c_nationkey::varchar else c_mktsegment end) over (partition by c_custkey) as accepted from d join c using (c_custkey))"""
+
+
+def customer_cells(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    df, k = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") % 100).alias("row_version"), "c_mktsegment", "c_nationkey"), F.col("c_custkey")
+    cell = lambda rows, version, path, before, after: rows.select("c_custkey", version.alias("expected_version"), F.lit(path).alias("path"), before.alias("before"), F.lit(after).alias("after"))
+    segments = cell(df.where(k % 2 == 0), F.col("row_version") + F.when(k % 4 == 0, 1).otherwise(0), "c_mktsegment", F.when(k % 6 == 0, "other").otherwise(F.col("c_mktsegment")), "EDITED")
+    return df, segments.unionByName(cell(df.where(k % 10 < 3), F.col("row_version"), "c_nationkey", F.col("c_nationkey").cast("string"), "99"))
+
+
+@query(f"with {CELLS} select c_custkey, path, accepted from v")
 def versioned_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") % 100).alias("row_version"))
-    stale = F.when(F.col("c_custkey") % 4 == 0, 1).otherwise(0)
-    cells = df.where("c_custkey % 2 = 0").select("c_custkey", (F.col("row_version") + stale).alias("expected_version"))
-    return edits.versioned_edits(df, cells, "c_custkey").select("c_custkey", "accepted")
+    return edits.versioned_edits(*customer_cells(spark, sf_dir), "c_custkey").select("c_custkey", "path", "accepted")
+
+
+@query(f"""with {CELLS}, g as (select c_custkey, max("after") filter (path = 'c_mktsegment') as seg, max("after") filter (path = 'c_nationkey') as nat from v where accepted group by 1)
+ select c_custkey, (row_version + case when g.c_custkey is null then 0 else 1 end)::bigint as row_version, coalesce(seg, c_mktsegment) as c_mktsegment, coalesce(nat::bigint, c_nationkey) as c_nationkey from c left join g using (c_custkey)""")
+def edited_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df, cells = customer_cells(spark, sf_dir)
+    return edits.cells_applied(df, edits.versioned_edits(df, cells, "c_custkey"), "c_custkey").withColumn("c_nationkey", F.col("c_nationkey").cast("long"))
+
+
+@query("select c_custkey, 'identity' as reason from customer where c_custkey % 9 = 0 and c_custkey % 2 = 0")
+def identity_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edits that would change what a row is known by; deletes do not."""
+    df, k = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment"), F.col("c_custkey")
+    name = F.when(k % 2 == 0, "renamed").otherwise(F.col("c_name"))
+    changes = df.where(k % 9 == 0).select("c_custkey", F.struct("c_name", "c_mktsegment").alias("expected"), name.alias("c_name"), F.lit("EDITED").alias("c_mktsegment"))
+    return edits.conflicts(df, changes, ["c_name", "c_mktsegment"], "c_custkey", identity=["c_name"])
 
 
 @query("""with c as (select c_custkey, c_mktsegment as base, case when c_custkey % 2 = 0 then 'mine' else c_mktsegment end as mine, case when c_custkey % 3 = 0 then 'mine' when c_custkey % 5 = 0 then 'theirs' else c_mktsegment end as server from customer)
@@ -310,7 +365,8 @@ def table_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.digest_of(table(spark, sf_dir, "orders").select(F.sha2(row, 256).alias("d")), "d")
 
 
-@query()
+@query("""with l as (select o_orderkey::varchar as id, sha256(o_orderkey || chr(9) || o_custkey || chr(9) || '{"o_orderkey":' || o_orderkey || ',"o_orderstatus":"' || o_orderstatus || '"}') as h from orders),
+ r as (select h, row_number() over (order by id, h) - 1 as i from l), a as (select i // 4096 as b, sha256(string_agg(h, chr(10) order by i)) as h from r group by 1) select case when count(*) = 1 then min(h) else sha256(string_agg(h, chr(10) order by b)) end as hash from a""")
 def ordered_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.ordered_hash(table(spark, sf_dir, "orders"), "o_orderkey", "o_custkey", ["o_orderkey", "o_orderstatus"])
 
@@ -347,56 +403,113 @@ def regrouped_after_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- streams ----------------------------------------------------------------------------------
 
 TABLE = T.StructType([T.StructField("row_id", T.LongType()), T.StructField("event_type", T.StringType()), T.StructField("value", T.DoubleType()), T.StructField("offset", T.LongType()), T.StructField("ts_ms", T.LongType())])
-CHANGES = T.StructType([T.StructField("row_id", T.LongType()), T.StructField("op", T.StringType()), *TABLE.fields[1:]])
-BATCHES = 3
 
 
-def shared(spark: SparkSession) -> str:
-    """A new folder beside the checkpoints that the session names."""
-    import tempfile
-
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{named or tempfile.mkdtemp(prefix='spark-stream-')}/stream-{uuid.uuid4().hex}"
+def maintained(spark: SparkSession, log: DataFrame, schema: T.StructType = TABLE, batches: tuple[int, ...] = (0, 1, 2), refresh=None, **options) -> MaintainedTable:
+    """A change log that arrives in thirds by offset, in the order of batches, streamed into a maintained table as each has landed."""
+    folder = scratch(spark, "stream")
+    changes = T.StructType([*schema.fields, T.StructField("op", T.StringType())])
+    out = MaintainedTable(spark, f"{folder}/table", schema, **options)
+    last = log.agg(F.max("offset")).scalar()
+    third = F.floor(F.col("offset") * len(batches) / (last + 1))
+    for k in batches:
+        log.where(third == k).select(*changes.names).write.mode("append").parquet(f"{folder}/log")
+        out.run(change_stream(spark, f"{folder}/log", changes, files_per_batch=100_000), f"{folder}/checkpoint")
+        if refresh:
+            refresh(out)
+    return out
 
 
-def maintained(spark: SparkSession, sf_dir: str, max_age_ms: int | None = None) -> MaintainedTable:
-    """The change log as files, streamed a file a batch into a maintained table with a grouped view."""
-    folder = shared(spark)
-    log = change_log(spark, sf_dir).select(*CHANGES.names)
-    bounds = log.agg(F.max("offset").alias("last")).first()["last"]
-    for k in range(BATCHES):  # one after the other: files are streamed in the order of their times
-        part = log.where((F.col("offset") * BATCHES >= k * (bounds + 1)) & (F.col("offset") * BATCHES < (k + 1) * (bounds + 1)))
-        part.coalesce(1).write.mode("append").parquet(f"{folder}/log")
-    views = {"by_type": (["event_type"], {"n": F.count("*"), "high": F.max("value")})}
-    out = MaintainedTable(spark, f"{folder}/table", TABLE, views=views, max_age_ms=max_age_ms)
-    out.run(change_stream(spark, f"{folder}/log", CHANGES), f"{folder}/checkpoint")
-    return out
+BY_TYPE = {"by_type": (["event_type"], {"n": Measure("count"), "high": Measure("max", "value")})}
 
 
 @query(f"with {LOG}, {LAST} select row_id, event_type, value, \"offset\", ts_ms from z where n = 1 and op = 'upsert'")
 def stream_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = maintained(spark, sf_dir)
+    out = maintained(spark, change_log(spark, sf_dir), views=BY_TYPE)
     return out.read("table", out.version())
 
 
 @query(f"with {LOG}, {LAST} select event_type, count(*) as n, max(value) as high from z where n = 1 and op = 'upsert' group by 1")
 def stream_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = maintained(spark, sf_dir)
+    out = maintained(spark, change_log(spark, sf_dir), views=BY_TYPE)
     return out.read("by_type", out.version())
 
 
 @query(f"with {LOG}, {LAST}, m as (select max(ts_ms) as now from l) select row_id, event_type, value, \"offset\", ts_ms from z, m where n = 1 and op = 'upsert' and ts_ms + {AGE} > now")
 def stream_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = maintained(spark, sf_dir, AGE)
+    out = maintained(spark, change_log(spark, sf_dir), views=BY_TYPE, policy=R.Policy(max_age_ms=AGE))
     return out.read("table", out.version())
 
 
-@query("select 0::bigint as disagreements")
+@query(f"with {LOG}, {LAST} select event_type, count(*) as n, max(value) as high, true as agrees from z where n = 1 and op = 'upsert' group by 1")
 def stream_recomputed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The maintained view against one computed from the log at once: no row may differ."""
-    out = maintained(spark, sf_dir)
-    state = C.folded(change_log(spark, sf_dir))
-    again = state.groupBy("event_type").agg(F.count("*").alias("n"), F.max("value").alias("high"))
-    return audit.disagreements(out.read("by_type", out.version()), again).agg(F.count("*").alias("disagreements"))
+    """The maintained groups beside those computed from the log at once."""
+    out = maintained(spark, change_log(spark, sf_dir), views=BY_TYPE)
+    again = C.folded(change_log(spark, sf_dir)).groupBy("event_type").agg(F.count("*").alias("n"), F.max("value").alias("high"))
+    found = out.read("by_type", out.version())
+    odd = audit.disagreements(found, again).select(F.col("event_type").alias("odd")).distinct()
+    return found.join(odd, found["event_type"].eqNullSafe(odd["odd"]), "left").select("event_type", "n", "high", F.col("odd").isNull().alias("agrees"))
+
+
+SINGLE = T.StructType([T.StructField("row_id", T.LongType()), T.StructField("user_id", T.LongType()), *TABLE.fields[1:]])
+
+
+def single_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log in which each event is a row of its own."""
+    return timed(spark, sf_dir).select(F.col("event_id").alias("row_id"), "user_id", "event_type", "value", F.col("event_id").alias("offset"), F.col("ms").alias("ts_ms"), F.lit("upsert").alias("op"), (F.col("user_id") % 4).alias("partition"))
+
+
+@query(f"with {MS} select event_id as row_id, user_id from e where ms + {AGE} > (select max(ms) from e)")
+def stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second third of the log comes last, and does not bring back what has expired."""
+    out = maintained(spark, single_events(spark, sf_dir), SINGLE, batches=(0, 2, 1), policy=R.Policy(max_age_ms=AGE))
+    return out.read("table", out.version()).select("row_id", "user_id")
 
 
+@query("select event_id as row_id, user_id from (select *, row_number() over (partition by user_id order by event_id desc) as n from events) where n <= 3")
+def stream_retained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest three rows of each user."""
+    policy = R.Policy(max_rows_per_key=3, cleanup="compact")
+    out = maintained(spark, single_events(spark, sf_dir), SINGLE, policy=policy, key_column="user_id")
+    return out.read("table", out.version()).select("row_id", "user_id")
+
+
+@query("select event_id as row_id, user_id, case when c_custkey % 50 = 0 then 'MOVED' else c_mktsegment end as segment from events left join customer on user_id = c_custkey")
+def stream_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with their customers, both maintained; customers move while events come in. Only what changed is joined again."""
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("row_id"), F.col("c_mktsegment").alias("segment"), F.lit(0).cast("long").alias("offset"), F.lit("upsert").alias("op"))
+    schema = T.StructType([T.StructField("row_id", T.LongType()), T.StructField("segment", T.StringType()), T.StructField("offset", T.LongType())])
+    right = MaintainedTable(spark, f"{scratch(spark, 'stream')}/table", schema)
+    view: list[MaintainedJoin] = []
+
+    def refresh(left: MaintainedTable) -> None:
+        if not view:
+            view.append(MaintainedJoin(left, right, f"{scratch(spark, 'stream')}/view", "user_id"))
+            assert view[0].refresh() is None  # the right table has no version yet
+            right.apply(customers, 0)
+        elif right.version() == 0:
+            right.apply(customers.where("row_id % 50 = 0").withColumn("segment", F.lit("MOVED")), 1)
+        view[0].refresh()
+
+    maintained(spark, single_events(spark, sf_dir), SINGLE, refresh=refresh)
+    return view[0].read(view[0].store.version()).select("row_id", "l.user_id", "r.segment")
+
+
+@query("select event_id as row_id, value from events where value is not null order by value desc, event_id limit 50")
+def stream_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A window that is subscribed to, put together from the snapshot and the deltas that were sent."""
+    top = lambda df: order.numbered(df.where("value is not null").select("row_id", "value"), [F.col("value").desc(), F.col("row_id").asc()], 0, 50)
+    out = maintained(spark, single_events(spark, sf_dir), SINGLE, windows={"top": top})
+    return out.received("top", out.version()).select("row_id", "value")
+
+
+@query(f"with {LOG}, {LAST} select row_id, event_type, value, \"offset\" from z where n = 1 and op = 'upsert'")
+def stream_audited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every batch brings the last records of the one before again; they are told by their offsets and skipped."""
+    schema = T.StructType([*TABLE.fields, T.StructField("partition", T.LongType())])
+    log = change_log(spark, sf_dir).select(*schema.names, "op")
+    out = MaintainedTable(spark, f"{scratch(spark, 'stream')}/table", schema, source=("partition", "offset"))
+    last = log.agg(F.max("offset")).first()[0] + 1
+    for k in range(3):
+        out.apply(log.where((F.col("offset") >= k * last // 3 - 50) & (F.col("offset") < (k + 1) * last // 3)), k)
+    return out.read("table", out.version()).select("row_id", "event_type", "value", "offset")

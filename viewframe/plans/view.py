@@ -37,8 +37,8 @@ class View:
         """A computed column: can be selected, not filtered, sorted or grouped by."""
         return replace(self, computed={**self.computed, name: column})
 
-    def enrich(self, right: View, left_key: str, right_key: str, how: str = "left", left_alias: str = "l", right_alias: str = "r", validate: bool = True) -> View:
-        df = joins.enrich(self.df, right.df, self.schema, right.schema, left_key, right_key, how, left_alias, right_alias, validate)
+    def enrich(self, right: View, left_key: str, right_key: str, how: str = "left", left_alias: str = "l", right_alias: str = "r", validate: bool = True, per_key: int | None = None, max_output: int | None = None) -> View:
+        df = joins.enrich(self.df, right.df, self.schema, right.schema, left_key, right_key, how, left_alias, right_alias, validate, per_key, max_output)
         return View(df, joins.joined_schema(self.schema, right.schema, left_alias, right_alias, how), f"{self.topic}+{right.topic}")
 
     def select(self, paths: Sequence[str]) -> DataFrame:
@@ -67,14 +67,18 @@ class View:
     def grouped(self, group_by: Sequence[str], aggregates: Mapping[str, A.Aggregate], having: Predicate | None = None, profile: str = "native", with_id: bool = False) -> View:
         """Groups as a view over keys and aggregates, so that having, sorts and windows use the same words."""
         out = A.aggregate(self.df, self.schema, group_by, aggregates, profile)
-        fields = [replace(self.schema[p], path=p.replace(".", "__"), optional=False, nullable=True) for p in group_by]
-        fields += [Field(a, result_kind(self.schema, x), False, True, type=out.schema[a].dataType) for a, x in aggregates.items()]
+        fields = [replace(self.schema[p], path=p.replace(".", "__"), held=A.state_name(p) if self.schema[p].has_companion else None) for p in group_by]
+        fields += [Field(a, result_kind(self.schema, x), False, self.may_be_null(x, group_by), type=out.schema[a].dataType) for a, x in aggregates.items()]
         out = out.withColumn("group_id", A.group_id(self.topic, self.schema, group_by)) if with_id else out
         schema = Schema((*fields, Field("group_id", "string")), "group_id")
         if having is not None:
             out = out.where(having.compile(schema, profile))
         return View(out, schema, self.topic)
 
+    def may_be_null(self, a: A.Aggregate, group_by: Sequence[str]) -> bool:
+        """Averages and extremes, where a group may be without values."""
+        return a.op in ("avg", "min", "max") and (not group_by or self.schema[a.path].optional or self.schema[a.path].nullable)
+
     def query(self, select: Sequence[str] | None = None, where: Predicate | None = None, group_by: Sequence[str] | None = None, aggregates: Mapping[str, A.Aggregate] | None = None, having: Predicate | None = None, order_by: Sequence[order.Order] = (), offset: int = 0, limit: int | None = None, profile: str = "native", total: bool = False) -> DataFrame:
         """The window of a query; total adds total_rows, the count before pagination."""
         view = self.where(where, profile=profile)

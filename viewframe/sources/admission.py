@@ -74,7 +74,8 @@ def admitted(df: DataFrame, schema: Schema, json: str = "value") -> DataFrame:
         F.when(F.octet_length(json) > MAX_ROW_BYTES, "row too large"),
         F.when(F.octet_length(_raw(key)) > MAX_KEY_BYTES, "key too long"),
     ]
-    errors = F.concat(F.array_compact(F.array(*whole, *(p for f in schema.fields for p in problems(f)))), unknown)
+    errors = F.concat(F.array_compact(F.array(*whole[1:], *(p for f in schema.fields for p in problems(f)))), unknown)
+    errors = F.when(F.col("__v").isNull(), F.array_compact(F.array(*whole[:2]))).otherwise(errors)  # fields of what can't be read are not judged
     values = {f.path: value_of(f) for f in schema.fields}
     companions = [(~_at(f).isNull()).alias(f.companion) for f in schema.fields if f.has_companion]
 

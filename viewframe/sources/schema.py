@@ -29,6 +29,7 @@ class Field:
     nullable: bool = False
     domain: Mapping[str, int] = field(default_factory=dict, hash=False)  # labels of an enum; several may share a code
     type: T.DataType | None = field(default=None, hash=False)  # another Spark type for the kind
+    held: str | None = None  # a column that holds the state, as groups have it for their keys
 
     @property
     def companion(self) -> str:
@@ -36,7 +37,7 @@ class Field:
 
     @property
     def has_companion(self) -> bool:
-        return self.optional and self.nullable
+        return self.optional and self.nullable and not self.held
 
     @property
     def spark_type(self) -> T.DataType:
@@ -48,7 +49,9 @@ class Field:
 
     @property
     def present(self) -> Column:
-        """Neither missing; a null that may stand there is present."""
+        """Not missing; a null that may stand there is present."""
+        if self.held:
+            return F.col(self.held) > 0
         if self.has_companion:
             return F.coalesce(F.col(self.companion), F.lit(False))
         return self.column.isNotNull() if self.optional else F.lit(True)
@@ -64,6 +67,8 @@ class Field:
     @property
     def state(self) -> Column:
         """0 missing, 1 null, 2 value: the native order."""
+        if self.held:
+            return F.col(self.held)
         return F.when(self.column.isNotNull(), 2).when(self.present, 1).otherwise(0)
 
 

@@ -1,12 +1,16 @@
 """Maintained tables and views on Structured Streaming.
 
-A micro-batch is a version. foreachBatch writes the new snapshot into a folder of its own and then
-the batch's deltas, so readers never see part of a version and a repeated batch writes the same
-again. Views are refreshed by recomputing what a batch touches: groups, or left rows of join keys.
+A micro-batch is a version. A version writes only what it changes: the last image per touched row, and the
+images before and after, from which deltas and groups follow. The state of a version is the newest base table
+at or before it with the changes since laid over it; a new base is written once the changes have grown to a share
+of it, so a row is rewritten a bounded number of times. A version is marked as done last, in one small
+file that also holds what the next one needs to know; readers never see part of a version, and a batch
+that is given again writes the same again.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -15,7 +19,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from viewframe.operators import changes as C
+from viewframe.operators import joins
 from viewframe.operators import retention as R
+from viewframe.sources.scratch import removed
+
+#: A base is written anew when the changes since reach this share of its rows, or so many versions.
+SHARE, MOST_VERSIONS = 0.5, 16
+#: So many versions are kept for readers.
+KEPT = 8
 
 
 def regrouped(groups: DataFrame, table: DataFrame, touched: DataFrame, keys: Sequence[str], aggregates: Mapping[str, Column]) -> DataFrame:
@@ -30,68 +41,304 @@ def regrouped(groups: DataFrame, table: DataFrame, touched: DataFrame, keys: Seq
     return groups.join(hit, same(groups), "left_anti").unionByName(again)
 
 
+@dataclass(frozen=True)
+class Measure:
+    op: str  # count, sum (exact kinds), min, max
+    column: str | None = None
+
+    def whole(self) -> Column:
+        return F.count("*") if self.op == "count" else {"sum": F.sum, "min": F.min, "max": F.max}[self.op](self.column)
+
+
+def regrouped_by_difference(groups: DataFrame, table: DataFrame, images: DataFrame, keys: Sequence[str], measures: Mapping[str, Measure]) -> DataFrame:
+    """Groups with __rows after changes (A24), from what came and went alone.
+
+    Counts and sums add up. An extreme is only looked for in the table, in its own group, where a row that held it
+    has gone and none that came is as far out. images: o and n, the rows before and after.
+    """
+    old = images.where("o is not null").select("o.*", F.lit(-1).alias("__w"))
+    new = images.where("n is not null").select("n.*", F.lit(1).alias("__w"))
+    parts = []
+    for name, m in measures.items():
+        if m.op in ("min", "max"):
+            extreme = F.min if m.op == "min" else F.max
+            parts += [extreme(F.when(F.col("__w") < 0, F.col(m.column))).alias(f"__gone_{name}"), extreme(F.when(F.col("__w") > 0, F.col(m.column))).alias(f"__came_{name}")]
+        else:
+            parts.append(F.sum("__w" if m.op == "count" else F.col("__w") * F.col(m.column)).alias(f"__d_{name}"))
+    difference = old.unionByName(new).groupBy(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys))).agg(F.sum("__w").alias("__d"), *parts)
+    same = lambda left, right: [left[k].eqNullSafe(right[f"__k{i}"]) for i, k in enumerate(keys)]
+    both = groups.join(difference, same(groups, difference), "full_outer").withColumn("__rows", F.coalesce("__rows", F.lit(0)) + F.coalesce("__d", F.lit(0)))
+    shown, lost = [F.coalesce(F.col(k), F.col(f"__k{i}")).alias(k) for i, k in enumerate(keys)], F.lit(False)
+    for name, m in measures.items():
+        if m.op in ("min", "max"):
+            pick = F.least if m.op == "min" else F.greatest
+            out = pick(F.col(name), F.col(f"__came_{name}"))
+            lost = lost | F.coalesce(F.col(f"__gone_{name}").eqNullSafe(F.col(name)) & ~(F.col(f"__came_{name}").eqNullSafe(out)) & F.col(name).isNotNull(), F.lit(False))
+        else:
+            out = F.coalesce(F.col(name), F.lit(0)) + F.coalesce(F.col(f"__d_{name}"), F.lit(0))
+        shown.append(out.cast(groups.schema[name].dataType).alias(name))
+    merged = both.where("__rows > 0").select(*shown, "__rows", lost.alias("__lost"))
+    if not any(m.op in ("min", "max") for m in measures.values()):
+        return merged.drop("__lost")
+    hit = merged.where("__lost").select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)))
+    again = table.join(hit, same(table, hit), "left_semi").groupBy(*keys).agg(*(m.whole().cast(groups.schema[n].dataType).alias(n) for n, m in measures.items()), F.count("*").alias("__rows"))
+    return merged.where("not __lost").drop("__lost").unionByName(again)
+
+
+class Store:
+    """Versions of a keyed table as bases and changes."""
+
+    def __init__(self, spark: SparkSession, folder: str, schema: T.StructType):
+        self.spark, self.folder, self.schema = spark, folder, schema
+        self.columns = [c for c in schema.names if c != "row_id"]
+        row = T.StructType([T.StructField(c, schema[c].dataType) for c in schema.names])
+        self.change_schema = T.StructType([*row.fields, T.StructField("op", T.StringType())])
+        self.image_schema = T.StructType([schema["row_id"], T.StructField("o", row), T.StructField("n", row)])
+
+    def path(self, what: str, version: int) -> str:
+        return f"{self.folder}/{what}/version={version}"
+
+    def _file(self, version: int):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/done/{version}.json")
+        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def version(self) -> int:
+        """The newest version that was written whole, -1 if there is none."""
+        path, fs = self._file(0)
+        if not fs.exists(path.getParent()):
+            return -1
+        names = [s.getPath().getName() for s in fs.listStatus(path.getParent())]
+        return max((int(n.removesuffix(".json")) for n in names if n.endswith(".json")), default=-1)
+
+    def known(self, version: int) -> dict:
+        """What a version's marker says."""
+        if version < 0:
+            return {"base": -1, "base_rows": 0, "changed": 0}
+        path, fs = self._file(version)
+        stream = fs.open(path)
+        try:
+            return json.loads(bytes(self.spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode())
+        finally:
+            stream.close()
+
+    def done(self, version: int, known: dict) -> None:
+        path, fs = self._file(version)
+        stream = fs.create(path, True)
+        stream.write(bytearray(json.dumps(known).encode()))
+        stream.close()
+
+    def empty(self, schema: T.StructType) -> DataFrame:
+        return self.spark.createDataFrame([], schema)
+
+    def changes(self, first: int, last: int) -> DataFrame:
+        """Last images per row of versions first to last, with their version."""
+        if first > last:
+            return self.empty(self.change_schema).withColumn("version", F.lit(0))
+        paths = [self.path("changes", v) for v in range(first, last + 1)]
+        schema = T.StructType([*self.change_schema.fields, T.StructField("version", T.IntegerType())])
+        return self.spark.read.schema(schema).option("basePath", f"{self.folder}/changes").parquet(*paths)
+
+    def state(self, version: int, more: DataFrame | None = None) -> DataFrame:
+        """The table at a version; more: changes to lay over it."""
+        base = self.known(version)["base"] if version >= 0 else -1
+        rows = self.empty(self.schema) if base < 0 else self.spark.read.schema(self.schema).parquet(self.path("base", base))
+        over = self.changes(base + 1, version)
+        if more is not None:
+            over = over.unionByName(more.select(*self.change_schema.names, F.lit(version + 1).alias("version")))
+        elif base == version:
+            return rows
+        last = C.latest(over, order=("version",))
+        return rows.join(last.select("row_id"), "row_id", "left_anti").unionByName(last.where(F.col("op") == C.UPSERT).select(*self.schema.names))
+
+    def put(self, changes: DataFrame, version: int) -> DataFrame:
+        changes.select(*self.change_schema.names).write.mode("overwrite").parquet(self.path("changes", version))
+        return self.spark.read.schema(self.change_schema).parquet(self.path("changes", version))
+
+    def imaged(self, changes: DataFrame, version: int) -> DataFrame:
+        """Rows (row_id, o, n) of what a version changes, as a table of its own. Rows that stay as they are are left out."""
+        row = F.struct(*self.schema.names)
+        before = self.state(version - 1).join(changes.select("row_id"), "row_id", "left_semi").select(F.col("row_id").alias("__id"), row.alias("o"))
+        both = changes.select("row_id", F.when(F.col("op") == C.UPSERT, row).alias("n")).join(before, F.col("row_id") == F.col("__id"), "left")
+        both.where(~F.col("o").eqNullSafe(F.col("n"))).select("row_id", "o", "n").write.mode("overwrite").parquet(self.path("images", version))
+        return self.images(version, version)
+
+    def images(self, first: int, last: int) -> DataFrame:
+        return self.spark.read.schema(self.image_schema).parquet(*(self.path("images", v) for v in range(first, last + 1)))
+
+    def finish(self, version: int, changed: int, more: dict) -> None:
+        """Perhaps a new base; then the marker; then versions that nobody needs go."""
+        known = self.known(version - 1)
+        base, changed = known["base"], known["changed"] + changed
+        if base < 0 or changed > SHARE * known["base_rows"] or version - base >= MOST_VERSIONS:
+            self.state_now(version, base).write.mode("overwrite").parquet(self.path("base", version))
+            known = {"base": version, "base_rows": self.spark.read.parquet(self.path("base", version)).count(), "changed": 0}
+        else:
+            known = known | {"changed": changed}
+        self.done(version, known | more)
+        if (gone := version - KEPT) >= 0:
+            needed = self.known(gone + 1)["base"]  # of the oldest version that is kept
+            removed(self.spark, self.path("images", gone), self.path("delta", gone), *(self.path("changes", v) for v in range(max(0, gone - KEPT - MOST_VERSIONS), gone + 1) if v <= needed), *(self.path("base", v) for v in range(max(0, gone - KEPT - MOST_VERSIONS), gone + 1) if v < needed))
+
+    def state_now(self, version: int, base: int) -> DataFrame:
+        """The table at a version that is not marked yet, over an older base."""
+        last = C.latest(self.changes(base + 1, version), order=("version",))
+        fresh = last.where(F.col("op") == C.UPSERT).select(*self.schema.names)
+        if base < 0:
+            return fresh
+        return self.spark.read.schema(self.schema).parquet(self.path("base", base)).join(last.select("row_id"), "row_id", "left_anti").unionByName(fresh)
+
+
 @dataclass
 class MaintainedTable:
-    """A table folded from a stream of changes, with grouped views over it."""
+    """A table folded from a stream of changes, with grouped views over it and windows that are subscribed to."""
 
     spark: SparkSession
     folder: str
     schema: T.StructType  # of the table: row_id and payload
     order: Sequence[str] = ("offset",)
-    views: Mapping[str, tuple[Sequence[str], Mapping[str, Column]]] = field(default_factory=dict)
+    views: Mapping[str, tuple[Sequence[str], Mapping[str, Measure]]] = field(default_factory=dict)
     on_delta: Callable[[DataFrame, int], None] | None = None
-    max_age_ms: int | None = None  # R8: rows older than that leave with the batch whose reference time passes it
+    policy: R.Policy | None = None  # rows that it drops leave with the batch that makes them due
     time_column: str = "ts_ms"
+    key_column: str = "row_id"  # of a policy that counts per key
+    source: tuple[str, str] | None = None  # partition and offset columns; if given, batches are audited before they are applied
+    windows: Mapping[str, Callable[[DataFrame], DataFrame]] = field(default_factory=dict)  # of the table: numbered windows of at most 4096 rows
 
-    def path(self, what: str, version: int) -> str:
-        return f"{self.folder}/{what}/version={version}"
-
-    def read(self, what: str, version: int, schema: T.StructType | None = None) -> DataFrame:
-        if version < 0:
-            return self.spark.createDataFrame([], schema or self.schema)
-        return self.spark.read.schema(schema or self.schema).parquet(self.path(what, version)) if schema or what == "table" else self.spark.read.parquet(self.path(what, version))
+    def __post_init__(self) -> None:
+        self.store = Store(self.spark, self.folder, self.schema)
 
     def version(self) -> int:
-        """The newest version that was written whole; its marker is written last."""
-        hadoop = self.spark.sparkContext._jsc.hadoopConfiguration()
-        root = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/done")
-        fs = root.getFileSystem(hadoop)
-        if not fs.exists(root):
-            return -1
-        return max((int(s.getPath().getName().partition("=")[2]) for s in fs.listStatus(root)), default=-1)
+        return self.store.version()
+
+    def read(self, what: str, version: int) -> DataFrame:
+        """The table or a grouped view at a version."""
+        if what == "table":
+            return self.store.state(version)
+        keys, measures = self.views[what]
+        return self.spark.read.parquet(self.store.path(what, version)).select(*keys, *measures)
+
+    def delta(self, version: int) -> DataFrame:
+        """(row_id, columns, weight): what a version took and gave."""
+        images = self.store.images(version, version)
+        sides = [images.where(f"{x} is not null").select("row_id", *(f"{x}.{c}" for c in self.store.columns), F.lit(w).alias("weight")) for x, w in (("o", -1), ("n", 1))]
+        return sides[0].unionByName(sides[1])
 
     def apply(self, batch: DataFrame, version: int) -> None:
         """One batch. Given again it reads the same previous version and overwrites its own folders."""
-        before = self.read("table", version - 1)
-        batch = C.latest(batch.select("row_id", "op", *self.order, *(c for c in self.schema.names if c not in ("row_id", *self.order))), order=self.order)
-        if self.max_age_ms is not None:
-            batch = self.with_expiry(before, batch)
-        C.applied(before, batch, order=self.order).write.mode("overwrite").parquet(self.path("table", version))
-        after = self.read("table", version)
-        ids = batch.select("row_id").distinct()
-        images = before.join(ids, "row_id", "left_semi").unionByName(after.join(ids, "row_id", "left_semi"))
-        for name, (keys, aggregates) in self.views.items():
+        known = self.store.known(version - 1)
+        more = {"reference": known.get("reference"), "windows": known.get("windows", {})}
+        if self.source:
+            batch = self.audited(batch, version)
+        changes = C.latest(batch.select("row_id", "op", *dict.fromkeys([*self.order, *self.store.columns])), order=self.order)
+        if self.policy:
+            changes, more["reference"] = self.retained(changes, known.get("reference"), version)
+        changes = self.store.put(changes, version)
+        images = self.store.imaged(changes, version)
+        table = None
+        for name, (keys, measures) in self.views.items():
             if version == 0:
-                out = after.groupBy(*keys).agg(*(c.alias(n) for n, c in aggregates.items()))
+                kinds = [m.whole().alias(n) for n, m in measures.items()]
+                out = images.where("n is not null").select("n.*").groupBy(*keys).agg(*kinds, F.count("*").alias("__rows"))
             else:
-                out = regrouped(self.read(name, version - 1), after, images, keys, aggregates)
-            out.write.mode("overwrite").parquet(self.path(name, version))
-        columns = [c for c in self.schema.names if c != "row_id"]
-        delta = C.membership_delta(before.join(ids, "row_id", "left_semi"), after.join(ids, "row_id", "left_semi"), columns)
-        delta.write.mode("overwrite").parquet(self.path("delta", version))
+                table = table if table is not None else self.store.state(version - 1, changes)
+                out = regrouped_by_difference(self.spark.read.parquet(self.store.path(name, version - 1)), table, images, keys, measures)
+            out.write.mode("overwrite").parquet(self.store.path(name, version))
+            if version >= KEPT:
+                removed(self.spark, self.store.path(name, version - KEPT))
+        if self.windows:
+            table = table if table is not None else self.store.state(version - 1, changes)
+            more["windows"] = {name: self.sent(name, make(table), more["windows"].get(name), version) for name, make in self.windows.items()}
         if self.on_delta:
-            self.on_delta(self.spark.read.parquet(self.path("delta", version)), version)
-        self.spark.range(1).write.mode("overwrite").parquet(self.path("done", version))
-
-    def with_expiry(self, before: DataFrame, batch: DataFrame) -> DataFrame:
-        """The batch and deletes of what its newest time expires; an upsert in the batch refreshes its row."""
-        newest = batch.agg(F.max(self.time_column)).first()[0]
-        if newest is None:
-            return batch
-        due = R.expiry_changes(before.join(batch.select("row_id"), "row_id", "left_anti"), "row_id", F.col(self.time_column), self.max_age_ms, newest).select("row_id", "op")
-        late = R.expired(F.col(self.time_column), self.max_age_ms, newest)
-        own = batch.withColumn("op", F.when(late, C.DELETE).otherwise(F.col("op")))
-        return own.unionByName(due, allowMissingColumns=True)
+            self.on_delta(self.delta(version), version)
+        self.store.finish(version, changes.count(), more)
+
+    # ---- audits (S10) ----
+
+    def audited(self, batch: DataFrame, version: int) -> DataFrame:
+        """The batch without records that were applied before; a record that differs from what stood at its place, or is too late to tell, fails it."""
+        partition, offset = self.source
+        digest = F.sha2(F.to_json(F.struct("row_id", "op", *(c for c in self.store.columns if c != offset))), 256)
+        kinds = f"{partition} {batch.schema[partition].dataType.simpleString()}, {offset} long, __digest string"
+        seen = self.spark.read.schema(kinds).parquet(self.store.path("offsets", version - 1)) if version else self.spark.createDataFrame([], kinds)
+        rows = batch.withColumn("__digest", digest)
+        own = rows.groupBy(partition, offset).agg(F.min("__digest").alias("__digest"), (F.min("__digest") != F.max("__digest")).alias("__torn"))
+        newest = seen.groupBy(F.col(partition).alias("__p")).agg(F.max(offset).alias("__newest"))  # a row per partition
+        before = seen.select(F.col(partition).alias("__p"), F.col(offset).alias("__o"), F.col("__digest").alias("__was"))
+        told = own.join(F.broadcast(newest), F.col(partition) == F.col("__p"), "left").drop("__p").join(before, (F.col(partition) == F.col("__p")) & (F.col(offset) == F.col("__o")), "left").drop("__p", "__o")
+        verdict = (
+            F.when(F.col("__torn"), "conflict").when(F.col("__newest").isNull() | (F.col(offset) > F.col("__newest")), "new")
+            .when(F.col("__newest") - F.col(offset) > C.HORIZON, "stale").when(F.col("__was") == F.col("__digest"), "replay").otherwise("conflict")
+        )
+        told = told.withColumn("audit", verdict)
+        bad = told.where("audit in ('conflict', 'stale')").first()
+        if bad:
+            raise ValueError(f"{bad['audit']} at offset {bad[offset]} of partition {bad[partition]}")
+        fresh = told.where("audit = 'new'").select(partition, offset, "__digest")
+        R.newest_per_key(seen.unionByName(fresh), partition, offset, C.HORIZON + 1, "__digest").write.mode("overwrite").parquet(self.store.path("offsets", version))
+        places = fresh.select(F.col(partition).alias("__p"), F.col(offset).alias("__o"))
+        return rows.join(places, (F.col(partition) == F.col("__p")) & (F.col(offset) == F.col("__o")), "left_semi").drop("__digest")
+
+    # ---- retention (R2-R8) ----
+
+    def retained(self, changes: DataFrame, last: int | None, version: int) -> tuple[DataFrame, int | None]:
+        """The changes with deletes of what the policy drops, and the reference time, which never goes back."""
+        policy, reference = self.policy, last
+        columns = self.store.change_schema.names
+        changes = changes.select(*columns)
+        if policy.max_age_ms:
+            newest = changes.agg(F.max(self.time_column)).first()[0]
+            reference = R.reference_time(newest, last) if newest is not None else last
+            if reference is not None:
+                ts = F.col(self.time_column)
+                due = R.due(self.store.state(version - 1).join(changes.select("row_id"), "row_id", "left_anti"), "row_id", ts, policy.max_age_ms, reference)
+                late = F.coalesce(R.expired(ts, policy.max_age_ms, reference), F.lit(False))
+                changes = changes.withColumn("op", F.when(late, C.DELETE).otherwise(F.col("op"))).unionByName(due, allowMissingColumns=True)
+        if policy.max_rows or policy.max_rows_per_key:
+            # what is left after the changes, and of that what is one too many
+            changes = self.store.put(changes, version)
+            state = self.store.state(version - 1, changes)
+            order = self.order[0]
+            stay = R.newest(state, order, policy.max_rows, "row_id") if policy.max_rows else R.newest_per_key(state, self.key_column, order, policy.max_rows_per_key, "row_id")
+            gone = state.select("row_id").join(stay.select("row_id"), "row_id", "left_anti").select("row_id", F.lit(C.DELETE).alias("op"))
+            path = self.store.path("evicted", version)
+            gone.write.mode("overwrite").parquet(path)
+            gone = self.spark.read.parquet(path)
+            kept = changes.join(gone.select("row_id"), "row_id", "left_anti")
+            both = kept.unionByName(gone, allowMissingColumns=True)
+            path = self.store.path("retained", version)
+            both.write.mode("overwrite").parquet(path)
+            changes = self.spark.read.schema(self.store.change_schema).parquet(path)
+        return changes, reference
+
+    # ---- windows (D3-D7) ----
+
+    def sent(self, name: str, window: DataFrame, last: dict | None, version: int) -> dict:
+        """Writes what a subscriber of a window gets with a version: nothing if it looks the same, a delta, or the whole window."""
+        window.write.mode("overwrite").parquet(self.store.path(f"{name}-whole", version))
+        window = self.spark.read.parquet(self.store.path(f"{name}-whole", version))
+        columns = [c for c in window.columns if c not in ("row_id", "index")]
+        content = 0 if last is None else last["content"] + 1
+        if last is not None:
+            before = self.spark.read.parquet(self.store.path(f"{name}-whole", last["version"]))
+            diff = C.window_diff(before, window, columns)
+            told = C.window_operations(diff, window).first()
+            if not told["operations"]:
+                return last | {"seen": version}
+            if not told["snapshot"]:
+                diff.write.mode("overwrite").parquet(self.store.path(f"{name}-delta", version))
+                fresh = diff.where("change in ('insert', 'update', 'move+update')").select("row_id")
+                window.join(fresh, "row_id", "left_semi").drop("index").write.mode("overwrite").parquet(self.store.path(f"{name}-rows", version))
+                return {"content": content, "version": version, "base": last["version"], "kind": "delta", "seen": version}
+        return {"content": content, "version": version, "base": None, "kind": "snapshot", "seen": version}
+
+    def received(self, name: str, version: int) -> DataFrame:
+        """A subscriber's window at a version, put together from what was sent."""
+        told = self.store.known(version)["windows"][name]
+        if told["kind"] == "snapshot":
+            return self.spark.read.parquet(self.store.path(f"{name}-whole", told["version"]))
+        before = self.received(name, told["base"])
+        delta, rows = (self.spark.read.parquet(self.store.path(f"{name}-{x}", told["version"])) for x in ("delta", "rows"))
+        return C.reconstructed(before, delta, rows, told["base"], told["base"])
 
     def run(self, stream: DataFrame, checkpoint: str):
         """Streams all changes that are there, a version a micro-batch."""
@@ -100,6 +347,61 @@ class MaintainedTable:
         return query
 
 
+@dataclass
+class MaintainedJoin:
+    """A many-to-one join of two maintained tables (J8). The right table is known by its row_id.
+
+    refresh() joins again only the left rows of ids and keys that changed since the last one; there is no version until both
+    tables have one (J9). Rows: row_id of the left table, l and r (structs of the tables' columns, r null if nothing matches).
+    """
+
+    left: MaintainedTable
+    right: MaintainedTable
+    folder: str
+    left_key: str
+    how: str = "left"
+
+    def __post_init__(self) -> None:
+        kind = lambda t: T.StructType([T.StructField(c, t.schema[c].dataType) for c in t.schema.names])
+        schema = T.StructType([self.left.schema["row_id"], T.StructField("l", kind(self.left)), T.StructField("r", kind(self.right))])
+        self.store = Store(self.left.spark, self.folder, schema)
+
+    def joined(self, left: DataFrame, right: DataFrame) -> DataFrame:
+        a = left.select("row_id", F.struct(*self.left.schema.names).alias("l"))
+        b = right.select(F.struct(*self.right.schema.names).alias("r"))
+        return a.join(b, F.col(f"l.{self.left_key}") == F.col("r.row_id"), self.how)
+
+    def refresh(self) -> int | None:
+        """The version after taking in what both tables have; None while one has nothing."""
+        here, there = self.left.version(), self.right.version()
+        if joins.ready_version(here if here >= 0 else None, there if there >= 0 else None) is None:
+            return None
+        last = self.store.version()
+        known = self.store.known(last)
+        left, right = self.left.store.state(here), self.right.store.state(there)
+        if last < 0 or here - known["left"] >= KEPT or there - known["right"] >= KEPT:  # images are not there for so long
+            ids = left.select("row_id") if last < 0 else left.select("row_id").union(self.store.state(last).select("row_id")).distinct()
+        elif (here, there) == (known["left"], known["right"]):
+            return last
+        else:
+            nothing = left.select("row_id").limit(0)
+            ids = self.left.store.images(known["left"] + 1, here).select("row_id") if here > known["left"] else nothing
+            if there > known["right"]:
+                keys = self.right.store.images(known["right"] + 1, there).select(F.col("row_id").alias("__k")).distinct()
+                ids = ids.union(left.join(keys, F.col(self.left_key) == F.col("__k"), "left_semi").select("row_id"))
+            ids = ids.distinct()
+        again = self.joined(left.join(ids, "row_id", "left_semi"), right)
+        mine = again.withColumnRenamed("row_id", "__id")
+        changes = ids.join(mine, ids["row_id"] == F.col("__id"), "left").select("row_id", "l", "r", F.when(F.col("__id").isNull(), C.DELETE).otherwise(C.UPSERT).alias("op"))
+        changes = self.store.put(changes, last + 1)
+        self.store.imaged(changes, last + 1)
+        self.store.finish(last + 1, changes.count(), {"left": here, "right": there})
+        return last + 1
+
+    def read(self, version: int) -> DataFrame:
+        return self.store.state(version)
+
+
 def change_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int = 1, format: str = "parquet", **options: str) -> DataFrame:
     """A stream of change files; format "kafka" works the same where Spark's Kafka package is installed."""
     return spark.readStream.schema(schema).format(format).option("maxFilesPerTrigger", files_per_batch).options(**options).load(path)
