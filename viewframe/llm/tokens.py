@@ -16,6 +16,9 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
+
+from viewframe.llm.transducer import Transducer, spans
 
 # ---- pretokens ------------------------------------------------------------------------------
 
@@ -204,171 +207,7 @@ def cut(text: str, at: np.ndarray) -> list[str]:
     return [text[a:b] for a, b in zip(where, where[1:], strict=False)]
 
 
-# ---- tokens of a pretoken -------------------------------------------------------------------
-
-#: Entries of each memo and states of a machine, a full one is begun anew; bytes of a pretoken whose states are not worth keeping.
-KEPT, MOST_STATES, SHORT = 400_000, 100_000, 48
-
-
-class Memo(dict):
-    def __init__(self, make, most: int = KEPT):
-        self.make, self.most = make, most
-
-    def __missing__(self, key):
-        if len(self) >= self.most:
-            self.clear()
-        value = self[key] = self.make(key)
-        return value
-
-
-class Transducer:
-    """Bytes to tokens. A state is what is not yet settled: the last settled token, the bytes since
-    then, and for each place in them how long the token is that ends there (the last token of that
-    prefix's own encoding). A token is settled when every place from which some token of the
-    vocabulary could still begin goes back through its end; the lookahead is bounded by the longest token.
-
-    At the end of a pretoken the machine is back at its start, so a pretoken is one arc of the
-    determinised machine. Such arcs are added when first met (Tokenizer's memos); long pretokens
-    go byte by byte through numbered states.
-    """
-
-    def __init__(self, ranks: dict[bytes, int]):
-        self.ranks, self.longest = ranks, max(map(len, ranks))
-        self.prefixes = {t[:k] for t in ranks for k in range(1, len(t))}
-        self.kinds = {t: 1 for t in self.prefixes}  # 1: begins a token, 2: is one, 3: both
-        self.kinds |= {t: 3 if t in self.prefixes else 2 for t in ranks}
-        self.stands = Memo(lambda t: self.merged(t) == [t])
-        self.fits = Memo(lambda pair: self.stays(*pair), KEPT // 2)
-        self.halves = Memo(self.split_of)
-        self.forget()
-
-    def forget(self) -> None:
-        """Begins the machine anew; it is built as texts ask for it, and may be dropped between any two pretokens."""
-        self.states, self.numbers = [(b"", b"", ())], {(b"", b"", ()): 0}
-        self.moves = Memo(self.determinise, 1 << 60)
-        self.ends_with = Memo(self.rest, 1 << 60)
-
-    def merged(self, text: bytes, most: int = 1 << 60) -> list[bytes]:
-        """The merges done one by one, lowest rank first, most of them at most; used on single tokens."""
-        parts = [text[i : i + 1] for i in range(len(text))]
-        while len(parts) > 1 and (most := most - 1) >= 0:
-            rank, at = min((self.ranks.get(a + b, 1 << 60), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
-            if rank == 1 << 60:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
-
-    def split_of(self, token: bytes) -> tuple[bytes, bytes] | None:
-        """The two parts of the merge that makes a token; None for a single byte."""
-        parts = [token[i : i + 1] for i in range(len(token))]
-        return tuple(self.merged(token, len(parts) - 2)) if len(parts) > 1 else None
-
-    def stays(self, left: bytes, right: bytes) -> bool:
-        """Whether two tokens side by side are what their bytes are encoded as.
-
-        Their merges are undone, latest first. What then touches at the seam must not have had a
-        merge of its own that came before the one just undone.
-        """
-        ranks, halves, before = self.ranks, self.halves, 1 << 60
-        while True:
-            if ranks.get(left + right, 1 << 60) < before:
-                return False
-            a = ranks[left] if len(left) > 1 else -1
-            b = ranks[right] if len(right) > 1 else -1
-            if a < 0 and b < 0:
-                return True
-            if a > b:  # of equal merges the left one is done first, so the right one is undone first
-                before, left = a, halves[left][1]
-            else:
-                before, right = b + 1, halves[right][0]
-
-    def number(self, state: tuple[bytes, bytes, tuple[int, ...]]) -> int:
-        if (k := self.numbers.get(state)) is None:
-            k = self.numbers[state] = len(self.states)
-            self.states.append(state)
-        return k
-
-    def determinise(self, key: int) -> tuple[int, tuple[int, ...]]:
-        """The move from state key >> 8 at byte key & 255."""
-        settled, pending, sizes = self.states[key >> 8]
-        pending += bytes((key & 255,))
-        n = len(pending)
-        for size in range(min(n, self.longest), 0, -1):
-            t, p = pending[n - size :], n - size
-            if t in self.ranks and (p == 0 or sizes[p - 1]) and self.stands[t]:
-                left = pending[p - sizes[p - 1] : p] if p else settled
-                if not left or self.fits[left, t]:
-                    break
-        sizes = (*sizes, size)
-        if pending in self.prefixes:
-            return self.number((settled, pending, sizes)), ()
-        alive = [p for p in range(max(1, n - self.longest), n) if sizes[p - 1] and pending[p:] in self.prefixes]
-        back = [self.ends(n, sizes), *([p, *self.ends(p, sizes)] for p in alive)]
-        common = set(back[0]).intersection(*back[1:])
-        if not common:
-            return self.number((settled, pending, sizes)), ()
-        last = p = max(common)
-        used, out = {n}.union(*back), []
-        while p:
-            out.append(pending[p - sizes[p - 1] : p])
-            p -= sizes[p - 1]
-        rest = tuple(s if k + 1 in used else 0 for k, s in enumerate(sizes))[last:]
-        return self.number((out[0], pending[last:], rest)), tuple(self.ranks[t] for t in reversed(out))
-
-    @staticmethod
-    def ends(p: int, sizes: tuple[int, ...]) -> list[int]:
-        """Token ends before p, on the way back from p."""
-        out = []
-        while p := p - sizes[p - 1]:
-            out.append(p)
-        return out
-
-    def rest(self, state: int) -> tuple[int, ...]:
-        """What is emitted when the input ends."""
-        _, pending, sizes = self.states[state]
-        out, p = [], len(pending)
-        while p:
-            out.append(self.ranks[pending[p - sizes[p - 1] : p]])
-            p -= sizes[p - 1]
-        return tuple(out[::-1])
-
-    def simulate(self, pretoken: bytes) -> tuple[int, ...]:
-        """The machine's run without its states being numbered, for a pretoken that is met for the first time."""
-        ranks, kinds, fits, sizes, live = self.ranks, self.kinds, self.fits, [0], []
-        for n in range(1, len(pretoken) + 1):
-            live.append(n - 1)
-            alive, size = [], 0
-            for p in live:  # the places from which what has been read is a token or the beginning of one
-                t = pretoken[p:n]
-                if kind := kinds.get(t):
-                    if kind > 1:
-                        if not size and self.stands[t] and (p == 0 or fits[pretoken[p - sizes[p] : p], t]):
-                            size = n - p
-                        if kind == 3:
-                            alive.append(p)
-                    else:
-                        alive.append(p)
-            sizes.append(size)
-            live = alive
-        out, p = [], len(pretoken)
-        while p:
-            out.append(ranks[pretoken[p - sizes[p] : p]])
-            p -= sizes[p]
-        return tuple(out[::-1])
-
-    def encode(self, pretoken: bytes) -> tuple[int, ...]:
-        if (whole := self.ranks.get(pretoken)) is not None:
-            return (whole,)
-        if len(self.states) > MOST_STATES:
-            self.forget()
-        if len(pretoken) <= SHORT:
-            return self.simulate(pretoken)
-        state, out, moves = 0, (), self.moves
-        for b in pretoken:
-            state, emitted = moves[state << 8 | b]
-            if emitted:
-                out += emitted
-        return out + self.ends_with[state]
+# ---- vocabularies ---------------------------------------------------------------------------
 
 
 def ranks_of(file: bytes) -> dict[bytes, int]:
@@ -377,37 +216,62 @@ def ranks_of(file: bytes) -> dict[bytes, int]:
 
 
 def ranks_of_json(file: bytes) -> tuple[dict[bytes, int], list[str]]:
-    """A tokenizer file of the byte-level kind: its ranks, and the special strings that it finds in texts."""
+    """A tokenizer file of the byte-level kind: its ranks, and the special strings that it finds in texts.
+
+    The machine takes a token's number for the rank of its merge, so a file whose merges come in another order is refused,
+    as are special strings that are found by other rules than their mere presence.
+    """
     spec = json.loads(file)
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
     back = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in shown)}
     special = [t["content"] for t in spec["added_tokens"]]
-    return {bytes(back[c] for c in t): k for t, k in spec["model"]["vocab"].items() if t not in special}, special
+    if any(t.get(rule) for t in spec["added_tokens"] for rule in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError("special strings with rules of their own")
+    if any(a != b and a in b for a in special for b in special):
+        raise ValueError("special strings inside each other")
+    vocabulary = spec["model"]["vocab"]
+    made = [vocabulary["".join(m if isinstance(m, list) else m.split(" "))] for m in spec["model"]["merges"]]
+    if any(a >= b for a, b in zip(made, made[1:], strict=False)):
+        raise ValueError("merges in another order than their tokens")
+    return {bytes(back[c] for c in t): k for t, k in vocabulary.items() if t not in special}, special
 
 
 class Tokenizer:
-    """Texts to ids. special: strings that are one token wherever they stand, as the library takes them."""
+    """Texts to ids. special: strings that are one token wherever they stand, as the library takes them.
+
+    Each different pretoken of the texts at hand is run through the transducer once, all of them in step.
+    """
 
     def __init__(self, ranks: dict[bytes, int], unicode: str, special: Iterable[str] = ()):
         self.unicode, self.special = unicode, list(special)
         self.transducer = Transducer(ranks)
-        self.ids = Memo(lambda t: self.transducer.encode(t.encode("utf-8", "surrogatepass")))
-        self.counts = Memo(lambda t: len(self.transducer.encode(t.encode("utf-8", "surrogatepass"))))
         self.bytes = {k: t for t, k in ranks.items()}
         self.decimal = {k: str(k) for k in self.bytes}
 
-    def rest(self) -> None:
-        """Drops what was remembered of texts; the compiled vocabulary stays."""
-        for memo in (self.ids, self.counts, self.transducer.fits):
-            memo.clear()
-        self.transducer.forget()
-
-    def pretokens(self, texts: list[str]) -> Iterator[list[str]]:
+    def encoded(self, texts: list[str], ids: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
+        """How many tokens each text has, and the ids of all texts, one after the other."""
+        pieces: list[str] = []
+        ends = [0]
         for text, at in zip(texts, starts(texts, self.unicode), strict=True):
-            yield cut(text, at)
+            pieces += cut(text, at)
+            ends.append(len(pieces))
+        which, words = pd.factorize(np.array(pieces, object))
+        del pieces
+        words = [w.encode("utf-8", "surrogatepass") for w in words]
+        size = np.array([*map(len, words)], np.int64)
+        many, flat = self.transducer.run(np.frombuffer(b"".join(words), np.uint8), np.cumsum(size) - size, size, ids)
+        # at a pretoken's end the machine is back at its start, whatever its state: counts of pretokens just add up, by a prefix sum
+        own = many[which]
+        total = np.concatenate([[0], np.cumsum(own)])[ends]
+        return np.diff(total), flat[spans((np.cumsum(many) - many)[which], own)] if ids else None
 
     def count(self, texts: list[str]) -> list[int]:
-        return [sum(map(self.counts.__getitem__, p)) for p in self.pretokens(texts)]
+        return self.encoded(texts, ids=False)[0].tolist()
+
+    def ids(self, texts: list[str]) -> list[list[int]]:
+        many, flat = self.encoded(texts)
+        flat, end = flat.tolist(), np.cumsum(many).tolist()
+        return [flat[a:b] for a, b in zip([0, *end], end, strict=False)]
 
     def count_with_special(self, texts: list[str]) -> list[int]:
         parts, found, whose = [], [0] * len(texts), []
