@@ -307,9 +307,11 @@ def test_license_rows_hold_when_splits_change(spark, tmp_path, monkeypatch):
 def test_segments_of_a_long_text(monkeypatch):
     rng = random.Random(2)
     text = bytes(rng.randrange(97, 101) for _ in range(20_000))
-    whole = dict(zip(*(x.tolist() for x in next(substring_dedup.text_anchors([text]))), strict=True))
+    starts = lambda: {s: (a, h) for a, h, b, c in zip(*(x.tolist() for x in next(substring_dedup.text_anchors([text]))), strict=True) for s in range(b, c + 1)}
+    whole = starts()
+    assert len(whole) == 20_000 - substring_dedup.SIZE + 1
     monkeypatch.setattr(substring_dedup, "SEGMENT", 3000)
-    assert dict(zip(*(x.tolist() for x in next(substring_dedup.text_anchors([text]))), strict=True)) == whole
+    assert starts() == whole
 
 
 def page(article, n):

@@ -2,11 +2,12 @@
 
 Every string of SIZE bytes chooses an anchor in itself: the leftmost smallest hash of its strings of
 KEY bytes. Equal strings choose alike, so both copies of a repeated string hold the same anchor at
-the same place, and only anchors that occur twice or more need to be looked at. An anchor's context
-is all that the strings which may have chosen it can cover. Equal contexts of an anchor are one for
-the sort (they are counted before the shuffle, map-side): their bytes go to the shard of the anchor
-once, or not at all if the anchor has no other context. A shard's contexts are sorted as one
-suffix array; suffixes that share SIZE bytes with a neighbour start at another place too.
+the same place, and only anchors that occur twice or more need to be looked at. The strings that
+chose an anchor start at consecutive places; its context is what they cover, so each string
+lies in the context of one anchor. Equal contexts of an anchor are one for the sort (they are counted
+before the shuffle, map-side): their bytes go to the shard of the anchor once, or not at all if the
+anchor has no other context. A shard's contexts are sorted as one suffix array; suffixes that share
+SIZE bytes with a neighbour start at another place too.
 
 An anchor with more than HOT different contexts would be too much for one task. Its contexts are
 compared by counting digests of all their strings of SIZE bytes, in an aggregation that combines
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from viewframe.llm.common import attach, table, written
+from viewframe.llm.common import attach, dropped, table, written
 from viewframe.llm.suffix_array import permuted_lcp, suffix_array
 
 SIZE, KEY = 400, 100
@@ -65,11 +66,13 @@ def sliding_min(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(right[:n], left[width - 1 : width - 1 + n])
 
 
-def anchors(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the anchors of texts that lie one after the other in data, at bounds; fewer than 2^24 bytes."""
+def anchors(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Anchors of texts that lie one after the other in data, at bounds; fewer than 2^24 bytes: their positions
+    and hashes, and the first and the last start of the strings that chose them."""
     n = len(data)
+    none = np.zeros(0, np.int64)
     if n < SIZE:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return none, none.view(np.uint64), none, none
     up, down = powers(n)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(_LETTERS[data] * up, out=sums[1:])
@@ -81,24 +84,27 @@ def anchors(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
     low = np.uint64(0xFFFFFF)
     least = sliding_min((h & ~low) | np.arange(len(h), dtype=np.uint64), REACH + 1) & low
     ends = np.repeat(bounds[1:], np.diff(bounds))[: len(least)]
-    least = least[np.arange(len(least)) + SIZE <= ends].astype(np.int64)  # strings that lie in one text
-    if not len(least):
-        return least, np.zeros(0, np.uint64)
-    at = least[np.concatenate([[True], least[1:] != least[:-1]])]
-    return at, h[at]
+    starts = np.flatnonzero(np.arange(len(least)) + SIZE <= ends)  # of strings that lie in one text
+    if not len(starts):
+        return none, none.view(np.uint64), none, none
+    least = least[starts].astype(np.int64)
+    new = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
+    at = least[new]
+    return at, h[at], starts[new], starts[np.append(new[1:], len(least)) - 1]
 
 
-def text_anchors(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each text the positions in it and the hashes of its anchors."""
+def text_anchors(texts: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
+    """For each text the positions in it and the hashes of its anchors, and their strings' first and last starts."""
     group: list[bytes] = []
     size = 0
 
-    def together(group: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def together(group: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
         bounds = np.cumsum([0, *map(len, group)])
-        at, h = anchors(np.frombuffer(b"".join(group), np.uint8), bounds)
+        at, h, first, last = anchors(np.frombuffer(b"".join(group), np.uint8), bounds)
         cut = np.searchsorted(at, bounds)
         for k in range(len(group)):
-            yield at[cut[k] : cut[k + 1]] - bounds[k], h[cut[k] : cut[k + 1]]
+            own, begin = slice(cut[k], cut[k + 1]), bounds[k]
+            yield at[own] - begin, h[own], first[own] - begin, last[own] - begin
 
     for text in texts:
         if group and size + len(text) > PIECE:
@@ -111,53 +117,48 @@ def text_anchors(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         if group:
             yield from together(group)
             group, size = [], 0
-        found = {}
-        for p in range(0, len(text), SEGMENT):
+        found = []
+        for p in range(0, len(text), SEGMENT):  # each string starts in one segment; an anchor at a seam has its strings in two parts
             part = text[p : p + SEGMENT + SIZE - 1]
-            at, h = anchors(np.frombuffer(part, np.uint8), np.array([0, len(part)]))
-            found |= zip((at + p).tolist(), h.tolist(), strict=True)
-        yield np.array(list(found), np.int64), np.array(list(found.values()), np.uint64)
+            at, h, first, last = anchors(np.frombuffer(part, np.uint8), np.array([0, len(part)]))
+            found.append((at + p, h, first + p, last + p))
+        yield tuple(map(np.concatenate, zip(*found, strict=True)))
     if group:
         yield from together(group)
 
 
-def context(at: int, size: int) -> tuple[int, int]:
-    """The bytes of a text that strings which chose the anchor can cover."""
-    return max(0, at - REACH), min(size, at + SIZE)
-
-
 def find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """In: row, text. Out: a row per anchor: fp, d1 and d2 (digest of the context and of where in it the anchor is), row, at, size."""
+    """In: row, text. Out: a row per anchor: fp, d1 and d2 (digest of the context and of where in it the anchor is), row, first, last."""
     for batch in batches:
         rows, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()
-        fps, digests, of_row, ats, sizes = [], [], [], [], []
-        for row, text, (at, h) in zip(rows, texts, text_anchors([t or b"" for t in texts]), strict=True):
+        fps, digests, of_row, firsts, lasts = [], [], [], [], []
+        for row, text, (at, h, first, last) in zip(rows, texts, text_anchors([t or b"" for t in texts]), strict=True):
             if not len(at):
                 continue
             view = memoryview(text)
-            for p in at.tolist():
-                a, b = context(p, len(text))
-                digests.append(hashlib.blake2b(view[a:b], digest_size=16, salt=(p - a).to_bytes(8, "little")).digest())
+            for p, a, b in zip(at.tolist(), first.tolist(), last.tolist(), strict=True):
+                digests.append(hashlib.blake2b(view[a : b + SIZE], digest_size=16, salt=(p - a).to_bytes(8, "little")).digest())
             fps.append(h)
-            ats.append(at)
+            firsts.append(first)
+            lasts.append(last)
             of_row.append(np.full(len(at), row, np.int64))
-            sizes.append(np.full(len(at), len(text), np.int64))
         if not fps:
             continue
         halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in (np.concatenate(fps).view(np.int64), halves[:, 0], halves[:, 1], np.concatenate(of_row), np.concatenate(ats), np.concatenate(sizes))], list(ANCHOR))
+        columns = np.concatenate(fps).view(np.int64), halves[:, 0], halves[:, 1], np.concatenate(of_row), np.concatenate(firsts), np.concatenate(lasts)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in columns], list(ANCHOR))
 
 
-ANCHOR = ("fp", "d1", "d2", "row", "at", "size")
+ANCHOR = ("fp", "d1", "d2", "row", "first", "last")
 
 
 def cut_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """In: row, text, wanted (fp, at, twice, hot). Out: fp, hot, twice, row, from, bytes."""
+    """In: row, text, wanted (fp, first, last, twice, hot). Out: fp, hot, twice, row, from, bytes."""
     for batch in batches:
         texts = batch.column(1).cast(pa.binary())
         for k, row in enumerate(batch.column(0).to_pylist()):
             text, wanted = texts[k].as_py(), batch.column(2)[k].as_py()
-            found = [(*context(w["at"], len(text)), w) for w in wanted]
+            found = [(w["first"], w["last"] + SIZE, w) for w in wanted]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([w["fp"] for _, _, w in found], pa.int64()), pa.array([w["hot"] for _, _, w in found], pa.bool_()), pa.array([w["twice"] for _, _, w in found], pa.bool_()),
@@ -268,24 +269,32 @@ def intervals(texts: DataFrame, hot: int = HOT) -> DataFrame:
     """texts: row, text, partitioned by row. Rows (row, a, b): what repeated strings cover, perhaps in overlapping parts."""
     long = ", ".join(f"{c} long" for c in ANCHOR)
     found = written(texts.where(F.octet_length("text") >= SIZE).select("row", "text").mapInArrow(find_anchors, long), "anchors")
-    often = found.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")
+    # aggregates are tables of their own before they are joined: on top of an aggregation by the same key Spark could not split a hot anchor's rows
+    often = written(found.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp"), "often")
     shared = written(found.join(often, "fp"), "shared")
-    counts = written(shared.groupBy("fp", "d1", "d2").agg(F.count("*").alias("n"), F.min(F.struct("row", "at")).alias("one")), "contexts")
-    whole = shared.join(counts.where("n > 1").select("fp", "d1", "d2"), ["fp", "d1", "d2"])
-    whole = whole.select("row", F.greatest(F.lit(0), F.col("at") - REACH).alias("a"), F.least("size", F.col("at") + SIZE).alias("b"))
-    variants = counts.groupBy("fp").agg(F.count("*").alias("variants")).where("variants > 1")
-    one = counts.join(variants, "fp").select(F.col("one.row").alias("row"), F.struct("fp", F.col("one.at").alias("at"), (F.col("n") > 1).alias("twice"), (F.col("variants") > hot).alias("hot")).alias("w"))
+    counts = written(shared.groupBy("fp", "d1", "d2").agg(F.count("*").alias("n"), F.min(F.struct("row", "first", "last")).alias("one")), "contexts")
+    again = written(counts.where("n > 1").select("fp", "d1", "d2"), "again")
+    whole = shared.join(again, ["fp", "d1", "d2"]).select("row", F.col("first").alias("a"), (F.col("last") + SIZE).alias("b"))
+    variants = written(counts.groupBy("fp").agg(F.count("*").alias("variants")).where("variants > 1"), "variants")
+    one = counts.join(variants, "fp").select("one.row", F.struct("fp", "one.first", "one.last", (F.col("n") > 1).alias("twice"), (F.col("variants") > hot).alias("hot")).alias("w"))
     wanted = one.groupBy("row").agg(F.collect_list("w").alias("wanted"))  # of one text
     cut = texts.join(wanted, "row").select("row", "text", "wanted").mapInArrow(lambda b: joined(cut_contexts(b)), "fp long, hot boolean, twice boolean, row long, `from` long, bytes binary")
-    cut = written(cut, "cuts") if not variants.where(F.col("variants") > hot).isEmpty() else cut
+    any_hot = not variants.where(F.col("variants") > hot).isEmpty()
+    held = [found, often, shared, counts, again, variants]
+    if any_hot:
+        cut = written(cut, "cuts")
+        held.append(cut)
     shards = cut.where("not hot").drop("hot").repartition("fp").sortWithinPartitions("fp")
     out = whole.unionByName(shards.mapInArrow(sort_shards, "row long, a long, b long"))
-    if variants.where(F.col("variants") > hot).isEmpty():
-        return out
-    strings = written(cut.where("hot").drop("hot").mapInArrow(lambda b: joined(hot_strings(b)), "h1 long, h2 long, row long, at long, weight long"), "strings")
-    places = strings.groupBy("h1", "h2", "row", "at").agg(F.max("weight").alias("weight"))
-    again = places.groupBy("h1", "h2").agg(F.sum("weight").alias("n")).where("n > 1").select("h1", "h2")
-    return out.unionByName(places.join(again, ["h1", "h2"]).select("row", F.col("at").alias("a"), (F.col("at") + SIZE).alias("b")))
+    if any_hot:
+        strings = written(cut.where("hot").drop("hot").mapInArrow(lambda b: joined(hot_strings(b)), "h1 long, h2 long, row long, at long, weight long"), "strings")
+        again = written(strings.groupBy("h1", "h2").agg(F.sum("weight").alias("n")).where("n > 1").select("h1", "h2"), "again")
+        out = out.unionByName(strings.select("h1", "h2", "row", "at").join(again, ["h1", "h2"]).select("row", F.col("at").alias("a"), (F.col("at") + SIZE).alias("b")))
+        held += [strings, again]
+    out = written(out, "intervals")
+    for table_ in held:
+        dropped(table_)
+    return out
 
 
 def file_rows(docs: DataFrame) -> DataFrame:
