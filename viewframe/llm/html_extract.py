@@ -22,6 +22,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
@@ -161,10 +162,15 @@ def framed(path: str) -> bool:
     return any(step.partition("[")[0] in NOISE_ELEMENTS | {"header"} for step in path.split("/")[1:])
 
 
+@lru_cache(maxsize=1 << 14)
+def noise(path: str) -> bool:
+    return signs(path)[0]
+
+
 def extract(source: str, low: frozenset[str]) -> str:
-    """The text of the branches that stay; where none would, of all that are no noise by an element's name."""
+    """The text of the branches that stay; where none would, of all that are no noise by an element's name. low: what the host's tree says."""
     blocks = Page(source).blocks
-    kept = [text for path, text, _ in blocks if path not in low]
+    kept = [text for path, text, _ in blocks if path not in low and not noise(path)]
     return "\n".join(kept or [text for path, text, _ in blocks if not framed(path)])
 
 
@@ -202,6 +208,7 @@ def importance(nodes: DataFrame) -> DataFrame:
     features = nodes.groupBy("host", "path", "content", "feature").agg(
         F.count("*").alias("df"), F.sum(F.col("first").cast("long")).alias("pages"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked")
     )
+    features = written(features, "features")  # pages are parsed once for both kinds of nodes
     sums = features.groupBy("host", "path", "content").agg(
         F.sum("pages").alias("m"), F.sum("df").alias("n"), F.sum(F.col("df") * F.log("df")).alias("weighted"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked")
     )
@@ -216,16 +223,19 @@ def importance(nodes: DataFrame) -> DataFrame:
 
 
 def low_paths(pages: DataFrame) -> DataFrame:
-    """Per host the paths of its tree that are to be removed."""
+    """Per host the paths of its tree that are to be removed because of what stands there on several of its pages.
+
+    A path that tells of noise by itself is no matter of the tree: extract() knows it. A path of one page has full importance and
+    is only here if it is nothing but links, so what is gathered per host follows its templates, not its pages.
+    """
     nodes = importance(style_nodes(pages))
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             low = []
             for path, linked, value in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                noise, article = signs(path)
-                value *= (1 - linked) * (0.0 if noise else 1.0)
-                low.append(value < THRESHOLD and (noise or not article))
+                by_path, article = signs(path)
+                low.append(value * (1 - linked) < THRESHOLD and not by_path and not article)
             yield batch.filter(pa.array(low, pa.bool_())).select(["host", "path"])
 
     found = nodes.select("host", "path", "linked", "importance").mapInArrow(weigh, "host string, path string")
