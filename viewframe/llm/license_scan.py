@@ -1,8 +1,9 @@
 """Operator 6: license scans, with DataFrame functions only.
 
-Lines that speak of licensing (headers, notices, license files) are compared with templates by the
-cosine of sparse TF-IDF vectors, and so are blocks of lines that hold one; the frequencies are those of
-all of them. A file's license is that of its best line or block at THRESHOLD or more. A file most of
+Lines that speak of licensing (headers, notices) are compared with the wordings of headers by the
+cosine of sparse TF-IDF vectors, and so are blocks of lines that hold one; the whole texts of files with such a line are
+compared with full license texts. The frequencies are those of all of them. A file's license is that of its best line or
+block at THRESHOLD or more, or of its whole text at WHOLE or more. A file that is a license text as a whole, most of
 whose words are such lines or blocks, or which is named LICENSE or COPYING, is a license file, and
 lends its license to its directory. A file without one of its own takes that
 of its nearest ancestor directory, found by joins on paths.
@@ -21,7 +22,8 @@ from pyspark.sql.window import Window
 
 from viewframe.llm.common import attach, table, text_of, written
 
-THRESHOLD = 0.5
+THRESHOLD, WHOLE = 0.5, 0.75
+LINE, BLOCK, FILE = 0, 1, 2  # what is compared
 LICENSE_LINE = r"(?i)\b(?:licen[sc]e[ds]?|licensing|copyright|permission\x20is\x20hereby|redistribution\x20and\x20use|public\x20domain|all\x20rights\x20reserved|spdx)\b"
 TERM = "[^a-z0-9.+]+"
 #: What a line of a comment begins with; a block is made of the lines between two empty ones.
@@ -45,6 +47,19 @@ TEMPLATES = {
 }
 
 
+# Full texts of licenses and of the notices that stand for them.
+FULL = {
+    "MIT": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+    "BSD-2-Clause": 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.',
+    "BSD-3-Clause": 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.',
+    "ISC": 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
+    "Unlicense": 'This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.',
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
+    "Apache-2.0": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
+    "GPL-3.0": 'This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program.',
+}
+
+
 def terms(line: Column) -> Column:
     """Words in lower case, without full stops at their ends."""
     words = F.transform(F.split(F.lower(line), TERM), lambda w: F.regexp_replace(w, r"^\.+|\.+$", ""))
@@ -60,37 +75,39 @@ def counted(lines: DataFrame) -> DataFrame:
 def best_templates(files: DataFrame) -> DataFrame:
     """files: row, text. Per row with a line at THRESHOLD or more: row, license, cosine; whole: whether most of its words are such lines."""
     spark = files.sparkSession
-    named = [(n, k, t) for n, wordings in TEMPLATES.items() for k, t in enumerate(wordings)]
-    templates = counted(spark.createDataFrame(named, "name string, wording int, t string").select("name", "wording", terms(F.col("t")).alias("words")))
+    named = [(n, k, False, t) for n, wordings in TEMPLATES.items() for k, t in enumerate(wordings)] + [(n, 0, True, t) for n, t in FULL.items()]
+    templates = counted(spark.createDataFrame(named, "name string, wording int, full boolean, t string").select("name", "wording", "full", terms(F.col("t")).alias("words")))
     split = F.split("text", "\n")
     blocks = F.filter(F.split(F.regexp_replace("text", MARK, ""), "\n{2,}"), lambda x: F.trim(x).contains("\n"))
-    unit = lambda block: lambda x: F.struct(F.lit(block).alias("block"), x.alias("content"))
-    whole_blocks = F.transform(F.transform(blocks, lambda x: F.regexp_replace(x, "\n", " ")), unit(True))
+    unit = lambda what: lambda x: F.struct(F.lit(what).alias("what"), x.alias("content"))
+    whole_blocks = F.transform(F.transform(blocks, lambda x: F.regexp_replace(x, "\n", " ")), unit(BLOCK))
     # a sentence may be wrapped, so blocks of lines are compared as well as lines
-    speaking = F.filter(F.concat(F.transform(split, unit(False)), whole_blocks), lambda x: x.content.rlike(LICENSE_LINE))
+    speaking = F.filter(F.concat(F.transform(split, unit(LINE)), whole_blocks, F.transform(F.array("text"), unit(FILE))), lambda x: x.content.rlike(LICENSE_LINE))
     found = files.where(F.col("text").rlike(LICENSE_LINE)).select(
-        "row", F.explode(speaking).alias("unit"), F.size(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")).alias("n_words")
+        "row", speaking.alias("units"), F.size(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")).alias("n_words")
     )
+    found = found.select("row", "n_words", F.explode("units").alias("unit"))
     # a digest stands for the content, which may be long and is repeated per word; equal lines are one vector: a notice that a third of all files carry is compared once
-    found = found.select("row", "n_words", "unit.block", "unit.content")
-    lines = written(found.select("row", "n_words", "block", F.size(F.filter(F.split("content", r"[\x20\x09-\x0D]+"), lambda w: w != "")).alias("own"), F.lower(F.trim("content")).alias("words")).withColumn("content", F.sha2("words", 256)), "lines")
-    distinct = lines.groupBy("content").agg(F.count("*").alias("often"), F.min("words").alias("words"))
-    vectors = written(counted(distinct.select("content", "often", terms(F.col("words")).alias("words"))), "vectors")
+    found = found.select("row", "n_words", "unit.what", "unit.content")
+    lines = written(found.select("row", "n_words", "what", (F.col("what") == FILE).alias("full"), F.size(F.filter(F.split("content", r"[\x20\x09-\x0D]+"), lambda w: w != "")).alias("own"), F.lower(F.trim("content")).alias("words")).withColumn("content", F.concat(F.sha2("words", 256), F.when(F.col("full"), ":full").otherwise(""))), "lines")
+    distinct = lines.groupBy("content", "full").agg(F.count("*").alias("often"), F.min("words").alias("words"))
+    vectors = written(counted(distinct.select("content", "full", "often", terms(F.col("words")).alias("words"))), "vectors")
     total = lines.count()
     df = vectors.groupBy("word").agg(F.sum("often").alias("df"))
     idf = F.log((1.0 + total) / (1.0 + F.coalesce("df", F.lit(0)))) + 1.0
     of_templates = templates.join(df.join(F.broadcast(templates.select("word").distinct()), "word", "left_semi"), "word", "left")  # the templates' words only
     of_templates = of_templates.withColumn("weight", F.col("tf") * idf)
-    of_templates = of_templates.withColumn("unit", F.col("weight") / F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy("name", "wording"))))
+    of_templates = of_templates.withColumn("unit", F.col("weight") / F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy("name", "wording", "full"))))
     of_lines = attach(vectors, df, "word").withColumn("weight", F.col("tf") * idf)
     norms = of_lines.groupBy("content").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
-    dots = of_lines.select("content", "word", "weight").join(F.broadcast(of_templates.select("word", "name", "wording", "unit")), "word").groupBy("content", "name", "wording").agg(F.sum(F.col("weight") * F.col("unit")).alias("dot"))
-    scored = dots.join(norms, "content").withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 9)).where(F.col("cosine") >= THRESHOLD)
+    dots = of_lines.select("content", "full", "word", "weight").join(F.broadcast(of_templates.select("word", "full", "name", "wording", "unit")), ["word", "full"]).groupBy("content", "full", "name", "wording").agg(F.sum(F.col("weight") * F.col("unit")).alias("dot"))
+    scored = dots.join(norms, "content").withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 9)).where(F.col("cosine") >= F.when(F.col("full"), WHOLE).otherwise(THRESHOLD))
     best = scored.groupBy("content").agg(F.min(F.struct((-F.col("cosine")).alias("c"), F.col("name").alias("name"))).alias("best"))
     told = attach(lines.drop("words"), best.select("content", F.col("best.name").alias("license"), (-F.col("best.c")).alias("cosine")), "content")
-    words_of = lambda block: F.sum(F.when(F.col("block") == block, F.col("own")).otherwise(0))
+    words_of = lambda what: F.sum(F.when(F.col("what") == what, F.col("own")).otherwise(0))
+    whole = F.bool_or("full") | (2 * F.greatest(words_of(LINE), words_of(BLOCK)) > F.max("n_words"))
     return told.groupBy("row").agg(
-        F.min(F.struct((-F.col("cosine")).alias("c"), F.col("license").alias("license"))).alias("best"), (2 * F.greatest(words_of(False), words_of(True)) > F.max("n_words")).alias("whole")
+        F.min(F.struct((-F.col("cosine")).alias("c"), F.col("license").alias("license"))).alias("best"), whole.alias("whole")
     ).select("row", F.col("best.license").alias("license"), (-F.col("best.c")).alias("cosine"), "whole")
 
 
