@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import os
+import re
 import sys
 import tempfile
 import uuid
@@ -29,13 +30,16 @@ def text_of(column: str = "text") -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the session names in spark.checkpoint.dir; one of our own only where it is unset."""
+    """The folder that the session names in spark.checkpoint.dir. Where none is named a folder of this machine would do only
+    if it were the only one, so that is refused on a cluster."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     known = spark.sparkContext._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get()
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
@@ -62,6 +66,18 @@ def dropped(df: DataFrame) -> None:
         path.getFileSystem(hadoop).delete(path, True)
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of df has, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 #: Rows that Spark hands to Python at a time; its own default is made for narrow rows, not for whole texts.
 BATCH_ROWS = 1000
 
@@ -94,17 +110,22 @@ def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BY
     return row[0] <= rows and (row[1] or 0) <= size
 
 
-def attach(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
-    """left joined to right, whose key is unique, null matching null. The key may be skewed in left.
+def attach(left: DataFrame, right: DataFrame, on: str, how: str = "inner", rows: int | None = None) -> DataFrame:
+    """left joined to right, whose key is unique, null matching null. The key may be skewed in left. rows: most rows of a broadcast side.
 
     A right side that has been measured as small is broadcast. Otherwise each of its rows is
     repeated for SALTS salts, and left's rows carry a salt made of their own columns.
     """
-    key = f"__{on}"
+    key, = free(left, f"__{on}")
     right = right.withColumnRenamed(on, key)
-    if is_small(right):
-        return left.join(F.broadcast(right), left[on].eqNullSafe(right[key]), how).drop(key)
+    if how == "left_semi":
+        right = right.select(key)
+    if is_small(right, BROADCAST_ROWS if rows is None else rows):
+        out = left.join(F.broadcast(right), left[on].eqNullSafe(right[key]), how)
+        return out if how == "left_semi" else out.drop(key)
     hashed = [F.col(f"`{f.name}`") for f in left.schema if not isinstance(f.dataType, T.MapType)]
-    salted = left.withColumn("__salt", F.pmod(F.xxhash64(*hashed), F.lit(SALTS)).cast("int"))
+    salt, = free(left, "__salt")
+    salted = left.withColumn(salt, F.pmod(F.xxhash64(*hashed), F.lit(SALTS)).cast("int"))
     many = right.withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(many, salted[on].eqNullSafe(many[key]) & (salted["__salt"] == many["__s"]), how).drop(key, "__salt", "__s")
+    out = salted.join(many, salted[on].eqNullSafe(many[key]) & (salted[salt] == many["__s"]), how).drop(salt)
+    return out if how == "left_semi" else out.drop(key, "__s")

@@ -75,9 +75,12 @@ def with_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", source:
 
 def mixed(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The mix itself: each document as often as it is taken, with the columns of docs."""
-    columns = docs.columns
+    if any(c.lower().startswith("__") for c in docs.columns):  # names that with_copies() adds or could add
+        names = [f"c{k}" for k in range(len(docs.columns))]
+        at = [names[docs.columns.index(c)] for c in (id, text, source)]
+        return mixed(docs.toDF(*names), *at).toDF(*docs.columns)
     taken = with_copies(docs, id, text, source).where("__copies > 0")
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*(F.col(f"`{c}`") for c in columns))
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,8 @@ Distinct fingerprints are dealt into buckets in which some links must fall: 64 b
 BLOCKS blocks, LINK differing bits leave BLOCKS - LINK blocks untouched, so two linked fingerprints
 agree on at least one choice of so many blocks. In a bucket each fingerprint has a row of Hamming
 distances to PIVOTS reference fingerprints. By the triangle inequality a pair whose rows differ
-by more than LINK at any pivot is no link; what survives is verified on the fingerprints
+by more than LINK at any pivot is no link: the first pivot's coordinate, by which a bucket is sorted, finds the
+pairs to look at, the others discard; what survives is verified on the fingerprints
 themselves. A bucket hands on a spanning forest of its links, never all pairs. Buckets with more
 than HOT fingerprints are cut into parts whose pairs of parts go to tasks of their own.
 
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from viewframe.llm.common import dropped, is_small, released, small_batches, table, written
+from viewframe.llm.common import dropped, free, is_small, released, small_batches, table, written
 
 BLOCKS, LINK, SHINGLE, SEED = 6, 3, 3, 42
 PIVOTS, HOT = 24, 20_000
@@ -126,8 +127,8 @@ def linked(fps: np.ndarray, first: np.ndarray, last: np.ndarray, link: int = LIN
         pair = np.arange(begin, min(begin + step, int(total[-1])))
         a = np.searchsorted(total, pair, side="right") - 1
         b = first[a] + (pair - total[a])
-        for k in range(0, len(references), 2):  # discarded at the first pivots that tell them apart
-            near = (np.abs(rows[a, k] - rows[b, k]) <= link) & (np.abs(rows[a, k + 1] - rows[b, k + 1]) <= link)
+        for k in range(1, len(references)):  # discarded at the first pivot that tells them apart; the rows were found by the first one
+            near = np.abs(rows[a, k] - rows[b, k]) <= link
             a, b = a[near], b[near]
         sure = np.bitwise_count(fps[a] ^ fps[b]) <= link
         for x, y in zip(a[sure].tolist(), b[sure].tolist(), strict=True):
@@ -137,6 +138,21 @@ def linked(fps: np.ndarray, first: np.ndarray, last: np.ndarray, link: int = LIN
     return np.array(out_a, np.int64), np.array(out_b, np.int64)
 
 
+def in_reach(group: np.ndarray, crossed: np.ndarray, side: np.ndarray, distance: np.ndarray, link: int = LINK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order of rows, and per row of it the range of rows whose distance to the first pivot is at most link from its own.
+
+    Rows of a group are compared with each other, each pair once; in a crossed group those of side 0 with those of side 1.
+    """
+    shelf = 2 * group + (crossed & (side == 1))
+    order = np.argsort(shelf * 128 + distance, kind="stable")
+    shelf, distance, crossed, side = shelf[order], distance[order].astype(np.int64), crossed[order], side[order]
+    key = shelf * 128 + distance
+    other = shelf + (crossed & (side == 0))
+    first = np.where(crossed, np.searchsorted(key, other * 128 + np.maximum(distance - link, 0)), np.arange(len(key)) + 1)
+    last = np.searchsorted(key, other * 128 + distance + link, side="right")
+    return order, first, np.where(crossed & (side == 1), first, last)
+
+
 def bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Input sorted by (bucket, part_a, part_b, side): rows of one bucket stand together. In a pair of different
     parts the rows of side 0 are compared with those of side 1, else all rows with each other."""
@@ -145,14 +161,9 @@ def bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def links(t: pa.Table) -> pa.RecordBatch:
         fps = t["fp"].to_numpy().view(np.uint64)
         keys = np.stack([t[c].to_numpy() for c in ("mask", "bucket", "part_a", "part_b")])
-        side = t["side"].to_numpy()
-        new = np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(axis=0)]))
-        size = np.diff(np.concatenate([new, [len(fps)]]))
-        end = np.repeat(new + size, size)
-        crossed = np.repeat(keys[2, new] != keys[3, new], size)
-        zeros = np.repeat(np.add.reduceat(side == 0, new), size)
-        first = np.where(crossed, np.repeat(new, size) + zeros, np.arange(len(fps)) + 1)
-        last = np.where(crossed & (side == 1), first, end)
+        new = np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(axis=0)])
+        order, first, last = in_reach(np.cumsum(new), keys[2] != keys[3], t["side"].to_numpy(), distance_table(fps, pivots()[:1])[:, 0])
+        fps = fps[order]
         a, b = linked(fps, first, last)
         return pa.RecordBatch.from_arrays([pa.array(fps[a].view(np.int64)), pa.array(fps[b].view(np.int64))], ["a", "b"])
 
@@ -252,26 +263,30 @@ def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFra
     Rows that repeat both the id and the fingerprint of that one are the same document given
     again; one of them stays, as does one row of a group without any id.
     """
-    groups = grouped(written(with_fingerprints(docs, id, text), "fingerprints"))
-    stands = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("fp") == F.col("first.fp"))
-    gone = groups.where(~stands).select(F.col("id").alias("__id"), F.col("fp").alias("__gone")).distinct()
-    twice = groups.where(stands).groupBy(F.col("id").alias("__id"), F.col("fp").alias("__gone")).agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    own, as_id, as_print = free(docs, "__fp", "__id", "__print")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text)).cast(pa.binary())
             found = np.fromiter((fingerprint(t.as_py() or b"") for t in texts), np.uint64, len(texts))
-            yield batch.append_column("__fp", pa.array(found.view(np.int64)))
+            yield batch.append_column(own, pa.array(found.view(np.int64)))
         released()
 
-    marked = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__fp", T.LongType())]))
-    same = lambda right: marked[id].eqNullSafe(right["__id"]) & (marked["__fp"] == right["__gone"])
+    small_batches(docs.sparkSession)
+    # texts are written with their fingerprints, which cost more than a copy
+    marked = written(docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(own, T.LongType())])), "marked")
+    groups = written(grouped(marked.select(F.col(id).alias("id"), F.col(own).alias("fp"))), "groups")
+    stands = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("fp") == F.col("first.fp"))
+    keys = F.col("id").alias(as_id), F.col("fp").alias(as_print)
+    gone = groups.where(~stands).select(*keys)
+    twice = groups.where(stands).groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    same = lambda right: marked[id].eqNullSafe(right[as_id]) & (marked[own] == right[as_print])
     gone = written(gone.unionByName(twice), "gone")
     kept = marked.join(F.broadcast(gone) if is_small(gone) else gone, same(gone), "left_anti")
     if not twice.isEmpty():
-        again = marked.join(twice, same(twice), "left_semi").dropDuplicates([id, "__fp"])
+        again = marked.join(twice, same(twice), "left_semi").dropDuplicates([id, own])
         kept = kept.unionByName(again)
-    return kept.drop("__fp")
+    return kept.drop(own)
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
