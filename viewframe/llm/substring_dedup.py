@@ -34,7 +34,7 @@ from viewframe.llm.suffix_array import permuted_lcp, suffix_array
 SIZE, KEY = 400, 100
 REACH = SIZE - KEY  # bytes before an anchor that a string which chose it may begin at
 HOT = 20_000
-PIECE, SHARD = 1 << 20, 1 << 21  # bytes hashed together, bytes sorted together
+PIECE, SHARD = 1 << 20, 1 << 20  # bytes hashed together, bytes sorted together
 SEGMENT = 1 << 22  # a longer text is looked at in overlapping segments
 PLACES = 40  # bits of a row's place in its file
 
@@ -285,13 +285,13 @@ def intervals(texts: DataFrame, hot: int = HOT) -> DataFrame:
         cut = written(cut, "cuts")
         held.append(cut)
     shards = cut.where("not hot").drop("hot").repartition("fp").sortWithinPartitions("fp")
-    out = whole.unionByName(shards.mapInArrow(sort_shards, "row long, a long, b long"))
+    out = written(whole, "intervals").unionByName(written(shards.mapInArrow(sort_shards, "row long, a long, b long"), "intervals"))
     if any_hot:
         strings = written(cut.where("hot").drop("hot").mapInArrow(lambda b: joined(hot_strings(b)), "h1 long, h2 long, row long, at long, weight long"), "strings")
         again = written(strings.groupBy("h1", "h2").agg(F.sum("weight").alias("n")).where("n > 1").select("h1", "h2"), "again")
-        out = out.unionByName(strings.select("h1", "h2", "row", "at").join(again, ["h1", "h2"]).select("row", F.col("at").alias("a"), (F.col("at") + SIZE).alias("b")))
+        twice = strings.select("h1", "h2", "row", "at").join(again, ["h1", "h2"])
+        out = out.unionByName(written(twice.select("row", F.col("at").alias("a"), (F.col("at") + SIZE).alias("b")), "intervals"))
         held += [strings, again]
-    out = written(out, "intervals")
     for table_ in held:
         dropped(table_)
     return out
