@@ -290,6 +290,8 @@ def test_shared_folder_is_asked_for(spark):
             get = staticmethod(lambda *_: None)
 
         class sparkContext:
+            master = "spark://host:7077"
+
             class _jsc:
                 sc = staticmethod(lambda: type("", (), {"getCheckpointDir": staticmethod(lambda: type("", (), {"isDefined": staticmethod(lambda: False)}))}))
 

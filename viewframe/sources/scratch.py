@@ -3,20 +3,25 @@
 from __future__ import annotations
 
 import os
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """All executors must reach it, so there is no fallback to a folder of one machine."""
+    """All executors must reach it; where none is named, a folder of this machine is made only if Spark runs on it alone."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if not known.isDefined():
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        named = known.get()
-    return named
+    if named:
+        return named
+    known = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if known.isDefined():
+        return known.get()
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
 def scratch(spark: SparkSession, what: str) -> str:
