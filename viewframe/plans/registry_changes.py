@@ -425,7 +425,7 @@ BY_TYPE = {"by_type": (["event_type"], {"n": Measure("count"), "high": Measure("
 
 @query(f"with {LOG}, {LAST} select row_id, event_type, value, \"offset\", ts_ms from z where n = 1 and op = 'upsert'")
 def stream_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = maintained(spark, change_log(spark, sf_dir), views=BY_TYPE)
+    out = maintained(spark, change_log(spark, sf_dir))
     return out.read("table", out.version())
 
 
@@ -437,7 +437,7 @@ def stream_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {LOG}, {LAST}, m as (select max(ts_ms) as now from l) select row_id, event_type, value, \"offset\", ts_ms from z, m where n = 1 and op = 'upsert' and ts_ms + {AGE} > now")
 def stream_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = maintained(spark, change_log(spark, sf_dir), views=BY_TYPE, policy=R.Policy(max_age_ms=AGE))
+    out = maintained(spark, change_log(spark, sf_dir), policy=R.Policy(max_age_ms=AGE))
     return out.read("table", out.version())
 
 

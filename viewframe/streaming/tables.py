@@ -14,7 +14,7 @@ import json
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -50,39 +50,46 @@ class Measure:
         return F.count("*") if self.op == "count" else {"sum": F.sum, "min": F.min, "max": F.max}[self.op](self.column)
 
 
-def regrouped_by_difference(groups: DataFrame, table: DataFrame, images: DataFrame, keys: Sequence[str], measures: Mapping[str, Measure]) -> DataFrame:
-    """Groups with __rows after changes (A24), from what came and went alone.
+def regrouped_by_difference(groups: DataFrame, images: DataFrame, keys: Sequence[str], measures: Mapping[str, Measure]) -> DataFrame:
+    """Groups with __rows after changes (A24), from what came and went alone; __lost marks those that must be computed again.
 
-    Counts and sums add up. An extreme is only looked for in the table, in its own group, where a row that held it
-    has gone and none that came is as far out. images: o and n, the rows before and after.
+    Counts and sums add up. An extreme is lost where a row that held it has gone and none that came is as far out.
+    groups: keys, measures and __rows before; images: o and n, the rows before and after. One aggregation of them all.
     """
-    old = images.where("o is not null").select("o.*", F.lit(-1).alias("__w"))
-    new = images.where("n is not null").select("n.*", F.lit(1).alias("__w"))
-    parts = []
+    zero = F.lit(None)
+
+    def row(whence: str, kind: int, weight: Column) -> list[Column]:
+        out = [F.col(f"{whence}{k}").alias(k) for k in keys] + [weight.cast("long").alias("__rows")]
+        for name, m in measures.items():
+            type_ = groups.schema[name].dataType
+            held = F.col(name) if not kind else weight if m.op == "count" else F.col(f"{whence}{m.column}") * (weight if m.op == "sum" else 1)
+            sides = (0, -1, 1) if m.op in ("min", "max") else (kind,)
+            out += [(held if side == kind else zero).cast(type_).alias(f"{name}{side}" if len(sides) > 1 else name) for side in sides]
+        return out
+
+    parts = groups.select(*row("", 0, F.col("__rows"))), images.where("o is not null").select(*row("o.", -1, F.lit(-1))), images.where("n is not null").select(*row("n.", 1, F.lit(1)))
+    whole = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    sums, shown, lost = [F.sum("__rows").alias("__rows")], [], F.lit(False)
     for name, m in measures.items():
+        type_ = groups.schema[name].dataType
         if m.op in ("min", "max"):
-            extreme = F.min if m.op == "min" else F.max
-            parts += [extreme(F.when(F.col("__w") < 0, F.col(m.column))).alias(f"__gone_{name}"), extreme(F.when(F.col("__w") > 0, F.col(m.column))).alias(f"__came_{name}")]
+            extreme, pick = (F.min, F.least) if m.op == "min" else (F.max, F.greatest)
+            sums += [extreme(f"{name}{side}").alias(f"{name}{side}") for side in (0, -1, 1)]
+            out = pick(f"{name}0", f"{name}1")
+            lost = lost | F.coalesce((F.col(f"{name}-1") == F.col(f"{name}0")) & ~F.col(f"{name}1").eqNullSafe(out), F.lit(False))
+            shown.append(out.alias(name))
         else:
-            parts.append(F.sum("__w" if m.op == "count" else F.col("__w") * F.col(m.column)).alias(f"__d_{name}"))
-    difference = old.unionByName(new).groupBy(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys))).agg(F.sum("__w").alias("__d"), *parts)
-    same = lambda left, right: [left[k].eqNullSafe(right[f"__k{i}"]) for i, k in enumerate(keys)]
-    both = groups.join(difference, same(groups, difference), "full_outer").withColumn("__rows", F.coalesce("__rows", F.lit(0)) + F.coalesce("__d", F.lit(0)))
-    shown, lost = [F.coalesce(F.col(k), F.col(f"__k{i}")).alias(k) for i, k in enumerate(keys)], F.lit(False)
-    for name, m in measures.items():
-        if m.op in ("min", "max"):
-            pick = F.least if m.op == "min" else F.greatest
-            out = pick(F.col(name), F.col(f"__came_{name}"))
-            lost = lost | F.coalesce(F.col(f"__gone_{name}").eqNullSafe(F.col(name)) & ~(F.col(f"__came_{name}").eqNullSafe(out)) & F.col(name).isNotNull(), F.lit(False))
-        else:
-            out = F.coalesce(F.col(name), F.lit(0)) + F.coalesce(F.col(f"__d_{name}"), F.lit(0))
-        shown.append(out.cast(groups.schema[name].dataType).alias(name))
-    merged = both.where("__rows > 0").select(*shown, "__rows", lost.alias("__lost"))
-    if not any(m.op in ("min", "max") for m in measures.values()):
-        return merged.drop("__lost")
-    hit = merged.where("__lost").select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)))
-    again = table.join(hit, same(table, hit), "left_semi").groupBy(*keys).agg(*(m.whole().cast(groups.schema[n].dataType).alias(n) for n, m in measures.items()), F.count("*").alias("__rows"))
-    return merged.where("not __lost").drop("__lost").unionByName(again)
+            sums.append(F.coalesce(F.sum(name), F.lit(0)).cast(type_).alias(name))
+            shown.append(F.col(name))
+    return whole.groupBy(*keys).agg(*sums).where("__rows > 0").select(*keys, *shown, "__rows", lost.alias("__lost"))
+
+
+def computed_again(groups: DataFrame, table: DataFrame, keys: Sequence[str], measures: Mapping[str, Measure]) -> DataFrame:
+    """Groups, those that are __lost from the table itself."""
+    hit = groups.where("__lost").select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)))
+    found = table.join(hit, [table[k].eqNullSafe(hit[f"__k{i}"]) for i, k in enumerate(keys)], "left_semi")
+    again = found.groupBy(*keys).agg(*(m.whole().cast(groups.schema[n].dataType).alias(n) for n, m in measures.items()), F.count("*").alias("__rows"))
+    return groups.where("not __lost").drop("__lost").unionByName(again)
 
 
 class Store:
@@ -150,8 +157,14 @@ class Store:
         last = C.latest(over, order=("version",))
         return rows.join(last.select("row_id"), "row_id", "left_anti").unionByName(last.where(F.col("op") == C.UPSERT).select(*self.schema.names))
 
+    def counted(self, df: DataFrame, path: str) -> int:
+        """Writes df and gives the number of its rows, which the same job counts."""
+        seen = Observation()
+        df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(path)
+        return seen.get["rows"]
+
     def put(self, changes: DataFrame, version: int) -> DataFrame:
-        changes.select(*self.change_schema.names).write.mode("overwrite").parquet(self.path("changes", version))
+        self.changed = self.counted(changes.select(*self.change_schema.names), self.path("changes", version))
         return self.spark.read.schema(self.change_schema).parquet(self.path("changes", version))
 
     def imaged(self, changes: DataFrame, version: int) -> DataFrame:
@@ -165,13 +178,12 @@ class Store:
     def images(self, first: int, last: int) -> DataFrame:
         return self.spark.read.schema(self.image_schema).parquet(*(self.path("images", v) for v in range(first, last + 1)))
 
-    def finish(self, version: int, changed: int, more: dict) -> None:
+    def finish(self, version: int, more: dict) -> None:
         """Perhaps a new base; then the marker; then versions that nobody needs go."""
         known = self.known(version - 1)
-        base, changed = known["base"], known["changed"] + changed
+        base, changed = known["base"], known["changed"] + self.changed
         if base < 0 or changed > SHARE * known["base_rows"] or version - base >= MOST_VERSIONS:
-            self.state_now(version, base).write.mode("overwrite").parquet(self.path("base", version))
-            known = {"base": version, "base_rows": self.spark.read.parquet(self.path("base", version)).count(), "changed": 0}
+            known = {"base": version, "base_rows": self.counted(self.state_now(version, base), self.path("base", version)), "changed": 0}
         else:
             known = known | {"changed": changed}
         self.done(version, known | more)
@@ -240,8 +252,15 @@ class MaintainedTable:
                 kinds = [m.whole().alias(n) for n, m in measures.items()]
                 out = images.where("n is not null").select("n.*").groupBy(*keys).agg(*kinds, F.count("*").alias("__rows"))
             else:
-                table = table if table is not None else self.store.state(version - 1, changes)
-                out = regrouped_by_difference(self.spark.read.parquet(self.store.path(name, version - 1)), table, images, keys, measures)
+                out = regrouped_by_difference(self.spark.read.parquet(self.store.path(name, version - 1)), images, keys, measures)
+                if any(m.op in ("min", "max") for m in measures.values()):
+                    path = self.store.path(f"{name}-step", version)
+                    out.write.mode("overwrite").parquet(path)
+                    out = self.spark.read.schema(out.schema).parquet(path)
+                    if not out.where("__lost").isEmpty():
+                        table = table if table is not None else self.store.state(version - 1, changes)
+                        out = computed_again(out, table, keys, measures)
+                out = out.drop("__lost")
             out.write.mode("overwrite").parquet(self.store.path(name, version))
             if version >= KEPT:
                 removed(self.spark, self.store.path(name, version - KEPT))
@@ -250,7 +269,7 @@ class MaintainedTable:
             more["windows"] = {name: self.sent(name, make(table), more["windows"].get(name), version) for name, make in self.windows.items()}
         if self.on_delta:
             self.on_delta(self.delta(version), version)
-        self.store.finish(version, changes.count(), more)
+        self.store.finish(version, more)
 
     # ---- audits (S10) ----
 
@@ -395,7 +414,7 @@ class MaintainedJoin:
         changes = ids.join(mine, ids["row_id"] == F.col("__id"), "left").select("row_id", "l", "r", F.when(F.col("__id").isNull(), C.DELETE).otherwise(C.UPSERT).alias("op"))
         changes = self.store.put(changes, last + 1)
         self.store.imaged(changes, last + 1)
-        self.store.finish(last + 1, changes.count(), {"left": here, "right": there})
+        self.store.finish(last + 1, {"left": here, "right": there})
         return last + 1
 
     def read(self, version: int) -> DataFrame:
