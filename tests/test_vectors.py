@@ -1,6 +1,7 @@
 """Hand vectors: orders, texts, exact numbers, windows, counts, joins, retention."""
 
 import math
+import random
 from fractions import Fraction
 
 import pytest
@@ -298,3 +299,14 @@ def test_shared_folder_is_asked_for(spark):
     assert shared_folder(spark)
     with pytest.raises(ValueError):
         shared_folder(Unset)
+
+
+def test_sums_of_shortest_texts(spark):
+    rng = random.Random(5)
+    values = [0.1, 0.2, 1e22, 1e-9, 123456789.123456, 5e-324, -0.3, 999999999.9999999, 1 / 3, 0.0, -0.0, 1e9, 12345.67] + [rng.uniform(-1e6, 1e6) for _ in range(200)] + [round(rng.uniform(0, 1e5), 2) for _ in range(500)]
+    df = spark.createDataFrame([(k % 3, x) for k, x in enumerate(values)] + [(1, None), (9, None)], "k int, v double")
+    got = {r.k: (r.total, r.n) for r in exact.shortest_sums(df, ["k"], F.col("v")).collect()}
+    for k in range(3):
+        own = [Fraction(repr(x)) for j, x in enumerate(values) if j % 3 == k]
+        assert Fraction(got[k][0]) == sum(own) and got[k][1] == len(own)
+    assert got[9] == ("0", 0) and exact.shortest_sums(df, [], F.col("v")).first().n == len(values)

@@ -180,14 +180,32 @@ def double_sums(df: DataFrame, keys: list[str], value: Column) -> DataFrame:
     return _gathered(parts, keys).withColumn("x", rounded_double("parts", "n")).select(*keys, "x.*", "n")
 
 
-def text_sums(df: DataFrame, keys: list[str], text: Column) -> DataFrame:
-    """Per group: total (canonical text, "0" if there are no values) and n, of decimal texts of any length."""
-    rows = df.select(*keys, text.alias("__t")).select(*keys, "__t", F.posexplode_outer(limbs("__t")).alias("__i", "__x"))
-    first = F.when(F.coalesce("__i", F.lit(0)) == 0, F.col("__t"))  # a value counts at its first limb; zero has none
-    parts = rows.groupBy(*keys, F.col("__x.place").alias("at")).agg(F.sum(F.col("__x.limb").cast("decimal(38,0)")).alias("total"), F.count(first).alias("n"))
+def text_sums(df: DataFrame, keys: list[str], text: Column, weight: Column | None = None) -> DataFrame:
+    """Per group: total (canonical text, "0" if there are no values) and n, of decimal texts of any length.
+
+    weight: of how many values each text is the sum, 1 by default.
+    """
+    rows = df.select(*keys, text.alias("__t"), (F.lit(1) if weight is None else weight).alias("__n"))
+    rows = rows.select(*keys, "__t", "__n", F.posexplode_outer(limbs("__t")).alias("__i", "__x"))
+    first = F.when((F.coalesce("__i", F.lit(0)) == 0) & F.col("__t").isNotNull(), F.col("__n"))  # a value counts at its first limb; zero has none
+    parts = rows.groupBy(*keys, F.col("__x.place").alias("at")).agg(F.sum(F.col("__x.limb").cast("decimal(38,0)")).alias("total"), F.sum(first).alias("n"))
     return _gathered(parts, keys).withColumn("total", wide_sum("parts")).select(*keys, "total", "n")
 
 
+def shortest_sums(df: DataFrame, keys: list[str], value: Column) -> DataFrame:
+    """text_sums() of the shortest decimal texts of doubles.
+
+    A decimal of at most 15 digits that reads back as the double is its shortest text, as no two such decimals read as the
+    same double. Those are summed as decimals, map-side; only the other doubles are written out in Python.
+    """
+    plain = value.cast("decimal(38,6)")
+    short = F.coalesce((F.abs(value) < 1e9) & (plain.cast("double") == value), F.lit(False))
+    sums = df.groupBy(*keys).agg(F.sum(F.when(short, plain)).alias("__s"), F.count(F.when(short, 1)).alias("__w"))
+    sums = sums.select(*keys, F.when(F.col("__w") > 0, canonical_decimal(F.col("__s"))).alias("__text"), "__w")
+    rest = df.where(value.isNotNull() & ~short).select(*keys, shortest_text(value).alias("__text"), F.lit(1).cast("long").alias("__w"))
+    return text_sums(sums.unionByName(rest), keys, F.col("__text"), F.col("__w"))
+
+
 def _joined(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     if not keys:
         return left.withColumns({c: right.select(c).scalar() for c in right.columns})  # one row each

@@ -112,8 +112,10 @@ def aggregate(df: DataFrame, schema: Schema, group_by: Sequence[str], aggregates
             bad = F.raise_error(F.lit("the sum of numbers is out of range"))
             values = {"sum": F.when(F.col("overflow"), bad).otherwise(F.col("total")), "avg": F.when(F.col("overflow"), bad).otherwise(F.col("mean"))}
         else:
-            shown = exact.shortest_text(f.column) if f.kind == "number" else exact.canonical_wide(f.column.cast("string")) if f.kind == "wide_decimal" else exact.canonical_decimal(f.column)
-            sums = exact.text_sums(named, inner, shown)
+            if f.kind == "number":
+                sums = exact.shortest_sums(named, inner, f.column)
+            else:
+                sums = exact.text_sums(named, inner, exact.canonical_wide(f.column.cast("string")) if f.kind == "wide_decimal" else exact.canonical_decimal(f.column))
             half_up = F.when(F.col("n") == 0, F.lit("0")).otherwise(exact.quotient_text("total", "n", F.lit(100), F.lit("half_up")))
             values = {"sum": F.col("total"), "avg": half_up if profile == COMPAT else exact.quotient_text("total", "n", F.lit(18), F.lit("half_even"))}
         out = exact._joined(out, sums.select(*inner, *(values[op].alias(alias) for alias, op in wanted)), inner)

@@ -18,7 +18,7 @@ MAX_SELECT = 64
 
 @dataclass(frozen=True)
 class View:
-    """A table under its schema. query() plans a query and runs nothing."""
+    """A table under its schema. query() plans a query and runs nothing, but for windows so deep that rows are ranged first."""
 
     df: DataFrame
     schema: Schema
