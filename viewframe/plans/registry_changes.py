@@ -17,7 +17,7 @@ from viewframe.operators import retention as R
 from viewframe.plans.registry import O_SQL, ORDERS, orders, query, table
 from viewframe.sources import identity
 from viewframe.sources.admission import admitted, quarantined, with_null_marker
-from viewframe.sources.rows import read_together, rendered
+from viewframe.sources.rows import demo_of, read_together, rendered
 from viewframe.sources.schema import Field, Schema, flat
 from viewframe.sources.scratch import scratch
 from viewframe.streaming.tables import MaintainedJoin, MaintainedTable, Measure, change_stream, regrouped
@@ -98,6 +98,14 @@ def rendered_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders(spark, sf_dir).df.select("o_orderkey", rendered(schema).alias("json"))
 
 
+@query("""select 'order-' || o_orderkey as "orderId", ['Zoë', 'İstanbul', '東京', 'plain'][o_orderkey % 4 + 1] || ' ' || o_orderkey % 2048 as customer, o_orderkey % 2 = 0 as open, (9007199254740993 + o_orderkey)::varchar as units,
+ o_orderkey || '.000000000000000001' as price, case o_orderkey % 4 when 3 then 'note ' || o_orderkey when 2 then '' end as note, o_orderkey % 4 <> 0 as has_note from orders""")
+def demonstration_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The demonstration data, an order for each one that is there."""
+    out = demo_of(table(spark, sf_dir, "orders"), F.col("o_orderkey"))
+    return out.select("orderId", "customer", "open", F.col("units").cast("string").alias("units"), F.col("price").cast("string").alias("price"), "note", F.col("__has_note").alias("has_note"))
+
+
 @query("select c_custkey, c_name, case when c_custkey % 2 = 1 and c_custkey % 3 = 0 then c_mktsegment end as memo, c_custkey % 2 = 1 and c_custkey % 5 <> 0 as has_memo from customer")
 def evolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     old_schema = flat("c_custkey", ("c_custkey", "int64"), ("c_name", "string"))

@@ -66,11 +66,16 @@ DEMO = flat("orderId", ("orderId", "string"), ("customer", "string"), ("open", "
 
 def demo_orders(spark: SparkSession, n: int, revision: int = 0) -> DataFrame:
     """Orders with Unicode customers, units beyond 2^53, 18-digit fractions, and notes missing, null, empty and set in turn."""
-    i = F.col("id")
+    return demo_of(spark.range(n), F.col("id"), revision)
+
+
+def demo_of(rows: DataFrame, i: Column, revision: int = 0) -> DataFrame:
+    """The demonstration order of each row, by its number."""
     word = F.element_at(F.array(*map(F.lit, WORDS)), (i % 4 + 1).cast("int"))
     note = F.when(i % 4 == 3, F.concat(F.lit("note "), i.cast("string"))).when(i % 4 == 2, "")
-    price = (i.cast("decimal(38,18)") + F.lit(revision).cast("decimal(38,18)") + F.lit("0.000000000000000001").cast("decimal(38,18)")).cast("decimal(38,18)")
-    return spark.range(n).select(
+    # of 18 digits before the point, as a sum of wider decimals would lose the last digit behind it
+    price = ((i + revision).cast("decimal(18,0)") + F.lit("0.000000000000000001").cast("decimal(19,18)")).cast("decimal(38,18)")
+    return rows.select(
         F.concat(F.lit("order-"), i.cast("string")).alias("orderId"), F.concat(word, F.lit(" "), (i % 2048).cast("string")).alias("customer"), (i % 2 == 0).alias("open"),
         (F.lit(9007199254740993) + i).cast("decimal(20,0)").alias("units"), price.alias("price"), note.alias("note"), (i % 4 != 0).alias("__has_note"),
     )
