@@ -1,8 +1,8 @@
 """Operators 4 and 8 on tables: token counts, and byte-level BPE encoding and decoding.
 
 A vocabulary file is of fixed size; the driver reads it once and Spark broadcasts its bytes.
-A Python worker compiles the machine on its first batch and keeps it, with the arcs that texts have asked
-for so far, up to a bound, while it lives.
+A Python worker compiles the machine on its first batch and keeps it while it lives, but for the arcs that a task's
+texts asked for: Spark keeps workers, and they would hold that memory while other stages run.
 
 Defined results: a null text is the empty text and has no tokens; a row depends on its own text
 alone, so repeated rows agree; an empty table gives an empty result; other columns are not read.
@@ -24,7 +24,7 @@ from viewframe.llm.tokens import StreamDecoder, Tokenizer, ranks_of, ranks_of_js
 LIMIT = 512
 COUNT_VOCABULARY, CODE_VOCABULARY = "byte_bpe_50k.json", "byte_bpe_multi_50k.tiktoken"
 #: Texts of about so many characters are in a worker's hands at a time.
-AT_ONCE = 1 << 21
+AT_ONCE = 1 << 20
 
 _machines: dict[str, Tokenizer] = {}
 
@@ -42,6 +42,13 @@ def machine(file: bytes) -> Tokenizer:
     return _machines[name]
 
 
+def rest() -> None:
+    """At the end of a task."""
+    for tokenizer in _machines.values():
+        tokenizer.transducer.forget()
+    released()
+
+
 def slices(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[str]]]:
     """(first row, texts), about AT_ONCE characters each."""
     lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
@@ -71,7 +78,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, id: str = "doc_
                 counts = tokenizer.count_with_special(texts)
                 size = pa.array([len(t.encode()) for t in texts], pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), size, pa.array(counts, pa.int64()), pa.array([n > limit for n in counts], pa.bool_())], [id, "n_bytes", "n_tokens", "over_limit"])
-        released()
+        rest()
 
     kind = docs.schema[id].dataType.simpleString()
     return docs.select(id, text).mapInArrow(run, f"`{id}` {kind}, n_bytes long, n_tokens long, over_limit boolean")
@@ -98,7 +105,7 @@ def encoded(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text")
                 many, flat = tokenizer.encoded(texts)
                 ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many)]), pa.int32()), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), ids], [id, "ids"])
-        released()
+        rest()
 
     return docs.select(id, text).mapInArrow(run, f"`{id}` {docs.schema[id].dataType.simpleString()}, ids array<int>")
 
@@ -131,7 +138,7 @@ def code_digests(docs: DataFrame, path: str, id: str = "doc_id", text: str = "te
                     of_ids.append(hashlib.sha256(",".join(map(tokenizer.decimal.__getitem__, ids)).encode()).hexdigest())
                     of_texts.append(hashlib.sha256(decoded_bytes(tokenizer, ids)).hexdigest())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(counts, pa.int64()), pa.array(of_ids), pa.array(of_texts)], [id, "n_tokens", "ids_sha256", "decoded_sha256"])
-        released()
+        rest()
 
     kind = docs.schema[id].dataType.simpleString()
     return docs.select(id, text).mapInArrow(run, f"`{id}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -16,7 +16,6 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 
 from viewframe.llm.transducer import Transducer, spans
 
@@ -255,9 +254,11 @@ class Tokenizer:
         for text, at in zip(texts, starts(texts, self.unicode), strict=True):
             pieces += cut(text, at)
             ends.append(len(pieces))
-        which, words = pd.factorize(np.array(pieces, object))
-        del pieces
-        words = [w.encode("utf-8", "surrogatepass") for w in words]
+        number = dict.fromkeys(pieces)
+        words = [w.encode("utf-8", "surrogatepass") for w in number]
+        number.update(zip(number, range(len(number)), strict=True))
+        which = np.fromiter(map(number.__getitem__, pieces), np.int64, len(pieces))
+        del pieces, number
         size = np.array([*map(len, words)], np.int64)
         many, flat = self.transducer.run(np.frombuffer(b"".join(words), np.uint8), np.cumsum(size) - size, size, ids)
         # at a pretoken's end the machine is back at its start, whatever its state: counts of pretokens just add up, by a prefix sum

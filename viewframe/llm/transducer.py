@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 
-MOST_ARCS = 600_000
+MOST_ARCS = 250_000
 ROWS = 20_000  # arcs made together
 FEW = 8  # so few pretokens left in a step are followed one by one
 NEVER = 1 << 40
@@ -125,14 +125,12 @@ class Vocabulary:
         left = right = None
         self.left, self.right = (np.full(self.size, -1, np.int32) for _ in range(2))
         halves: list[tuple[int, int] | None] = [None] * self.size
-        merges: dict[tuple[int, int], int] = {}
         for k, t in enumerate(tokens):
             for cut in range(1, len(t)):
                 left, right = number.get(t[:cut]), number.get(t[cut:])
                 if left is not None and right is not None:
                     pairs.append(left * self.size + right)
                     wholes.append(k)
-                    merges[left, right] = k
         self.pairs = Table(2 * len(pairs))
         self.pairs.add(np.array(pairs, np.int64))
         self.whole = np.array(wholes, np.int32)
@@ -142,7 +140,7 @@ class Vocabulary:
                 continue
             for cut in range(1, len(t)):
                 left, right = number.get(t[:cut], k), number.get(t[cut:], k)
-                if left < k and right < k and beside(left, right, k, merges, halves):
+                if left < k and right < k and beside(left, right, k, tokens, number, halves):
                     halves[k] = left, right
                     break
             else:
@@ -174,10 +172,10 @@ class Vocabulary:
         return ok
 
 
-def beside(left: int, right: int, before: int, merges: dict[tuple[int, int], int], halves: list[tuple[int, int] | None]) -> bool:
+def beside(left: int, right: int, before: int, tokens: list[bytes], number: dict[bytes, int], halves: list[tuple[int, int] | None]) -> bool:
     """Whether merges that come before the given one leave two tokens side by side."""
     while True:
-        if merges.get((left, right), NEVER) < before:
+        if number.get(tokens[left] + tokens[right], NEVER) < before:
             return False
         a, b = (left if halves[left] else -1), (right if halves[right] else -1)
         if a < 0 and b < 0:
