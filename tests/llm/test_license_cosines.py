@@ -27,13 +27,13 @@ def words(text):
 
 
 def plain(files):
-    line, mark = re.compile(L.LICENSE_LINE), re.compile(L.MARK)
+    line, mark, code, phrase = map(re.compile, (L.LICENSE_LINE, L.MARK, L.COMMENTED, L.PHRASE))
     units = []
-    for n, (_, text) in enumerate(files):
+    for n, (path, text) in enumerate(files):
         if not text or not line.search(text):
             continue
-        blocks = [b for b in re.split("\n{2,}", mark.sub("", text)) if "\n" in b.strip(" ")]
-        units += [(n, kind, x) for kind, xs in ((L.LINE, text.split("\n")), (L.BLOCK, [b.replace("\n", " ") for b in blocks]), (L.FILE, [text])) for x in xs if line.search(x)]
+        blocks = [b for b in re.split("\n{2,}", mark.sub("", code.sub("", text))) if "\n" in b.strip(" ")]
+        units += [(n, kind, x) for kind, xs in ((L.LINE, text.split("\n")), (L.BLOCK, [b.replace("\n", " ") for b in blocks]), (L.FILE, [text] * bool(phrase.search(text) or re.search(L.LICENSE_FILE, path or "")))) for x in xs if line.search(x)]
     df = Counter(w for _, _, x in units for w in set(words(x)))
     idf = lambda w: math.log((1 + len(units)) / (1 + df[w])) + 1
     vector = lambda x: {w: n * idf(w) for w, n in Counter(words(x)).items()}

@@ -1,8 +1,8 @@
 """Operator 6: license scans, with DataFrame functions only.
 
 Lines that speak of licensing (headers, notices) are compared with the wordings of headers by the
-cosine of sparse TF-IDF vectors, and so are blocks of lines that hold one; the whole texts of files with such a line are
-compared with full license texts. The frequencies are those of all of them. A file's license is that of its best line or
+cosine of sparse TF-IDF vectors, and so are blocks of commented lines that hold one; the whole texts of files that are
+named LICENSE or COPYING, or that hold a phrase which a full license text has, are compared with full license texts. The frequencies are those of all of them. A file's license is that of its best line or
 block at THRESHOLD or more, or of its whole text at WHOLE or more. A file that is a license text as a whole, most of
 whose words are such lines or blocks, or which is named LICENSE or COPYING, is a license file, and
 lends its license to its directory. A file without one of its own takes that
@@ -28,6 +28,13 @@ LICENSE_LINE = r"(?i)\b(?:licen[sc]e[ds]?|licensing|copyright|permission\x20is\x
 TERM = "[^a-z0-9.+]+"
 #: What a line of a comment begins with; a block is made of the lines between two empty ones.
 MARK = r"(?m)^[\x20\t\r]*(?:#+|//+|/?\*+/?|--+|;+|%+|<!--)?[\x20\t\r]*"
+COMMENTED = r"(?m)^(?![\x20\t]*(?:#|//|/?\*|--|;|%|<!--))[^\n]*$"  # lines that are no comments
+#: A phrase of each full license text, which may be wrapped.
+PHRASES = (
+    "permission is hereby granted, free of charge", "redistributions of source code must retain", "permission to use, copy, modify", "free and unencumbered software",
+    "altered source versions must be plainly marked", "you may not use this file except in compliance", "redistribute it and/or modify it under the terms",
+)
+PHRASE = "(?i)" + "|".join(r"[\s#*/;%-]+".join(p.split()) for p in PHRASES)
 LICENSE_FILE = r"(?i)(?:^|/)(?:licen[sc]es?|copying|unlicense)(?:[._-][^/]*)?$"
 
 # Wordings by which the usual licenses are told.
@@ -73,16 +80,17 @@ def counted(lines: DataFrame) -> DataFrame:
 
 
 def best_templates(files: DataFrame) -> DataFrame:
-    """files: row, text. Per row with a line at THRESHOLD or more: row, license, cosine; whole: whether most of its words are such lines."""
+    """files: row, text, named (whether the file's name is that of a license). Per row with a line at THRESHOLD or more: row, license, cosine; whole: whether most of its words are such lines."""
     spark = files.sparkSession
     named = [(n, k, False, t) for n, wordings in TEMPLATES.items() for k, t in enumerate(wordings)] + [(n, 0, True, t) for n, t in FULL.items()]
     templates = counted(spark.createDataFrame(named, "name string, wording int, full boolean, t string").select("name", "wording", "full", terms(F.col("t")).alias("words")))
     split = F.split("text", "\n")
-    blocks = F.filter(F.split(F.regexp_replace("text", MARK, ""), "\n{2,}"), lambda x: F.trim(x).contains("\n"))
+    blocks = F.filter(F.split(F.regexp_replace(F.regexp_replace("text", COMMENTED, ""), MARK, ""), "\n{2,}"), lambda x: F.trim(x).contains("\n"))
+    candidate = F.coalesce("named", F.lit(False)) | F.col("text").rlike(PHRASE)
     unit = lambda what: lambda x: F.struct(F.lit(what).alias("what"), x.alias("content"))
     whole_blocks = F.transform(F.transform(blocks, lambda x: F.regexp_replace(x, "\n", " ")), unit(BLOCK))
     # a sentence may be wrapped, so blocks of lines are compared as well as lines
-    speaking = F.filter(F.concat(F.transform(split, unit(LINE)), whole_blocks, F.transform(F.array("text"), unit(FILE))), lambda x: x.content.rlike(LICENSE_LINE))
+    speaking = F.filter(F.concat(F.transform(split, unit(LINE)), whole_blocks, F.transform(F.filter(F.array("text"), lambda _: candidate), unit(FILE))), lambda x: x.content.rlike(LICENSE_LINE))
     found = files.where(F.col("text").rlike(LICENSE_LINE)).select(
         "row", speaking.alias("units"), F.size(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")).alias("n_words")
     )
@@ -123,7 +131,7 @@ def scanned(files: DataFrame, path: str = "path", text: str = "text", keep: tupl
     # numbers are read from one table: a second scan might be split, and so numbered, otherwise
     said = F.when(text_of(text).rlike(LICENSE_LINE), text_of(text)).alias("text")
     numbered = written(files.select(F.monotonically_increasing_id().alias("row"), *keep, F.col(path).alias("path"), said), "numbered")
-    own = written(best_templates(numbered.where("text is not null").select("row", "text")), "licenses")
+    own = written(best_templates(numbered.where("text is not null").select("row", "text", F.col("path").rlike(LICENSE_FILE).alias("named"))), "licenses")
     rows = numbered.drop("text").join(own, "row", "left")
     rows = written(rows, "scanned")
     lending = rows.where(F.col("license").isNotNull() & (F.col("whole") | F.col("path").rlike(LICENSE_FILE))).withColumn("directory", F.regexp_replace("path", "/?[^/]*$", "")).where("directory is not null")
