@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from viewframe.llm import exact_dedup, html_extract, license_scan, mixing, pii, quality, simhash, substring_dedup, token_queries, whitening
+from viewframe.llm import exact_dedup, html_extract, license_scan, mixing, packing, pii, prefix_trie, quality, simhash, substring_dedup, token_queries, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
@@ -21,7 +21,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         token_queries.op8_bpe_codes,
         simhash.op9_simhash_near_dedup,
         pii.op10_pii,
+        packing.op11_best_fit_packing,
         whitening.op12_embedding_whitening,
+        prefix_trie.op13_prefix_trie,
     )
 }
 
