@@ -19,11 +19,13 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+import json
 import random
 import re
 import struct
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -40,15 +42,31 @@ SHARD, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 4096, 3, 3, 12, 4
 #: A level packs again what a shard's bins hold that are less than FULL, but the emptier half of its bins at most.
 FULL, LEVELS = 0.99, 31
 #: Words whose ids a worker keeps, and the longest one that it keeps.
-KEPT_WORDS, KEPT_BYTES = 500_000, 64
+KEPT_WORDS, KEPT_BYTES = 1_000_000, 64
 #: Letters that are composed already and have one lower case letter each, in any Unicode version.
 LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+#: Fixed value: the pretokens of the vocabulary's file.
+PRETOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: What may follow a word as one more pretoken; apostrophes and the letters of special tokens do not.
 MARKS = ".,:;!?#*$%&()"
 
 _ids: dict[str, "WordIds"] = {}
 
 
+class Remembered(dict):
+    """What a function gave for a key. Long keys are not kept."""
+
+    def __init__(self, make: Callable[[Any], bytes]):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key: Any) -> bytes:
+        out = self.make(key)
+        if len(key) <= KEPT_BYTES:
+            self[key] = out
+        return out
+
+
 class WordIds:
     """Ids of whole texts, by way of the ids of their words between ASCII white space.
 
@@ -60,26 +78,34 @@ class WordIds:
     def __init__(self, file: bytes):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.parts = Tokenizer.from_buffer(file), {}, {}
+        self.tokenizer = Tokenizer.from_buffer(file)
+        self.known, self.parts = Remembered(self.of_word), Remembered(self.of_part)
         self.model = self.tokenizer.model
-        self.plain = {str(k) for k in ("NFC", "Lowercase")} <= set(re.findall(r"NFC|Lowercase", file[:2000].decode(errors="replace")))
+        self.plain = self.is_plain(json.loads(file))
         # the library's letters for bytes: printable ones stand for themselves, the others follow from 256 on
         shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
         others = iter(range(256, 512))
         self.letters = {b: b if b in shown else next(others) for b in range(256)}
 
-    def part(self, text: str) -> bytes:
+    @staticmethod
+    def is_plain(config: dict) -> bool:
+        """Whether words can be taken by themselves: case folding, white space dropped, pretokens of letters, digits and the rest."""
+        steps = [n["type"] for n in (config.get("normalizer") or {}).get("normalizers", [])]
+        split = [p.get("pattern", {}).get("Regex", "") for p in (config.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+        return steps == ["NFC", "Replace", "Lowercase"] and split[:1] == [PRETOKENS] and config["pre_tokenizer"]["pretokenizers"][0]["behavior"] == "Removed"
+
+    def of_part(self, text: str) -> bytes:
         """The ids of one normalised pretoken."""
-        if (ids := self.parts.get(text)) is None:
-            tokens = self.model.tokenize(text.encode().decode("latin-1").translate(self.letters))
-            ids = self.parts[text] = struct.pack(f"<{len(tokens)}I", *(t.id for t in tokens))
-        return ids
+        if not text.isascii():
+            text = text.encode().decode("latin-1").translate(self.letters)
+        tokens = self.model.tokenize(text)
+        return struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
 
     def of_word(self, word: bytes) -> bytes:
         text = word.decode()
         core = text.rstrip(MARKS)
-        if self.plain and len(word) <= KEPT_BYTES and core and LATIN.fullmatch(core):
-            return self.part(core.lower()) + (self.part(text[len(core) :]) if len(core) < len(text) else b"")
+        if len(word) <= KEPT_BYTES and core and LATIN.fullmatch(core):
+            return self.parts[core.lower()] + (self.parts[text[len(core) :]] if len(core) < len(text) else b"")
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def of(self, texts: Sequence[str]) -> Iterator[bytes]:
@@ -88,16 +114,12 @@ class WordIds:
             self.known.clear()
         if len(self.parts) > KEPT_WORDS:
             self.parts.clear()
-        known, long = self.known, []
+        if not self.plain:
+            yield from (np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(list(texts), add_special_tokens=False))
+            return
+        look_up = self.known.__getitem__
         for text in texts:
-            words = text.encode().split()
-            for w in {*words}.difference(known):
-                known[w] = self.of_word(w)
-                if len(w) > KEPT_BYTES:
-                    long.append(w)
-            yield b"".join(map(known.__getitem__, words))
-            while long:
-                del known[long.pop()]
+            yield b"".join(map(look_up, text.encode().split()))
 
 
 def word_ids(file: bytes) -> WordIds:
