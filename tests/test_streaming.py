@@ -10,7 +10,7 @@ from viewframe.operators import changes as C
 from viewframe.operators import order
 from viewframe.operators import retention as R
 from viewframe.sources.scratch import scratch
-from viewframe.streaming import tables
+from viewframe.streaming import store
 from viewframe.streaming.tables import MaintainedJoin, MaintainedTable, Measure
 
 SCHEMA = T.StructType([T.StructField("row_id", T.LongType()), T.StructField("kind", T.StringType()), T.StructField("v", T.LongType()), T.StructField("offset", T.LongType()), T.StructField("ts_ms", T.LongType())])
@@ -30,7 +30,7 @@ def batches(n, size, seed, ids=12):
 
 
 def test_each_version_is_the_log_folded(spark, monkeypatch):
-    monkeypatch.setattr(tables, "KEPT", 3)
+    monkeypatch.setattr(store, "KEPT", 3)
     log = batches(6, 8, 3)
     views = {"kinds": (["kind"], {"n": Measure("count"), "total": Measure("sum", "v"), "low": Measure("min", "v"), "high": Measure("max", "v")})}
     top = lambda df: order.numbered(df.select("row_id", "v"), [F.desc("v"), F.asc("row_id")], 0, 4)

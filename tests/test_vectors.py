@@ -2,8 +2,13 @@
 
 import math
 import random
+from decimal import Decimal
 from fractions import Fraction
 
+
+
+
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -310,3 +315,10 @@ def test_sums_of_shortest_texts(spark):
         own = [Fraction(repr(x)) for j, x in enumerate(values) if j % 3 == k]
         assert Fraction(got[k][0]) == sum(own) and got[k][1] == len(own)
     assert got[9] == ("0", 0) and exact.shortest_sums(df, [], F.col("v")).first().n == len(values)
+
+
+def test_quotients_beyond_64_bits(spark):
+    rows = [(10**37 + 1, 2), (4611686018427387904 * 10**18, 2), (-(10**36) * 7, 3), (99999999999999999999999999999999999999, 1), (5, 10), (15, 10), (0, 7), (10**30 + 5, 10)]
+    df = spark.createDataFrame([(Decimal(u), n) for u, n in rows], "u decimal(38,0), n long")
+    got = [int(r.q) for r in df.select(exact.half_even_quotient(F.col("u"), F.col("n")).alias("q")).collect()]
+    assert got == [round(Fraction(u, n)) for u, n in rows]

@@ -77,12 +77,32 @@ def sort_token(s: pd.Series) -> pd.Series:
 
 def half_even_quotient(units: Column, n: Column) -> Column:
     """Integer units / n to the nearest integer, ties to even, exact in decimal(38,0)."""
-    size, by = F.abs(units.cast("decimal(38,0)")), n.cast("decimal(38,0)")
-    rest = size % by
-    whole = F.call_function("div", size, by).cast("decimal(38,0)")
-    up = (rest * 2 > by) | ((rest * 2 == by) & (whole % 2 == 1))
-    out = whole + F.when(up, 1).otherwise(0)
-    return F.when(units < 0, -out).otherwise(out).cast("decimal(38,0)")
+    by = n.cast("decimal(38,0)")
+    # Spark's integer division gives 64 bits, and its abs(), minus and products round to 34 digits: three limbs of 13 digits
+    # are divided one after the other, and signs are put on as text
+    digits, rest, parts = F.lpad(F.regexp_replace(units.cast("decimal(38,0)").cast("string"), "-", ""), 39, "0"), F.lit(0).cast("decimal(38,0)"), []
+    for k in range(3):
+        now = (rest * F.lit(10**13).cast("decimal(14,0)") + F.substring(digits, 1 + 13 * k, 13).cast("decimal(13,0)")).cast("decimal(38,0)")
+        parts.append(F.lpad(F.call_function("div", now, by).cast("string"), 13, "0"))
+        rest = (now % by).cast("decimal(38,0)")
+    whole = F.concat(*parts).cast("decimal(38,0)")
+    up = (rest * 2 > by) | ((rest * 2 == by) & (F.substring(whole.cast("string"), -1, 1).isin("1", "3", "5", "7", "9")))
+    out = (whole + F.when(up, 1).otherwise(0)).cast("decimal(38,0)")
+    return F.when(units < 0, F.concat(F.lit("-"), out.cast("string")).cast("decimal(38,0)")).otherwise(out)
+
+
+def placed(units: Column, scale: int) -> Column:
+    """Integer units of 10^-scale as decimal(38, scale), by way of their text."""
+    if not scale:
+        return units.cast("decimal(38,0)")
+    size = F.lpad(F.regexp_replace(units.cast("string"), "-", ""), 38, "0")
+    text = F.concat(F.when(units < 0, "-").otherwise(""), F.substring(size, 1, 38 - scale), F.lit("."), F.substring(size, 39 - scale, scale))
+    return text.cast(f"decimal(38,{scale})")
+
+
+def scaled_up(units: Column, digits: int) -> Column:
+    """units * 10^digits, by way of their text."""
+    return F.concat(units.cast("decimal(38,0)").cast("string"), F.lit("0" * digits)).cast("decimal(38,0)")
 
 
 @F.pandas_udf(T.StringType())

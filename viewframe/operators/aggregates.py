@@ -51,13 +51,11 @@ def exact_average(f: Field) -> Column:
     """
     n = F.count(f.column)
     if f.kind in ("int64", "uint64"):
-        units = F.sum(f.column.cast("decimal(38,0)")) * F.lit(10**18).cast("decimal(19,0)")
+        units = exact.scaled_up(F.sum(f.column.cast("decimal(38,0)")), 18)
     else:
         units = F.regexp_replace(F.format_number(F.sum(f.column), 18), "[.,]", "")
     out = exact.half_even_quotient(units.cast("decimal(38,0)"), F.greatest(n, F.lit(1)))
-    size = F.lpad(F.abs(out).cast("string"), 38, "0")
-    text = F.concat(F.when(out < 0, "-").otherwise(""), F.substring(size, 1, 20), F.lit("."), F.substring(size, 21, 18))
-    return F.when(n > 0, text.cast("decimal(38,18)"))
+    return F.when(n > 0, exact.placed(out, 18))
 
 
 def extreme(f: Field, op: str, profile: str) -> Column:

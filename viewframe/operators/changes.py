@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,7 +17,7 @@ from viewframe.sources.scratch import written
 
 UPSERT, DELETE = "upsert", "delete"
 HORIZON = 256
-MAX_OPERATIONS, FEW_PAYLOADS = 4096, 8  # of a window's delta
+MAX_OPERATIONS, FEW_PAYLOADS, WINDOW_ROWS = 4096, 8, 4096  # of a window's delta, and of a window
 
 
 def change_source(df: DataFrame, payload: Sequence[str], value_identity: bool = False) -> DataFrame:
@@ -156,44 +157,120 @@ def consolidated(deltas: DataFrame, keys: Sequence[str]) -> DataFrame:
     return deltas.groupBy(*keys).agg(F.sum("weight").alias("weight")).where("weight <> 0")
 
 
-def window_operations(diff: DataFrame, window: DataFrame, shape_changed: bool = False) -> DataFrame:
+def window_operations(script: DataFrame, window: DataFrame, shape_changed: bool = False) -> DataFrame:
     """One row: operations, payloads, rows, and whether the full window is sent."""
-    counts = diff.agg(F.count("*").alias("operations"), F.count(F.when(F.col("change").isin("insert", "update", "move+update"), 1)).alias("payloads"))
+    counts = script.agg(F.count("*").alias("operations"), F.count(F.when(F.col("change").isin("insert", "update"), 1)).alias("payloads"))
     both = counts.withColumn("rows", window.agg(F.count("*")).scalar())
     whole = F.lit(shape_changed) | (F.col("operations") > MAX_OPERATIONS) | ((F.col("payloads") > FEW_PAYLOADS) & (2 * F.col("payloads") >= F.col("rows")))
     return both.withColumn("snapshot", whole)
 
 
-def window_diff(old: DataFrame, new: DataFrame, columns: Sequence[str], id: str = "row_id") -> DataFrame:
-    """(id, change, old_index, new_index) between two numbered windows (D3): remove, insert, move, update, move+update."""
-    a = old.select(F.col(id), F.col("index").alias("old_index"), F.struct(*columns).alias("o"))
-    b = new.select(F.col(id).alias("__id"), F.col("index").alias("new_index"), F.struct(*columns).alias("n"))
-    both = a.join(b, F.col(id) == F.col("__id"), "full_outer")
-    moved, updated = F.col("old_index") != F.col("new_index"), ~F.col("o").eqNullSafe(F.col("n"))
-    change = (
-        F.when(F.col("new_index").isNull(), "remove").when(F.col("old_index").isNull(), "insert")
-        .when(moved & updated, "move+update").when(moved, "move").when(updated, "update")
-    )
-    return both.select(F.coalesce(id, "__id").alias(id), change.alias("change"), "old_index", "new_index").where("change is not null")
+def script_of(old: Sequence[int], new: Sequence[int], updated: Sequence[bool]) -> list[tuple[int, str, int | None, int | None]]:
+    """(item, change, from, to) in order. old and new: an item's place in either window, -1 if it has none.
+
+    Places are those of the working order at that time: removals from the end, then place by place what must be there. What
+    comes next stands behind the items before it that still wait, whose number a Fenwick tree over the old order tells.
+    """
+    gone = sorted((k for k, n in enumerate(new) if n < 0), key=lambda k: -old[k])
+    out: list[tuple[int, str, int | None, int | None]] = [(k, "remove", old[k], None) for k in gone]
+    stay = sorted((k for k in range(len(old)) if old[k] >= 0 and new[k] >= 0), key=lambda k: old[k])
+    rank = {k: r for r, k in enumerate(stay, 1)}
+    tree = [r & -r for r in range(len(stay) + 1)]  # all wait
+    for k in sorted((k for k, n in enumerate(new) if n >= 0), key=lambda k: new[k]):
+        if old[k] < 0:
+            out.append((k, "insert", None, new[k]))
+            continue
+        before, r = 0, rank[k] - 1
+        while r:
+            before, r = before + tree[r], r & (r - 1)
+        r = rank[k]
+        while r < len(tree):
+            tree[r] -= 1
+            r += r & -r
+        if before:
+            out.append((k, "move", new[k] + before, new[k]))
+        if updated[k]:
+            out.append((k, "update", None, new[k]))
+    return out
+
+
+def window_diff(old: DataFrame, new: DataFrame, columns: Sequence[str], id: str = "row_id", by: Sequence[str] = ()) -> DataFrame:
+    """(by, id, seq, change, from_index, to_index): the script that makes one numbered window of the other, step by step (D3).
+
+    remove, insert, move and update at places of the working order; a row that is moved and updated has both steps. by: columns
+    that tell windows apart, so that many are compared at once, each in a group of its own of at most WINDOW_ROWS rows.
+    """
+    keys = [*by, id]
+    a = old.select(*(F.col(k).alias(f"__{k}") for k in keys), F.col("index").alias("old"), F.struct(*columns).alias("o"))
+    b = new.select(*keys, F.col("index").alias("new"), F.struct(*columns).alias("n"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & (b[k] == a[f"__{k}"])
+    both = b.join(a, same, "full_outer").select(*(F.coalesce(k, f"__{k}").alias(k) for k in keys), "old", "new", (~F.col("o").eqNullSafe(F.col("n"))).alias("updated"))
+    kinds = ", ".join(f"`{k}` {both.schema[k].dataType.simpleString()}" for k in keys)
+
+    def steps(pdf: pd.DataFrame) -> pd.DataFrame:
+        if max(pdf["old"].count(), pdf["new"].count()) > WINDOW_ROWS:
+            raise ValueError("a window has at most 4096 rows")
+        script = script_of(pdf["old"].fillna(-1).astype(int).tolist(), pdf["new"].fillna(-1).astype(int).tolist(), pdf["updated"].tolist())
+        out = pdf[keys].iloc[[k for k, *_ in script]].reset_index(drop=True)
+        out["seq"] = range(len(script))
+        out["change"] = pd.Series([c for _, c, _, _ in script], dtype=object)
+        for name, at in (("from_index", 2), ("to_index", 3)):
+            out[name] = pd.array([s[at] for s in script], dtype="Int64")
+        return out
+
+    return both.groupBy(*by).applyInPandas(steps, f"{kinds}, seq int, change string, from_index long, to_index long")
 
 
 def field_patches(old: DataFrame, new: DataFrame, fields: Sequence[str], id: str = "row_id") -> DataFrame:
-    """(id, path, op, value): each changed field as set or remove."""
-    a = old.select(F.col(id).alias("__id"), F.struct(*fields).alias("o"))
-    b = new.select(F.col(id), F.struct(*fields).alias("n"))
+    """(id, path, op, value): each changed field as set or remove (D4). fields may be nested: a parent that comes is an object,
+    one that goes is one remove, and otherwise only its changed fields count. A parent is missing where its struct is null.
+    A field that can be null has a companion __has_<field> beside it: null is then a value that is set."""
+    a = old.select(F.col(id).alias("__id"), F.struct("*").alias("o"))
+    b = new.select(F.col(id), F.struct("*").alias("n"))
     both = b.join(a, F.col(id) == F.col("__id"))
-    one = lambda f: F.when(~F.col(f"o.{f}").eqNullSafe(F.col(f"n.{f}")), F.struct(F.lit(f).alias("path"), F.when(F.col(f"n.{f}").isNull(), "remove").otherwise("set").alias("op"), F.col(f"n.{f}").cast("string").alias("value")))
-    return both.select(id, F.explode(F.array_compact(F.array(*map(one, fields)))).alias("p")).select(id, "p.*")
-
-
-def reconstructed(baseline: DataFrame, delta: DataFrame, rows: DataFrame, base_version: int, delta_base: int, id: str = "row_id") -> DataFrame:
-    """The window that a baseline and a delta lead to (D6). delta: window_diff's rows; rows: id and columns of new or updated ones."""
+    patch = lambda path, op, value: F.struct(F.lit(path).alias("path"), op.alias("op"), value.cast("string").alias("value"))
+    none, patches, parents = F.lit(None), [], {}
+    for path in fields:
+        above = [".".join(path.split(".")[: k + 1]) for k in range(path.count("."))]
+        for p in above:
+            if p not in parents:
+                outer = parents[above[above.index(p) - 1]][0] if above.index(p) else F.lit(True)
+                was, is_ = F.col(f"o.{p}").isNotNull(), F.col(f"n.{p}").isNotNull()
+                parents[p] = (outer & is_, was)
+                patches.append(F.when(outer & was & ~is_, patch(p, F.lit("remove"), none)).when(outer & ~was & is_, patch(p, F.lit("object"), none)))
+        inside = parents[above[-1]][0] if above else F.lit(True)
+        head, _, name = path.rpartition(".")
+        companion = f"{head}.__has_{name}" if head else f"__has_{name}"
+        kind = b.schema["n"].dataType
+        for part in head.split(".") if head else []:
+            kind = kind[part].dataType
+        there = F.col(f"n.{companion}") if f"__has_{name}" in kind.names else F.col(f"n.{path}").isNotNull()
+        was = F.col(f"o.{companion}") if f"__has_{name}" in kind.names else F.col(f"o.{path}").isNotNull()
+        differs = ~F.col(f"o.{path}").eqNullSafe(F.col(f"n.{path}")) | ~F.coalesce(was, F.lit(False)).eqNullSafe(F.coalesce(there, F.lit(False)))
+        patches.append(F.when(inside & differs, patch(path, F.when(F.coalesce(there, F.lit(False)), "set").otherwise("remove"), F.col(f"n.{path}"))))
+    return both.select(id, F.explode(F.array_compact(F.array(*patches))).alias("p")).select(id, "p.*")
+
+
+def reconstructed(baseline: DataFrame, script: DataFrame, rows: DataFrame, base_version: int, delta_base: int, id: str = "row_id") -> DataFrame:
+    """The window that a baseline and a script lead to (D6). script: window_diff's rows; rows: id and columns of inserted or updated ones.
+
+    What a script has put at a place stays there, so inserted and moved rows have their last places; the others fill the places left, in
+    their old order.
+    """
     if base_version != delta_base:
         raise ValueError("the delta does not start at this baseline")
     columns = [c for c in baseline.columns if c not in (id, "index")]
-    gone = delta.where(F.col("change").isin("remove", "insert", "update", "move+update")).select(id)
-    moved = delta.where("change = 'move'").select(F.col(id).alias("__id"), "new_index")
-    stay = baseline.join(gone, id, "left_anti").join(moved, F.col(id) == F.col("__id"), "left")
-    stay = stay.select(id, *columns, F.coalesce("new_index", "index").alias("index"))
-    fresh = rows.join(delta.where("change <> 'remove'").select(F.col(id).alias("__id"), "new_index", "change").where("change <> 'move'"), F.col(id) == F.col("__id"))
-    return stay.unionByName(fresh.select(id, *columns, F.col("new_index").alias("index")))
+    put = script.where("change in ('insert', 'move')").select(F.col(id).alias("__id"), "to_index", "change")
+    removed_ids = script.where("change = 'remove'").select(id)
+    survivors = baseline.join(removed_ids, id, "left_anti")
+    waiting = survivors.join(put.select(F.col("__id").alias(id)), id, "left_anti").withColumn("__r", F.row_number().over(Window.orderBy("index")))
+    size = F.coalesce(survivors.agg(F.count("*")).scalar() + put.where("change = 'insert'").agg(F.count("*")).scalar(), F.lit(0))
+    places = baseline.sparkSession.range(1).where(size > 0).select(F.explode(F.sequence(F.lit(0).cast("long"), size - 1)).alias("place"))
+    free = places.join(put.select(F.col("to_index").alias("place")), "place", "left_anti").withColumn("__f", F.row_number().over(Window.orderBy("place")))
+    at = waiting.join(free, F.col("__r") == F.col("__f")).select(F.col(id), F.col("place").alias("index"))
+    at = at.unionByName(put.select(F.col("__id").alias(id), F.col("to_index").alias("index")))
+    fresh = rows.select(id, *columns)
+    values = survivors.select(id, *columns).join(fresh.select(id), id, "left_anti").unionByName(fresh)
+    return values.join(at, id).select(id, *columns, "index")

@@ -218,7 +218,11 @@ def consolidated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 WINDOWS = f"""{V1}, {V2}, wa as (select *, row_number() over (order by price desc, o_orderkey) - 1 as i from a qualify i < 200), wb as (select *, row_number() over (order by price desc, o_orderkey) - 1 as i from b qualify i < 200),
- d as (select coalesce(wa.o_orderkey, wb.o_orderkey) as o_orderkey, case when wb.i is null then 'remove' when wa.i is null then 'insert' when wa.i <> wb.i and (wa.price, wa.status) <> (wb.price, wb.status) then 'move+update' when wa.i <> wb.i then 'move' when (wa.price, wa.status) <> (wb.price, wb.status) then 'update' end as change, wa.i as old_index, wb.i as new_index from wa full join wb on wa.o_orderkey = wb.o_orderkey)"""
+ s as (select o_orderkey, wa.i as oi, wb.i as ni, (wa.price, wa.status) <> (wb.price, wb.status) as upd from wa join wb using (o_orderkey)),
+ m as (select *, (select count(*) from s t where t.ni > s.ni and t.oi < s.oi) as ahead from s),
+ c as (select o_orderkey, 'remove' as change, i as from_index, null::bigint as to_index from wa where o_orderkey not in (select o_orderkey from wb) union all select o_orderkey, 'insert', null, i from wb where o_orderkey not in (select o_orderkey from wa)
+  union all select o_orderkey, 'move', ni + ahead, ni from m where ahead > 0 union all select o_orderkey, 'update', null, ni from m where upd),
+ d as (select o_orderkey, (row_number() over (order by change <> 'remove', coalesce(to_index, -from_index), change = 'update') - 1)::int as seq, change, from_index, to_index from c)"""
 
 
 def windows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -226,7 +230,7 @@ def windows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return tuple(order.numbered(v, columns, 0, 200).withColumn("index", F.col("index").cast("long")) for v in versions(spark, sf_dir))
 
 
-@query(f"with {WINDOWS} select * from d where change is not null")
+@query(f"with {WINDOWS} select * from d")
 def window_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.window_diff(*windows(spark, sf_dir), ["price", "status"], "o_orderkey")
 
@@ -235,11 +239,11 @@ def window_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reconstructed(spark: SparkSession, sf_dir: str) -> DataFrame:
     old, new = windows(spark, sf_dir)
     delta = C.window_diff(old, new, ["price", "status"], "o_orderkey")
-    rows = new.join(delta.where("change in ('insert', 'update', 'move+update')").select("o_orderkey"), "o_orderkey", "left_semi").select("o_orderkey", "price", "status")
+    rows = new.join(delta.where("change in ('insert', 'update')").select("o_orderkey"), "o_orderkey", "left_semi").select("o_orderkey", "price", "status")
     return C.reconstructed(old, delta, rows, 1, 1, "o_orderkey")
 
 
-@query(f"with {WINDOWS}, n as (select count(*) as operations, count(*) filter (change not in ('remove', 'move')) as payloads from d where change is not null) select operations, payloads, (select count(*) from wb) as \"rows\", operations > 4096 or (payloads > 8 and 2 * payloads >= (select count(*) from wb)) as snapshot from n")
+@query(f"with {WINDOWS}, n as (select count(*) as operations, count(*) filter (change not in ('remove', 'move')) as payloads from d) select operations, payloads, (select count(*) from wb) as \"rows\", operations > 4096 or (payloads > 8 and 2 * payloads >= (select count(*) from wb)) as snapshot from n")
 def delta_or_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     old, new = windows(spark, sf_dir)
     return C.window_operations(C.window_diff(old, new, ["price", "status"], "o_orderkey"), new)
@@ -459,6 +463,23 @@ def stream_recomputed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(odd, found["event_type"].eqNullSafe(odd["odd"]), "left").select("event_type", "n", "high", F.col("odd").isNull().alias("agrees"))
 
 
+BITS = "case when event_id % 7 = 0 then null when event_id % 50 = 1 then 36028797018963968 when event_id % 50 = 3 then -36028797018963968 else event_id % 1000 end"
+SIX = {"n": Measure("count"), "labels": Measure("countDistinct", "label"), "total": Measure("sum", "bits"), "mean": Measure("avg", "units"), "low": Measure("min", "value"), "high": Measure("max", "label")}
+
+
+@query(f"""with l as (select user_id as row_id, case when event_id % 10 = 0 then 'delete' else 'upsert' end as op, case when event_id % 11 = 0 then null else event_type end as event_type, value, {BITS} as bits, case when event_id % 4 > 0 then event_id % 9 end as units,
+ case when event_id % 5 > 0 then 'label ' || event_id % 23 end as label, event_id as "offset" from events), {LAST}
+ select event_type, count(*) as n, count(distinct label) + max(case when label is null then 1 else 0 end) as labels, coalesce(sum(bits), 0)::bigint::double as total, round(sum(units)::double / count(units), 6) as mean, min(value) as low, max(label) as high from z where n = 1 and op = 'upsert' group by 1""")
+def stream_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six aggregates, kept up through inserts, updates, deletes, moves between groups and nulls; sums of doubles to the last bit."""
+    schema = T.StructType([T.StructField(n, t) for n, t in (("row_id", T.LongType()), ("event_type", T.StringType()), ("value", T.DoubleType()), ("bits", T.DoubleType()), ("units", T.LongType()), ("label", T.StringType()), ("offset", T.LongType()))])
+    e, there = F.col("event_id"), F.col("event_id") % 10 != 0
+    columns = {"event_type": F.when(e % 11 != 0, F.col("event_type")), "value": F.col("value"), "bits": F.expr(BITS).cast("double"), "units": F.when(e % 4 > 0, e % 9), "label": F.when(e % 5 > 0, F.concat(F.lit("label "), e % 23))}
+    log = table(spark, sf_dir, "events").select(F.col("user_id").alias("row_id"), *(F.when(there, c).alias(n) for n, c in columns.items()), e.alias("offset"), F.when(there, C.UPSERT).otherwise(C.DELETE).alias("op"))
+    out = maintained(spark, log, schema, views={"six": (["event_type"], SIX)})
+    return out.read("six", out.version()).withColumn("mean", F.round(F.col("mean").cast("double"), 6))
+
+
 SINGLE = T.StructType([T.StructField("row_id", T.LongType()), T.StructField("user_id", T.LongType()), *TABLE.fields[1:]])
 
 
@@ -503,6 +524,44 @@ def stream_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view[0].read(view[0].store.version()).select("row_id", "l.user_id", "r.segment")
 
 
+JOINED = f"{MS}, j as (select event_id as row_id, user_id, value, case when c_custkey % 50 = 0 then 'MOVED' else c_mktsegment end as segment from e left join customer on user_id = c_custkey where ms + {AGE} > (select max(ms) from e))"
+
+
+def maintained_join(spark: SparkSession, sf_dir: str, **options) -> MaintainedJoin:
+    """Events that expire, with their customers, who move between segments while events come in."""
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("row_id"), F.col("c_mktsegment").alias("segment"), F.lit(0).cast("long").alias("offset"), F.lit("upsert").alias("op"))
+    schema = T.StructType([T.StructField("row_id", T.LongType()), T.StructField("segment", T.StringType()), T.StructField("offset", T.LongType())])
+    right = MaintainedTable(spark, f"{scratch(spark, 'stream')}/table", schema)
+    right.apply(customers, 0)
+    view: list[MaintainedJoin] = []
+
+    def refresh(left: MaintainedTable) -> None:
+        if not view:
+            view.append(MaintainedJoin(left, right, f"{scratch(spark, 'stream')}/view", "user_id", **options))
+        elif right.version() == 0:
+            right.apply(customers.where("row_id % 50 = 0").withColumn("segment", F.lit("MOVED")), 1)
+        view[0].refresh()
+
+    maintained(spark, single_events(spark, sf_dir), SINGLE, refresh=refresh, policy=R.Policy(max_age_ms=AGE))
+    return view[0]
+
+
+@query(f"with {JOINED} select segment, count(*) as n, count(distinct user_id) as users, max(value) as high from j group by 1")
+def stream_joined_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups over a maintained join whose left rows expire."""
+    measures = {"n": Measure("count"), "users": Measure("countDistinct", "l.user_id"), "high": Measure("max", "l.value")}
+    view = maintained_join(spark, sf_dir, views={"segments": (["r.segment"], measures)})
+    return view.read(view.store.version(), "segments").withColumnRenamed("r__segment", "segment")
+
+
+@query(f"with {JOINED} select row_id, segment, value from j where value is not null order by value desc, row_id limit 30")
+def stream_joined_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A window over a maintained join, put together from what its subscriber was sent."""
+    top = lambda df: order.numbered(df.select("row_id", "r.segment", "l.value").where("value is not null"), [F.col("value").desc(), F.col("row_id").asc()], 0, 30)
+    view = maintained_join(spark, sf_dir, windows={"top": top})
+    return view.received("top", view.store.version()).select("row_id", "segment", "value")
+
+
 @query("select event_id as row_id, value from events where value is not null order by value desc, event_id limit 50")
 def stream_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A window that is subscribed to, put together from the snapshot and the deltas that were sent."""

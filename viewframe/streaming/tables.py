@@ -1,20 +1,17 @@
 """Maintained tables and views on Structured Streaming.
 
-A micro-batch is a version. A version writes only what it changes: the last image per touched row, and the
-images before and after, from which deltas and groups follow. The state of a version is the newest base table
-at or before it with the changes since laid over it; a new base is written once the changes have grown to a share
-of it, so a row is rewritten a bounded number of times. A version is marked as done last, in one small
+A micro-batch is a version. A version writes only what it changes (store.py): the last image per touched row, and the
+images before and after, from which deltas, groups and joined views follow. A version is marked as done last, in one small
 file that also holds what the next one needs to know; readers never see part of a version, and a batch
 that is given again writes the same again.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,11 +19,14 @@ from viewframe.operators import changes as C
 from viewframe.operators import joins
 from viewframe.operators import retention as R
 from viewframe.sources.scratch import removed
+from viewframe.streaming import store
+from viewframe.streaming.groups import GroupView, Measure
+from viewframe.streaming.store import BUCKETS, Ledger, Store
 
-#: A base is written anew when the changes since reach this share of its rows, or so many versions.
-SHARE, MOST_VERSIONS = 0.5, 16
-#: So many versions are kept for readers.
-KEPT = 8
+__all__ = ["MaintainedJoin", "MaintainedTable", "Measure", "change_stream", "regrouped"]
+
+#: After so many deltas of a window its subscribers get it whole again.
+DELTAS = 8
 
 
 def regrouped(groups: DataFrame, table: DataFrame, touched: DataFrame, keys: Sequence[str], aggregates: Mapping[str, Column]) -> DataFrame:
@@ -41,163 +41,78 @@ def regrouped(groups: DataFrame, table: DataFrame, touched: DataFrame, keys: Seq
     return groups.join(hit, same(groups), "left_anti").unionByName(again)
 
 
-@dataclass(frozen=True)
-class Measure:
-    op: str  # count, sum (exact kinds), min, max
-    column: str | None = None
-
-    def whole(self) -> Column:
-        return F.count("*") if self.op == "count" else {"sum": F.sum, "min": F.min, "max": F.max}[self.op](self.column)
-
-
-def regrouped_by_difference(groups: DataFrame, images: DataFrame, keys: Sequence[str], measures: Mapping[str, Measure]) -> DataFrame:
-    """Groups with __rows after changes (A24), from what came and went alone; __lost marks those that must be computed again.
+class Derived:
+    """Grouped views over a store's rows and windows that are subscribed to, kept up to date by its images."""
 
-    Counts and sums add up. An extreme is lost where a row that held it has gone and none that came is as far out.
-    groups: keys, measures and __rows before; images: o and n, the rows before and after. One aggregation of them all.
-    """
-    zero = F.lit(None)
-
-    def row(whence: str, kind: int, weight: Column) -> list[Column]:
-        out = [F.col(f"{whence}{k}").alias(k) for k in keys] + [weight.cast("long").alias("__rows")]
-        for name, m in measures.items():
-            type_ = groups.schema[name].dataType
-            held = F.col(name) if not kind else weight if m.op == "count" else F.col(f"{whence}{m.column}") * (weight if m.op == "sum" else 1)
-            sides = (0, -1, 1) if m.op in ("min", "max") else (kind,)
-            out += [(held if side == kind else zero).cast(type_).alias(f"{name}{side}" if len(sides) > 1 else name) for side in sides]
-        return out
-
-    parts = groups.select(*row("", 0, F.col("__rows"))), images.where("o is not null").select(*row("o.", -1, F.lit(-1))), images.where("n is not null").select(*row("n.", 1, F.lit(1)))
-    whole = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    sums, shown, lost = [F.sum("__rows").alias("__rows")], [], F.lit(False)
-    for name, m in measures.items():
-        type_ = groups.schema[name].dataType
-        if m.op in ("min", "max"):
-            extreme, pick = (F.min, F.least) if m.op == "min" else (F.max, F.greatest)
-            sums += [extreme(f"{name}{side}").alias(f"{name}{side}") for side in (0, -1, 1)]
-            out = pick(f"{name}0", f"{name}1")
-            lost = lost | F.coalesce((F.col(f"{name}-1") == F.col(f"{name}0")) & ~F.col(f"{name}1").eqNullSafe(out), F.lit(False))
-            shown.append(out.alias(name))
-        else:
-            sums.append(F.coalesce(F.sum(name), F.lit(0)).cast(type_).alias(name))
-            shown.append(F.col(name))
-    return whole.groupBy(*keys).agg(*sums).where("__rows > 0").select(*keys, *shown, "__rows", lost.alias("__lost"))
+    def __init__(self, store_: Store, views: Mapping[str, tuple[Sequence[str], Mapping[str, Measure]]], windows: Mapping[str, Callable[[DataFrame], DataFrame]]):
+        self.store, self.windows = store_, windows
+        self.views = {name: GroupView(store_.spark, f"{store_.folder}/views/{name}", store_.schema, *view, store_.rows.buckets) for name, view in views.items()}
 
+    @property
+    def ledgers(self) -> dict[str, Ledger]:
+        return {f"{name}.{part}": ledger for name, view in self.views.items() for part, ledger in view.ledgers.items()}
 
-def computed_again(groups: DataFrame, table: DataFrame, keys: Sequence[str], measures: Mapping[str, Measure]) -> DataFrame:
-    """Groups, those that are __lost from the table itself."""
-    hit = groups.where("__lost").select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)))
-    found = table.join(hit, [table[k].eqNullSafe(hit[f"__k{i}"]) for i, k in enumerate(keys)], "left_semi")
-    again = found.groupBy(*keys).agg(*(m.whole().cast(groups.schema[n].dataType).alias(n) for n, m in measures.items()), F.count("*").alias("__rows"))
-    return groups.where("not __lost").drop("__lost").unionByName(again)
+    def known(self, view: str, marker: dict) -> dict[str, dict]:
+        return {part: marker[f"{view}.{part}"] for part in self.views[view].ledgers if f"{view}.{part}" in marker}
 
+    def apply(self, images: DataFrame, version: int, marker: dict) -> dict:
+        """What the next marker says of the views and windows. The version's changes have been put."""
+        more: dict = {"windows": marker.get("windows", {})}
+        for name, view in self.views.items():
+            more |= {f"{name}.{part}": known for part, known in view.apply(images, version, self.known(name, marker)).items()}
+        for name, make in self.windows.items():
+            more["windows"] = more["windows"] | {name: self.sent(name, make(self.store.state(version - 1, more=True)), more["windows"].get(name), version)}
+        return more
 
-class Store:
-    """Versions of a keyed table as bases and changes."""
+    def read(self, view: str, version: int) -> DataFrame:
+        return self.views[view].read(self.known(view, self.store.known(version)), version)
 
-    def __init__(self, spark: SparkSession, folder: str, schema: T.StructType):
-        self.spark, self.folder, self.schema = spark, folder, schema
-        self.columns = [c for c in schema.names if c != "row_id"]
-        row = T.StructType([T.StructField(c, schema[c].dataType) for c in schema.names])
-        self.change_schema = T.StructType([*row.fields, T.StructField("op", T.StringType())])
-        self.image_schema = T.StructType([schema["row_id"], T.StructField("o", row), T.StructField("n", row)])
+    # ---- windows (D3-D7) ----
 
-    def path(self, what: str, version: int) -> str:
-        return f"{self.folder}/{what}/version={version}"
+    def sent(self, name: str, window: DataFrame, last: dict | None, version: int) -> dict:
+        """Writes what a subscriber of a window gets with a version: nothing if it looks the same, a script, or the whole window."""
+        path = lambda what, v: self.store.path(f"{name}-{what}", v)
+        window.write.mode("overwrite").parquet(path("whole", version))
+        window = self.store.spark.read.parquet(path("whole", version))
+        columns = [c for c in window.columns if c not in ("row_id", "index")]
+        content = 0 if last is None else last["content"] + 1
+        if last is not None:
+            before = self.store.spark.read.parquet(path("whole", last["version"]))
+            C.window_diff(before, window, columns).write.mode("overwrite").parquet(path("delta", version))
+            script = self.store.spark.read.parquet(path("delta", version))
+            told = C.window_operations(script, window).first()
+            if not told["operations"]:
+                return last | {"seen": version}
+            if not told["snapshot"] and len(last["chain"]) <= DELTAS:
+                fresh = script.where("change in ('insert', 'update')").select("row_id").distinct()
+                window.join(fresh, "row_id", "left_semi").drop("index").write.mode("overwrite").parquet(path("rows", version))
+                return {"content": content, "version": version, "base": last["version"], "kind": "delta", "seen": version, "chain": [*last["chain"], version]}
+        return {"content": content, "version": version, "base": None, "kind": "snapshot", "seen": version, "chain": [version]}
 
-    def _file(self, version: int):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/done/{version}.json")
-        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+    def received(self, name: str, version: int) -> DataFrame:
+        """A subscriber's window at a version, put together from what was sent since the last whole window."""
+        first, *rest = self.store.known(version)["windows"][name]["chain"]
+        out, read = self.store.spark.read.parquet(self.store.path(f"{name}-whole", first)), self.store.spark.read.parquet
+        for before, v in zip([first, *rest], rest, strict=False):
+            out = C.reconstructed(out, read(self.store.path(f"{name}-delta", v)), read(self.store.path(f"{name}-rows", v)), before, before)
+        return out
 
-    def version(self) -> int:
-        """The newest version that was written whole, -1 if there is none."""
-        path, fs = self._file(0)
-        if not fs.exists(path.getParent()):
-            return -1
-        names = [s.getPath().getName() for s in fs.listStatus(path.getParent())]
-        return max((int(n.removesuffix(".json")) for n in names if n.endswith(".json")), default=-1)
-
-    def known(self, version: int) -> dict:
-        """What a version's marker says."""
-        if version < 0:
-            return {"base": -1, "base_rows": 0, "changed": 0}
-        path, fs = self._file(version)
-        stream = fs.open(path)
-        try:
-            return json.loads(bytes(self.spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode())
-        finally:
-            stream.close()
-
-    def done(self, version: int, known: dict) -> None:
-        path, fs = self._file(version)
-        stream = fs.create(path, True)
-        stream.write(bytearray(json.dumps(known).encode()))
-        stream.close()
-
-    def empty(self, schema: T.StructType) -> DataFrame:
-        return self.spark.createDataFrame([], schema)
-
-    def changes(self, first: int, last: int) -> DataFrame:
-        """Last images per row of versions first to last, with their version."""
-        if first > last:
-            return self.empty(self.change_schema).withColumn("version", F.lit(0))
-        paths = [self.path("changes", v) for v in range(first, last + 1)]
-        schema = T.StructType([*self.change_schema.fields, T.StructField("version", T.IntegerType())])
-        return self.spark.read.schema(schema).option("basePath", f"{self.folder}/changes").parquet(*paths)
-
-    def state(self, version: int, more: DataFrame | None = None) -> DataFrame:
-        """The table at a version; more: changes to lay over it."""
-        base = self.known(version)["base"] if version >= 0 else -1
-        rows = self.empty(self.schema) if base < 0 else self.spark.read.schema(self.schema).parquet(self.path("base", base))
-        over = self.changes(base + 1, version)
-        if more is not None:
-            over = over.unionByName(more.select(*self.change_schema.names, F.lit(version + 1).alias("version")))
-        elif base == version:
-            return rows
-        last = C.latest(over, order=("version",))
-        return rows.join(last.select("row_id"), "row_id", "left_anti").unionByName(last.where(F.col("op") == C.UPSERT).select(*self.schema.names))
-
-    def counted(self, df: DataFrame, path: str) -> int:
-        """Writes df and gives the number of its rows, which the same job counts."""
-        seen = Observation()
-        df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(path)
-        return seen.get["rows"]
-
-    def put(self, changes: DataFrame, version: int) -> DataFrame:
-        self.changed = self.counted(changes.select(*self.change_schema.names), self.path("changes", version))
-        return self.spark.read.schema(self.change_schema).parquet(self.path("changes", version))
-
-    def imaged(self, changes: DataFrame, version: int) -> DataFrame:
-        """Rows (row_id, o, n) of what a version changes, as a table of its own. Rows that stay as they are are left out."""
-        row = F.struct(*self.schema.names)
-        before = self.state(version - 1).join(changes.select("row_id"), "row_id", "left_semi").select(F.col("row_id").alias("__id"), row.alias("o"))
-        both = changes.select("row_id", F.when(F.col("op") == C.UPSERT, row).alias("n")).join(before, F.col("row_id") == F.col("__id"), "left")
-        both.where(~F.col("o").eqNullSafe(F.col("n"))).select("row_id", "o", "n").write.mode("overwrite").parquet(self.path("images", version))
-        return self.images(version, version)
-
-    def images(self, first: int, last: int) -> DataFrame:
-        return self.spark.read.schema(self.image_schema).parquet(*(self.path("images", v) for v in range(first, last + 1)))
-
-    def finish(self, version: int, more: dict) -> None:
-        """Perhaps a new base; then the marker; then versions that nobody needs go."""
-        known = self.known(version - 1)
-        base, changed = known["base"], known["changed"] + self.changed
-        if base < 0 or changed > SHARE * known["base_rows"] or version - base >= MOST_VERSIONS:
-            known = {"base": version, "base_rows": self.counted(self.state_now(version, base), self.path("base", version)), "changed": 0}
-        else:
-            known = known | {"changed": changed}
-        self.done(version, known | more)
-        if (gone := version - KEPT) >= 0:
-            needed = self.known(gone + 1)["base"]  # of the oldest version that is kept
-            removed(self.spark, self.path("images", gone), self.path("delta", gone), *(self.path("changes", v) for v in range(max(0, gone - KEPT - MOST_VERSIONS), gone + 1) if v <= needed), *(self.path("base", v) for v in range(max(0, gone - KEPT - MOST_VERSIONS), gone + 1) if v < needed))
+    def forget(self, gone: int, oldest: dict) -> None:
+        """Windows' folders that no version from gone + 1 on is put together from."""
+        paths = []
+        for name, told in oldest.get("windows", {}).items():
+            was = self.store.known(gone).get("windows", {}).get(name)
+            free = ({gone} | set(was["chain"] if was else ())) - set(told["chain"])
+            paths += [self.store.path(f"{name}-{what}", v) for v in free for what in ("whole", "delta", "rows")]
+        removed(self.store.spark, *paths)
 
-    def state_now(self, version: int, base: int) -> DataFrame:
-        """The table at a version that is not marked yet, over an older base."""
-        last = C.latest(self.changes(base + 1, version), order=("version",))
-        fresh = last.where(F.col("op") == C.UPSERT).select(*self.schema.names)
-        if base < 0:
-            return fresh
-        return self.spark.read.schema(self.schema).parquet(self.path("base", base)).join(last.select("row_id"), "row_id", "left_anti").unionByName(fresh)
+    def finish(self, version: int, more: dict, others: Mapping[str, Ledger] | None = None, folders: Sequence[str] = ()) -> None:
+        """Marks the version as done, and lets go of what is too old for readers."""
+        gone = version - store.KEPT
+        oldest = self.store.known(gone + 1) if gone >= 0 else {}
+        if gone >= 0:
+            self.forget(gone, oldest)
+        self.store.finish(version, more, list((self.ledgers | dict(others or {})).items()), folders)
 
 
 @dataclass
@@ -215,19 +130,22 @@ class MaintainedTable:
     key_column: str = "row_id"  # of a policy that counts per key
     source: tuple[str, str] | None = None  # partition and offset columns; if given, batches are audited before they are applied
     windows: Mapping[str, Callable[[DataFrame], DataFrame]] = field(default_factory=dict)  # of the table: numbered windows of at most 4096 rows
+    buckets: int = BUCKETS
 
     def __post_init__(self) -> None:
-        self.store = Store(self.spark, self.folder, self.schema)
+        self.store = Store(self.spark, self.folder, self.schema, self.buckets)
+        self.derived = Derived(self.store, self.views, self.windows)
+        self.retention = Retention(self) if self.policy else None
 
     def version(self) -> int:
         return self.store.version()
 
     def read(self, what: str, version: int) -> DataFrame:
         """The table or a grouped view at a version."""
-        if what == "table":
-            return self.store.state(version)
-        keys, measures = self.views[what]
-        return self.spark.read.parquet(self.store.path(what, version)).select(*keys, *measures)
+        return self.store.state(version) if what == "table" else self.derived.read(what, version)
+
+    def received(self, name: str, version: int) -> DataFrame:
+        return self.derived.received(name, version)
 
     def delta(self, version: int) -> DataFrame:
         """(row_id, columns, weight): what a version took and gave."""
@@ -237,39 +155,21 @@ class MaintainedTable:
 
     def apply(self, batch: DataFrame, version: int) -> None:
         """One batch. Given again it reads the same previous version and overwrites its own folders."""
-        known = self.store.known(version - 1)
-        more = {"reference": known.get("reference"), "windows": known.get("windows", {})}
+        marker = self.store.known(version - 1)
+        more: dict = {}
         if self.source:
             batch = self.audited(batch, version)
         changes = C.latest(batch.select("row_id", "op", *dict.fromkeys([*self.order, *self.store.columns])), order=self.order)
-        if self.policy:
-            changes, more["reference"] = self.retained(changes, known.get("reference"), version)
-        changes = self.store.put(changes, version)
-        images = self.store.imaged(changes, version)
-        table = None
-        for name, (keys, measures) in self.views.items():
-            if version == 0:
-                kinds = [m.whole().alias(n) for n, m in measures.items()]
-                out = images.where("n is not null").select("n.*").groupBy(*keys).agg(*kinds, F.count("*").alias("__rows"))
-            else:
-                out = regrouped_by_difference(self.spark.read.parquet(self.store.path(name, version - 1)), images, keys, measures)
-                if any(m.op in ("min", "max") for m in measures.values()):
-                    path = self.store.path(f"{name}-step", version)
-                    out.write.mode("overwrite").parquet(path)
-                    out = self.spark.read.schema(out.schema).parquet(path)
-                    if not out.where("__lost").isEmpty():
-                        table = table if table is not None else self.store.state(version - 1, changes)
-                        out = computed_again(out, table, keys, measures)
-                out = out.drop("__lost")
-            out.write.mode("overwrite").parquet(self.store.path(name, version))
-            if version >= KEPT:
-                removed(self.spark, self.store.path(name, version - KEPT))
-        if self.windows:
-            table = table if table is not None else self.store.state(version - 1, changes)
-            more["windows"] = {name: self.sent(name, make(table), more["windows"].get(name), version) for name, make in self.windows.items()}
+        changes = changes.select(*self.store.change_schema.names)
+        if self.retention:
+            changes, more["reference"] = self.retention.dropped(changes, marker, version)
+        images = self.store.imaged(self.store.put(changes, version), version)
+        if self.retention:
+            more |= self.retention.apply(images, marker, version)
+        more |= self.derived.apply(images, version, marker)
         if self.on_delta:
             self.on_delta(self.delta(version), version)
-        self.store.finish(version, more)
+        self.derived.finish(version, more, self.retention.ledgers if self.retention else None, ("offsets", "kept-images"))
 
     # ---- audits (S10) ----
 
@@ -297,81 +197,117 @@ class MaintainedTable:
         places = fresh.select(F.col(partition).alias("__p"), F.col(offset).alias("__o"))
         return rows.join(places, (F.col(partition) == F.col("__p")) & (F.col(offset) == F.col("__o")), "left_semi").drop("__digest")
 
-    # ---- retention (R2-R8) ----
+    def run(self, stream: DataFrame, checkpoint: str):
+        """Streams all changes that are there, a version a micro-batch."""
+        query = stream.writeStream.foreachBatch(self.apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        query.awaitTermination()
+        return query
+
+
+#: A queue's slot is so large a part of the greatest age.
+SLOTS_OF_AGE = 64
+
 
-    def retained(self, changes: DataFrame, last: int | None, version: int) -> tuple[DataFrame, int | None]:
+class Slots(Ledger):
+    """A ledger whose buckets are slots of time."""
+
+    width: int
+
+    def bucket(self, *columns: Column) -> Column:
+        return F.floor(F.col("ts") / self.width).cast("int")
+
+
+class Retention:
+    """What a policy drops with each batch (R2-R8), without a look at rows that the batch and the clock leave alone.
+
+    Age: a queue of rows in slots of their time; of it, the slots that have become due since the version before are read. Count per key: a ledger of
+    the rows of each key, of which the batch's keys are read. The count of a whole topic is a top-n of the table.
+    """
+
+    def __init__(self, table: MaintainedTable):
+        self.table, self.store, self.policy = table, table.store, table.policy
+        id, long = table.schema["row_id"], T.LongType()
+        self.ledgers: dict[str, Ledger] = {}
+        if self.policy.max_age_ms:
+            schema = T.StructType([id, T.StructField("ts", long), T.StructField("n", long)])
+            self.queue = self.ledgers["queue"] = Slots(table.spark, f"{table.folder}/queue", schema, ["row_id", "ts"], ["n"])
+            self.queue.width = max(1, self.policy.max_age_ms // SLOTS_OF_AGE)
+        if self.policy.max_rows_per_key:
+            order = table.schema[table.order[0]].dataType
+            schema = T.StructType([T.StructField("key", table.schema[table.key_column].dataType), id, T.StructField("place", order), T.StructField("n", long)])
+            self.held = self.ledgers["held"] = Ledger(table.spark, f"{table.folder}/held", schema, ["key", "row_id", "place"], ["n"], ["key"], table.buckets)
+
+    def signed(self, images: DataFrame, **columns: str) -> DataFrame:
+        """row_id, columns and n: -1 for what was, 1 for what is."""
+        sides = [images.where(f"{x} is not null").select("row_id", *(F.col(f"{x}.{c}").alias(n) for n, c in columns.items()), F.lit(w).cast("long").alias("n")) for x, w in (("o", -1), ("n", 1))]
+        out = sides[0].unionByName(sides[1])
+        return out.groupBy("row_id", *columns).agg(F.sum("n").alias("n")).where("n <> 0")
+
+    def apply(self, images: DataFrame, marker: dict, version: int) -> dict:
+        more = {}
+        for name, columns in (("queue", {"ts": self.table.time_column}), ("held", {"key": self.table.key_column, "place": self.table.order[0]})):
+            if ledger := self.ledgers.get(name):
+                rows = self.signed(images, **columns)
+                more[name] = ledger.finish(marker.get(name, store.NEW), version, ledger.put(rows.where("ts is not null") if name == "queue" else rows, version))
+        return more
+
+    def dropped(self, changes: DataFrame, marker: dict, version: int) -> tuple[DataFrame, int | None]:
         """The changes with deletes of what the policy drops, and the reference time, which never goes back."""
-        policy, reference = self.policy, last
-        columns = self.store.change_schema.names
-        changes = changes.select(*columns)
+        policy, last = self.policy, marker.get("reference")
+        reference, ts = last, F.col(self.table.time_column)
         if policy.max_age_ms:
-            newest = changes.agg(F.max(self.time_column)).first()[0]
+            newest = changes.agg(F.max(ts)).first()[0]
             reference = R.reference_time(newest, last) if newest is not None else last
             if reference is not None:
-                ts = F.col(self.time_column)
-                due = R.due(self.store.state(version - 1).join(changes.select("row_id"), "row_id", "left_anti"), "row_id", ts, policy.max_age_ms, reference)
+                due = self.due(marker, version, last, reference).join(changes.select("row_id"), "row_id", "left_anti")
                 late = F.coalesce(R.expired(ts, policy.max_age_ms, reference), F.lit(False))
-                changes = changes.withColumn("op", F.when(late, C.DELETE).otherwise(F.col("op"))).unionByName(due, allowMissingColumns=True)
+                changes = changes.withColumn("op", F.when(late, C.DELETE).otherwise(F.col("op"))).unionByName(due.withColumn("op", F.lit(C.DELETE)), allowMissingColumns=True)
         if policy.max_rows or policy.max_rows_per_key:
-            # what is left after the changes, and of that what is one too many
-            changes = self.store.put(changes, version)
-            state = self.store.state(version - 1, changes)
-            order = self.order[0]
-            stay = R.newest(state, order, policy.max_rows, "row_id") if policy.max_rows else R.newest_per_key(state, self.key_column, order, policy.max_rows_per_key, "row_id")
-            gone = state.select("row_id").join(stay.select("row_id"), "row_id", "left_anti").select("row_id", F.lit(C.DELETE).alias("op"))
-            path = self.store.path("evicted", version)
-            gone.write.mode("overwrite").parquet(path)
-            gone = self.spark.read.parquet(path)
-            kept = changes.join(gone.select("row_id"), "row_id", "left_anti")
-            both = kept.unionByName(gone, allowMissingColumns=True)
-            path = self.store.path("retained", version)
-            both.write.mode("overwrite").parquet(path)
-            changes = self.spark.read.schema(self.store.change_schema).parquet(path)
+            changes = self.store.put(changes, version)  # the table with them is looked at before some are taken back
+            gone = self.too_many_per_key(changes, marker, version) if policy.max_rows_per_key else self.too_many(version)
+            gone = self.written(gone, version)
+            changes = self.written(changes.join(gone.select("row_id"), "row_id", "left_anti").unionByName(gone, allowMissingColumns=True), version, "retained")
         return changes, reference
 
-    # ---- windows (D3-D7) ----
-
-    def sent(self, name: str, window: DataFrame, last: dict | None, version: int) -> dict:
-        """Writes what a subscriber of a window gets with a version: nothing if it looks the same, a delta, or the whole window."""
-        window.write.mode("overwrite").parquet(self.store.path(f"{name}-whole", version))
-        window = self.spark.read.parquet(self.store.path(f"{name}-whole", version))
-        columns = [c for c in window.columns if c not in ("row_id", "index")]
-        content = 0 if last is None else last["content"] + 1
-        if last is not None:
-            before = self.spark.read.parquet(self.store.path(f"{name}-whole", last["version"]))
-            diff = C.window_diff(before, window, columns)
-            told = C.window_operations(diff, window).first()
-            if not told["operations"]:
-                return last | {"seen": version}
-            if not told["snapshot"]:
-                diff.write.mode("overwrite").parquet(self.store.path(f"{name}-delta", version))
-                fresh = diff.where("change in ('insert', 'update', 'move+update')").select("row_id")
-                window.join(fresh, "row_id", "left_semi").drop("index").write.mode("overwrite").parquet(self.store.path(f"{name}-rows", version))
-                return {"content": content, "version": version, "base": last["version"], "kind": "delta", "seen": version}
-        return {"content": content, "version": version, "base": None, "kind": "snapshot", "seen": version}
-
-    def received(self, name: str, version: int) -> DataFrame:
-        """A subscriber's window at a version, put together from what was sent."""
-        told = self.store.known(version)["windows"][name]
-        if told["kind"] == "snapshot":
-            return self.spark.read.parquet(self.store.path(f"{name}-whole", told["version"]))
-        before = self.received(name, told["base"])
-        delta, rows = (self.spark.read.parquet(self.store.path(f"{name}-{x}", told["version"])) for x in ("delta", "rows"))
-        return C.reconstructed(before, delta, rows, told["base"], told["base"])
-
-    def run(self, stream: DataFrame, checkpoint: str):
-        """Streams all changes that are there, a version a micro-batch."""
-        query = stream.writeStream.foreachBatch(self.apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-        query.awaitTermination()
-        return query
+    def written(self, df: DataFrame, version: int, what: str = "evicted") -> DataFrame:
+        path = self.store.path(what, version)
+        df.write.mode("overwrite").parquet(path)
+        removed(self.store.spark, *([self.store.path(what, version - 1)] if version else []))
+        return self.store.spark.read.schema(df.schema).parquet(path)
+
+    def due(self, marker: dict, version: int, last: int | None, reference: int) -> DataFrame:
+        """Row ids that the queue gives up between two reference times."""
+        until = (reference - self.policy.max_age_ms) // self.queue.width
+        since = until if last is None else (last - self.policy.max_age_ms) // self.queue.width
+        rows = self.queue.state(marker.get("queue", store.NEW), version - 1, range(since, until + 1)) if last is not None else self.store.spark.createDataFrame([], self.queue.schema)
+        return rows.where(R.expired(F.col("ts"), self.policy.max_age_ms, reference)).select("row_id").distinct()
+
+    def too_many(self, version: int) -> DataFrame:
+        state = self.store.state(version - 1, more=True)
+        stay = R.newest(state, self.table.order[0], self.policy.max_rows, "row_id")
+        return state.select("row_id").join(stay.select("row_id"), "row_id", "left_anti").select("row_id", F.lit(C.DELETE).alias("op"))
+
+    def too_many_per_key(self, changes: DataFrame, marker: dict, version: int) -> DataFrame:
+        """Of the keys that the batch gives rows to, those rows that are not among the newest any more."""
+        images = self.store.imaged(changes, version)
+        ours = self.signed(images, key=self.table.key_column, place=self.table.order[0])
+        keys = ours.where("n > 0").select("key").distinct()
+        buckets = [r[0] for r in keys.select(self.held.bucket(F.col("key"))).distinct().collect()]  # at most one row a bucket
+        before = store.restricted(self.held.state(marker.get("held", store.NEW), version - 1, buckets), keys, ["key"])
+        both = before.unionByName(store.restricted(ours, keys, ["key"]).select(*before.columns))
+        now = both.groupBy("key", "row_id", "place").agg(F.sum("n").alias("n")).where("n > 0")
+        stay = R.newest_per_key(now, "key", "place", self.policy.max_rows_per_key, "row_id")
+        return now.join(stay.select("row_id"), "row_id", "left_anti").select("row_id", F.lit(C.DELETE).alias("op"))
 
 
 @dataclass
 class MaintainedJoin:
-    """A many-to-one join of two maintained tables (J8). The right table is known by its row_id.
+    """A many-to-one join of two maintained tables (J8), with grouped views and windows over it (J6). The right table is known by its row_id.
 
-    refresh() joins again only the left rows of ids and keys that changed since the last one; there is no version until both
+    refresh() joins again only the left rows of ids and keys that changed since the last one: an index of left rows by
+    join key tells which those are, and of both tables the buckets of these rows are read. There is no version until both
     tables have one (J9). Rows: row_id of the left table, l and r (structs of the tables' columns, r null if nothing matches).
+    What the left table's policy drops leaves the join and its views with the next refresh.
     """
 
     left: MaintainedTable
@@ -379,46 +315,76 @@ class MaintainedJoin:
     folder: str
     left_key: str
     how: str = "left"
+    views: Mapping[str, tuple[Sequence[str], Mapping[str, Measure]]] = field(default_factory=dict)  # keys and columns as l.x and r.y
+    windows: Mapping[str, Callable[[DataFrame], DataFrame]] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         kind = lambda t: T.StructType([T.StructField(c, t.schema[c].dataType) for c in t.schema.names])
-        schema = T.StructType([self.left.schema["row_id"], T.StructField("l", kind(self.left)), T.StructField("r", kind(self.right))])
-        self.store = Store(self.left.spark, self.folder, schema)
+        id, spark = self.left.schema["row_id"], self.left.spark
+        schema = T.StructType([id, T.StructField("l", kind(self.left)), T.StructField("r", kind(self.right))])
+        self.store = Store(spark, self.folder, schema, self.left.buckets)
+        self.derived = Derived(self.store, self.views, self.windows)
+        by_key = T.StructType([T.StructField("key", self.left.schema[self.left_key].dataType), id, T.StructField("n", T.LongType())])
+        self.index = Ledger(spark, f"{self.folder}/index", by_key, ["key", "row_id"], ["n"], ["key"], self.left.buckets)
 
     def joined(self, left: DataFrame, right: DataFrame) -> DataFrame:
         a = left.select("row_id", F.struct(*self.left.schema.names).alias("l"))
         b = right.select(F.struct(*self.right.schema.names).alias("r"))
         return a.join(b, F.col(f"l.{self.left_key}") == F.col("r.row_id"), self.how)
 
+    def rows_of(self, table: MaintainedTable, version: int, ids: DataFrame) -> DataFrame:
+        """A table's rows of these row_ids, from the buckets that they lie in."""
+        buckets = [r[0] for r in ids.select(table.store.rows.bucket(F.col("row_id"))).distinct().collect()]  # at most one row a bucket
+        return table.store.state(version, buckets=buckets).join(ids, "row_id", "left_semi")
+
     def refresh(self) -> int | None:
         """The version after taking in what both tables have; None while one has nothing."""
         here, there = self.left.version(), self.right.version()
         if joins.ready_version(here if here >= 0 else None, there if there >= 0 else None) is None:
             return None
         last = self.store.version()
-        known = self.store.known(last)
-        left, right = self.left.store.state(here), self.right.store.state(there)
-        if last < 0 or here - known["left"] >= KEPT or there - known["right"] >= KEPT:  # images are not there for so long
-            ids = left.select("row_id") if last < 0 else left.select("row_id").union(self.store.state(last).select("row_id")).distinct()
-        elif (here, there) == (known["left"], known["right"]):
+        marker, version = self.store.known(last), last + 1
+        none = self.left.spark.createDataFrame([], T.StructType([self.left.schema["row_id"]]))
+        behind = last >= 0 and (here - marker["left"] >= store.KEPT or there - marker["right"] >= store.KEPT)  # images are not there for so long
+        if last >= 0 and (here, there) == (marker["left"], marker["right"]):
             return last
+        if last < 0 or behind:
+            left, right = self.left.store.state(here), self.right.store.state(there)
+            ids = left.select("row_id") if last < 0 else left.select("row_id").union(self.store.state(last).select("row_id")).distinct()
+            indexed = self.index.state(marker.get("index", store.NEW), last) if behind else self.left.spark.createDataFrame([], self.index.schema)
+            now = left.where(F.col(self.left_key).isNotNull()).select(F.col(self.left_key).alias("key"), "row_id", F.lit(1).cast("long").alias("n"))
+            entries = now.unionByName(indexed.withColumn("n", -F.col("n"))).groupBy("key", "row_id").agg(F.sum("n").alias("n")).where("n <> 0")
         else:
-            nothing = left.select("row_id").limit(0)
-            ids = self.left.store.images(known["left"] + 1, here).select("row_id") if here > known["left"] else nothing
-            if there > known["right"]:
-                keys = self.right.store.images(known["right"] + 1, there).select(F.col("row_id").alias("__k")).distinct()
-                ids = ids.union(left.join(keys, F.col(self.left_key) == F.col("__k"), "left_semi").select("row_id"))
+            images = self.left.store.images(marker["left"] + 1, here) if here > marker["left"] else None
+            ids, entries = none, self.left.spark.createDataFrame([], self.index.schema)
+            if images is not None:
+                ids = images.select("row_id")
+                sides = [images.where(f"{x}.{self.left_key} is not null").select(F.col(f"{x}.{self.left_key}").alias("key"), "row_id", F.lit(w).cast("long").alias("n")) for x, w in (("o", -1), ("n", 1))]
+                entries = sides[0].unionByName(sides[1]).groupBy("key", "row_id").agg(F.sum("n").alias("n")).where("n <> 0")
+            if there > marker["right"]:
+                keys = self.right.store.images(marker["right"] + 1, there).select(F.col("row_id").alias("key")).distinct()
+                buckets = [r[0] for r in keys.select(self.index.bucket(F.col("key").cast(self.index.schema["key"].dataType))).distinct().collect()]
+                held = store.restricted(self.index.state(marker["index"], last, buckets), keys, ["key"])
+                ids = ids.union(held.select("row_id"))
             ids = ids.distinct()
+            left = self.rows_of(self.left, here, ids)
+            wanted = left.where(F.col(self.left_key).isNotNull()).select(F.col(self.left_key).cast(self.right.schema["row_id"].dataType).alias("row_id")).distinct()
+            right = self.rows_of(self.right, there, wanted)
         again = self.joined(left.join(ids, "row_id", "left_semi"), right)
         mine = again.withColumnRenamed("row_id", "__id")
         changes = ids.join(mine, ids["row_id"] == F.col("__id"), "left").select("row_id", "l", "r", F.when(F.col("__id").isNull(), C.DELETE).otherwise(C.UPSERT).alias("op"))
-        changes = self.store.put(changes, last + 1)
-        self.store.imaged(changes, last + 1)
-        self.store.finish(last + 1, {"left": here, "right": there})
-        return last + 1
+        images = self.store.imaged(self.store.put(changes, version), version)
+        more = {"left": here, "right": there, "index": self.index.finish(marker.get("index", store.NEW), version, self.index.put(entries, version))}
+        more |= self.derived.apply(images, version, marker)
+        self.derived.finish(version, more, {"index": self.index})
+        return version
+
+    def read(self, version: int, what: str = "table") -> DataFrame:
+        """The joined rows or a grouped view at a version."""
+        return self.store.state(version) if what == "table" else self.derived.read(what, version)
 
-    def read(self, version: int) -> DataFrame:
-        return self.store.state(version)
+    def received(self, name: str, version: int) -> DataFrame:
+        return self.derived.received(name, version)
 
 
 def change_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int = 1, format: str = "parquet", **options: str) -> DataFrame:
