@@ -109,3 +109,12 @@ def test_hits_are_compared_with_content_of_earlier_loads(spark):
     for t in texts:
         by.setdefault(hashlib.md5(t.encode()).hexdigest()[0], set()).add(t)
     assert {r.digest for r in store.clashes().collect()} == {d for d, ts in by.items() if len(ts) > 1}
+
+
+def test_repeats_of_a_scan_with_clashing_columns(spark, tmp_path):
+    """Names that the operator uses itself, in the table's files."""
+    text = "".join(chr(97 + k * k % 23) for k in range(1200))
+    docs = spark.createDataFrame([(1, text, "x", 1, 2), (2, "head " + text, "y", 3, 4), (3, None, None, None, None)], "doc_id long, text string, __file string, __place int, row int")
+    docs.write.parquet(f"{tmp_path}/docs")
+    got = {r.id: (r.n_bytes, r.n_spans) for r in substring_dedup.without_repeats(spark.read.parquet(f"{tmp_path}/docs"), plain_scan=True).collect()}
+    assert {k: v[0] for k, v in got.items()} == {1: 1200, 2: 1205, 3: 0} and got[2][1] == 1

@@ -78,3 +78,17 @@ def test_texts_of_all_pages(spark, pages):
                 rest.append(text)
         text = "\n".join(kept or rest)
         assert (text, len(text)) in texts[page_id]
+
+
+def test_names_of_topics_inside_an_article_are_no_noise():
+    """Ids never tell of noise there, classes only if they name nothing else."""
+    from viewframe.llm.html_extract import extract
+
+    article = (
+        '<article><p>Body.</p><h2 id="social-security">Social</h2><section id="share-prices"><p>Prices rose.</p></section><div class="ad-hoc-analysis"><p>Ad hoc.</p></div>'
+        '<div class="share-buttons"><p>Tweet</p></div><div class="related-posts"><p>More</p></div><div id="comments" class="comment-list"><p>First!</p></div></article>'
+    )
+    assert extract(f'<body><div class="sidebar"><p>Side</p></div>{article}</body>', frozenset()) == "Body.\nSocial\nPrices rose.\nAd hoc."
+    assert extract('<main><p>x</p><div class="widget-explainer"><p>Explains.</p></div><div class="comments"><p>c</p></div></main>', frozenset()) == "x\nExplains."
+    long = "<main>" + "<p>word &amp; word</p>\n" * 50_000 + "</main>"
+    assert extract(long, frozenset()).count("\n") == 49_999

@@ -10,7 +10,7 @@ THRESHOLD are removed from each page.
 Entropy can't tell varied adverts, menus and footers from text, and would remove an article of
 which a host has only copies. So the signs of the path weigh in, and a block inside article
 or main without such signs is never taken for noise. Words on what wraps article or main are about
-the layout and do not count, and a page's only branch stays.
+the layout and do not count, inside of them ids do not count and classes only where they name nothing else, and a page's only branch stays.
 
 Defined results: a null or empty html gives the empty text; a page whose url is null belongs to a
 host without name; repeated rows give repeated results; an empty table gives an empty result;
@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from viewframe.llm.common import attach, table, written
+from viewframe.llm.common import attach, small_batches, table, written
 
 THRESHOLD, CONTENT = 0.25, 0.75
 
@@ -50,6 +50,11 @@ NOISE_NAMES = frozenset(
 KIND_NAMES = frozenset("comment comments disqus related recommended reply replies respond".split())
 COMMENT_NAMES, TITLE_NAMES = frozenset("comment comments disqus reply replies respond".split()), frozenset("head header byline".split())
 CONTENT_NAMES = frozenset("article content entry headline main post story title".split())
+#: Words that say nothing of the kind beside a noise name: what such a class names is noise inside an article too.
+PLAIN_NAMES = frozenset(
+    "area article articles bar block bottom box btn button buttons card cards cols column container count div el group grid icon icons inline inner item items left line link links list "
+    "media module outer page panel post posts primary right row section secondary small story stories text title top unit wrap wrapper".split()
+)
 MODIFIER = re.compile(r"\b(?:has|with|no|without)-[\w-]+")
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
@@ -141,14 +146,28 @@ def telling(tag: str, names: str, article: bool) -> set[str]:
     return words - TITLE_NAMES if article or CONTENT_NAMES.intersection(PART.findall(names)) else words
 
 
+def telling_inside(classes: str) -> set[str]:
+    """The noise names of classes inside article or main: of a class that is made of them and plain words, as share-buttons is and
+    share-prices is not."""
+    out: set[str] = set()
+    for name in MODIFIER.sub("", classes).split():
+        parts = set(PART.findall(name))
+        if parts <= NOISE_NAMES | PLAIN_NAMES:
+            out |= parts & NOISE_NAMES
+    return out
+
+
 def signs(path: str) -> tuple[bool, bool]:
     """Whether the path tells of noise, and whether it lies in an article."""
     article = False
     steps = [step.partition("[") for step in path.split("/")[1:]]
-    inner = max((k for k, (tag, _, _) in enumerate(steps) if tag in ("article", "main")), default=-1)
+    holders = [k for k, (tag, _, _) in enumerate(steps) if tag in ("article", "main")]
+    inside, inner = (holders[0], holders[-1]) if holders else (-1, -1)
     for k, (tag, _, rest) in enumerate(steps):
         names = " ".join(x.partition("=")[2] for x in rest.rstrip("]").split(";"))
         words = telling(tag, names, article)
+        if k > inside >= 0:  # an id names what the text is about, so ids are no signs there
+            words &= telling_inside(" ".join(x.partition("=")[2] for x in rest.rstrip("]").split(";") if not x.startswith("id=")))
         if k < inner and not article:  # wraps article or main
             words &= KIND_NAMES
         if (tag in NOISE_ELEMENTS and not (tag == "form" and k < inner)) or (tag == "header" and not article) or words:
@@ -244,6 +263,7 @@ def low_paths(pages: DataFrame) -> DataFrame:
 
 def main_texts(pages: DataFrame, id: str = "page_id", url: str = "url", source: str = "html") -> DataFrame:
     """Per row: id, url, text, n_chars."""
+    small_batches(pages.sparkSession)
     keyed = hosts(pages.select(id, url, source), url, source)
     low = written(low_paths(keyed).withColumnRenamed("host", "__host"), "styles")
     joined = attach(keyed.select(id, url, "__host", "__html"), low, "__host", "left").select(id, url, "__html", "low")

@@ -9,7 +9,8 @@ lends its license to its directory. A file without one of its own takes that
 of its nearest ancestor directory, found by joins on paths.
 
 Defined results: a null text counts as empty; a file without path has no directory; of several
-license files in a directory the one with the smallest path counts, then the best cosine; equal
+license files in a directory the one with the smallest path counts, then the best cosine; a header's SPDX tag of a known name
+counts as it stands, and where a line has a version, licenses of another one do not match it; equal
 cosines go to the template with the smaller name; repeated rows agree; an empty table gives an
 empty result; other columns are not read.
 """
@@ -23,7 +24,12 @@ from pyspark.sql.window import Window
 from viewframe.llm.common import attach, table, text_of, written
 
 THRESHOLD, WHOLE = 0.5, 0.75
-LINE, BLOCK, FILE = 0, 1, 2  # what is compared
+LINE, BLOCK, FILE, TITLE = 0, 1, 2, 3  # what is compared
+#: The first lines of a text, where a license names itself; and a header's tag, whose name is taken as it stands.
+TITLE_LINES = 6
+TAG = r"(?i)spdx-license-identifier:[\x20\t]*\(?([a-z0-9][a-z0-9.+-]*)"
+#: A number that may be a license's version.
+VERSION = r"^v?[0-9]{1,2}(?:\.[0-9]{1,2})*$"
 LICENSE_LINE = r"(?i)\b(?:licen[sc]e[ds]?|licensing|copyright|permission\x20is\x20hereby|redistribution\x20and\x20use|public\x20domain|all\x20rights\x20reserved|spdx)\b"
 TERM = "[^a-z0-9.+]+"
 #: What a line of a comment begins with; a block is made of the lines between two empty ones.
@@ -47,13 +53,33 @@ TEMPLATES = {
     "CC0-1.0": ("Released under CC0 1.0.", "This work is in the public domain."),
     "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2.", "This program is free software; you can redistribute it under the terms of the GNU General Public License version 2."),
     "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it under the terms of the GNU General Public License version 3."),
+    "LGPL-2.1": ("This work is licensed under the GNU Lesser General Public License, version 2.1.", "This library is free software; you can redistribute it under the terms of the GNU Lesser General Public License version 2.1."),
     "LGPL-3.0": ("This work is licensed under the GNU Lesser General Public License, version 3.",),
     "MIT": ("Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",),
+    "AGPL-3.0": ("This work is licensed under the GNU Affero General Public License, version 3.",),
+    "EPL-2.0": ("This program is made available under the terms of the Eclipse Public License 2.0.",),
     "proprietary": ("All rights reserved.", "Copyright. All rights reserved. Unauthorized copying is prohibited."),
 }
 
 
+# How the long licenses begin.
+TITLES = {
+    "AGPL-3.0": ("GNU Affero General Public License Version 3, 19 November 2007",),
+    "Apache-2.0": ("Apache License Version 2.0, January 2004", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    "CC-BY-4.0": ("Creative Commons Attribution 4.0 International Public License", "Attribution 4.0 International Creative Commons Public License"),
+    "CC-BY-NC-4.0": ("Creative Commons Attribution-NonCommercial 4.0 International Public License", "Attribution-NonCommercial 4.0 International Creative Commons Public License"),
+    "CC-BY-SA-4.0": ("Creative Commons Attribution-ShareAlike 4.0 International Public License", "Attribution-ShareAlike 4.0 International Creative Commons Public License"),
+    "CC0-1.0": ("Creative Commons Legal Code CC0 1.0 Universal", "CC0 1.0 Universal Creative Commons Public Domain License"),
+    "EPL-2.0": ("Eclipse Public License - v 2.0",),
+    "GPL-2.0": ("GNU General Public License Version 2, June 1991",),
+    "GPL-3.0": ("GNU General Public License Version 3, 29 June 2007",),
+    "LGPL-2.1": ("GNU Lesser General Public License Version 2.1, February 1999",),
+    "LGPL-3.0": ("GNU Lesser General Public License Version 3, 29 June 2007",),
+    "MPL-2.0": ("Mozilla Public License Version 2.0",),
+}
+
+
 # Full texts of licenses and of the notices that stand for them.
 FULL = {
     "MIT": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
@@ -83,14 +109,18 @@ def best_templates(files: DataFrame) -> DataFrame:
     """files: row, text, named (whether the file's name is that of a license). Per row with a line at THRESHOLD or more: row, license, cosine; whole: whether most of its words are such lines."""
     spark = files.sparkSession
     named = [(n, k, False, t) for n, wordings in TEMPLATES.items() for k, t in enumerate(wordings)] + [(n, 0, True, t) for n, t in FULL.items()]
+    named += [(n, 100 + k, False, t) for n, titles in TITLES.items() for k, t in enumerate(titles)]
     templates = counted(spark.createDataFrame(named, "name string, wording int, full boolean, t string").select("name", "wording", "full", terms(F.col("t")).alias("words")))
     split = F.split("text", "\n")
     blocks = F.filter(F.split(F.regexp_replace(F.regexp_replace("text", COMMENTED, ""), MARK, ""), "\n{2,}"), lambda x: F.trim(x).contains("\n"))
     candidate = F.coalesce("named", F.lit(False)) | F.col("text").rlike(PHRASE)
     unit = lambda what: lambda x: F.struct(F.lit(what).alias("what"), x.alias("content"))
     whole_blocks = F.transform(F.transform(blocks, lambda x: F.regexp_replace(x, "\n", " ")), unit(BLOCK))
+    # a title takes one line or two; below the first lines there is none
+    head = F.slice(F.filter(F.transform(split, lambda x: F.trim(F.regexp_replace(x, MARK, ""))), lambda x: x != ""), 1, TITLE_LINES)
+    titles = F.transform(F.zip_with(head, F.concat(F.slice(head, 2, TITLE_LINES), F.array(F.lit(""))), lambda a, b: F.concat_ws(" ", a, b)), unit(TITLE))
     # a sentence may be wrapped, so blocks of lines are compared as well as lines
-    speaking = F.filter(F.concat(F.transform(split, unit(LINE)), whole_blocks, F.transform(F.filter(F.array("text"), lambda _: candidate), unit(FILE))), lambda x: x.content.rlike(LICENSE_LINE))
+    speaking = F.filter(F.concat(F.transform(split, unit(LINE)), titles, whole_blocks, F.transform(F.filter(F.array("text"), lambda _: candidate), unit(FILE))), lambda x: x.content.rlike(LICENSE_LINE))
     found = files.where(F.col("text").rlike(LICENSE_LINE)).select(
         "row", speaking.alias("units"), F.size(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")).alias("n_words")
     )
@@ -107,13 +137,22 @@ def best_templates(files: DataFrame) -> DataFrame:
     of_templates = of_templates.withColumn("weight", F.col("tf") * idf)
     of_templates = of_templates.withColumn("unit", F.col("weight") / F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy("name", "wording", "full"))))
     of_lines = attach(vectors, df, "word").withColumn("weight", F.col("tf") * idf)
-    norms = of_lines.groupBy("content").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
+    number = F.when(F.col("word").rlike(VERSION), F.regexp_replace("word", r"^v|(?:\.0)+$", ""))
+    norms = of_lines.groupBy("content").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"), F.collect_set(number).alias("versions"))
     dots = of_lines.select("content", "full", "word", "weight").join(F.broadcast(of_templates.select("word", "full", "name", "wording", "unit")), ["word", "full"]).groupBy("content", "full", "name", "wording").agg(F.sum(F.col("weight") * F.col("unit")).alias("dot"))
     scored = dots.join(norms, "content").withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 9)).where(F.col("cosine") >= F.when(F.col("full"), WHOLE).otherwise(THRESHOLD))
+    # where the content has a version, a license of another one is no match however close its wording is
+    own_version = F.regexp_replace(F.regexp_extract("name", r"-([0-9]+(?:\.[0-9]+)?)$", 1), r"(?:\.0)+$", "")
+    scored = scored.where((own_version == "") | (F.size("versions") == 0) | F.array_contains("versions", own_version) | F.col("full"))
     best = scored.groupBy("content").agg(F.min(F.struct((-F.col("cosine")).alias("c"), F.col("name").alias("name"))).alias("best"))
     told = attach(lines.drop("words"), best.select("content", F.col("best.name").alias("license"), (-F.col("best.c")).alias("cosine")), "content")
+    # a tag names its license itself
+    tags = lines.where(F.col("what") == LINE).select("content", "row", "n_words", "what", "full", "own", F.regexp_extract("words", TAG, 1).alias("tag")).where("tag <> ''")
+    known = spark.createDataFrame([(n.lower(), n) for n in sorted({*TEMPLATES, *FULL, *TITLES})], "tag string, license string")
+    tags = tags.withColumn("tag", F.regexp_replace("tag", r"-(?:only|or-later)$|\+$", "")).join(F.broadcast(known), "tag")
+    told = told.unionByName(tags.select("content", "row", "n_words", "what", "full", "own", "license", F.lit(1.0).alias("cosine")).select(*told.columns))
     words_of = lambda what: F.sum(F.when(F.col("what") == what, F.col("own")).otherwise(0))
-    whole = F.bool_or("full") | (2 * F.greatest(words_of(LINE), words_of(BLOCK)) > F.max("n_words"))
+    whole = F.bool_or("full") | F.bool_or((F.col("what") == TITLE) & (F.col("cosine") >= WHOLE)) | (2 * F.greatest(words_of(LINE), words_of(BLOCK)) > F.max("n_words"))
     return told.groupBy("row").agg(
         F.min(F.struct((-F.col("cosine")).alias("c"), F.col("license").alias("license"))).alias("best"), whole.alias("whole")
     ).select("row", F.col("best.license").alias("license"), (-F.col("best.c")).alias("cosine"), "whole")

@@ -27,8 +27,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from viewframe.llm.common import attach, dropped, table, written
+from viewframe.llm.common import attach, dropped, small_batches, table, written
 from viewframe.llm.suffix_array import permuted_lcp, suffix_array
 
 SIZE, KEY = 400, 100
@@ -297,13 +298,13 @@ def intervals(texts: DataFrame, hot: int = HOT) -> DataFrame:
     return out
 
 
-def file_rows(docs: DataFrame) -> DataFrame:
-    """docs, a plain scan of Parquet files, with row: the number of its file and its place in it, which stay the
+def file_rows(docs: DataFrame, id: str, text: str) -> DataFrame:
+    """(row, id, text) of docs, a plain scan of Parquet files. row: the number of its file and its place in it, which stay the
     same however Spark splits the files in each job."""
-    named = docs.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__place"))
-    paths = sorted(r[0] for r in named.select("__file").distinct().collect())
-    files = docs.sparkSession.createDataFrame(list(enumerate(paths)), "__n long, __file string")
-    return attach(named, files, "__file").withColumn("row", F.shiftleft("__n", PLACES).bitwiseOR(F.col("__place"))).drop("__n", "__file", "__place")
+    named = docs.select(F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place"))
+    # a row a file, so one task may number them
+    files = written(named.select("file").distinct().withColumn("n", F.row_number().over(Window.orderBy("file")).cast("long")), "files")
+    return attach(named, files, "file").select(F.shiftleft("n", PLACES).bitwiseOR(F.col("place")).alias("row"), "id", "text")
 
 
 def without_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", hot: int = HOT, plain_scan: bool = False) -> DataFrame:
@@ -312,11 +313,11 @@ def without_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", hot
     Rows are numbered, and read several times. Those of a plain scan of Parquet files are known by
     file and place; anything else is written with its numbers first.
     """
-    columns = F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")
+    small_batches(docs.sparkSession)
     if plain_scan:
-        numbered = file_rows(docs).select("row", *columns)
+        numbered = file_rows(docs, id, text)
     else:
-        numbered = written(docs.select(F.monotonically_increasing_id().alias("row"), *columns), "numbered")
+        numbered = written(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")), "numbered")
     covered = intervals(numbered, hot).groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("spans"))  # of one text
     schema = f"id {docs.schema[id].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept binary"
     return numbered.join(covered, "row", "left").select("id", "text", "spans").mapInArrow(lambda b: joined(remove(b)), schema)
