@@ -34,19 +34,27 @@ def plain(files):
             continue
         blocks = [b for b in re.split("\n{2,}", mark.sub("", code.sub("", text))) if "\n" in b.strip(" ")]
         units += [(n, kind, x) for kind, xs in ((L.LINE, text.split("\n")), (L.BLOCK, [b.replace("\n", " ") for b in blocks]), (L.FILE, [text] * bool(phrase.search(text) or re.search(L.LICENSE_FILE, path or "")))) for x in xs if line.search(x)]
+        head = [y for y in (mark.sub("", x).strip(" ") for x in text.split("\n")) if y][: L.TITLE_LINES]
+        titles = [*head, *(f"{a} {b}" for a, b in zip(head, head[1:], strict=False))]
+        units += [(n, L.TITLE, x) for x in titles if re.search(L.TITLE_WORDS, x) and line.search(x)]
     df = Counter(w for _, _, x in units for w in set(words(x)))
     idf = lambda w: math.log((1 + len(units)) / (1 + df[w])) + 1
     vector = lambda x: {w: n * idf(w) for w, n in Counter(words(x)).items()}
     norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
-    templates = [(name, False, vector(t)) for name, ts in L.TEMPLATES.items() for t in ts] + [(name, True, vector(t)) for name, t in L.FULL.items()]
+    templates = [(name, L.HEADERS, vector(t)) for name, ts in L.TEMPLATES.items() for t in ts] + [(name, L.WHOLES, vector(t)) for name, t in L.FULL.items()] + [(name, L.NAMES, vector(t)) for name, ts in L.TITLES.items() for t in ts]
+    kind_of = {L.FILE: L.WHOLES, L.TITLE: L.NAMES}
+    number = lambda w: re.sub(r"^v|(?:\.0)+$", "", w)
+    version = lambda name: number(m[1]) if (m := re.search(r"-([0-9]+(?:\.[0-9]+)?)$", name)) else ""
     out = {}
     for n, kind, x in units:
         v = vector(x)
-        scored = [(-round(sum(v.get(w, 0) * y for w, y in t.items()) / norm(t) / norm(v), 9), name) for name, full, t in templates if full == (kind == L.FILE)]
-        best = min((s for s in scored if -s[0] >= (L.WHOLE if kind == L.FILE else L.THRESHOLD)), default=None)
+        scored = [(-round(sum(v.get(w, 0) * y for w, y in t.items()) / norm(t) / norm(v), 9), name) for name, full, t in templates if full == kind_of.get(kind, L.HEADERS)]
+        said = {number(w) for w in v if re.search(L.VERSION, w)}
+        scored = [(c, name) for c, name in scored if not version(name) or not said or version(name) in said or kind == L.FILE]
+        best = min((s for s in scored if -s[0] >= (L.WHOLE if kind in kind_of else L.THRESHOLD)), default=None)
         if best:
             out.setdefault(n, []).append((best, kind, len(x.split())))
-    return {n: (min(b for b, _, _ in found), any(k == L.FILE for _, k, _ in found) or any(2 * sum(m for _, k, m in found if k == kind) > len(files[n][1].split()) for kind in (L.LINE, L.BLOCK))) for n, found in out.items()}
+    return {n: (min(b for b, _, _ in found), any(k in kind_of for _, k, _ in found) or any(2 * sum(m for _, k, m in found if k == kind) > len(files[n][1].split()) for kind in (L.LINE, L.BLOCK))) for n, found in out.items()}
 
 
 def test_licenses_of_all_files(spark, files):

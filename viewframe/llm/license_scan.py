@@ -25,9 +25,11 @@ from viewframe.llm.common import attach, table, text_of, written
 
 THRESHOLD, WHOLE = 0.5, 0.75
 LINE, BLOCK, FILE, TITLE = 0, 1, 2, 3  # what is compared
+HEADERS, WHOLES, NAMES = 0, 1, 2  # what it is compared with
 #: The first lines of a text, where a license names itself; and a header's tag, whose name is taken as it stands.
 TITLE_LINES = 6
 TAG = r"(?i)spdx-license-identifier:[\x20\t]*\(?([a-z0-9][a-z0-9.+-]*)"
+TITLE_WORDS = r"(?i)(?:general|mozilla|eclipse)\x20+public|apache|creative\x20+commons|cc0"
 #: A number that may be a license's version.
 VERSION = r"^v?[0-9]{1,2}(?:\.[0-9]{1,2})*$"
 LICENSE_LINE = r"(?i)\b(?:licen[sc]e[ds]?|licensing|copyright|permission\x20is\x20hereby|redistribution\x20and\x20use|public\x20domain|all\x20rights\x20reserved|spdx)\b"
@@ -108,9 +110,9 @@ def counted(lines: DataFrame) -> DataFrame:
 def best_templates(files: DataFrame) -> DataFrame:
     """files: row, text, named (whether the file's name is that of a license). Per row with a line at THRESHOLD or more: row, license, cosine; whole: whether most of its words are such lines."""
     spark = files.sparkSession
-    named = [(n, k, False, t) for n, wordings in TEMPLATES.items() for k, t in enumerate(wordings)] + [(n, 0, True, t) for n, t in FULL.items()]
-    named += [(n, 100 + k, False, t) for n, titles in TITLES.items() for k, t in enumerate(titles)]
-    templates = counted(spark.createDataFrame(named, "name string, wording int, full boolean, t string").select("name", "wording", "full", terms(F.col("t")).alias("words")))
+    named = [(n, k, HEADERS, t) for n, wordings in TEMPLATES.items() for k, t in enumerate(wordings)] + [(n, 0, WHOLES, t) for n, t in FULL.items()]
+    named += [(n, k, NAMES, t) for n, titles in TITLES.items() for k, t in enumerate(titles)]
+    templates = counted(spark.createDataFrame(named, "name string, wording int, full int, t string").select("name", "wording", "full", terms(F.col("t")).alias("words")))
     split = F.split("text", "\n")
     blocks = F.filter(F.split(F.regexp_replace(F.regexp_replace("text", COMMENTED, ""), MARK, ""), "\n{2,}"), lambda x: F.trim(x).contains("\n"))
     candidate = F.coalesce("named", F.lit(False)) | F.col("text").rlike(PHRASE)
@@ -118,7 +120,9 @@ def best_templates(files: DataFrame) -> DataFrame:
     whole_blocks = F.transform(F.transform(blocks, lambda x: F.regexp_replace(x, "\n", " ")), unit(BLOCK))
     # a title takes one line or two; below the first lines there is none
     head = F.slice(F.filter(F.transform(split, lambda x: F.trim(F.regexp_replace(x, MARK, ""))), lambda x: x != ""), 1, TITLE_LINES)
-    titles = F.transform(F.zip_with(head, F.concat(F.slice(head, 2, TITLE_LINES), F.array(F.lit(""))), lambda a, b: F.concat_ws(" ", a, b)), unit(TITLE))
+    pairs = F.zip_with(F.slice(head, 1, F.greatest(F.size(head) - 1, F.lit(0))), F.slice(head, 2, TITLE_LINES), lambda a, b: F.concat_ws(" ", a, b))
+    titles = F.transform(F.concat(head, pairs), unit(TITLE))
+    titles = F.filter(titles, lambda x: x.content.rlike(TITLE_WORDS))
     # a sentence may be wrapped, so blocks of lines are compared as well as lines
     speaking = F.filter(F.concat(F.transform(split, unit(LINE)), titles, whole_blocks, F.transform(F.filter(F.array("text"), lambda _: candidate), unit(FILE))), lambda x: x.content.rlike(LICENSE_LINE))
     found = files.where(F.col("text").rlike(LICENSE_LINE)).select(
@@ -127,7 +131,7 @@ def best_templates(files: DataFrame) -> DataFrame:
     found = found.select("row", "n_words", F.explode("units").alias("unit"))
     # a digest stands for the content, which may be long and is repeated per word; equal lines are one vector: a notice that a third of all files carry is compared once
     found = found.select("row", "n_words", "unit.what", "unit.content")
-    lines = written(found.select("row", "n_words", "what", (F.col("what") == FILE).alias("full"), F.size(F.filter(F.split("content", r"[\x20\x09-\x0D]+"), lambda w: w != "")).alias("own"), F.lower(F.trim("content")).alias("words")).withColumn("content", F.concat(F.sha2("words", 256), F.when(F.col("full"), ":full").otherwise(""))), "lines")
+    lines = written(found.select("row", "n_words", "what", F.when(F.col("what") == FILE, WHOLES).when(F.col("what") == TITLE, NAMES).otherwise(HEADERS).alias("full"), F.size(F.filter(F.split("content", r"[\x20\x09-\x0D]+"), lambda w: w != "")).alias("own"), F.lower(F.trim("content")).alias("words")).withColumn("content", F.concat(F.sha2("words", 256), F.concat(F.lit(":"), F.col("full").cast("string")))), "lines")
     distinct = lines.groupBy("content", "full").agg(F.count("*").alias("often"), F.min("words").alias("words"))
     vectors = written(counted(distinct.select("content", "full", "often", terms(F.col("words")).alias("words"))), "vectors")
     total = lines.count()
@@ -140,10 +144,10 @@ def best_templates(files: DataFrame) -> DataFrame:
     number = F.when(F.col("word").rlike(VERSION), F.regexp_replace("word", r"^v|(?:\.0)+$", ""))
     norms = of_lines.groupBy("content").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"), F.collect_set(number).alias("versions"))
     dots = of_lines.select("content", "full", "word", "weight").join(F.broadcast(of_templates.select("word", "full", "name", "wording", "unit")), ["word", "full"]).groupBy("content", "full", "name", "wording").agg(F.sum(F.col("weight") * F.col("unit")).alias("dot"))
-    scored = dots.join(norms, "content").withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 9)).where(F.col("cosine") >= F.when(F.col("full"), WHOLE).otherwise(THRESHOLD))
+    scored = dots.join(norms, "content").withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 9)).where(F.col("cosine") >= F.when(F.col("full") == HEADERS, THRESHOLD).otherwise(WHOLE))
     # where the content has a version, a license of another one is no match however close its wording is
     own_version = F.regexp_replace(F.regexp_extract("name", r"-([0-9]+(?:\.[0-9]+)?)$", 1), r"(?:\.0)+$", "")
-    scored = scored.where((own_version == "") | (F.size("versions") == 0) | F.array_contains("versions", own_version) | F.col("full"))
+    scored = scored.where((own_version == "") | (F.size("versions") == 0) | F.array_contains("versions", own_version) | (F.col("full") == WHOLES))
     best = scored.groupBy("content").agg(F.min(F.struct((-F.col("cosine")).alias("c"), F.col("name").alias("name"))).alias("best"))
     told = attach(lines.drop("words"), best.select("content", F.col("best.name").alias("license"), (-F.col("best.c")).alias("cosine")), "content")
     # a tag names its license itself
@@ -152,7 +156,7 @@ def best_templates(files: DataFrame) -> DataFrame:
     tags = tags.withColumn("tag", F.regexp_replace("tag", r"-(?:only|or-later)$|\+$", "")).join(F.broadcast(known), "tag")
     told = told.unionByName(tags.select("content", "row", "n_words", "what", "full", "own", "license", F.lit(1.0).alias("cosine")).select(*told.columns))
     words_of = lambda what: F.sum(F.when(F.col("what") == what, F.col("own")).otherwise(0))
-    whole = F.bool_or("full") | F.bool_or((F.col("what") == TITLE) & (F.col("cosine") >= WHOLE)) | (2 * F.greatest(words_of(LINE), words_of(BLOCK)) > F.max("n_words"))
+    whole = F.bool_or(F.col("full") != HEADERS) | (2 * F.greatest(words_of(LINE), words_of(BLOCK)) > F.max("n_words"))
     return told.groupBy("row").agg(
         F.min(F.struct((-F.col("cosine")).alias("c"), F.col("license").alias("license"))).alias("best"), whole.alias("whole")
     ).select("row", F.col("best.license").alias("license"), (-F.col("best.c")).alias("cosine"), "whole")
