@@ -192,13 +192,20 @@ def test_digest_is_updatable(spark):
 
 
 def test_identity(spark):
-    df = spark.createDataFrame([("t", 5, -0.0), ("é", -1, 1.5)], "s string, i long, d double")
-    got = df.select(identity.row_id([("string", F.col("s")), ("int64", F.col("i")), ("number", F.col("d"))]).alias("r")).withColumn("ok", identity.valid_row_id(F.col("r"))).collect()
-    assert got[0].r == "rid2:730000000174" + "690000000135" + "6e00000008" + "0" * 16 and all(r.ok for r in got)
-    bad = spark.createDataFrame([("rid2:73000000",), ("rid1:7300000000",), ("rid2:7a0000000174",), (None,)], "r string")
-    assert not any(r[0] for r in bad.select(identity.valid_row_id(F.col("r"))).collect())
-    with pytest.raises(Exception, match="absent"):
-        spark.createDataFrame([(None,)], "s string").select(identity.row_id([("string", F.col("s"))])).collect()
+    df = spark.createDataFrame([("t", 5, -0.0, True, Decimal("10.50")), ("é", -1, 1.5, False, Decimal("-3"))], "s string, i long, d double, b boolean, m decimal(10,4)")
+    kinds = [("string", "s"), ("int64", "i"), ("number", "d"), ("boolean", "b"), ("decimal", "m"), ("uint64", "u")]
+    df = df.withColumn("u", F.lit("18446744073709551615").cast("decimal(20,0)"))
+    got = df.select(identity.row_id([(k, F.col(c)) for k, c in kinds]).alias("r")).withColumn("ok", identity.valid_row_id(F.col("r"))).collect()
+    assert got[0].r == "rid2:0106" + "010000000174" + "0400000008" + "0" * 15 + "5" + "0300000008" + "0" * 16 + "020000000101" + "0600000004" + b"10.5".hex() + "0500000008" + "f" * 16
+    assert all(r.ok for r in got) and "0400000008" + "f" * 16 in got[1].r
+    one = lambda kind, value, type: spark.range(1).select(identity.row_id([(kind, F.lit(value).cast(type))]).alias("r")).first().r
+    assert one("string", "a", "string") == "rid2:0101010000000161"
+    assert one("decimal", "10.5", "decimal(38,18)") == one("decimal", "10.500", "decimal(10,3)")
+    bad = ["", "x", "rid2:", "rid2:010101000000016A", "rid2:0101010000000261", "rid2:010101000000016100", "rid2:010103000000088000000000000000", "rid2:0101020000000102", "rid2:01010600000003312e30", "rid2:0102010000000161", "rid2:01010100000001ff", None]
+    assert not any(r[0] for r in spark.createDataFrame([(x,) for x in bad], "r string").select(identity.valid_row_id(F.col("r"))).collect())
+    for kind, value, type in (("string", None, "string"), ("number", "NaN", "double"), ("number", "Infinity", "double"), ("string", "a" * 300, "string")):
+        with pytest.raises(Exception, match="identity"):
+            one(kind, value, type)
 
 
 def test_admission_and_rendering(spark):

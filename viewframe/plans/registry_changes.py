@@ -84,7 +84,7 @@ def null_marker(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""with e as (select event_id, event_type as t, user_id::varchar as u from events)
- select event_id, 'rid2:' || lower('73' || printf('%08x', strlen(t)) || hex(t) || '69' || printf('%08x', strlen(u)) || hex(u)) as row_id, true as valid from e""")
+ select event_id, 'rid2:' || lower('010201' || printf('%08x', strlen(t)) || hex(t) || '0400000008' || printf('%016x', u::bigint)) as row_id, true as valid from e""")
 def row_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "events")
     id = identity.row_id([("string", F.col("event_type")), ("int64", F.col("user_id"))])
