@@ -13,13 +13,14 @@ from pyspark.sql import types as T
 from viewframe.operators import audit, edits, order
 from viewframe.operators import changes as C
 from viewframe.operators import predicates as P
+from viewframe.operators import query_index as Q
 from viewframe.operators import retention as R
 from viewframe.plans.registry import O_SQL, ORDERS, orders, query, table
 from viewframe.sources import identity
 from viewframe.sources.admission import admitted, quarantined, with_null_marker
 from viewframe.sources.rows import demo_of, read_together, rendered
 from viewframe.sources.schema import Field, Schema, flat
-from viewframe.sources.scratch import scratch
+from viewframe.sources.scratch import scratch, written
 from viewframe.streaming.tables import MaintainedJoin, MaintainedTable, Measure, change_stream, regrouped
 
 LOG = "l as (select user_id as row_id, case when event_id % 10 = 0 then 'delete' else 'upsert' end as op, event_type, value, user_id % 4 as \"partition\", event_id as \"offset\", epoch_us(ts) // 1000 as ts_ms from events)"
@@ -266,6 +267,44 @@ def changed_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.changed_queries(changes, old, new, schema, {"new": P.eq("status", "N"), "rich": P.gt("price", 1000.0), "x": P.eq("status", "X"), "none": P.lt("price", -1.0)}, "o_orderkey")
 
 
+REGISTERED = """r as (select c_custkey as c, j, c_custkey * 7 + j as query_id, 1000.0 + c_custkey * 7919 % 300000 as lo from customer, unnest([0, 1, 2, 3, 4, 5, 6]) as u(j)),
+ p as (select query_id, o_orderkey from r join orders on j = 0 and o_custkey = c union all select query_id, o_orderkey from r join orders on j = 1 and o_totalprice >= lo and o_totalprice < lo + 500
+  union all select query_id, o_orderkey from r join orders on j = 2 and o_orderstatus = ['F', 'O', 'P'][(c % 3 + 1)::int] and o_totalprice >= lo and o_totalprice <= lo + 100 union all select query_id, o_orderkey from r join orders on j = 3 and o_custkey = c and o_orderstatus = 'O'
+  union all select query_id, o_orderkey from r join orders on j = 4 and o_totalprice > 400000 + c union all select query_id, o_orderkey from r join orders on j = 5 and o_totalprice <= 1000 + c % 50
+  union all select query_id, o_orderkey from r join orders on j = 6 and o_orderpriority = '1-URGENT' and o_custkey >= c and o_custkey <= c + 1)"""
+ORDER_FIELDS = {"custkey": ("o_custkey", True), "price": ("o_totalprice", True), "status": ("o_orderstatus", False), "priority": ("o_orderpriority", False)}
+
+
+def registered_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seven queries of each customer, filed."""
+    c, lo = F.col("c_custkey"), F.lit(1000.0) + F.col("c_custkey") * 7919 % 300000
+    given, is_ = (lambda f, op, v: Q.condition(f, op, number=v)), (lambda f, v: Q.condition(f, "eq", text=v))
+    wanted = [
+        [given("custkey", "eq", c)], [given("price", "ge", lo), given("price", "lt", lo + 500)], [is_("status", F.element_at(F.array(*map(F.lit, "FOP")), (c % 3 + 1).cast("int"))), given("price", "ge", lo), given("price", "le", lo + 100)],
+        [given("custkey", "eq", c), is_("status", F.lit("O"))], [given("price", "gt", 400000 + c)], [given("price", "le", 1000 + c % 50)], [is_("priority", F.lit("1-URGENT")), given("custkey", "ge", c), given("custkey", "le", c + 1)],
+    ]
+    each = F.posexplode(F.array(*(F.array(*w).cast(Q.CONDITIONS) for w in wanted))).alias("j", "conditions")
+    queries = table(spark, sf_dir, "customer").select("c_custkey", each)
+    return written(Q.filed(queries.select((F.col("c_custkey") * 7 + F.col("j")).alias("query_id"), "conditions")), "queries")
+
+
+@query(f"with {REGISTERED} select query_id, count(*) as n, min(o_orderkey) as low, max(o_orderkey) as high from p group by 1")
+def indexed_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What all registered queries have, in one join of the rows with the queries filed under their values and bounds."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", Q.values_of({n: (F.col(c), number) for n, (c, number) in ORDER_FIELDS.items()}).alias("values"))
+    found = Q.matching(rows, registered_queries(spark, sf_dir))
+    return found.groupBy("query_id").agg(F.count("*").alias("n"), F.min("o_orderkey").alias("low"), F.max("o_orderkey").alias("high"))
+
+
+@query(f"with {REGISTERED.replace('join orders', 'join x')}".replace("with r as", "with x as (select o_orderkey, o_custkey, o_totalprice, o_orderstatus, o_orderpriority from orders where o_orderkey % 20 = 0 union all select o_orderkey, o_custkey, o_totalprice + 250, 'P', o_orderpriority from orders where o_orderkey % 20 = 0), r as") + " select distinct query_id from p")
+def touched_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The registered queries that have the old or the new image of a changed order."""
+    df = table(spark, sf_dir, "orders").where("o_orderkey % 20 = 0")
+    after = F.struct("o_custkey", (F.col("o_totalprice") + 250).alias("o_totalprice"), F.lit("P").alias("o_orderstatus"), "o_orderpriority")
+    images = df.select(F.struct("o_custkey", "o_totalprice", "o_orderstatus", "o_orderpriority").alias("o"), after.alias("n"))
+    return Q.touched_queries(images, registered_queries(spark, sf_dir), ORDER_FIELDS)
+
+
 # ---- retention (R2-R8) ------------------------------------------------------------------------
 
 REFERENCE, AGE = 1_705_276_800_000, 86_400_000  # 2024-01-15, one day
