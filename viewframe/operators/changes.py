@@ -115,10 +115,10 @@ def repeated_ids(table: DataFrame, id: str = "row_id") -> DataFrame:
     return table.groupBy(id).agg(F.count("*").alias("rows")).where("rows > 1")
 
 
-def export_epochs(log: DataFrame, cut: int, version: str = "version", id: str = "row_id") -> DataFrame:
-    """What follows an export's cut (S13): one final change per id and epoch, deletes before upserts by rank."""
-    last = log.where(F.col(version) > cut).groupBy(version, id).agg(F.max_by(F.struct("op", "offset"), "offset").alias("x"))
-    return last.select(F.col(version).alias("epoch"), id, F.col("x.op").alias("op"), F.when(F.col("x.op") == DELETE, 0).otherwise(1).alias("rank"))
+def export_epochs(log: DataFrame, cut: int, version: str = "version", id: str = "row_id", payload: Sequence[str] = ()) -> DataFrame:
+    """What follows an export's cut (S13): one final change per id and epoch with its payload, deletes before upserts by rank."""
+    last = log.where(F.col(version) > cut).groupBy(version, id).agg(F.max_by(F.struct("op", "offset", *payload), "offset").alias("x"))
+    return last.select(F.col(version).alias("epoch"), id, F.col("x.op").alias("op"), F.when(F.col("x.op") == DELETE, 0).otherwise(1).alias("rank"), *(F.col(f"x.{c}").alias(c) for c in payload))
 
 
 def patched(table: DataFrame, patches: DataFrame, fields: Mapping[str, tuple[bool, bool]], id: str = "row_id") -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from viewframe.operators import audit, edits, order
 from viewframe.operators import changes as C
@@ -21,6 +22,7 @@ from viewframe.sources.admission import admitted, quarantined, with_null_marker
 from viewframe.sources.rows import demo_of, read_together, rendered
 from viewframe.sources.schema import Field, Schema, flat
 from viewframe.sources.scratch import scratch, written
+from viewframe.streaming.export import Export
 from viewframe.streaming.tables import MaintainedJoin, MaintainedTable, Measure, change_stream, regrouped
 
 LOG = "l as (select user_id as row_id, case when event_id % 10 = 0 then 'delete' else 'upsert' end as op, event_type, value, user_id % 4 as \"partition\", event_id as \"offset\", epoch_us(ts) // 1000 as ts_ms from events)"
@@ -181,9 +183,9 @@ def moved_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.moved_keys(change_log(spark, sf_dir).withColumn("partition", F.col("offset") % 3))
 
 
-@query(f"with {LOG}, v as (select *, \"offset\" // 100 as version from l), w as (select *, row_number() over (partition by version, row_id order by \"offset\" desc) n from v where version > 3) select version as epoch, row_id, op, case when op = 'delete' then 0 else 1 end as rank from w where n = 1")
+@query(f"with {LOG}, v as (select *, \"offset\" // 100 as version from l), w as (select *, row_number() over (partition by version, row_id order by \"offset\" desc) n from v where version > 3) select version as epoch, row_id, op, case when op = 'delete' then 0 else 1 end as rank, event_type, value from w where n = 1")
 def export_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.export_epochs(change_log(spark, sf_dir).withColumn("version", F.floor(F.col("offset") / 100)), 3)
+    return C.export_epochs(change_log(spark, sf_dir).withColumn("version", F.floor(F.col("offset") / 100)), 3, payload=["event_type", "value"])
 
 
 @query(f"with {O_SQL} select o_orderkey, case o_orderkey % 5 when 0 then 'patched' when 1 then null when 2 then null else note end as note, case o_orderkey % 5 when 0 then true when 1 then true when 2 then false else has_note end as has_note from o")
@@ -619,3 +621,57 @@ def stream_audited(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k in range(3):
         out.apply(log.where((F.col("offset") >= k * last // 3 - 50) & (F.col("offset") < (k + 1) * last // 3)), k)
     return out.read("table", out.version()).select("row_id", "event_type", "value", "offset")
+
+
+PLACED = T.StructType([*TABLE.fields[:3], T.StructField("event", T.LongType()), T.StructField("partition", T.LongType()), T.StructField("offset", T.LongType())])
+
+
+def placed_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The change log in four partitions with offsets of their own that have no gap."""
+    log = change_log(spark, sf_dir).select("row_id", "event_type", "value", F.col("offset").alias("event"), "op")
+    numbered = Window.partitionBy(F.col("event") % 4).orderBy("event")
+    return log.withColumn("partition", F.col("event") % 4).withColumn("offset", (F.row_number().over(numbered) - 1).cast("long"))
+
+
+@query(f"with {LOG}, {LAST} select row_id, event_type, value from z where n = 1 and op = 'upsert'")
+def stream_handoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table that begins with a snapshot of half the log, and whose tail brings some of that half again."""
+    log = written(placed_log(spark, sf_dir), "placed")
+    middle = log.agg(F.floor(F.max("event") / 2)).first()[0]
+    cut = log.where(F.col("event") <= middle)
+    positions = {str(r["partition"]): r["last"] for r in cut.groupBy("partition").agg(F.max("offset").alias("last")).collect()}
+    out = MaintainedTable(spark, f"{scratch(spark, 'stream')}/table", PLACED, order=("event",), source=("partition", "offset"))
+    out.seed(C.folded(cut, order=("event",)).select(*PLACED.names), positions)
+    out.apply(log.where((F.col("event") > middle - 100) & (F.col("event") <= middle * 1.5)), 1)
+    out.apply(log.where(F.col("event") > middle * 1.5 - 50), 2)
+    return out.read("table", out.version()).select("row_id", "event_type", "value")
+
+
+@query(f"with {LOG}, {LAST} select row_id, event_type, value, \"offset\" from z where n = 1 and op = 'upsert'")
+def stream_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table read back from its export: a snapshot and the epochs since, exported in two goes."""
+    folder, sink = f"{scratch(spark, 'stream')}/export", []
+
+    def follow(table_: MaintainedTable) -> None:
+        sink.append(Export(table_.store, folder))  # begins where the one before ended
+        sink[-1].advance()
+
+    maintained(spark, change_log(spark, sf_dir), refresh=follow)
+    return sink[-1].restored(sink[-1].manifests.version()).select("row_id", "event_type", "value", "offset")
+
+
+@query("""select c_custkey as row_id, case when c_custkey % 9 = 0 then 'EDITED' else c_mktsegment end as segment from customer where c_custkey % 10 <> 3 or c_custkey % 9 = 0""")
+def stream_edited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edits on a maintained table: one batch that holds, and one that expects what is not there and leaves no trace."""
+    schema = T.StructType([T.StructField("row_id", T.LongType()), T.StructField("segment", T.StringType()), T.StructField("offset", T.LongType())])
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("row_id"), F.col("c_mktsegment").alias("segment"), F.lit(0).cast("long").alias("offset"), F.lit("upsert").alias("op"))
+    out = MaintainedTable(spark, f"{scratch(spark, 'stream')}/table", schema)
+    out.apply(rows, 0)
+    hit = rows.where("row_id % 9 = 0 or row_id % 10 = 3").withColumn("expected", F.struct("segment")).withColumn("offset", F.lit(1).cast("long"))
+    hit = hit.withColumn("op", F.when(F.col("row_id") % 9 == 0, "upsert").otherwise("delete")).withColumn("segment", F.when(F.col("row_id") % 9 == 0, "EDITED"))
+    out.edit(hit, ["segment"], "first")
+    try:
+        out.edit(hit, ["segment"], "second")
+    except ValueError:
+        return out.read("table", out.version()).select("row_id", "segment")
+    raise AssertionError("an edit of a version that has passed was taken")

@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterable, Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -161,8 +162,31 @@ class Markers:
         stream.write(bytearray(json.dumps(known).encode()))
         stream.close()
 
+    def claim(self, version: int, owner: str) -> None:
+        """Lets one of several writers go on to write a version; who claimed it may claim it again, anyone else is refused."""
+        path, fs = self._file(version)
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/claims/{version}")
+        if self.version() >= version:
+            raise ValueError(f"version {version} is there already")
+        try:
+            stream = fs.create(path, False)
+        except Py4JJavaError:
+            stream = fs.open(path)
+            try:
+                held = bytes(self.spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+            finally:
+                stream.close()
+            if held != owner:
+                raise ValueError(f"version {version} is being written by another writer") from None
+            return
+        stream.write(bytearray(owner.encode()))
+        stream.close()
+
+    def release(self, version: int) -> None:
+        removed(self.spark, f"{self.folder}/claims/{version}")
+
     def forget(self, gone: int) -> None:
-        removed(self.spark, f"{self.folder}/done/{gone}.json")
+        removed(self.spark, f"{self.folder}/done/{gone}.json", f"{self.folder}/claims/{gone}")
 
 
 class Store(Markers):

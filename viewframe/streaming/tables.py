@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from viewframe.operators import changes as C
-from viewframe.operators import joins
+from viewframe.operators import edits, joins
 from viewframe.operators import retention as R
 from viewframe.sources.scratch import removed
 from viewframe.streaming import store
@@ -153,11 +153,13 @@ class MaintainedTable:
         sides = [images.where(f"{x} is not null").select("row_id", *(f"{x}.{c}" for c in self.store.columns), F.lit(w).alias("weight")) for x, w in (("o", -1), ("n", 1))]
         return sides[0].unionByName(sides[1])
 
-    def apply(self, batch: DataFrame, version: int) -> None:
-        """One batch. Given again it reads the same previous version and overwrites its own folders."""
+    def apply(self, batch: DataFrame, version: int, begin: dict | None = None) -> None:
+        """One batch. begin: what the marker says besides, of a batch that is not the source's. Given again it reads the same previous version and overwrites its own folders."""
         marker = self.store.known(version - 1)
-        more: dict = {}
-        if self.source:
+        more: dict = dict(begin or {})
+        if begin is None and "positions" in marker:
+            batch, more["positions"] = self.tail(batch, marker["positions"])
+        elif begin is None and self.source:
             batch = self.audited(batch, version)
         changes = C.latest(batch.select("row_id", "op", *dict.fromkeys([*self.order, *self.store.columns])), order=self.order)
         changes = changes.select(*self.store.change_schema.names)
@@ -171,6 +173,53 @@ class MaintainedTable:
             self.on_delta(self.delta(version), version)
         self.derived.finish(version, more, self.retention.ledgers if self.retention else None, ("offsets", "kept-images"))
 
+    # ---- handoff (S12) and edits (E1) ----
+
+    def seed(self, snapshot: DataFrame, positions: Mapping[str, int]) -> None:
+        """Begins with a snapshot (the table's columns) that holds what the source's partitions had up to and with these offsets.
+
+        From then on the tail must go on where the snapshot ends: what it brings again is dropped, a gap fails the batch.
+        """
+        if self.version() >= 0 or not self.source:
+            raise ValueError("a snapshot begins a table whose source is known")
+        twice = C.repeated_ids(snapshot).first()
+        if twice:
+            raise ValueError(f"the snapshot holds {twice['row_id']} more than once")
+        self.apply(snapshot.withColumn("op", F.lit(C.UPSERT)), 0, {"positions": {str(k): int(v) for k, v in positions.items()}})
+
+    def tail(self, batch: DataFrame, positions: dict[str, int]) -> tuple[DataFrame, dict[str, int]]:
+        """A batch without what is at or below the positions, and the positions after it. It must be gapless in every partition."""
+        partition, offset = self.source
+        known = F.create_map(*(F.lit(x) for kv in positions.items() for x in kv)) if positions else F.expr("cast(map() as map<string,int>)")
+        at = F.coalesce(F.try_element_at(known, F.col(partition).cast("string")), F.lit(-1))
+        fresh = batch.where(F.col(offset) > at)
+        seen = fresh.groupBy(F.col(partition).cast("string").alias("p")).agg(F.min(offset).alias("first"), F.max(offset).alias("last"), F.count_distinct(offset).alias("n")).collect()  # a row per partition of the source
+        for r in seen:
+            if r["first"] != positions.get(r["p"], -1) + 1 or r["last"] - r["first"] + 1 != r["n"]:
+                raise ValueError(f"offsets are missing in partition {r['p']} after {positions.get(r['p'], -1)}")
+        return fresh, positions | {r["p"]: r["last"] for r in seen}
+
+    def edit(self, changes: DataFrame, columns: Sequence[str], owner: str, identity: Sequence[str] = ()) -> int:
+        """A batch of edits as the next version, whole or not at all; the version that it became.
+
+        changes: op, the table's columns, and expected, a struct of columns as the editor saw them. Of two writers that start
+        from the same version one is refused before anything is written, and so is who expects what is not there.
+        """
+        version = self.version() + 1
+        self.store.claim(version, owner)
+        try:
+            ids = changes.select("row_id")
+            buckets = [r[0] for r in ids.select(self.store.rows.bucket(F.col("row_id"))).distinct().collect()]  # at most one row a bucket
+            before = self.store.state(version - 1, buckets=buckets).join(ids.distinct(), "row_id", "left_semi")
+            if bad := edits.conflicts(before, changes, columns, "row_id", identity=list(identity)).first():
+                raise ValueError(f"{bad['reason']} at row {bad['row_id']}")
+            positions = self.store.known(version - 1).get("positions")
+            self.apply(changes.drop("expected"), version, {"positions": positions} if positions else {})
+        except Exception:
+            self.store.release(version)
+            raise
+        return version
+
     # ---- audits (S10) ----
 
     def audited(self, batch: DataFrame, version: int) -> DataFrame:
