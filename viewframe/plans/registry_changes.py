@@ -183,7 +183,7 @@ def moved_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.moved_keys(change_log(spark, sf_dir).withColumn("partition", F.col("offset") % 3))
 
 
-@query(f"with {LOG}, v as (select *, \"offset\" // 100 as version from l), w as (select *, row_number() over (partition by version, row_id order by \"offset\" desc) n from v where version > 3) select version as epoch, row_id, op, case when op = 'delete' then 0 else 1 end as rank, event_type, value from w where n = 1")
+@query(f"with {LOG}, v as (select *, \"offset\" // 100 as version from l), w as (select *, row_number() over (partition by version, row_id order by \"offset\" desc) n from v where version > 3) select version as epoch, row_id, op, case when op = 'delete' then 0 else 1 end as rank, case when op = 'upsert' then event_type end as event_type, case when op = 'upsert' then value end as value from w where n = 1")
 def export_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.export_epochs(change_log(spark, sf_dir).withColumn("version", F.floor(F.col("offset") / 100)), 3, payload=["event_type", "value"])
 
@@ -488,6 +488,13 @@ def stream_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.read("by_type", out.version())
 
 
+@query(f"with {LOG}, {LAST} select event_type, count(*) as n, max(value) as high from z where n = 1 and op = 'upsert' group by 1")
+def stream_keyed_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of a table whose rows are known by keyed state: a batch looks at the rows of its own keys in RocksDB, at no table."""
+    out = maintained(spark, change_log(spark, sf_dir), views=BY_TYPE, keyed=True)
+    return out.read("by_type", out.version())
+
+
 @query(f"with {LOG}, {LAST}, m as (select max(ts_ms) as now from l) select row_id, event_type, value, \"offset\", ts_ms from z, m where n = 1 and op = 'upsert' and ts_ms + {AGE} > now")
 def stream_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = maintained(spark, change_log(spark, sf_dir), policy=R.Policy(max_age_ms=AGE))

@@ -19,7 +19,7 @@ from viewframe.operators import changes as C
 from viewframe.operators import edits, joins
 from viewframe.operators import retention as R
 from viewframe.sources.scratch import removed
-from viewframe.streaming import store
+from viewframe.streaming import keyed, store
 from viewframe.streaming.groups import GroupView, Measure
 from viewframe.streaming.store import BUCKETS, Ledger, Store
 
@@ -131,11 +131,14 @@ class MaintainedTable:
     source: tuple[str, str] | None = None  # partition and offset columns; if given, batches are audited before they are applied
     windows: Mapping[str, Callable[[DataFrame], DataFrame]] = field(default_factory=dict)  # of the table: numbered windows of at most 4096 rows
     buckets: int = BUCKETS
+    keyed: bool = False  # run() knows the rows by keyed state instead of reading the table's buckets; age is all that a policy can ask then
 
     def __post_init__(self) -> None:
         self.store = Store(self.spark, self.folder, self.schema, self.buckets)
         self.derived = Derived(self.store, self.views, self.windows)
-        self.retention = Retention(self) if self.policy else None
+        if self.keyed and (self.source or self.policy and (self.policy.max_rows or self.policy.max_rows_per_key)):
+            raise ValueError("keyed state knows ages only, and no offsets")
+        self.retention = Retention(self) if self.policy and not self.keyed else None
 
     def version(self) -> int:
         return self.store.version()
@@ -166,6 +169,19 @@ class MaintainedTable:
         if self.retention:
             changes, more["reference"] = self.retention.dropped(changes, marker, version)
         images = self.store.imaged(self.store.put(changes, version), version)
+        self.taken_in(images, version, marker, more)
+
+    def apply_images(self, images: DataFrame, version: int) -> None:
+        """One batch of keyed state: row_id, o and n of the rows that it changes."""
+        path = self.store.path("images", version)
+        images.select("row_id", "o", "n").write.mode("overwrite").parquet(path)
+        images = self.store.images(version, version)
+        columns = [F.col(f"n.{c}").alias(c) for c in self.store.columns]
+        self.store.put(images.select("row_id", *columns, F.when(F.col("n").isNull(), C.DELETE).otherwise(C.UPSERT).alias("op")), version)
+        self.taken_in(images, version, self.store.known(version - 1), {})
+
+    def taken_in(self, images: DataFrame, version: int, marker: dict, more: dict) -> None:
+        """What follows from a version's images; then the version is done."""
         if self.retention:
             more |= self.retention.apply(images, marker, version)
         more |= self.derived.apply(images, version, marker)
@@ -248,6 +264,8 @@ class MaintainedTable:
 
     def run(self, stream: DataFrame, checkpoint: str):
         """Streams all changes that are there, a version a micro-batch."""
+        if self.keyed:
+            return keyed.run(self, stream, checkpoint)
         query = stream.writeStream.foreachBatch(self.apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         query.awaitTermination()
         return query
