@@ -312,3 +312,21 @@ def attach_left(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
 
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie(table(spark, sf_dir, "conversations"))
+
+
+OP13_SQL = r"""
+with t as (select conv_id, coalesce(role, '') as role, coalesce(text, '') as text, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as own from conversations where conv_id is not null),
+k as (select distinct conv_id, list_transform(string_split(conv_id::varchar, ''), lambda x: ascii(x)::bigint) as codes from t),
+c as (select conv_id, xor(4294967295, list_reduce(codes, lambda a, b: list_reduce([0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end, xor(a, b)), 4294967295::bigint)) % 4 as h from k),
+f as (select c.conv_id, own as depth, role, text from c join t on t.conv_id = c.conv_id - c.conv_id % 20 and own <= h),
+n as (select conv_id, h, (select count(*) from f where f.conv_id = c.conv_id) as heads from c),
+r as (select * from f union all select t.conv_id, own - h + heads, role, text from t join n using (conv_id) where own > h),
+l as (select c.conv_id, (select count(*) from r where r.conv_id = c.conv_id) as turns from c),
+p as (select conv_id, turns, depth, string_agg(md5(strlen(role) || ':' || role || text), '') over (partition by conv_id order by depth) as pre, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) as words from r join l using (conv_id)
+  union all select conv_id, turns, 0, '', 0 from l),
+g as (select depth, pre, min(conv_id) as rep, count(*) as n_convs, max(turns) as longest, max(words) as words from p group by depth, pre),
+j as (select p.conv_id, p.turns, p.depth, p.pre, rep, n_convs, sum(case when rep = conv_id then (n_convs - 1) * g.words else 0 end) over (partition by conv_id order by p.depth desc) as below,
+  lead(rep = conv_id) over (partition by conv_id order by p.depth) as child, lag(rep) over (partition by conv_id order by p.depth) as above, max(case when p.depth = turns and rep = conv_id and longest = p.depth then 1 else 0 end) over (partition by conv_id) as leaf from p join g on p.depth = g.depth and p.pre = g.pre)
+select rep as conv_id, depth, max(case when rep = conv_id then above end) as parent_conv_id, max(n_convs) as n_convs, sum(case when child then 1 else 0 end)::bigint as n_children, sum(leaf)::bigint as n_leaves, sum(below)::bigint as saved_tokens,
+  sha256(coalesce(string_agg(case when depth = turns then conv_id::varchar end, ',' order by j.conv_id), '')) as ends_sha256 from j group by rep, depth, pre
+"""

@@ -27,4 +27,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-SQL: dict[str, str] = {"op1_mix_sources": mixing.OP1_SQL, "op2_suffix_array_dedup": substring_dedup.OP2_SQL, "op5_exact_dedup": exact_dedup.OP5_SQL, "op7_quality_rules": quality.OP7_SQL}
+SQL: dict[str, str] = {"op1_mix_sources": mixing.OP1_SQL, "op2_suffix_array_dedup": substring_dedup.OP2_SQL, "op5_exact_dedup": exact_dedup.OP5_SQL, "op7_quality_rules": quality.OP7_SQL, "op13_prefix_trie": prefix_trie.OP13_SQL}
