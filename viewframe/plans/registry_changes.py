@@ -682,3 +682,13 @@ def stream_edited(spark: SparkSession, sf_dir: str) -> DataFrame:
     except ValueError:
         return out.read("table", out.version()).select("row_id", "segment")
     raise AssertionError("an edit of a version that has passed was taken")
+
+
+@query("""with o as (select event_id as row_id, event_type, row_number() over (order by event_type desc, value nulls first, event_id) - 1 as i from (select event_id, event_type, case when event_id % 30 <> 0 then value end as value from events)),
+ a as (select i from o where row_id = (select max(event_id) // 2 from events)) select row_id, o.i as "index" from o, a where o.i between a.i - 20 and a.i + 20""")
+def stream_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A window anchored at a row of a maintained table, by the index of its order."""
+    log = single_events(spark, sf_dir).withColumn("value", F.when(F.col("row_id") % 30 != 0, F.col("value")))
+    out = maintained(spark, log, SINGLE, ranks={"typed": [("event_type", "desc"), ("value", "asc")]})
+    middle = log.agg(F.floor(F.max("row_id") / 2)).first()[0]
+    return out.derived.ranks["typed"].around(out.version(), middle, 20, 20)

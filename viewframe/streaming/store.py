@@ -96,7 +96,7 @@ class Ledger:
         """The table at a version whose newest base is known's; only these buckets of it."""
         base = known["base"]
         rows = self._read("base", [base] if base >= 0 else [], self.schema, buckets)
-        over = self.deltas(base + 1, version, buckets)
+        over = self.deltas(max(base + 1, known.get("first", 0)), version, buckets)  # first: of a ledger that began later than its table
         if base == version:
             return rows.select(*self.schema.names)
         if self.sums:

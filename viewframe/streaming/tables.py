@@ -21,6 +21,7 @@ from viewframe.operators import retention as R
 from viewframe.sources.scratch import removed
 from viewframe.streaming import keyed, store
 from viewframe.streaming.groups import GroupView, Measure
+from viewframe.streaming.ranks import RankIndex
 from viewframe.streaming.store import BUCKETS, Ledger, Store
 
 __all__ = ["MaintainedJoin", "MaintainedTable", "Measure", "change_stream", "regrouped"]
@@ -44,8 +45,9 @@ def regrouped(groups: DataFrame, table: DataFrame, touched: DataFrame, keys: Seq
 class Derived:
     """Grouped views over a store's rows and windows that are subscribed to, kept up to date by its images."""
 
-    def __init__(self, store_: Store, views: Mapping[str, tuple[Sequence[str], Mapping[str, Measure]]], windows: Mapping[str, Callable[[DataFrame], DataFrame]]):
+    def __init__(self, store_: Store, views: Mapping[str, tuple[Sequence[str], Mapping[str, Measure]]], windows: Mapping[str, Callable[[DataFrame], DataFrame]], ranks: Mapping[str, Sequence[tuple[str, str]]] | None = None):
         self.store, self.windows = store_, windows
+        self.ranks = {name: RankIndex(store_, name, order) for name, order in (ranks or {}).items()}
         self.views = {name: GroupView(store_.spark, f"{store_.folder}/views/{name}", store_.schema, *view, store_.rows.buckets) for name, view in views.items()}
 
     @property
@@ -60,6 +62,8 @@ class Derived:
         more: dict = {"windows": marker.get("windows", {})}
         for name, view in self.views.items():
             more |= {f"{name}.{part}": known for part, known in view.apply(images, version, self.known(name, marker)).items()}
+        for index in self.ranks.values():
+            more |= index.apply(images, version, marker)
         for name, make in self.windows.items():
             more["windows"] = more["windows"] | {name: self.sent(name, make(self.store.state(version - 1, more=True)), more["windows"].get(name), version)}
         return more
@@ -105,6 +109,8 @@ class Derived:
             free = ({gone} | set(was["chain"] if was else ())) - set(told["chain"])
             paths += [self.store.path(f"{name}-{what}", v) for v in free for what in ("whole", "delta", "rows")]
         removed(self.store.spark, *paths)
+        for index in self.ranks.values():
+            index.forget(self.store.known(gone), oldest, gone)
 
     def finish(self, version: int, more: dict, others: Mapping[str, Ledger] | None = None, folders: Sequence[str] = ()) -> None:
         """Marks the version as done, and lets go of what is too old for readers."""
@@ -131,11 +137,12 @@ class MaintainedTable:
     source: tuple[str, str] | None = None  # partition and offset columns; if given, batches are audited before they are applied
     windows: Mapping[str, Callable[[DataFrame], DataFrame]] = field(default_factory=dict)  # of the table: numbered windows of at most 4096 rows
     buckets: int = BUCKETS
+    ranks: Mapping[str, Sequence[tuple[str, str]]] = field(default_factory=dict)  # orders that rows are numbered by, as (column, asc or desc)
     keyed: bool = False  # run() knows the rows by keyed state instead of reading the table's buckets; age is all that a policy can ask then
 
     def __post_init__(self) -> None:
         self.store = Store(self.spark, self.folder, self.schema, self.buckets)
-        self.derived = Derived(self.store, self.views, self.windows)
+        self.derived = Derived(self.store, self.views, self.windows, self.ranks)
         if self.keyed and (self.source or self.policy and (self.policy.max_rows or self.policy.max_rows_per_key)):
             raise ValueError("keyed state knows ages only, and no offsets")
         self.retention = Retention(self) if self.policy and not self.keyed else None
