@@ -270,9 +270,9 @@ def compat_averages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("l_linestatus", F.concat(parts[0], F.substring(F.rpad(F.coalesce(F.get(parts, F.lit(1)), F.lit("")), 24, "0"), 1, 24)).alias("mean"), "n")
 
 
-@query(f"with {O_SQL} select o_orderstatus, min(coalesce(note, '')) filter (false) as low, max(note) as high from o group by 1")
+@query(f"with {O_SQL} select o_orderstatus, min(coalesce(note, '')) filter (false) as low, max(note) as high, min(o_orderpriority) as first, max(o_orderpriority) as last from o group by 1")
 def compat_extremes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return orders(spark, sf_dir).grouped(["o_orderstatus"], {"low": A.Aggregate("min", "note"), "high": A.Aggregate("max", "note")}, profile=P.COMPAT).df
+    return orders(spark, sf_dir).grouped(["o_orderstatus"], {"low": A.Aggregate("min", "note"), "high": A.Aggregate("max", "note"), "first": A.Aggregate("min", "o_orderpriority"), "last": A.Aggregate("max", "o_orderpriority")}, profile=P.COMPAT).df
 
 
 @query("select l_returnflag, (sum(l_orderkey::hugeint) * 1000000007)::varchar as total, count(*) as n from lineitem group by 1")
@@ -287,6 +287,15 @@ def double_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("l_linestatus", F.round("total", 2).alias("total"), F.round("mean", 6).alias("mean"), "n")
 
 
+BITS = "case when l_orderkey % 50 = 1 then 36028797018963968 when l_orderkey % 50 = 3 then -36028797018963968 else l_orderkey % 1000 end"
+
+
+@query(f"select l_linestatus, sum({BITS})::bigint::double as total, count(*) as n from lineitem group by 1")
+def double_sums_to_the_bit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums whose large parts cancel: added up as doubles they would lose the small ones."""
+    return exact.double_sums(table(spark, sf_dir, "lineitem"), ["l_linestatus"], F.expr(BITS).cast("double")).select("l_linestatus", "total", "n")
+
+
 @query("select event_type, sum(round(value * 100))::double as total, sum(round(value * 100)) / count(*) as mean, count(*) as n from events where value is not null group by 1")
 def user_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
     cents = table(spark, sf_dir, "events").where("value is not null").select("event_type", F.round(F.col("value") * 100).alias("cents"))
