@@ -19,8 +19,8 @@ from pyspark.sql import types as T
 from viewframe.operators import changes as C
 from viewframe.sources.scratch import removed
 
-#: A base is written anew when the deltas since reach this share of its rows, or so many versions.
-SHARE, MOST_VERSIONS = 0.5, 16
+#: A base is written anew when the deltas since reach this share of its rows, or so many versions; the first one after so many deltas.
+SHARE, MOST_VERSIONS, FIRST = 1.0, 16, 4
 #: So many versions are kept for readers.
 KEPT = 8
 #: Buckets of a table by default: choose them so that one has about a task's share of rows.
@@ -117,14 +117,16 @@ class Ledger:
     def finish(self, known: dict, version: int, changed: int) -> dict:
         """Perhaps a new base. What is known of the ledger from this version on."""
         changed += known["changed"]
-        if known["base"] < 0 or changed > SHARE * known["base_rows"] or version - known["base"] >= MOST_VERSIONS:
+        base = known["base"]
+        due = version - known.get("first", 0) + 1 >= FIRST if base < 0 else changed > SHARE * known["base_rows"] or version - base >= MOST_VERSIONS
+        if due:
             whole = self.state(known, version).withColumn("bucket", self.bucket())
             return {"base": version, "base_rows": self.counted(whole.repartition("bucket"), self.path("base", version)), "changed": 0}
         return known | {"changed": changed}
 
     def cleared(self, gone: int, needed: int) -> None:
         """Versions up to gone are read no more; needed: the base of the oldest one that still is."""
-        first = max(0, gone - KEPT - MOST_VERSIONS)
+        first = max(0, gone - KEPT - MOST_VERSIONS - FIRST)
         removed(self.spark, *(self.path("delta", v) for v in range(first, gone + 1) if v <= needed), *(self.path("base", v) for v in range(first, gone + 1) if v < needed))
 
 
