@@ -75,29 +75,48 @@ def sort_token(s: pd.Series) -> pd.Series:
         return s.map(token)
 
 
+def bound(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f(c), where c is written and computed once however often f names it."""
+    return F.transform(F.array(c), f)[0]
+
+
 def half_even_quotient(units: Column, n: Column) -> Column:
-    """Integer units / n to the nearest integer, ties to even, exact in decimal(38,0)."""
-    by = n.cast("decimal(38,0)")
-    # Spark's integer division gives 64 bits, and its abs(), minus and products round to 34 digits: three limbs of 13 digits
-    # are divided one after the other, and signs are put on as text
-    digits, rest, parts = F.lpad(F.regexp_replace(units.cast("decimal(38,0)").cast("string"), "-", ""), 39, "0"), F.lit(0).cast("decimal(38,0)"), []
-    for k in range(3):
-        now = (rest * F.lit(10**13).cast("decimal(14,0)") + F.substring(digits, 1 + 13 * k, 13).cast("decimal(13,0)")).cast("decimal(38,0)")
-        parts.append(F.lpad(F.call_function("div", now, by).cast("string"), 13, "0"))
-        rest = (now % by).cast("decimal(38,0)")
-    whole = F.concat(*parts).cast("decimal(38,0)")
-    up = (rest * 2 > by) | ((rest * 2 == by) & (F.substring(whole.cast("string"), -1, 1).isin("1", "3", "5", "7", "9")))
-    out = (whole + F.when(up, 1).otherwise(0)).cast("decimal(38,0)")
-    return F.when(units < 0, F.concat(F.lit("-"), out.cast("string")).cast("decimal(38,0)")).otherwise(out)
+    """Integer units / n to the nearest integer, ties to even, exact in decimal(38,0).
+
+    Spark's integer division gives 64 bits, and its abs(), minus and products round to 34 digits: three limbs of 13 digits
+    are divided one after the other, and signs are put on as text.
+    """
+    wide = "decimal(38,0)"
+
+    def divided(x: Column) -> Column:
+        digits = F.lpad(F.regexp_replace(x["text"], "-", ""), 39, "0")
+        limbs_ = bound(digits, lambda d: F.array(*(F.substring(d, 1 + 13 * k, 13).cast("decimal(13,0)") for k in range(3))))
+        start = F.struct(F.lit(0).cast(wide).alias("rest"), F.lit("").alias("whole"))
+
+        def step(acc: Column, limb: Column) -> Column:
+            now = (acc["rest"] * F.lit(10**13).cast("decimal(14,0)") + limb).cast(wide)
+            return bound(now, lambda v: F.struct((v % x["by"]).cast(wide).alias("rest"), F.concat(acc["whole"], F.lpad(F.call_function("div", v, x["by"]).cast("string"), 13, "0")).alias("whole")))
+
+        def rounded(acc: Column) -> Column:
+            up = (acc["rest"] * 2 > x["by"]) | ((acc["rest"] * 2 == x["by"]) & F.substring(acc["whole"], -1, 1).isin("1", "3", "5", "7", "9"))
+            return (acc["whole"].cast(wide) + F.when(up, 1).otherwise(0)).cast(wide)
+
+        return F.concat(F.when(x["text"].startswith("-"), "-").otherwise(""), F.aggregate(limbs_, start, step, rounded).cast("string")).cast(wide)
+
+    return bound(F.struct(units.cast(wide).cast("string").alias("text"), n.cast(wide).alias("by")), divided)
 
 
 def placed(units: Column, scale: int) -> Column:
     """Integer units of 10^-scale as decimal(38, scale), by way of their text."""
     if not scale:
         return units.cast("decimal(38,0)")
-    size = F.lpad(F.regexp_replace(units.cast("string"), "-", ""), 38, "0")
-    text = F.concat(F.when(units < 0, "-").otherwise(""), F.substring(size, 1, 38 - scale), F.lit("."), F.substring(size, 39 - scale, scale))
-    return text.cast(f"decimal(38,{scale})")
+
+    def pointed(text: Column) -> Column:
+        size = F.lpad(F.regexp_replace(text, "-", ""), 38, "0")
+        sign = F.when(text.startswith("-"), "-").otherwise("")
+        return F.concat(sign, F.substring(size, 1, 38 - scale), F.lit("."), F.substring(size, 39 - scale, scale)).cast(f"decimal(38,{scale})")
+
+    return bound(units.cast("decimal(38,0)").cast("string"), pointed)
 
 
 def scaled_up(units: Column, digits: int) -> Column:
