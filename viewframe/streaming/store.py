@@ -92,6 +92,14 @@ class Ledger:
     def deltas(self, first: int, last: int, buckets: Sequence[int] | None = None) -> DataFrame:
         return self._read("delta", range(first, last + 1), self.delta_schema, buckets)
 
+    def layers(self, known: dict, version: int, buckets: Sequence[int] | None = None) -> DataFrame:
+        """The rows of the newest base and of the deltas since, with op and version: what a key's last row is taken from."""
+        base = known["base"]
+        rows = self._read("base", [base] if base >= 0 else [], self.schema, buckets).withColumn("op", F.lit(C.UPSERT))
+        over = self.deltas(max(base + 1, known.get("first", 0)), version, buckets)
+        names = [*self.delta_schema.names, "version"]
+        return over.select(*names) if base < 0 else rows.select(*names).unionByName(over.select(*names))
+
     def state(self, known: dict, version: int, buckets: Sequence[int] | None = None) -> DataFrame:
         """The table at a version whose newest base is known's; only these buckets of it."""
         base = known["base"]
@@ -148,6 +156,11 @@ class Markers:
         names = [s.getPath().getName() for s in fs.listStatus(path.getParent())]
         return max((int(n.removesuffix(".json")) for n in names if n.endswith(".json")), default=-1)
 
+    def there(self, version: int) -> bool:
+        """Whether a version is kept. The oldest one is gone already where a batch is given again that was marked as done."""
+        path, fs = self._file(version)
+        return fs.exists(path)
+
     def known(self, version: int) -> dict:
         """What a version's marker says."""
         path, fs = self._file(version)
@@ -222,10 +235,13 @@ class Store(Markers):
 
         Only the buckets that the version touches are read.
         """
-        row = F.struct(*self.schema.names)
-        ids = changes.select("row_id")
-        before = self.state(version - 1, buckets=self.rows.touched(version)).join(ids, "row_id", "left_semi").select(F.col("row_id").alias("__id"), row.alias("o"))
-        both = changes.select("row_id", F.when(F.col("op") == C.UPSERT, row).alias("n")).join(before, F.col("row_id") == F.col("__id"), "left")
+        names, at = self.schema.names, F.col("version")
+        layers = self.rows.layers(self.known(version - 1)["rows"], version - 1, self.rows.touched(version))
+        # what was and what is meet in one aggregation; of the table only the rows of the batch's ids get there
+        both = layers.join(changes.select("row_id"), "row_id", "left_semi").unionByName(changes.withColumn("version", F.lit(version)))
+        row = F.when(F.col("op") == C.UPSERT, F.struct(*names))
+        was, is_ = F.max_by(row, F.when(at < version, at)), F.max_by(row, F.when(at == version, at))
+        both = both.groupBy("row_id").agg(was.alias("o"), is_.alias("n"))
         both.where(~F.col("o").eqNullSafe(F.col("n"))).select("row_id", "o", "n").write.mode("overwrite").parquet(self.path("images", version))
         return self.images(version, version)
 

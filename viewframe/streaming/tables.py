@@ -115,9 +115,8 @@ class Derived:
     def finish(self, version: int, more: dict, others: Mapping[str, Ledger] | None = None, folders: Sequence[str] = ()) -> None:
         """Marks the version as done, and lets go of what is too old for readers."""
         gone = version - store.KEPT
-        oldest = self.store.known(gone + 1) if gone >= 0 else {}
-        if gone >= 0:
-            self.forget(gone, oldest)
+        if gone >= 0 and self.store.there(gone):
+            self.forget(gone, self.store.known(gone + 1))
         self.store.finish(version, more, list((self.ledgers | dict(others or {})).items()), folders)
 
 
