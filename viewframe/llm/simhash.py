@@ -7,7 +7,8 @@ distances to PIVOTS reference fingerprints. By the triangle inequality a pair wh
 by more than LINK at any pivot is no link: the first pivot's coordinate, by which a bucket is sorted, finds the
 pairs to look at, the others discard; what survives is verified on the fingerprints
 themselves. A bucket hands on a spanning forest of its links, never all pairs. Buckets with more
-than HOT fingerprints are cut into parts whose pairs of parts go to tasks of their own.
+than HOT fingerprints are dealt once more by blocks of their open bits; what is crowded even then has at most as many
+fingerprints as some 16 bits tell apart, and is cut into parts whose pairs of parts go to tasks of their own.
 
 Components are found by rounds of the smallest label over links with shortcuts, in joins and
 aggregates; each round is a table in the shared folder.
@@ -186,13 +187,39 @@ def bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield links(pa.concat_tables(held))
 
 
+def finer(mask: int, blocks: int = BLOCKS, link: int = LINK) -> list[int]:
+    """Masks that hold this one's bits and each choice of blocks - link blocks of its open bits."""
+    free_bits = [k for k in range(64) if not mask >> k & 1]
+    cuts = [len(free_bits) * k // blocks for k in range(blocks + 1)]
+    one = [sum(1 << k for k in free_bits[x:y]) for x, y in zip(cuts, cuts[1:], strict=False)]
+    return [mask | sum(c) for c in combinations(one, blocks - link)]
+
+
+def dealt(rows: DataFrame, choices: Column) -> tuple[DataFrame, DataFrame]:
+    """Rows (fp, mask, bucket, n) of buckets with two fingerprints or more, and the table (mask, bucket, n) that they were met with.
+
+    choices: array of (mask number, bits) that a row is dealt by. As the counts are a table, Spark may split a crowded bucket.
+    """
+    keyed = rows.select("fp", F.explode(choices).alias("o")).select("fp", "o.mask", F.col("fp").bitwiseAND(F.col("o.bits")).alias("bucket"))
+    full = written(keyed.groupBy("mask", "bucket").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
+    return keyed.join(full, ["mask", "bucket"]), full
+
+
 def candidate_rows(fps: DataFrame, hot: int = HOT) -> DataFrame:
-    """Rows (mask, bucket, part_a, part_b, side, fp), only of buckets with two fingerprints or more."""
-    options = F.array(*(F.struct(F.lit(k).alias("mask"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("bucket")) for k, m in enumerate(masks())))
-    keyed = fps.select("fp", F.explode(options).alias("o")).select("fp", "o.mask", "o.bucket")
-    counts = keyed.groupBy("mask", "bucket").agg(F.count("*").alias("n"))
-    full = counts.where("n > 1")
-    sized = keyed.join(full, ["mask", "bucket"])
+    """Rows (mask, bucket, part_a, part_b, side, fp), only of buckets with two fingerprints or more.
+
+    A crowded bucket's fingerprints are dealt again by blocks of the bits that it leaves open, which holds all its links by the same
+    count of blocks. About 16 bits are open then, so no bucket has more fingerprints than these can tell apart; parts are of those.
+    """
+    signed = lambda m: F.lit(m - (1 << 64) if m >> 63 else m)
+    choice = lambda k, m: F.struct(F.lit(k).alias("mask"), signed(m).alias("bits"))
+    first = masks()
+    sized, full = dealt(fps, F.array(*(choice(k, m) for k, m in enumerate(first))))
+    if not full.where(F.col("n") > hot).isEmpty():
+        each = len(first)
+        again = F.array(*(F.array(*(choice(each * (k + 1) + j, x) for j, x in enumerate(finer(m)))) for k, m in enumerate(first)))
+        deeper, _ = dealt(sized.where(F.col("n") > hot), F.element_at(again, F.col("mask") + 1))
+        sized = sized.where(F.col("n") <= hot).unionByName(deeper)
     parts = F.ceil(F.col("n") / F.lit(hot)).cast("int")
     own = F.pmod(F.xxhash64("fp", "mask"), parts).cast("int")
     sized = sized.withColumn("parts", parts).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
