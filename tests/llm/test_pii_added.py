@@ -67,6 +67,14 @@ def test_a_text_full_of_matches(spark):
     assert sum(x.kind == 0 for x in row.spans) == 5000 and row.spans[-1].e <= len(text)
 
 
+def test_names_in_a_corpus_that_has_few(spark):
+    texts = ["my name is Priya Raman and so on", "then Mr. Li came in", "Hans Schmidt wrote this"] + [f"nothing of the kind in text {n}, nor in Red Square" for n in range(60)]
+    rows = pii.labelled(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    found = {r.id: [texts[r.id][x.s : x.e] for x in r.spans if pii.KINDS[x.kind] == "person"] for r in rows}
+    assert [found[n] for n in range(3)] == [["Priya Raman"], ["Mr. Li"], ["Hans Schmidt"]]
+    assert not any(found[n] for n in range(3, len(texts)))
+
+
 def plain_em(rows):
     """EM over single candidates instead of vote patterns."""
     kinds, n = {r[0] for r in rows}, len(pii.VOTES)

@@ -5,7 +5,7 @@ further kinds are found by broad patterns. Labelers (strict shape, gazetteer, wo
 what touches the span, plausibility of its characters) vote yes, no or abstain on every candidate;
 expectation-maximisation over the table of vote patterns estimates each labeler's reliability, and
 with its posteriors as soft labels a naive Bayes classifier over features of the span is trained,
-which decides. Vote patterns and feature combinations are small closed sets, whatever the corpus;
+which decides, but for candidates on whose strict shape and context or gazetteer all labelers agree. Vote patterns and feature combinations are small closed sets, whatever the corpus;
 only their counts reach the driver.
 
 Positions are code points: a text is split at the matches of a kind, and the lengths of gaps and
@@ -35,6 +35,7 @@ KINDS = (*BASE, *EXTRA)
 
 # First names, and what a name looks like.
 FIRST = "John|Jane|Mary|James|Robert|Michael|David|Linda|Maria|Anna|Peter|Paul|Hans|Klaus|Sabine|Pierre|Jean|Claire|Carlos|Juan|Carmen|Luis"
+TITLE = r"(?:(?:Mr|Mrs|Ms|Dr|Prof)\.|Herrn?|Frau|Mme|Monsieur|Señora?)"
 NAME = "[A-ZÄÖÜÉ][a-zäöüßéèáíóúñ]{1,20}"
 #: Per kind: a cheap test that every text with a match passes, and the pattern.
 PATTERNS = {
@@ -89,12 +90,14 @@ GAZETTEER = {
     "iban": r"^(?:AT|BE|CH|DE|DK|ES|FI|FR|GB|IE|IT|LU|NL|NO|PL|PT|SE)",
     "national_id": r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)",
     "local_phone": r"^\(?[2-9]|^0[1-9]",
-    "person": rf"(?:^|\x20)(?:{FIRST}|Smith|Jones|Brown|Garcia|Müller|Schmidt|Martin|Dupont)\b",
+    "person": rf"^{TITLE}\x20|(?:^|\x20)(?:{FIRST}|Smith|Jones|Brown|Garcia|Müller|Schmidt|Martin|Dupont)\b",
     "address": r"(?:Street|Avenue|Road|Lane|Drive|Boulevard|Court|Square)$|straße|strasse|rue\x20|Calle",
 }
 PLACEHOLDER = r"(?i)(?:xxxx|0000000|1234567|test|example_|your[_-]|changeme|placeholder)"
 LABELERS = ("shape", "gazetteer", "before", "touching", "plausible")
 ROUNDS, START = 25, 0.8
+#: Kinds of which a value that the gazetteer knows needs no word before it.
+TOLD = ("secret", "private_key", "iban", "person")
 
 
 def digits(match: Column) -> Column:
@@ -175,7 +178,7 @@ def of_kind(choice: dict[str, str], what: Column) -> Column:
 SHAPE = {
     "email": r"^[A-Za-z0-9][^@]*@[^@]+\.[A-Za-z]{2,}$", "ip": r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$", "card": r"^[0-9]{4}([\x20-]?)[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}$", "phone": r"^\+[0-9]{1,3}[\x20-]",
     "secret": r"[=:]\x20{0,3}[\"']?[A-Za-z0-9+/_-]{20,}$|^A[KS]IA|^gh._|^sk-|^xox|^eyJ", "private_key": r"-----END|[A-Za-z0-9+/=\s]{64,}$", "iban": r"^$", "national_id": r"^[0-9-]+$",
-    "local_phone": r"^(?:\([0-9]{3}\)\x20|[0-9]{3}[-.])[0-9]{3}[-.][0-9]{4}$|^0", "person": rf"{NAME}\x20{NAME}$", "address": r"[0-9]",
+    "local_phone": r"^(?:\([0-9]{3}\)\x20|[0-9]{3}[-.])[0-9]{3}[-.][0-9]{4}$|^0", "person": rf"^{TITLE}\x20{NAME}|{NAME}\x20{NAME}$", "address": r"[0-9]",
 }
 
 
@@ -202,6 +205,13 @@ FEATURES = ("f_length", "f_before", "f_after", "f_shape", "f_spread")
 VOTES = tuple(f"v_{x}" for x in LABELERS)
 
 
+def agreed() -> Column:
+    """Whether the shape is strict, a word before or the gazetteer says so too, and no labeler is against it. These spans stay whatever
+    the classifier makes of a kind that the corpus hardly has."""
+    told = F.col("kind").isin([KINDS.index(k) for k in TOLD]) & (F.col("v_gazetteer") == 1)
+    return (F.least(*VOTES) >= 0) & (F.col("v_shape") == 1) & ((F.col("v_before") == 1) | told)
+
+
 def reliabilities(patterns: list[tuple]) -> tuple[dict, dict]:
     """EM over (kind, votes..., count). Per labeler and truth the odds of each vote, shared by all kinds; per kind the
     share of true spans; begun with labelers that are right with probability START."""
@@ -266,7 +276,8 @@ def labelled(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFra
     combos = voting.join(F.broadcast(soft), ["kind", *VOTES]).groupBy("kind", *FEATURES).agg(F.sum("p"), F.count("*"))
     known = classifier([tuple(r) for r in combos.collect()])  # at most 11 * 8 * 4 * 4 * 2 * 2 rows
     yes = spark.createDataFrame([k for k, p in known.items() if k[0] >= len(BASE) and p >= 0.5], "kind int, " + ", ".join(f"{f} int" for f in FEATURES))
-    chosen = voting.where(F.col("kind") < len(BASE)).select("row", "s", "kind", "e").unionByName(voting.join(F.broadcast(yes), ["kind", *FEATURES], "left_semi").select("row", "s", "kind", "e"))
+    added = voting.where(F.col("kind") >= len(BASE)).join(F.broadcast(yes.withColumn("yes", F.lit(True))), ["kind", *FEATURES], "left").where(F.col("yes") | agreed())
+    chosen = voting.where(F.col("kind") < len(BASE)).select("row", "s", "kind", "e").unionByName(added.select("row", "s", "kind", "e"))
     per_row = chosen.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("s", "kind", "e"))).alias("spans"))
     none = F.expr("cast(array() as array<struct<s:int,kind:int,e:int>>)")
     return found.select("row", "id").join(per_row, "row", "left").select("id", F.coalesce("spans", none).alias("spans"))
