@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -329,6 +330,7 @@ class Retention:
         policy, last = self.policy, marker.get("reference")
         reference, ts = last, F.col(self.table.time_column)
         if policy.max_age_ms:
+            changes = self.written(changes, version, "latest")  # which is looked at three times
             newest = changes.agg(F.max(ts)).first()[0]
             reference = R.reference_time(newest, last) if newest is not None else last
             if reference is not None:
@@ -377,8 +379,8 @@ class Retention:
 class MaintainedJoin:
     """A many-to-one join of two maintained tables (J8), with grouped views and windows over it (J6). The right table is known by its row_id.
 
-    refresh() joins again only the left rows of ids and keys that changed since the last one: an index of left rows by
-    join key tells which those are, and of both tables the buckets of these rows are read. There is no version until both
+    refresh() joins again only the left rows of ids and keys that changed since the last one: the left table's images bring those that it changed,
+    an index of left rows by join key tells the others, and of both tables the buckets of these rows are read. There is no version until both
     tables have one (J9). Rows: row_id of the left table, l and r (structs of the tables' columns, r null if nothing matches).
     What the left table's policy drops leaves the join and its views with the next refresh.
     """
@@ -387,7 +389,7 @@ class MaintainedJoin:
     right: MaintainedTable
     folder: str
     left_key: str
-    how: str = "left"
+    how: str = "left"  # or inner
     views: Mapping[str, tuple[Sequence[str], Mapping[str, Measure]]] = field(default_factory=dict)  # keys and columns as l.x and r.y
     windows: Mapping[str, Callable[[DataFrame], DataFrame]] = field(default_factory=dict)
 
@@ -400,15 +402,24 @@ class MaintainedJoin:
         by_key = T.StructType([T.StructField("key", self.left.schema[self.left_key].dataType), id, T.StructField("n", T.LongType())])
         self.index = Ledger(spark, f"{self.folder}/index", by_key, ["key", "row_id"], ["n"], ["key"], self.left.buckets)
 
-    def joined(self, left: DataFrame, right: DataFrame) -> DataFrame:
-        a = left.select("row_id", F.struct(*self.left.schema.names).alias("l"))
-        b = right.select(F.struct(*self.right.schema.names).alias("r"))
-        return a.join(b, F.col(f"l.{self.left_key}") == F.col("r.row_id"), self.how)
+    def written(self, df: DataFrame, what: str, version: int) -> DataFrame:
+        path = self.store.path(what, version)
+        df.write.mode("overwrite").parquet(path)
+        return self.store.spark.read.schema(df.schema).parquet(path)
+
+    def newest(self, since: int, until: int) -> DataFrame:
+        """(row_id, l) of the left rows that these versions change, as the last of them leaves each; l is null of those that are gone."""
+        if since == until:
+            return self.left.store.images(since, until).select("row_id", F.col("n").alias("l"))
+        each = [self.left.store.images(v, v).select("row_id", F.struct("n").alias("x"), F.lit(v).alias("version")) for v in range(since, until + 1)]
+        return reduce(DataFrame.unionByName, each).groupBy("row_id").agg(F.max_by("x", "version").alias("x")).select("row_id", F.col("x.n").alias("l"))
 
     def rows_of(self, table: MaintainedTable, version: int, ids: DataFrame) -> DataFrame:
         """A table's rows of these row_ids, from the buckets that they lie in."""
-        buckets = [r[0] for r in ids.select(table.store.rows.bucket(F.col("row_id"))).distinct().collect()]  # at most one row a bucket
-        return table.store.state(version, buckets=buckets).join(ids, "row_id", "left_semi")
+        return table.store.state(version, buckets=self.buckets_of(table, ids)).join(ids, "row_id", "left_semi")
+
+    def buckets_of(self, table: MaintainedTable, ids: DataFrame) -> list[int]:
+        return [r[0] for r in ids.select(table.store.rows.bucket(F.col("row_id"))).distinct().collect()]  # at most one row a bucket
 
     def refresh(self) -> int | None:
         """The version after taking in what both tables have; None while one has nothing."""
@@ -417,39 +428,40 @@ class MaintainedJoin:
             return None
         last = self.store.version()
         marker, version = self.store.known(last), last + 1
-        none = self.left.spark.createDataFrame([], T.StructType([self.left.schema["row_id"]]))
         behind = last >= 0 and (here - marker["left"] >= store.KEPT or there - marker["right"] >= store.KEPT)  # images are not there for so long
         if last >= 0 and (here, there) == (marker["left"], marker["right"]):
             return last
+        whole, key = F.struct(*self.left.schema.names).alias("l"), F.col(f"l.{self.left_key}")
         if last < 0 or behind:
-            left, right = self.left.store.state(here), self.right.store.state(there)
-            ids = left.select("row_id") if last < 0 else left.select("row_id").union(self.store.state(last).select("row_id")).distinct()
+            rows = self.left.store.state(here).select("row_id", whole)
+            rows = self.written(rows.join(self.store.state(last).select("row_id"), "row_id", "full") if behind else rows, "left", version)
             indexed = self.index.state(marker.get("index", store.NEW), last) if behind else self.left.spark.createDataFrame([], self.index.schema)
-            now = left.where(F.col(self.left_key).isNotNull()).select(F.col(self.left_key).alias("key"), "row_id", F.lit(1).cast("long").alias("n"))
-            entries = now.unionByName(indexed.withColumn("n", -F.col("n"))).groupBy("key", "row_id").agg(F.sum("n").alias("n")).where("n <> 0")
+            now = rows.where(key.isNotNull()).select(key.alias("key"), "row_id", F.lit(1).cast("long").alias("n"))
+            entries = now.unionByName(indexed.withColumn("n", -F.col("n"))).groupBy("key", "row_id").agg(F.sum("n").alias("n")).where("n <> 0") if behind else now
         else:
-            images = self.left.store.images(marker["left"] + 1, here) if here > marker["left"] else None
-            ids, entries = none, self.left.spark.createDataFrame([], self.index.schema)
-            if images is not None:
-                ids = images.select("row_id")
+            entries, parts = self.left.spark.createDataFrame([], self.index.schema), []
+            if here > marker["left"]:
+                images = self.left.store.images(marker["left"] + 1, here)
+                parts.append(self.newest(marker["left"] + 1, here))
                 sides = [images.where(f"{x}.{self.left_key} is not null").select(F.col(f"{x}.{self.left_key}").alias("key"), "row_id", F.lit(w).cast("long").alias("n")) for x, w in (("o", -1), ("n", 1))]
                 entries = sides[0].unionByName(sides[1]).groupBy("key", "row_id").agg(F.sum("n").alias("n")).where("n <> 0")
             if there > marker["right"]:
-                keys = self.right.store.images(marker["right"] + 1, there).select(F.col("row_id").alias("key")).distinct()
-                buckets = [r[0] for r in keys.select(self.index.bucket(F.col("key").cast(self.index.schema["key"].dataType))).distinct().collect()]
-                held = store.restricted(self.index.state(marker["index"], last, buckets), keys, ["key"])
-                ids = ids.union(held.select("row_id"))
-            ids = ids.distinct()
-            left = self.rows_of(self.left, here, ids)
-            wanted = left.where(F.col(self.left_key).isNotNull()).select(F.col(self.left_key).cast(self.right.schema["row_id"].dataType).alias("row_id")).distinct()
-            right = self.rows_of(self.right, there, wanted)
-        again = self.joined(left.join(ids, "row_id", "left_semi"), right)
-        mine = again.withColumnRenamed("row_id", "__id")
-        changes = ids.join(mine, ids["row_id"] == F.col("__id"), "left").select("row_id", "l", "r", F.when(F.col("__id").isNull(), C.DELETE).otherwise(C.UPSERT).alias("op"))
+                keys = self.right.store.images(marker["right"] + 1, there).select(F.col("row_id").cast(self.index.schema["key"].dataType).alias("key")).distinct()
+                buckets = [r[0] for r in keys.select(self.index.bucket(F.col("key"))).distinct().collect()]
+                held = store.restricted(self.index.state(marker["index"], last, buckets), keys, ["key"]).select("row_id")
+                # rows that the left table changed come with its images; of the others, as they are, only those that these keys reach are read
+                held = self.written(held.join(parts[0].select("row_id"), "row_id", "left_anti") if parts else held, "held", version)
+                parts.append(self.rows_of(self.left, here, held).select("row_id", whole))
+            rows = self.written(reduce(DataFrame.unionByName, parts), "left", version)
+        wanted = rows.where(key.isNotNull()).select(key.cast(self.right.schema["row_id"].dataType).alias("row_id"))
+        right = self.right.store.state(there, buckets=self.buckets_of(self.right, wanted)).select(F.struct(*self.right.schema.names).alias("r"))
+        again = rows.join(right, key == F.col("r.row_id"), "left")
+        gone = F.col("l").isNull() | F.col("r").isNull() if self.how == "inner" else F.col("l").isNull()
+        changes = again.select("row_id", F.when(~gone, F.col("l")).alias("l"), F.when(~gone, F.col("r")).alias("r"), F.when(gone, C.DELETE).otherwise(C.UPSERT).alias("op"))
         images = self.store.imaged(self.store.put(changes, version), version)
         more = {"left": here, "right": there, "index": self.index.finish(marker.get("index", store.NEW), version, self.index.put(entries, version))}
         more |= self.derived.apply(images, version, marker)
-        self.derived.finish(version, more, {"index": self.index})
+        self.derived.finish(version, more, {"index": self.index}, ("left", "held"))
         return version
 
     def read(self, version: int, what: str = "table") -> DataFrame:
