@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from viewframe.llm import common
 from viewframe.llm import prefix_trie as P
 
 SCHEMA = "conv_id long, turn long, role string, text string, node string, a int, conv int"
@@ -101,3 +102,21 @@ def test_running_sums_over_ranges(spark):
     for g, k, v in sorted(rows, key=lambda r: (r[0], -r[1])):
         total[g] = (total.get(g, 0) + v + (1 << 63)) % (1 << 64) - (1 << 63)
         assert got[g, k] == total[g]
+
+
+def test_what_was_not_counted_as_small_is_not_broadcast(spark, monkeypatch):
+    plans = []
+
+    def planned(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df
+
+    def recorded(df, what):
+        return common.written(planned(df), what)
+
+    monkeypatch.setattr(common, "is_small", lambda *a: False)
+    monkeypatch.setattr(P, "is_small", lambda *a: False, raising=False)
+    monkeypatch.setattr(P, "written", recorded)
+    rows = conversations(2)
+    assert {tuple(r) for r in planned(result(spark, rows)).collect()} == brute(rows)
+    assert sum("SortMergeJoin" in p for p in plans) > 5 and not any("Broadcast" in p for p in plans)

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from viewframe.llm.common import WORD, attach, small_batches, table, written
+from viewframe.llm.common import WORD, attach, is_small, small_batches, table, unsent, written
 
 #: A conversation is rebuilt on the first turns of the first one of its group of so many.
 GROUP, HEADS = 20, 4
@@ -117,10 +117,11 @@ def ordered_turns(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role
     numbered = keyed.withColumn("rank", F.lit(0).cast("long"))
     if not ties.isEmpty():
         same = (F.col("conv") == F.col("c")) & F.col("turn").eqNullSafe(F.col("t"))
-        tied = written(plain.join(ties, same, "left_semi").groupBy("conv", "turn", "role", "text").agg(F.min("digest").alias("digest")), "tied")
+        pair, pairs = F.struct("conv", "turn"), ties.select(F.struct(F.col("c").alias("conv"), F.col("t").alias("turn")).alias("pair"))
+        tied = written(attach(plain.withColumn("pair", pair), pairs, "pair", "left_semi").groupBy("conv", "turn", "role", "text").agg(F.min("digest").alias("digest")), "tied")
         ranks = running(tied, "conv", [F.col("turn").asc_nulls_first(), F.col("role").asc(), F.col("text").asc()], {"rank": F.lit(1)}, "ranks")
         ranks = ranks.select(F.col("conv").alias("c"), F.col("turn").alias("t"), F.col("digest").alias("d"), "rank")
-        numbered = keyed.join(ranks, same & (F.col("digest") == F.col("d")), "left").select(*keyed.columns, F.coalesce("rank", F.lit(0).cast("long")).alias("rank"))
+        numbered = keyed.join(F.broadcast(ranks) if is_small(ranks) else unsent(ranks), same & (F.col("digest") == F.col("d")), "left").select(*keyed.columns, F.coalesce("rank", F.lit(0).cast("long")).alias("rank"))
     order = [F.col("turn").asc_nulls_first(), F.col("rank").asc(), F.col("row").asc()]
     return running(numbered, "conv", order, {"own": F.lit(1)}, "numbered").select("conv", "digest", "words", "own")
 
@@ -129,9 +130,9 @@ def rebuilt(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(conv, digest, words, depth) of the rebuilt conversations, and (conv, n) of all of them, those without a turn too."""
     convs = written(turns.where("own = 1").select("conv", heads(F.col("conv")).alias("h"), (F.col("conv") - F.col("conv") % GROUP).alias("base")), "convs")
     first = turns.where((F.col("own") < HEADS) & (F.col("conv") % GROUP == 0)).select(F.col("conv").alias("b"), "digest", "words", F.col("own").alias("depth"))
-    head = convs.join(written(first, "heads"), (F.col("base") == F.col("b")) & (F.col("depth") <= F.col("h"))).select("conv", "digest", "words", "depth")
+    head = convs.join(unsent(written(first, "heads")), (F.col("base") == F.col("b")) & (F.col("depth") <= F.col("h"))).select("conv", "digest", "words", "depth")
     head = written(head, "heads")
-    taken = convs.join(head.groupBy("conv").agg(F.count("*").alias("taken")).withColumnRenamed("conv", "c"), F.col("conv") == F.col("c"), "left")
+    taken = convs.join(unsent(head.groupBy("conv").agg(F.count("*").alias("taken")).withColumnRenamed("conv", "c")), F.col("conv") == F.col("c"), "left")
     taken = written(taken.select("conv", "h", F.coalesce("taken", F.lit(0)).alias("taken")), "taken")
     own = attach(turns, taken, "conv").where("own > h").select("conv", "digest", "words", (F.col("own") - F.col("h") + F.col("taken")).alias("depth"))
     return head.unionByName(own), convs.select("conv")
@@ -258,18 +259,18 @@ def trie(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "
     told = written(screened(prefixes).drop("a", "b"), "screened")
     # a prefix of a proven singleton's kind ends what may be shared: estimates can only be too large, so the first proof counts
     proofs = told.where("not maybe").groupBy("conv").agg(F.min("depth").alias("alone"))
-    tails_from = written(lengths.join(proofs.withColumnRenamed("conv", "c"), F.col("conv") == F.col("c"), "left").select("conv", "n", "alone"), "tails")
+    tails_from = written(lengths.join(unsent(proofs.withColumnRenamed("conv", "c")), F.col("conv") == F.col("c"), "left").select("conv", "n", "alone"), "tails")
 
     # rows that may be shared, and the root of each conversation
     both = attach(told, tails_from, "conv").select("conv", "depth", "words", "node", "n", "alone")
     both = written(both, "told")
-    roots = convs.join(tails_from.withColumnRenamed("conv", "c"), F.col("conv") == F.col("c"), "left").select("conv", F.lit(0).cast("long").alias("depth"), F.lit(0).cast("long").alias("words"), F.lit("0").alias("node"), F.coalesce("n", F.lit(0).cast("long")).alias("n"), "alone")
+    roots = convs.join(unsent(tails_from.withColumnRenamed("conv", "c")), F.col("conv") == F.col("c"), "left").select("conv", F.lit(0).cast("long").alias("depth"), F.lit(0).cast("long").alias("words"), F.lit("0").alias("node"), F.coalesce("n", F.lit(0).cast("long")).alias("n"), "alone")
     maybe = written(both.where("alone is null or depth < alone").unionByName(roots), "maybe")
     groups = written(maybe.groupBy("node").agg(F.min("conv").alias("conv_id"), F.min("depth").alias("depth"), F.count("*").alias("n_convs"), F.max("words").alias("words"), F.max("n").alias("longest")), "groups")
 
     # what stands at the row of the conversation that stands for a node; tails stand for themselves
     stands = groups.select(F.col("conv_id").alias("c"), F.col("depth").alias("d"), ((F.col("n_convs") - 1) * F.col("words")).alias("saved"), (F.col("longest") == F.col("depth")).alias("childless"))
-    here = maybe.join(stands, (F.col("conv") == F.col("c")) & (F.col("depth") == F.col("d")), "left").select("conv", "depth", "node", "n", "alone", F.col("c").isNotNull().alias("stands"), F.coalesce("saved", F.lit(0).cast("long")).alias("saved"), F.coalesce("childless", F.lit(False)).alias("childless"))
+    here = maybe.join(unsent(stands), (F.col("conv") == F.col("c")) & (F.col("depth") == F.col("d")), "left").select("conv", "depth", "node", "n", "alone", F.col("c").isNotNull().alias("stands"), F.coalesce("saved", F.lit(0).cast("long")).alias("saved"), F.coalesce("childless", F.lit(False)).alias("childless"))
     here = written(here, "stands")
     # from the end of the conversation to the row: what is saved; and whether the next row stands
     below = running(here, "conv", [F.col("depth").desc()], {"below": F.col("saved")}, "below")
@@ -278,17 +279,17 @@ def trie(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "
     leaves = leaf.select("conv", F.lit(1).cast("long").alias("leaf"))
     above = here.where("depth > 0 and stands").select("conv", (F.col("depth") - 1).alias("depth")).unionByName(tails_from.where("alone is not null").select("conv", (F.col("alone") - 1).alias("depth")))
     child = above.select(F.col("conv").alias("c"), F.col("depth").alias("d"), F.lit(1).cast("long").alias("child"))
-    marked = below.join(child, (F.col("conv") == F.col("c")) & (F.col("depth") == F.col("d")), "left").drop("c", "d")
+    marked = below.join(unsent(child), (F.col("conv") == F.col("c")) & (F.col("depth") == F.col("d")), "left").drop("c", "d")
     marked = attach_left(marked, leaves, "conv")
     sums = marked.groupBy("node").agg(F.sum("below").alias("saved_tokens"), F.sum(F.coalesce("child", F.lit(0).cast("long"))).alias("n_children"), F.sum(F.coalesce("leaf", F.lit(0).cast("long"))).alias("n_leaves"))
     sums = written(sums, "sums")
     ends = written(ends_digests(maybe.where("depth = n")), "ends")
-    shared = groups.select("node", "conv_id", "depth", "n_convs").join(sums.withColumnRenamed("node", "s"), F.col("node") == F.col("s"))
-    shared = shared.join(ends.withColumnRenamed("node", "e"), F.col("node") == F.col("e"), "left").select("node", "conv_id", "depth", "n_convs", "n_children", "n_leaves", "saved_tokens", F.coalesce("ends_sha256", F.lit(NO_MEMBERS)).alias("ends_sha256"))
+    shared = groups.select("node", "conv_id", "depth", "n_convs").join(unsent(sums.withColumnRenamed("node", "s")), F.col("node") == F.col("s"))
+    shared = shared.join(unsent(ends.withColumnRenamed("node", "e")), F.col("node") == F.col("e"), "left").select("node", "conv_id", "depth", "n_convs", "n_children", "n_leaves", "saved_tokens", F.coalesce("ends_sha256", F.lit(NO_MEMBERS)).alias("ends_sha256"))
 
     # the parent of a node that is not a tail's: the node of the row before in the standing conversation
     of_parent = here.select(F.col("conv").alias("c"), (F.col("depth") + 1).alias("d"), F.col("node").alias("parent"))
-    linked = shared.join(of_parent, (F.col("conv_id") == F.col("c")) & (F.col("depth") == F.col("d")), "left").drop("c", "d", "node")
+    linked = shared.join(unsent(of_parent), (F.col("conv_id") == F.col("c")) & (F.col("depth") == F.col("d")), "left").drop("c", "d", "node")
     last = here.where(F.col("alone").isNotNull() & (F.col("depth") == F.col("alone") - 1)).select("conv", F.col("node").alias("parent"), "n", "alone")
     names = groups.select(F.col("node").alias("parent"), F.col("conv_id").alias("parent_conv_id"))
     linked = attach_left(written(linked, "linked"), names, "parent").drop("parent")
