@@ -120,3 +120,20 @@ def test_what_was_not_counted_as_small_is_not_broadcast(spark, monkeypatch):
     rows = conversations(2)
     assert {tuple(r) for r in planned(result(spark, rows)).collect()} == brute(rows)
     assert sum("SortMergeJoin" in p for p in plans) > 5 and not any("Broadcast" in p for p in plans)
+
+
+def test_long_tied_texts_are_dealt_by_their_beginnings(spark, monkeypatch):
+    plans = []
+
+    def recorded(df, what):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return common.written(df, what)
+
+    monkeypatch.setattr(P, "written", recorded)
+    rng = random.Random(3)
+    starts, ends = ["", "x" * 127, "x" * 128, "é" * 200, "y" * 300, "\U0001f600" * 128], ["", "a", "b c", "é", "\U0001f600 z"]
+    rows = [(c, rng.choice([None, 1]), rng.choice(starts) + rng.choice(ends), rng.choice(starts) + rng.choice(ends)) for c in (0, 1, 20, 23) for _ in range(150)]
+    assert {tuple(r) for r in result(spark, rows).collect()} == brute(rows)
+    dealt = [x for p in plans for x in re.findall(r"rangepartitioning\((.*)", p)]
+    cut = [re.sub(r"(substring|char_length)\((role|text)#\d+[^)]*\)", "", x) for x in dealt]
+    assert any("substring(text#" in x for x in dealt) and not any(re.search(r"\b(role|text)#", x) for x in cut)

@@ -37,18 +37,22 @@ GROUP, HEADS = 20, 4
 LEAST_BITS, MOST_BITS, PER_PREFIX, SKETCH_ROWS = 12, 24, 4, 2
 #: Characters of a chunk of member ids that is hashed at a time.
 CHUNK = 4096
+#: Characters of a role and of a text by which turns of one number are dealt: the driver gets a sample of what rows are dealt by.
+BEGINNING = 128
 NO_MEMBERS = hashlib.sha256(b"").hexdigest()
 
 
-def running(df: DataFrame, group: str, order: Sequence[Column], sums: dict[str, Column], what: str) -> DataFrame:
+def running(df: DataFrame, group: str, order: Sequence[Column], sums: dict[str, Column], what: str, by: Sequence[Column] | None = None, without: Sequence[str] = ()) -> DataFrame:
     """df with sums of longs, modulo 2^64, each from the start of the row's group up to it; order must tell the rows of a group apart.
 
-    Rows are dealt by ranges of group and order and summed where they are. What a range hands on to the next is one row, of the group
+    Rows are dealt by ranges of group and order and summed where they are. by: columns that never fall where order rises, to deal rows
+    by instead, if those of order are long. without: columns of df that are not wanted beyond the order. What a range hands on to the next is one row, of the group
     that it ends with; the driver adds those rows up, one per task.
     """
     spark, names = df.sparkSession, list(sums)
     valued = df.select("*", *(c.cast("long").alias(n) for n, c in sums.items()))
-    all_names = valued.columns
+    valued_out = valued.drop(*without)
+    all_names = valued_out.columns
     at, group_at = [all_names.index(n) for n in names], all_names.index(group)
 
     def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,8 +76,8 @@ def running(df: DataFrame, group: str, order: Sequence[Column], sums: dict[str,
             yield pa.RecordBatch.from_arrays([*columns, pa.array(np.full(n, part, np.int32)), pa.array(np.arange(seen, seen + n))], [*all_names, "__part", "__seq"])
             seen += n
 
-    schema = T.StructType([*valued.schema.fields, T.StructField("__part", T.IntegerType()), T.StructField("__seq", T.LongType())])
-    dealt = valued.repartitionByRange(F.col(group), *order).sortWithinPartitions(F.col(group), *order)
+    schema = T.StructType([*valued_out.schema.fields, T.StructField("__part", T.IntegerType()), T.StructField("__seq", T.LongType())])
+    dealt = valued.repartitionByRange(F.col(group), *(by or order)).sortWithinPartitions(F.col(group), *order).drop(*without)
     table = written(dealt.mapInArrow(inside, schema), what)
     edges = table.groupBy("__part").agg(F.min(group).alias("first"), F.max_by(F.struct(group, *names), "__seq").alias("last")).orderBy("__part").collect()
     handed, open_group, carry = {}, None, np.zeros(len(names), np.int64)
@@ -98,7 +102,13 @@ def running(df: DataFrame, group: str, order: Sequence[Column], sums: dict[str,
                             columns[c] = pa.array(columns[c].to_numpy(zero_copy_only=False) + np.where(hit, more[k], 0))
             yield pa.RecordBatch.from_arrays(columns, all_names)
 
-    return table.mapInArrow(added, valued.schema)
+    return table.mapInArrow(added, valued_out.schema)
+
+
+def beginnings(first: str, second: str) -> list[Column]:
+    """Two short columns that never fall where (first, second) rises: the second says nothing where the first is cut."""
+    cut = F.substring(second, 1, BEGINNING)
+    return [F.substring(first, 1, BEGINNING), F.when(F.char_length(first) < BEGINNING, cut).otherwise("")]
 
 
 def heads(conv: Column) -> Column:
@@ -119,7 +129,8 @@ def ordered_turns(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role
         same = (F.col("conv") == F.col("c")) & F.col("turn").eqNullSafe(F.col("t"))
         pair, pairs = F.struct("conv", "turn"), ties.select(F.struct(F.col("c").alias("conv"), F.col("t").alias("turn")).alias("pair"))
         tied = written(attach(plain.withColumn("pair", pair), pairs, "pair", "left_semi").groupBy("conv", "turn", "role", "text").agg(F.min("digest").alias("digest")), "tied")
-        ranks = running(tied, "conv", [F.col("turn").asc_nulls_first(), F.col("role").asc(), F.col("text").asc()], {"rank": F.lit(1)}, "ranks")
+        first = F.col("turn").asc_nulls_first()
+        ranks = running(tied, "conv", [first, F.col("role").asc(), F.col("text").asc()], {"rank": F.lit(1)}, "ranks", [first, *beginnings("role", "text")], ["role", "text"])
         ranks = ranks.select(F.col("conv").alias("c"), F.col("turn").alias("t"), F.col("digest").alias("d"), "rank")
         numbered = keyed.join(F.broadcast(ranks) if is_small(ranks) else unsent(ranks), same & (F.col("digest") == F.col("d")), "left").select(*keyed.columns, F.coalesce("rank", F.lit(0).cast("long")).alias("rank"))
     order = [F.col("turn").asc_nulls_first(), F.col("rank").asc(), F.col("row").asc()]
